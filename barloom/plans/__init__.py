@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules that register queries.
-MODULES = ("ingest_queries", "feature_queries", "market_queries", "metric_queries", "portfolio_queries", "system_queries")
+MODULES = ("ingest_queries", "feature_queries", "market_queries", "metric_queries", "portfolio_queries", "system_queries", "lifecycle_queries")
 
 
 def load() -> tuple[dict, dict]:

@@ -16,7 +16,7 @@ PRED = P.OWN_BARS + f""",
 p0 AS (SELECT instrument_id, trade_date, bar_idx, {fl('close / lag(close, 5) OVER w - 1')} AS s, {fl('lead(close, 5) OVER w / close - 1')} AS fwd, lead(trade_date, 5) OVER w AS end_date FROM own WINDOW w AS (PARTITION BY instrument_id ORDER BY bar_idx)),
 pred AS (SELECT m AS model_id, instrument_id, trade_date, bar_idx, score, {fl('1 / (1 + exp(-score))')} AS proba, fwd, CASE WHEN fwd > 0 THEN 1 WHEN fwd <= 0 THEN 0 END AS label, end_date,
   CAST(year(trade_date) - 1995 AS BIGINT) AS fold, (bar_idx * 7 + instrument_id * 3) % 10 + 1 AS holding
-  FROM (SELECT *, CASE m WHEN 'A' THEN s ELSE {fl('s * 0.5 + ((instrument_id * 31 + bar_idx * 17) % 100) / 100.0::DOUBLE - 0.5')} END AS score FROM p0, (SELECT unnest(['A', 'B']) AS m)) WHERE s IS NOT NULL)"""
+  FROM (SELECT *, CASE m WHEN 'A' THEN s ELSE {fl('s * 0.5::DOUBLE + (((instrument_id * 31 + bar_idx * 17) % 100) / 100.0::DOUBLE - 0.5::DOUBLE)')} END AS score FROM p0, (SELECT unnest(['A', 'B']) AS m)) WHERE s IS NOT NULL)"""
 
 
 def predictions(spark, sf):

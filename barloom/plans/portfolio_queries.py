@@ -250,13 +250,13 @@ def risk_parity(spark, sf):
 
 _MC = P.OWN_BARS + f""",
 mc AS (SELECT instrument_id, trade_date, close, {fl('CASE WHEN count(close) OVER (PARTITION BY instrument_id ORDER BY bar_idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) = 20 THEN max(high) OVER (PARTITION BY instrument_id ORDER BY bar_idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END', 4)} AS high_20,
- {fl('CASE WHEN count(close) OVER (PARTITION BY instrument_id ORDER BY bar_idx ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) = 50 THEN avg(close) OVER (PARTITION BY instrument_id ORDER BY bar_idx ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) END', 3)} AS sma_50 FROM own)"""
+ {fl('CASE WHEN count(close) OVER (PARTITION BY instrument_id ORDER BY bar_idx ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) = 50 THEN avg(close) OVER (PARTITION BY instrument_id ORDER BY bar_idx ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) END')} AS sma_50 FROM own)"""
 
 
 @query("market_context", f"WITH {_MC} SELECT instrument_id, trade_date, high_20, sma_50 FROM mc")
 def market_context(spark, sf):
     f20, f50 = own().rowsBetween(-19, 0), own().rowsBetween(-49, 0)
-    return P.own_bars(spark, sf).select("instrument_id", "trade_date", rnd(F.when(F.count("close").over(f20) == 20, F.max("high").over(f20)), 4).alias("high_20"), rnd(F.when(F.count("close").over(f50) == 50, F.avg("close").over(f50)), 3).alias("sma_50"))
+    return P.own_bars(spark, sf).select("instrument_id", "trade_date", rnd(F.when(F.count("close").over(f20) == 20, F.max("high").over(f20)), 4).alias("high_20"), rnd(F.when(F.count("close").over(f50) == 50, F.avg("close").over(f50))).alias("sma_50"))
 
 
 @query("evidence_grade", f"""WITH {DONE}, s AS (SELECT model_id, fold, count(*) AS n, avg(label) AS a, avg(proba) - avg(label) AS g FROM dn GROUP BY 1, 2) SELECT model_id, fold, CASE WHEN n >= 500 AND a >= 0.55 AND abs(g) <= 0.05 THEN 'A' WHEN n >= 200 AND a >= 0.52 AND abs(g) <= 0.1 THEN 'B' WHEN n >= 50 THEN 'C' ELSE 'D' END AS grade FROM s""")

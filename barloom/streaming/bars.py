@@ -11,8 +11,8 @@ from barloom.sources.files import scratch
 
 
 def event_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Events as a stream of files; the schema is that of the files there are."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    """Events as a stream of files, with instants as event time; the schema is that of the files there are."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def hourly_bars(events: DataFrame, late: str) -> DataFrame:
