@@ -55,6 +55,18 @@ def by_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return df.mapInArrow(f, schema)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Short batches put together to longer ones, for small rows that are worked on in columns."""
+    have: list[pa.RecordBatch] = []
+    for batch in batches:
+        have.append(batch)
+        if sum(b.num_rows for b in have) >= rows:
+            yield pa.concat_batches(have)
+            have = []
+    if have:
+        yield pa.concat_batches(have)
+
+
 def crc_mod(doc_id: Column, m: int) -> Column:
     """crc32 of the id as text, modulo m; 0 for a null id."""
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % m, F.lit(0).cast("bigint"))
