@@ -87,7 +87,7 @@ def accepted_cards(cards: DataFrame, budget: float, name_cap: float, risk_cap: f
         left, risk, out = budget, risk_cap, []
         for w, r in zip(pdf["weight"], pdf["risk"]):
             fit = min(w, name_cap, left, risk / r if r > 0 else w)
-            if fit <= 0 or fit < 0.5 * w:
+            if fit <= 0 or fit < 0.5 * w - 1e-12:
                 out.append((0.0, "no room"))
                 continue
             left, risk = left - fit, risk - fit * r
