@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -18,10 +19,19 @@ WINDOW = 2048
 CELLS = 2048
 #: Hash groups in which pieces of one length are numbered, so that no length meets in one task.
 GROUPS = 64
-#: White-space-free chunks whose ids one Python worker remembers, and the longest such chunk.
-REMEMBERED, LONGEST = 400_000, 64
+#: White-space-free chunks and words whose ids one Python worker remembers, and the longest such chunk.
+REMEMBERED, REMEMBERED_WORDS, LONGEST = 400_000, 800_000, 64
 
-_PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)?([!-&(-/:-@\[-`{-~]+)?")
+#: ASCII punctuation without the apostrophe (which can begin a word of the tokenizer), and lower-case Latin words.
+_PUNCT = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that a byte-level vocabulary has for each byte: printable Latin-1 as it is, the others from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = iter(range(256, 512))
+    return {b: chr(b) if b in plain else chr(next(other)) for b in range(256)}
 
 
 class ChunkIds:
@@ -38,45 +48,62 @@ class ChunkIds:
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        # the same merges over words that need no normalising and are split already
+        bare = json.loads(self.tokenizer.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
+        self.words = Tokenizer.from_str(json.dumps(bare))
+        self.letters = byte_letters() | {32: " "}
         ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        self.ends, self.known = ends, {}
-
-    def _atoms(self, atoms: list[bytes]) -> None:
-        """Atoms give one word of the tokenizer each, which ends at an id with the mark of a word's end."""
-        if atoms:
-            ids = np.array(self.tokenizer.encode(b" ".join(atoms).decode(), add_special_tokens=False).ids, np.uint32)
-            cut = np.flatnonzero(self.ends[ids]) + 1
-            if len(cut) == len(atoms):
-                self.known.update(zip(atoms, (x.tobytes() for x in np.split(ids, cut[:-1]))))
+        self.ends, self.known, self.atoms = ends, {}, {}
+
+    def _encode_atoms(self, atoms: list[bytes]) -> None:
+        """Atoms are one word of the tokenizer each and end at an id with the mark of a word's end."""
+        for at in range(0, len(atoms), 50_000):
+            part = atoms[at : at + 50_000]
+            text = b" ".join(part).decode("latin-1").translate(self.letters)
+            ids = np.array(self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            cut = ((np.flatnonzero(self.ends[ids]) + 1) * 4).tolist()
+            raw = ids.tobytes()
+            self.atoms.update(zip(part, (raw[i:j] for i, j in zip([0, *cut], cut)), strict=True))
+
+    def learn(self, chunks: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of chunks: of plain ones from a word and its punctuation, of others as the tokenizer has them."""
+        if len(self.atoms) > REMEMBERED_WORDS:
+            self.atoms = {}
+        atoms, need, plain, other = self.atoms, set(), [], []
+        for c in chunks:
+            a = c.rstrip(_PUNCT)
+            if not a or a.isalpha() or _LETTERS.fullmatch(a):
+                t = c[len(a) :]
+                if a and a not in atoms:
+                    need.add(a)
+                if t and t not in atoms:
+                    need.add(t)
+                plain.append((c, a, t))
             else:
-                self._whole(atoms)
-
-    def _whole(self, chunks: list[bytes]) -> None:
-        for chunk, x in zip(chunks, self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)):
-            self.known[chunk] = np.array(x.ids, np.uint32).tobytes()
-
-    def learn(self, chunks: set[bytes]) -> None:
-        """Adds chunks that aren't known yet."""
-        plain = {c: m for c in chunks if (m := _PLAIN.fullmatch(c))}
-        self._atoms([a for a in {g for m in plain.values() for g in m.groups() if g} if a not in self.known])
-        self._whole([c for c in chunks if c not in plain])
-        for c, m in plain.items():
-            self.known[c] = b"".join(self.known[g] for g in m.groups() if g)
+                other.append(c)
+        self._encode_atoms(list(need))
+        out = {c: atoms[c] if not (a and t) else atoms[a] + atoms[t] for c, a, t in plain}
+        for c, x in zip(other, self.tokenizer.encode_batch_fast([c.decode() for c in other], add_special_tokens=False)):
+            out[c] = np.array(x.ids, np.uint32).tobytes()
+        return out
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """The ids of each text. Very long chunks are encoded in place and not remembered."""
-        split = [t.lower().split() for t in texts]
+        """The ids of each text. Very long chunks are not remembered."""
         if len(self.known) > REMEMBERED:
             self.known = {}
-        fresh = {c for s in split for c in s if c not in self.known}
-        long = {c for c in fresh if len(c) > LONGEST}
-        self.learn(fresh - long)
-        for s in split:
-            if long and not long.isdisjoint(s):
-                yield b"".join(np.array(self.tokenizer.encode(c.decode(), add_special_tokens=False).ids, np.uint32).tobytes() if c in long else self.known[c] for c in s)
-            else:
-                yield b"".join(map(self.known.__getitem__, s))
+        get, fresh, split, found = self.known.get, set(), [], []
+        for t in texts:
+            words = t.lower().split()
+            parts = list(map(get, words))
+            if None in parts:
+                fresh.update([w for w, p in zip(words, parts) if p is None])
+            split.append(words)
+            found.append(parts)
+        new = self.learn(fresh)
+        self.known.update((c, x) for c, x in new.items() if len(c) <= LONGEST)
+        for words, parts in zip(split, found):
+            yield b"".join([new[w] if p is None else p for w, p in zip(words, parts)] if None in parts else parts)
 
 
 _ENCODERS: dict[str, ChunkIds] = {}
