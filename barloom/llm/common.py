@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +51,22 @@ def dropped(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def shipped(spark: SparkSession) -> None:
+    """Gives executors this package as a zip, once per session, so that they need no copy on their own path."""
+    context = spark.sparkContext
+    if "barloom.zip" in context._python_includes:
+        return
+    root = Path(__file__).resolve().parents[1]
+    place = Path(tempfile.mkdtemp(prefix="barloom-")) / "barloom.zip"
+    with zipfile.ZipFile(place, "w") as out:
+        for p in sorted(root.rglob("*.py")):
+            out.write(p, f"{root.name}/{p.relative_to(root)}")
+    context.addPyFile(str(place))
+
+
 def by_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
     """mapInArrow in short batches."""
+    shipped(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(f, schema)
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import by_arrow, written
+from barloom.llm.common import by_arrow, shipped, written
 
 #: Vectors a cell aims at, cells at most, rows of a block, queries of a team.
 CELL_ROWS, MOST_CELLS, BLOCK_ROWS, GROUP_QUERIES = 2048, 256, 4096, 1024
@@ -117,6 +117,7 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     are merged. Rows that repeat a vec_id count each as candidates; as a query such an id is its first vector in order.
     """
     spark = vectors.sparkSession
+    shipped(spark)
     data = integer_vectors(vectors)
     n = {r[0]: r[1] for r in data.groupBy("dim").agg(F.count("*")).collect()}
     pivots, ids = {}, {}
