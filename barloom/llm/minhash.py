@@ -120,7 +120,8 @@ def star_edges(reps: DataFrame, percent: int) -> DataFrame:
     meets in many buckets with many hubs, and the popular hub is the text that a family was copied from.
     """
     rows = reps.select(F.explode("bands").alias("bucket"), "doc_id", F.col("n_shingles").alias("n"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    # small sides are written first: a join of two plain exchanges is one whose hot keys Spark can split
+    shared = written(rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "shared")
     rows = written(rows.join(shared, "bucket"), "buckets")
     fame = rows.groupBy("doc_id").agg(F.sum("members").alias("fame"))
     hub = lambda order: F.max_by(F.struct(F.col("doc_id").alias("hub"), F.col("n").alias("hub_n")), order)
@@ -131,6 +132,7 @@ def star_edges(reps: DataFrame, percent: int) -> DataFrame:
         .select("bucket", F.explode(F.array_distinct(F.array("x", "y", "z"))).alias("h"))
         .select("bucket", "h.hub", "h.hub_n")
     )
+    hubs = written(hubs, "hubs")
     near = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
     return (
         rows.join(hubs, "bucket")
@@ -148,7 +150,7 @@ def connected(links: DataFrame) -> DataFrame:
             sides = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         else:
             sides = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        least = sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = written(sides.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         both = sides.join(least, "u")
         if large:
             moved = both.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
@@ -197,6 +199,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     )
     roots = connected(links)
     owner = classes.join(roots, classes.rep == roots.node, "left").select("set_key", F.coalesce("root", "rep").alias("component"))
+    owner = written(owner, "owners")
     return (
         all_rows.select("doc_id", "n_shingles", "set_key")
         .join(owner, "set_key", "left")
