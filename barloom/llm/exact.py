@@ -156,6 +156,7 @@ def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         local.join(owners, (local.sha == owners.sha) & local["head"].eqNullSafe(owners["local"]))
         .select(local.sha.alias("own_sha"), local["head"].alias("own_head"), "keep_id", "bucket", F.sum("n").over(text).alias("group_size"))
     )
+    owned = written(owned, "owners")  # a join of two plain exchanges is one whose hot keys Spark can split
     kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull())
     return (
         run.select("doc_id", "sha", "head")
