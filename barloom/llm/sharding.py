@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barloom.llm.common import written
+
 #: Production byte limit of a shard, and the hash bits that a directory can use.
 LIMIT, BITS = 16 << 20, 40
 
@@ -50,6 +52,7 @@ def extendible_shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("bigint").alias("n_bytes"),
     ).withColumn("bits", hash_bits(F.col("doc_id")))
+    rows = written(rows, "sizes")  # ids, sizes and hashes: read several times below
     total = rows.agg(F.sum("n_bytes")).first()[0] or 0
     first = min(BITS, max(0, math.ceil(math.log2(max(1, total / limit)))) + 4)
     cell = F.shiftleft(F.shiftright("bits", BITS - first), BITS - first)
