@@ -20,7 +20,7 @@ CELLS = 2048
 #: Hash groups in which pieces of one length are numbered, so that no length meets in one task.
 GROUPS = 64
 #: White-space-free chunks and words whose ids one Python worker remembers, and the longest such chunk.
-REMEMBERED, REMEMBERED_WORDS, LONGEST = 400_000, 800_000, 64
+REMEMBERED, REMEMBERED_WORDS, LONGEST = 120_000, 300_000, 64
 
 #: ASCII punctuation without the apostrophe (which can begin a word of the tokenizer), and lower-case Latin words.
 _PUNCT = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
