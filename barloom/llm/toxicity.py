@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -18,6 +19,8 @@ from barloom.llm.common import as_bytes, by_arrow, chunks, crc_mod, written
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c"}
 #: Channel costs in nats: a sign for a letter, a sign that means nothing, a letter run that is one letter, or two.
 SIGN, NOISE, RUN_ONE, RUN_TWO = 1.0, 3.0, 0.5, 1.5
+#: Cost of joining signs of a spelled-out run over a separator other than the run's usual one.
+ODD_JOIN = 4.0
 #: Symbols of the character model: a word's edge, a-z, and 32 classes of other bytes.
 SYMBOLS = 59
 #: Words' first letters that are features beside the whole word.
@@ -26,7 +29,7 @@ STEMS = (4, 5, 6)
 EVIDENCE, SHARE, FEATURES = 20.0, 0.002, 20_000
 #: Sums of weights are calibrated on a histogram with cells of a quarter, the last for all above.
 CELLS = 240
-#: Tokens whose restoration one Python worker remembers, and the longest token that is decoded.
+#: Tokens whose restoration one Python worker remembers, and the longest that it remembers; longer ones are decoded each time.
 REMEMBERED, LONGEST = 300_000, 40
 
 _SYMBOL = np.zeros(256, np.int64)
@@ -35,6 +38,7 @@ _SYMBOL[128:] = 27 + (np.arange(128, 256) & 31)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPELLED = re.compile(rb"(?<![a-z0-9\x80-\xff])(?:[a-z0-9@$!|+](?:[ .\-_*]{1,3}|(?=$))){3,}(?:[a-z0-9@$!|+](?![a-z0-9\x80-\xff]))?")
+_SIGN = re.compile(r"([a-z0-9@$!|+])([ .\-_*]*)")
 _TOKEN = re.compile(rb"[a-z0-9\x80-\xff@$!|+(]+")
 _WORD = re.compile(rb"[a-z\x80-\xff]+")
 _ODD = re.compile(rb"[a-z\x80-\xff][0-9@$!|+(]|[0-9@$!|+(][a-z\x80-\xff]|([a-z])\1\1")
@@ -57,14 +61,10 @@ class Restorer:
         two, one = c.sum(0) + 0.1, c.sum((0, 1)) + 0.1
         lower = (two + 2 * one / one.sum()) / (two.sum(1, keepdims=True) + 2)
         self.logp = np.log((c + 5 * lower[None]) / (c.sum(2, keepdims=True) + 5)).tolist()
-        self.known: dict[bytes, bytes] = {}
-
-    def arcs(self, token: str, i: int) -> list[tuple[int, str, float]]:
-        """(next place, letters, cost) from place i."""
-        c = token[i]
-        j = i
-        while j < len(token) and token[j] == c:
-            j += 1
+        self.known: dict[bytes, set[bytes]] = {}
+
+    def arcs(self, c: str, i: int, j: int) -> list[tuple[int, str, float]]:
+        """(next place, letters, cost) from place i, where a run of the sign c goes on to j."""
         out: list[tuple[int, str, float]] = []
         for letter in LEET.get(c, "") or (c if c.isalpha() else ""):
             cost = SIGN if c in LEET else 0.0
@@ -75,34 +75,79 @@ class Restorer:
             out.append((i + 1, "", NOISE))
         return out
 
-    def decode(self, token: str) -> str:
-        """The best word; "" if the token is all noise."""
-        states: list[dict[tuple[int, int], tuple[float, str]]] = [{} for _ in range(len(token) + 1)]
-        states[0][(0, 0)] = (0.0, "")
-        for i in range(len(token)):
-            arcs = self.arcs(token, i) if states[i] else ()
-            for (a, b), (score, word) in states[i].items():
+    def decode(self, token: str, odd: list[bool] | None = None) -> str:
+        """The best words; "" if the token is all noise.
+
+        Of a spelled-out run, odd tells for each sign whether the separator before it is another than the run's usual
+        one. Each separator either joins (at a cost if odd) or is a word's edge, by the trigram model. Words so far are
+        linked back to front, so that what is kept grows with the token's length alone, times the states at one place.
+        """
+        size, logp = len(token), self.logp
+        ends, joins = [size] * (size + 1), [0.0] * (size + 1)
+        for i in range(size - 2, -1, -1):
+            ends[i] = ends[i + 1] if token[i] == token[i + 1] else i + 1
+        for i in range(1, size):
+            joins[i] = joins[i - 1] + (ODD_JOIN if odd and odd[i] else 0.0)
+        joins[size] = joins[size - 1]
+        ahead: dict[int, dict[tuple[int, int], tuple[float, tuple | None]]] = {0: {(0, 0): (0.0, None)}}
+        for i in range(size):
+            here = ahead.pop(i, None)
+            if not here:
+                continue
+            if odd and i:
+                for (a, b), (score, word) in list(here.items()):
+                    if b:  # not again after an edge; the cost of joining was in the arc to this place
+                        s = score + (joins[i] - joins[i - 1]) + logp[a][b][0]
+                        if s > here.get((b, 0), (-math.inf,))[0]:
+                            here[(b, 0)] = (s, (word, " "))
+            arcs = self.arcs(token[i], i, ends[i])
+            for (a, b), (score, word) in here.items():
                 for j, letters, cost in arcs:
-                    x, y, s = a, b, score - cost
+                    x, y, s = a, b, score - cost - (joins[j] - joins[i])
                     for letter in letters:
                         for byte in letter.encode():
                             z = int(_SYMBOL[byte])
-                            s += self.logp[x][y][z]
+                            s += logp[x][y][z]
                             x, y = y, z
-                    old = states[j].get((x, y))
+                    there = ahead.setdefault(j, {})
+                    old = there.get((x, y))
                     if old is None or s > old[0]:
-                        states[j][(x, y)] = (s, word + letters)
-        ends = [(s + self.logp[x][y][0], w) for (x, y), (s, w) in states[-1].items()]
-        return max(ends, default=(0.0, ""))[1]
-
-    def restored(self, token: bytes) -> bytes:
-        got = self.known.get(token)
+                        there[(x, y)] = (s, (word, letters) if letters else word)
+        last = [(s + logp[x][y][0], w) for (x, y), (s, w) in ahead.get(size, {}).items()]
+        word, out = max(last, key=lambda r: r[0], default=(0.0, None))[1], []
+        while word:
+            word, letters = word
+            out.append(letters)
+        return "".join(reversed(out))
+
+    def remembered(self, key: bytes, words: Callable[[], set[bytes]]) -> set[bytes]:
+        """Words of a token; those of a token over LONGEST are worked out each time."""
+        if len(key) > LONGEST:
+            return words()
+        got = self.known.get(key)
         if got is None:
             if len(self.known) >= REMEMBERED:
                 self.known = {}
-            got = self.known[token] = self.decode(token.decode(errors="ignore")).encode()
+            got = self.known[key] = words()
         return got
 
+    def restored(self, token: bytes) -> set[bytes]:
+        return self.remembered(token, lambda: {self.decode(token.decode(errors="ignore")).encode()})
+
+    def spelled(self, run: bytes) -> set[bytes]:
+        """Words of single signs in a row: all joined, joined between odd separators, and parted by the lattice."""
+
+        def words() -> set[bytes]:
+            signs, gaps = zip(*_SIGN.findall(run.decode()))
+            usual = Counter(gaps[:-1]).most_common(1)[0][0]
+            odd = [False, *(g != usual for g in gaps[:-1])]
+            token = "".join(signs)
+            cuts = [0, *(i for i, x in enumerate(odd) if x), len(token)]
+            out = {self.decode(t) for t in {token, *(token[a:b] for a, b in zip(cuts, cuts[1:]))}}
+            return {w.encode() for w in out.union(self.decode(token, odd).split())}
+
+        return self.remembered(run, words)
+
     def words(self, text: bytes) -> set[bytes]:
         """The distinct words of a whole text as they stand and as restored."""
         text = text.lower()
@@ -110,12 +155,9 @@ class Restorer:
         if _ODD.search(text):
             for token in {t for t in _TOKEN.findall(text) if _ODD.search(t)}:
                 for form in {token, token.rstrip(b"!$@|+(")}:
-                    if len(form) <= LONGEST:
-                        out.add(self.restored(form))
-        for m in _SPELLED.finditer(text):
-            token = re.sub(rb"[ .\-_*]+", b"", m[0])
-            if len(token) <= LONGEST:
-                out.add(self.restored(token))
+                    out |= self.restored(form)
+        for run in {m[0] for m in _SPELLED.finditer(text)}:
+            out |= self.spelled(run)
         out.discard(b"")
         return out
 
@@ -267,8 +309,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 def toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted.
 
-    Tokens with signs among letters, letters three times in a row, or single characters in a row are decoded
-    by Viterbi over a character lattice under a trigram model; the words of the whole text, as they stand and
+    Tokens with signs among letters, letters three times in a row, or single characters in a row (to one word
+    or several) are decoded by Viterbi over a character lattice under a trigram model; the words of the whole text, as they stand and
     as restored, are then looked up, or their stems, and their weights added. Null and blank texts get the
     score of a text without a feature. Rows that repeat a doc_id are scored each; a null doc_id counts as
     held out, as its crc32 is taken as 0.

@@ -415,6 +415,17 @@ def test_restoration():
     assert own.words(b"little bottle, all good 123 $5") == {b"little", b"bottle", b"all", b"good"} | own.words(b"123 $5")
 
 
+def test_restoration_parts_spelled_words_and_takes_long_tokens():
+    counts = toxicity.character_counts([b"the idiot and a moron said stupid things to the loser. you are a stupid idiot and i am a moron " * 50 + b"hello little bottle better butter all"])
+    own = toxicity.Restorer(counts)
+    assert {b"a", b"moron"} <= own.words(b"he is a m o r o n") and {b"stupid", b"idiot"} <= own.words(b"s t u p i d i d i o t")
+    assert {b"stupid", b"idiot"} <= own.words(b"a s t u p i d i d i o t") and {b"stupid", b"idiot"} <= own.words(b"s t u p i d   i d i o t")
+    assert b"stupid" in own.words(b"st" + b"u" * 60 + b"pid") and b"idiot" in own.words(b"1" * 60 + b"d10t")
+    sentence = b"y o u  a r e  a  s t u p i d  i d i o t  a n d  a  m 0 r o n  y o u  a r e  a  s t u p i d  l o s e r"
+    assert {b"stupid", b"idiot", b"moron", b"loser"} <= own.words(sentence)
+    assert b"idiot" in own.words(b"i d i o t") and own.words(b"x1" * 100_000)
+
+
 def test_toxicity(spark, odd):
     from pyspark.sql import functions as F
 
