@@ -14,25 +14,67 @@ from barloom.llm.packing import packed_documents
 from barloom.llm.queries import tokenizer_file
 
 
+#: Columns of the stages' own: a row's place in its table, and its number.
+UID, ROW = "barloom_uid", "barloom_row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """The documents with a number of their own, ROW: the doc_id, or above all of them where it is null or an earlier row has it.
+
+    Operators take this number for the doc_id, so that each decision finds its one row again. docs must give its
+    rows in the same order each time it is read, as a table that was written does.
+    """
+    docs = docs.withColumn(UID, F.monotonically_increasing_id())
+    ids = docs.select(F.col("doc_id").cast("bigint").alias("own_id"), UID)
+    by_id = ids.where("own_id is not null").groupBy("own_id").agg(F.count("*").alias("rows"), F.min(UID).alias("first"))
+    again = written(by_id.where("rows > 1").select("own_id", "first"), "repeated_ids")
+    above = (ids.agg(F.max("own_id")).first()[0] or 0) + 1
+    fresh = F.lit(max(above, 1)).cast("bigint") + F.col(UID)
+    own = F.col("doc_id").cast("bigint")
+    if again.isEmpty():
+        return docs.withColumn(ROW, F.coalesce(own, fresh)).drop(UID)
+    docs = docs.join(again, own == F.col("own_id"), "left")
+    return docs.withColumn(ROW, F.when(own.isNull() | (F.col(UID) != F.col("first")), fresh).otherwise(own)).drop(UID, "own_id", "first")
+
+
+def as_documents(rows: DataFrame) -> DataFrame:
+    """The rows under their numbers in place of their doc_ids."""
+    return rows.withColumn("doc_id", F.col(ROW)).drop(ROW)
+
+
+def left_in(rows: DataFrame, decisions: DataFrame) -> DataFrame:
+    kept = decisions.where("kept").select(F.col("doc_id").alias(ROW))
+    return rows.join(kept.hint("shuffle_hash"), ROW, "left_semi").drop(ROW)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents whose language is told; learns from the labelled ones among them."""
-    return known_language(docs, fit_language(docs))
+    """Keeps documents whose language is told; learns from the labelled ones among them.
+
+    Where none of them is labelled, no language can be told: then every document with a letter stays.
+    """
+    model = fit_language(docs)
+    if not model.languages:
+        return docs.where(F.col("text").cast("string").rlike(r"\p{L}"))
+    return known_language(docs, model)
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each text."""
-    return docs.join(exact_duplicates(docs).where("kept").select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
+    """Keeps one row of each text: of the smallest doc_id, rows with a null id or one that an earlier row has coming last."""
+    rows = numbered(docs)
+    return left_in(rows, exact_duplicates(as_documents(rows))).select(docs.columns)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates: five words a shingle, similarity 0.8."""
-    return docs.join(near_duplicates(docs).where("kept").select("doc_id").distinct().hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
+    """Keeps one document of each group of near duplicates: five words a shingle, similarity 0.8. Ids count as in exact()."""
+    rows = numbered(docs)
+    return left_in(rows, near_duplicates(as_documents(rows))).select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents so that sources meet their target weights."""
-    copies = mixed_documents(docs).where("copies > 0").select("doc_id", "copies")
-    return docs.join(copies.hint("shuffle_hash"), "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(docs.columns)
+    """Repeats or leaves out documents so that sources meet their target weights; each row counts, whatever its doc_id."""
+    rows = numbered(docs)
+    copies = mixed_documents(as_documents(rows)).where("copies > 0").select(F.col("doc_id").alias(ROW), "copies")
+    return rows.join(copies.hint("shuffle_hash"), ROW).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,3 +57,35 @@ def test_run_gives_the_same_rows(spark):
     a = sorted(map(tuple, corpus_pipeline.run(spark, SF).collect()))
     b = sorted(map(tuple, corpus_pipeline.run(spark, SF).collect()))
     assert a and a == b
+
+
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def test_rows_without_an_id_of_their_own(spark):
+    stages = dict(corpus_pipeline.STAGES)
+    text = lambda i: " ".join(f"w{i}x{j}" for j in range(40))
+    rows = [
+        (1, text(1), "en", "a", 1), (2, text(2), "en", "a", 1), (2, text(1), "en", "a", 1), (2, text(3), "en", "b", 1), (None, text(4), "en", "a", 1),
+        (None, text(4), "en", "b", 1), (None, text(5), "en", "b", 1), (None, text(2), "en", "a", 1), (3, text(3), "en", "a", 1), (3, text(3), "en", "a", 1), (-4, text(6), "en", "b", 1),
+    ]
+    docs = written(spark.createDataFrame(rows, DOCS), "rows")
+    for name in ("exact", "near"):
+        got = stages[name](spark, docs, SF)
+        assert got.columns == docs.columns
+        got = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+        assert sorted(t for _, t in got) == sorted(text(i) for i in range(1, 7)), name
+        assert (1, text(1)) in got and (2, text(2)) in got and (None, text(4)) in got and (None, text(5)) in got, name
+    # an id's rows are mixed apart: none above its limit of copies, no row lost
+    sources = [(7, text(i), "en", "a", 1) for i in range(30)] + [(None, text(i), "en", "b", 1) for i in range(30, 60)] + [(i, text(i), "en", "c", 1) for i in range(60, 90)]
+    docs = written(spark.createDataFrame(sources, DOCS), "sources")
+    copies = Counter(stages["mix"](spark, docs, SF).select("doc_id", "text", "source").collect())
+    taken = Counter()
+    for r, n in copies.items():
+        assert n <= 3
+        taken[r.source] += 40 * n
+    goal = dict(zip("abc", mixing.targets([1200] * 3, [5, 2, 1])))
+    assert all(abs(taken[s] - goal[s]) <= 40 for s in "abc")
+    # with no label nothing is learned, and only texts without a letter go
+    bare = spark.createDataFrame([(1, "some words", None, "a", 1), (None, "more words", None, "a", 1), (2, "123", None, "a", 1), (3, None, None, "a", 1)], DOCS)
+    assert sorted(r.text for r in stages["language"](spark, bare, SF).collect()) == ["more words", "some words"]
