@@ -17,12 +17,12 @@ from barloom.llm.tokens import SPACE_MARK, vocabulary
 #: A word with at least one in so many of all training tokens is sent to every task: at most so many words, and few
 #: of that in practice.
 FREQUENT = 1_000_000
-#: Longest piece in bytes; words above LONG bytes are scored one by one.
-PIECE, LONG = 24, 192
+#: Words above LONG bytes are taken one by one.
+LONG = 192
 END = b"\n"
 #: Share of a word's probability that goes to repeating a word of the same text, and words until half of that is reached.
 REPEAT, WARM = 0.2, 20
-#: Re-estimations of the pieces on a sixteenth of the training words, before the last one on all of them.
+#: Re-estimations of the pieces before the last one, each on all training words.
 EARLY = 4
 LN10 = float(np.log(10))
 
@@ -45,7 +45,7 @@ class Pieces:
         self.keys = keys[self.order]
         self.sizes = np.array([len(x) for x in names])
         self.by_name = {x: i for i, x in enumerate(names)}
-        self.longest = int(self.sizes.max())
+        self.lengths = sorted({*map(int, self.sizes)})
 
     @property
     def stop(self) -> float:
@@ -67,7 +67,9 @@ class Pieces:
         base = np.arange(m) * n
         for e in range(1, n + 1):
             terms = []
-            for size in range(1, min(e, self.longest) + 1):
+            for size in self.lengths:
+                if size > e:
+                    break
                 h = slice_hashes(flat, back, base + e - size, base + e)
                 who = self.find(h, size)
                 if (who >= 0).any():
@@ -79,14 +81,21 @@ class Pieces:
             alpha[e] = top + np.log(np.exp(stack - top).sum(0))
         return alpha, arcs
 
+    def steps(self, word: bytes) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """forward() for a single long word: the log-sum of each prefix, and arcs as (start, end, piece)."""
+        alpha, arcs = np.full(len(word) + 1, -np.inf), []
+        alpha[0] = 0.0
+        for e in range(1, len(word) + 1):
+            found = [(e - size, e, i) for size in self.lengths if size <= e and (i := self.by_name.get(word[e - size : e])) is not None]
+            terms = np.array([alpha[start] + self.logp[i] for start, _, i in found])
+            top = terms.max()
+            alpha[e] = top + np.log(np.exp(terms - top).sum())
+            arcs += found
+        return alpha, arcs
+
     def one(self, word: bytes) -> float:
         """The log-sum of a single long word."""
-        alpha = [0.0] + [-np.inf] * len(word)
-        for e in range(1, len(word) + 1):
-            terms = [alpha[e - size] + self.logp[i] for size in range(1, min(e, self.longest) + 1) if (i := self.by_name.get(word[e - size : e])) is not None]
-            top = max(terms)
-            alpha[e] = top + float(np.log(np.exp(np.array(terms) - top).sum()))
-        return alpha[-1] + self.stop
+        return float(self.steps(word)[0][-1]) + self.stop
 
     def log_marginals(self, words: list[bytes]) -> np.ndarray:
         """Natural log of each word's probability, summed over all its segmentations."""
@@ -110,9 +119,20 @@ class Pieces:
         out = np.zeros(len(self.logp))
         by_size: dict[int, list[bytes]] = {}
         for w in words:
-            if 0 < len(w) <= LONG:
+            if w:
                 by_size.setdefault(len(w), []).append(w)
         for size, all_ in by_size.items():
+            if size > LONG:
+                for w in all_:
+                    alpha, arcs = self.steps(w)
+                    beta = np.full(size + 1, -np.inf)
+                    beta[size] = 0.0
+                    for start, end, i in reversed(arcs):
+                        beta[start] = np.logaddexp(beta[start], beta[end] + self.logp[i])
+                    for start, end, i in arcs:
+                        out[i] += np.exp(alpha[start] + self.logp[i] + beta[end] - alpha[-1])
+                    out[-1] += 1
+                continue
             for at in range(0, len(all_), step := max(64, 65536 // size)):
                 part = all_[at : at + step]
                 alpha, arcs = self.forward(np.frombuffer(b"".join(part), np.uint8).reshape(len(part), size))
@@ -135,7 +155,7 @@ def starting_pieces(path: str) -> Pieces:
     weight: dict[bytes, float] = {bytes([b]): 1e-6 for b in range(256)}
     for piece, score in vocabulary(path):
         text = piece.replace(SPACE_MARK, "").encode()
-        if text and len(text) <= PIECE and text == text.lower() and not (piece.startswith("<") and piece.endswith(">")):
+        if text and text == text.lower() and not (piece.startswith("<") and piece.endswith(">")):
             weight[text] = max(weight.get(text, 0.0), 1.0 / (20.0 - min(0.0, score)))
     p = np.array([*weight.values(), 0.4 * sum(weight.values())])
     return Pieces(list(weight), np.log(p / p.sum()))
@@ -244,8 +264,7 @@ def lattice_scores(docs: DataFrame, path: str, early: int = EARLY) -> DataFrame:
     is not 2. base_score adds log10((c + 1) / (N + V + 1)). In score, a word is reached by its own arc, with
     its discounted count, and by every way to spell it in pieces of the existing vocabulary: its probability is
     (c - d) / N + d V / N * (sum over segmentations), by a forward recursion in the log. Pieces start from
-    the vocabulary's scores and are re-estimated `early` times on a sixteenth of the training words and then
-    once on all, each word counted once. With d = n1 / (n1 + 2 n2) the weights of all words sum to one. A
+    the vocabulary's scores and are re-estimated `early` + 1 times on all training words, each word counted once. With d = n1 / (n1 + 2 n2) the weights of all words sum to one. A
     third arc repeats a word of the text before it; of a rarer word's later uses it is the only one counted,
     so that the weights sum to at most one. Counts of words stay distributed; only
     those above one in FREQUENT tokens (so at most FREQUENT) and one number per piece go to every task. A null
@@ -263,9 +282,8 @@ def lattice_scores(docs: DataFrame, path: str, early: int = EARLY) -> DataFrame:
     discount = min(0.95, max(0.05, once / (once + 2 * twice) if once else 0.5))
     pieces = starting_pieces(path)
     trained = counts.where((F.col("c") > 0) & (F.col("word") != F.lit(END))).select("word")
-    some = written(trained.where(F.pmod(F.xxhash64("word"), F.lit(16)) == 0), "some_words")
-    for source in [some] * early + [trained]:
-        uses = by_arrow(source, _uses(pieces), "piece int, uses double")
+    for _ in range(early + 1):
+        uses = by_arrow(trained, _uses(pieces), "piece int, uses double")
         got = np.zeros(len(pieces.logp))
         found = uses.groupBy("piece").agg(F.sum("uses").alias("uses")).toArrow()
         got[found.column("piece").to_numpy()] = found.column("uses").to_numpy()

@@ -362,6 +362,30 @@ def test_lattice_sums_all_segmentations():
     assert used == pytest.approx([parts / (whole + parts)] * 2 + [whole / (whole + parts), 0, 0, 1])
 
 
+def test_pieces_learn_from_words_and_pieces_of_every_length(spark, monkeypatch):
+    names = [b"a", b"b", b"ab", b"ab" * 20]
+    own = lattice.Pieces(names, np.log(np.array([0.2, 0.2, 0.2, 0.1, 0.3])))
+    word = b"ab" * 60
+    short = own.expected([word])
+    limit, lattice.LONG = lattice.LONG, 100
+    try:
+        assert np.allclose(own.expected([word]), short) and short[3] > 0
+    finally:
+        lattice.LONG = limit
+    assert own.expected([word * 2])[-1] == 1 and np.isclose(own.expected([word * 2])[:-1] @ own.sizes, 240)
+    with monkeypatch.context() as m:
+        m.setattr(lattice, "vocabulary", lambda path: [(lattice.SPACE_MARK + "x" * 30, -1.0)])
+        assert lattice.starting_pieces("").sizes.max() == 30
+    # every round reads every word, so that its uses of the stop are all words
+    seen, real = [], lattice.by_arrow
+    lattice.by_arrow = lambda df, f, schema: (seen.append(df.count()) if "uses" in schema else None, real(df, f, schema))[1]
+    try:
+        lattice.lattice_scores(spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(100))) for i in range(20)], "doc_id bigint, text string"), tokenizer_file("piece_bpe_32k.model"))
+    finally:
+        lattice.by_arrow = real
+    assert seen == [100] * (lattice.EARLY + 1)
+
+
 def check_lm(rows, table):
     held = {i: i is not None and crc(i, 7) == 2 for i, _ in table}
     toks = [(i, [*words(t or ""), b"\n"]) for i, t in table]
