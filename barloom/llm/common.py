@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -13,8 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; whole texts travel in them, so that they are kept short.
-BATCH_ROWS = 1024
+#: Spark's setting for the bytes of one Arrow batch, and what it is here: whole texts travel in batches, so that they are kept small.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+#: Bytes of text that are hashed at once.
+CHUNK = 1 << 20
 
 #: The white space of every contract here, as Java and Python patterns read it.
 SPACE = r"[\x20\x09-\x0D]"
@@ -22,9 +26,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where none is set."""
+    """The folder that driver and executors share; one of our own only where none is set and all run on this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="barloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -64,11 +70,39 @@ def shipped(spark: SparkSession) -> None:
     context.addPyFile(str(place))
 
 
-def by_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """mapInArrow in short batches."""
-    shipped(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(f, schema)
+#: What this Python process keeps between tasks, by name.
+_KEPT: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]):
+    """This process's object of that name, made once; it goes when a task of by_arrow() that doesn't keep it begins."""
+    if name not in _KEPT:
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def released(keep: str | None = None) -> None:
+    """Drops what earlier tasks kept under other names, and gives the memory back to the machine."""
+    if [_KEPT.pop(k) for k in list(_KEPT) if k != keep]:
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # another C library
+            pass
+
+
+def by_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema, keep: str | None = None) -> DataFrame:
+    """mapInArrow in batches bounded by bytes (a setting of the session, changed only from Spark's default); keep names what tasks may keep()."""
+    session = df.sparkSession
+    shipped(session)
+    if session.conf.get(BATCH_SETTING, None) in (None, "67108864b", "64MB", "64m"):
+        session.conf.set(BATCH_SETTING, BATCH_BYTES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released(keep)
+        yield from f(batches)
+
+    return df.mapInArrow(run, schema)
 
 
 def gathered(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
@@ -98,7 +132,7 @@ def as_bytes(batch: pa.RecordBatch, name: str) -> list[bytes]:
     return [x or b"" for x in column.to_pylist()]
 
 
-def chunks(texts: list[bytes], most: int = 1 << 20) -> Iterator[tuple[int, list[bytes]]]:
+def chunks(texts: list[bytes], most: int = CHUNK) -> Iterator[tuple[int, list[bytes]]]:
     """Runs of texts of about `most` bytes together, with the place of the first."""
     at, size = 0, 0
     for i, t in enumerate(texts):
@@ -118,14 +152,17 @@ _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base and of its inverse, modulo 2^64."""
-    if len(_POWERS[0]) < n:
-        m = max(n, 1 << 16)
-        for k, x in enumerate((_BASE, _BACK)):
-            p = np.full(m, x, np.uint64)
-            p[0] = 1
-            _POWERS[k] = np.multiply.accumulate(p)
-    return _POWERS[0][:n], _POWERS[1][:n]
+    """The first n powers of the hash base and of its inverse, modulo 2^64; those of up to two chunks are kept."""
+    if len(_POWERS[0]) >= n:
+        return _POWERS[0][:n], _POWERS[1][:n]
+    both = []
+    for x in (_BASE, _BACK):
+        p = np.full(max(n, 1 << 16), x, np.uint64)
+        p[0] = 1
+        both.append(np.multiply.accumulate(p))
+    if n <= 2 * CHUNK:
+        _POWERS[:] = both
+    return both[0][:n], both[1][:n]
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -155,6 +192,16 @@ def hash_of(word: bytes) -> int:
     return int(slice_hashes(sums, back, np.array([0]), np.array([len(word)]))[0])
 
 
+def cut_text(text: bytes, most: int = CHUNK) -> Iterator[bytes]:
+    """A long text in parts of about `most` bytes that end at white space, so that no word is cut."""
+    at = 0
+    while len(text) - at > most:
+        end = next((i for i in range(at + most, len(text)) if text[i] == 32 or 9 <= text[i] <= 13), len(text))
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of the texts in order, and where each text's words begin (one more at the end)."""
     b = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
