@@ -10,13 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import as_bytes, by_arrow, chunks, dropped, mixed, word_hashes, written
+from barloom.llm.common import CHUNK, as_bytes, by_arrow, chunks, cut_text, dropped, mixed, word_hashes, written
 
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
 #: Bins that two documents must share before their whole sets are compared. At a similarity
-#: of 0.8 the share of equal bins has a deviation of 0.035, so this is over five of them below.
-LEAST_BINS = 0.60
+#: of 0.8 the share of equal bins has a deviation of 0.035, so this is over eight of them below.
+LEAST_BINS = 0.50
+#: Edges of one document that may meet under one key.
+SPREAD = 128
 
 _STEP = np.random.default_rng(7).integers(1, 2**63, 4, dtype=np.uint64) | np.uint64(1)
 #: For each bin the order in which it looks for a bin to borrow from: its own random permutation of all bins.
@@ -27,7 +29,11 @@ _PLACE = mixed(np.arange(1, BINS + 1, dtype=np.uint64))
 def shingle_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
     """The sorted distinct k-word shingle hashes of each text; fewer than k words make one shingle, none an empty set."""
     for _, part in chunks([t.lower() for t in texts]):
-        words, at = word_hashes(part)
+        if len(part[0]) > CHUNK:  # then it is alone
+            words = np.concatenate([word_hashes([p])[0] for p in cut_text(part[0])])
+            at = np.array([0, len(words)])
+        else:
+            words, at = word_hashes(part)
         for i in range(len(part)):
             w = words[at[i] : at[i + 1]]
             n = len(w)
@@ -112,12 +118,13 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
 
 
-def star_edges(reps: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a > b): in each band bucket every member with up to three hubs.
+def star_edges(reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(edges, buckets): candidate pairs (a > b), in each band bucket every member with up to three hubs; and the buckets' rows.
 
     The hubs are the member that shares most buckets in all, the smallest id and one drawn by hash for
     that bucket, so that a bucket of m members gives at most 3(m-1) pairs. A pair of similar documents
     meets in many buckets with many hubs, and the popular hub is the text that a family was copied from.
+    What pairs of non-hubs in a bucket are left is for rare_shingle_edges(), by (bucket, doc_id, members, hubs).
     """
     rows = reps.select(F.explode("bands").alias("bucket"), "doc_id", F.col("n_shingles").alias("n"))
     # small sides are written first: a join of two plain exchanges is one whose hot keys Spark can split
@@ -129,17 +136,85 @@ def star_edges(reps: DataFrame, percent: int) -> DataFrame:
         rows.join(fame, "doc_id")
         .groupBy("bucket")
         .agg(hub(F.struct("fame", -F.col("doc_id"))).alias("x"), hub(-F.col("doc_id")).alias("y"), hub(F.xxhash64("bucket", "doc_id")).alias("z"))
-        .select("bucket", F.explode(F.array_distinct(F.array("x", "y", "z"))).alias("h"))
-        .select("bucket", "h.hub", "h.hub_n")
+        .select("bucket", F.array_distinct(F.array("x", "y", "z")).alias("all"))
+        .select("bucket", F.size("all").alias("hubs"), F.explode("all").alias("h"))
+        .select("bucket", "hubs", "h.hub", "h.hub_n")
     )
     hubs = written(hubs, "hubs")
     near = F.least("n", "hub_n") * 100 >= F.greatest("n", "hub_n") * percent
-    return (
+    edges = (
         rows.join(hubs, "bucket")
         .where((F.col("doc_id") != F.col("hub")) & near)
         .select(F.greatest("doc_id", "hub").alias("a"), F.least("doc_id", "hub").alias("b"))
         .distinct()
     )
+    left = rows.join(hubs.select("bucket", "hubs").distinct(), "bucket").where("members > hubs + 1").select("bucket", "doc_id")
+    return written(edges, "edges"), left
+
+
+def rare_shingle_edges(left: DataFrame, roots: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs (a > b) that hubs left over: an exact prefix-filter join on the rarest shingles of open buckets.
+
+    A bucket is open if pairs of its members were not compared and its members are in more than one component.
+    Shingles of these documents are ordered by rarity. If a pair is similar, a shingle of the larger set's first
+    n - ceil(t n) + 1 is among the smaller set's first n - ceil(2 t n / (1 + t)) + 1, and no less than the overlap
+    that is asked for remains from there. Pairs of one component are left out; as most lists of a common shingle
+    are of one component, each list's most frequent one is never joined with itself.
+    """
+    member = left.join(roots, left.doc_id == roots.node, "left").select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("component"))
+    member = written(member, "members")
+    open_ = written(member.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("bucket"), "open")
+    asked = written(member.join(open_, "bucket").select("doc_id", "component").distinct(), "asked")
+    own = sets.join(asked, "doc_id").select("doc_id", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle"))
+    own = written(own, "shingles")
+    common = written(own.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"), "common")
+    n = F.col("n")
+    probe = n - F.ceil(n * percent / 100) + 1
+    index = n - F.ceil(n * (2 * percent) / (100 + percent)) + 1
+    ranked = own.join(common, "shingle").groupBy("doc_id", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("order"))
+    ranked = ranked.withColumn("unique", n - F.size("order")).where(F.col("unique") < probe)  # shingles of one document alone come first
+    rows = ranked.select("doc_id", "component", "n", "unique", F.posexplode(F.slice("order", F.lit(1), (probe - F.col("unique")).cast("int"))).alias("at", "s"))
+    rows = written(rows.select("doc_id", "component", "n", (F.col("unique") + F.col("at")).alias("place"), F.col("s.shingle").alias("shingle"), (F.col("unique") + F.col("at") < index).alias("indexed")), "prefixes")
+    by_part = rows.groupBy("shingle", "component").agg(F.count("*").alias("k"))
+    most = by_part.groupBy("shingle").agg(F.max_by("component", F.struct("k", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("shingle", "most")
+    rows = written(rows.join(written(most, "lists"), "shingle"), "listed")
+    x = rows.select("shingle", F.col("doc_id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("place").alias("px"), (F.col("component") == F.col("most")).alias("mx"))
+    y = rows.where("indexed").select("shingle", F.col("doc_id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("place").alias("py"), (F.col("component") == F.col("most")).alias("my"))
+    asked_for = F.ceil((F.col("nx") + F.col("ny")) * percent / (100 + percent))
+    fits = (F.col("cx") != F.col("cy")) & ((F.col("ny") < F.col("nx")) | ((F.col("ny") == F.col("nx")) & (F.col("y") != F.col("x")))) & (F.col("ny") * 100 >= F.col("nx") * percent)
+    fits = fits & (F.col("nx") - F.col("px") >= asked_for) & (F.col("ny") - F.col("py") >= asked_for)
+    pair = lambda p, q: p.join(q, "shingle").where(fits).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
+    return pair(x, y.where("not my")).unionByName(pair(x.where("not mx"), y.where("my"))).distinct()
+
+
+def with_sides(edges: DataFrame, side: DataFrame, value: str) -> DataFrame:
+    """Edges (a, b) with value_a and value_b of their ends, from (doc_id, value).
+
+    An end with many edges is a hub: its edges are dealt over salts and its value is copied to each of them, so that
+    no key gathers more than SPREAD edges; the copies are fewer than the edges. Sides may come swapped.
+    """
+    ends = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("k")).where(F.col("k") > SPREAD)
+    heavy = written(ends, "heavy")
+    of = lambda s: heavy.select(F.col("doc_id").alias(s), F.col("k").alias(f"k{s}"))
+    ka, kb = F.coalesce("ka", F.lit(1)), F.coalesce("kb", F.lit(1))
+    turned = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(
+        F.when(ka >= kb, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(ka >= kb, F.col("b")).otherwise(F.col("a")).alias("leaf"), F.ceil(F.greatest(ka, kb) / SPREAD).alias("parts")
+    )
+    turned = written(turned.select("hub", "leaf", F.pmod(F.xxhash64("leaf"), F.col("parts")).alias("salt")), "turned")
+    copied = side.join(heavy, "doc_id", "left").select(
+        F.col("doc_id").alias("hub"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.coalesce("k", F.lit(1)) / SPREAD) - 1)).alias("salt"), F.col(value).alias(f"{value}_a")
+    )
+    needed = turned.select("hub", "salt").distinct()
+    plain = side.select(F.col("doc_id").alias("leaf"), F.col(value).alias(f"{value}_b"))
+    return turned.join(plain, "leaf").join(copied.join(needed, ["hub", "salt"], "left_semi"), ["hub", "salt"]).select(F.col("hub").alias("a"), F.col("leaf").alias("b"), f"{value}_a", f"{value}_b")
+
+
+def confirmed(edges: DataFrame, reps: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The edges whose whole sets are similar enough; sketches first rule out what is far below."""
+    near = written(by_arrow(with_sides(edges, reps, "sketch"), _alike, "a bigint, b bigint"), "candidates")
+    both = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    links = with_sides(near, sets, "shingles").where(both * 100 >= (F.size("shingles_a") + F.size("shingles_b") - both) * percent)
+    return written(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), "confirmed")
 
 
 def connected(links: DataFrame) -> DataFrame:
@@ -175,29 +250,23 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     k-word shingles (one shingle if it has fewer words, none if it has no word). Documents whose sets
     have a Jaccard similarity of at least percent / 100 are linked; component_id is the smallest doc_id
     reachable and kept marks it. Equal sets are one class and travel as one representative; candidates
-    come from BANDS buckets of ROWS densified minima each, as stars, and are confirmed on whole sets.
-    Null or blank texts have an empty set and stay alone. Rows that repeat a doc_id are one node and
-    give a row each. A null doc_id with words joins what its set equals; alone it has a null component.
+    come from BANDS buckets of ROWS densified minima each, as stars, and are confirmed on whole sets. What a
+    bucket's hubs did not settle is settled by an exact join on rare shingles, so that a link is lost only if its
+    documents meet in no bucket. Null or blank texts have an empty set and stay alone. Rows that repeat a doc_id
+    are one node and give a row each. A null doc_id with words joins what its set equals; alone it has a null component.
     """
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     all_rows = written(sketches(docs, k), "sketches")
     classes = all_rows.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     reps = all_rows.join(classes, (all_rows.set_key == classes.set_key) & (all_rows.doc_id == classes.rep), "left_semi").dropDuplicates(["doc_id", "set_key"])
-    sketch = lambda side: reps.select(F.col("doc_id").alias(side), F.col("sketch").alias(f"sketch_{side}"))
-    edges = star_edges(reps, percent).join(sketch("a"), "a").join(sketch("b"), "b")
-    edges = written(by_arrow(edges, _alike, "a bigint, b bigint").distinct(), "candidates")
-    ids = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    whole = docs.join(ids.hint("shuffle_hash"), "doc_id", "left_semi")
+    reps = written(reps.select("doc_id", "n_shingles", "bands", "sketch"), "reps")
+    edges, left = star_edges(reps, percent)
+    ids = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(left.select("doc_id")).distinct()
+    whole = docs.join(written(ids, "ids").hint("shuffle_hash"), "doc_id", "left_semi")
     sets = written(by_arrow(whole, _sets(k), "doc_id bigint, shingles array<bigint>"), "sets")
-    side = lambda s: sets.select(F.col("doc_id").alias(s), F.col("shingles").alias(f"set_{s}"))
-    both = F.size(F.array_intersect("set_a", "set_b"))
-    links = (
-        edges.join(side("a"), "a")
-        .join(side("b"), "b")
-        .where(both * 100 >= (F.size("set_a") + F.size("set_b") - both) * percent)
-        .select("a", "b")
-    )
-    roots = connected(links)
+    links = confirmed(edges, reps, sets, percent)
+    more = confirmed(written(rare_shingle_edges(left, connected(links), sets, percent), "more"), reps, sets, percent)
+    roots = connected(links.unionByName(more))
     owner = classes.join(roots, classes.rep == roots.node, "left").select("set_key", F.coalesce("root", "rep").alias("component"))
     owner = written(owner, "owners")
     return (
