@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -10,11 +11,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.common import by_arrow, written
+from barloom.llm.sharding import BITS, directory
 
 #: Distinct texts that a bucket of the index may hold before it splits.
 CAPACITY = 2048
-#: Prefix bits that are counted, so that the directory has at most 65,536 slots; beyond, the capacity grows instead.
-BITS = 16
 #: Bytes of text that one task remembers to fold its own copies before they travel.
 REMEMBERED = 32 << 20
 
@@ -26,30 +26,27 @@ def normalised(text):
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+", " ")
 
 
-def directory(counts: dict[int, int], bits: int, capacity: int) -> tuple[int, list[tuple[int, int]]]:
-    """Doubles the directory while a bucket is overfull: (global depth, one (bucket, local depth) per slot).
+def with_buckets(heads: DataFrame, capacity: int, total: int) -> DataFrame:
+    """Adds bucket and depth: the directory is doubled, one hash bit more each time, until no bucket holds over `capacity` rows.
 
-    counts: distinct keys by the first `bits` bits of their hash. A bucket is named by its first slot at
-    full depth, so that names stay when the directory doubles.
+    Keys are counted by so many leading bits that cells are 16 times as many as full buckets, and only what is overfull
+    even there by all BITS; so the directory grows with the table and is a table itself. A bucket is named by its first
+    slot at full depth, so that names stay when the directory doubles. Rows of one hash share a bucket whatever their number.
     """
-    sums = [[0] * (1 << d) for d in range(bits + 1)]
-    for p, n in counts.items():
-        sums[bits][p] = n
-    for d in range(bits - 1, -1, -1):
-        sums[d] = [sums[d + 1][2 * p] + sums[d + 1][2 * p + 1] for p in range(1 << d)]
-    depth, leaves, todo = 0, [], [(0, 0)]
-    while todo:
-        d, p = todo.pop()
-        if sums[d][p] > capacity and d < bits:
-            depth = max(depth, d + 1)
-            todo += [(d + 1, 2 * p), (d + 1, 2 * p + 1)]
-        else:
-            leaves.append((p << (bits - d), d))
-    slots: list[tuple[int, int]] = [(0, 0)] * (1 << depth)
-    for first, d in leaves:
-        at = first >> (bits - depth)
-        slots[at : at + (1 << (depth - d))] = [(first, d)] * (1 << (depth - d))
-    return depth, slots
+    first = min(BITS, max(0, math.ceil(math.log2(max(1, total / capacity)))) + 4)
+    bits = F.shiftrightunsigned("h", 64 - BITS)
+    keyed = heads.withColumn("bits", bits).withColumn("cell", F.shiftleft(F.shiftright(bits, BITS - first), BITS - first))
+    coarse = written(keyed.groupBy(F.col("cell").alias("bits")).agg(F.count("*").alias("bytes")), "cells")
+    slot = lambda df, key: df.select(F.col("bits").alias(key), F.call_function("shiftleft", F.col("prefix"), F.lit(BITS) - F.col("depth")).alias(f"{key}_bucket"), F.col("depth").alias(f"{key}_depth"))
+    upper = written(slot(directory(coarse, capacity, 0, first), "cell"), "slots")
+    placed = keyed.join(upper, "cell", "left")
+    over = written(coarse.select(F.col("bits").alias("cell")).join(upper, "cell", "left_anti"), "overfull")
+    if first == BITS or over.isEmpty():
+        return placed.select(*heads.columns, F.coalesce("cell_bucket", "bits").alias("bucket"), F.coalesce("cell_depth", F.lit(BITS)).alias("depth"))
+    fine = keyed.join(over, "cell", "left_semi").groupBy("bits").agg(F.count("*").alias("bytes"))
+    lower = written(slot(directory(fine, capacity, first + 1, BITS), "bits"), "slots")
+    placed = placed.join(lower, "bits", "left")
+    return placed.select(*heads.columns, F.coalesce("cell_bucket", "bits_bucket", "bits").alias("bucket"), F.coalesce("cell_depth", "bits_depth", F.lit(BITS)).alias("depth"))
 
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,31 +108,20 @@ def _chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(out)
 
 
-def build_index(docs: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame, list[tuple[int, int]]]:
-    """(run, index, directory), the first two on shared files.
+def build_index(docs: DataFrame, capacity: int = CAPACITY) -> tuple[DataFrame, DataFrame]:
+    """(run, index), both on shared files.
 
     run has a row for each document: its hash, digest and the first equal document of its task. index has
     a row for each such first document: its bucket, its place in the chain of its hash (link) and the
-    smallest doc_id of its text. The directory's counts are the only thing that reaches the driver.
+    smallest doc_id of its text. Only their number reaches the driver.
     """
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), normalised(F.col("text")).alias("t"))
     keyed = base.select("doc_id", F.xxhash64("t").alias("h"), F.sha2("t", 256).alias("sha"), F.encode("t", "UTF-8").alias("text"))
     run = written(by_arrow(keyed, _folded, RUN), "run")
-    heads = run.where("text is not null")
-    counts = {r[0]: r[1] for r in heads.groupBy(F.shiftrightunsigned("h", 64 - BITS).alias("p")).agg(F.count("*")).collect()}
-    depth, slots = directory(counts, BITS, max(capacity, 4 * sum(counts.values()) >> BITS))
-    spark = docs.sparkSession
-    table = spark.createDataFrame([(s, b, d) for s, (b, d) in enumerate(slots)], "slot bigint, bucket bigint, depth bigint")
-    slot = F.shiftrightunsigned("h", 64 - depth) if depth else F.lit(0).cast("bigint")
-    dealt = (
-        heads.select("h", "doc_id", "text", "sha", slot.alias("slot"))
-        .join(F.broadcast(table), "slot")
-        .select("h", "doc_id", "text", "bucket", "sha")
-        .repartition("bucket")
-        .sortWithinPartitions("bucket", "h", "doc_id")
-    )
+    heads = run.where("text is not null").select("h", "doc_id", "text", "sha")
+    dealt = with_buckets(heads, capacity, heads.count()).select("h", "doc_id", "text", "bucket", "sha").repartition("bucket").sortWithinPartitions("bucket", "h", "doc_id")
     index = written(by_arrow(dealt, _chained, "h bigint, link bigint, local bigint, keep_id bigint, bucket bigint, sha string"), "index")
-    return run, index, slots
+    return run, index
 
 
 def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -148,7 +134,7 @@ def exact_duplicates(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     group_size and are all marked kept if their doc_id is. A null doc_id loses against any other; among
     null ones alone keep_id is null and every row is kept.
     """
-    run, index, _ = build_index(docs, capacity)
+    run, index = build_index(docs, capacity)
     owners = index.dropDuplicates(["sha", "local"])
     local = run.groupBy("sha", "head").agg(F.sum("n").alias("n"))
     text = Window.partitionBy("h", "link")

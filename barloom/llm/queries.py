@@ -33,7 +33,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_duplicates(_table(spark, sf_dir, "documents"))
+    return exact_duplicates(_table(spark, sf_dir, "documents")).drop("bucket")
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixed_documents(_table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "shards")
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies", "shards", "places")
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
