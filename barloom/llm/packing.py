@@ -2,25 +2,25 @@
 
 from __future__ import annotations
 
-import json
+import os
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import as_bytes, by_arrow, written
+from barloom.llm.common import as_bytes, by_arrow, kept, written
 
 WINDOW = 2048
 #: Histogram cells; a longer window is counted in coarser units, so that the driver's part never grows.
 CELLS = 2048
-#: Hash groups in which pieces of one length are numbered, so that no length meets in one task.
-GROUPS = 64
-#: White-space-free chunks and words whose ids one Python worker remembers, and the longest such chunk.
-REMEMBERED, REMEMBERED_WORDS, LONGEST = 120_000, 300_000, 64
+#: White-space-free chunks and words whose ids one Python worker remembers, and the longest such chunk: some 60 MB together.
+REMEMBERED, REMEMBERED_WORDS, LONGEST = 120_000, 200_000, 64
 
 #: ASCII punctuation without the apostrophe (which can begin a word of the tokenizer), and lower-case Latin words.
 _PUNCT = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -43,17 +43,19 @@ class ChunkIds:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        # the same merges over words that need no normalising and are split already
-        bare = json.loads(self.tokenizer.to_str()) | {"normalizer": None, "pre_tokenizer": {"type": "WhitespaceSplit"}, "added_tokens": []}
-        self.words = Tokenizer.from_str(json.dumps(bare))
+        # the same merges, held once, over words that need no normalising and are split already
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = WhitespaceSplit()
         self.letters = byte_letters() | {32: " "}
-        ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
-        ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        names = self.tokenizer.get_vocab()
+        ends = np.zeros(max(names.values()) + 1, bool)
+        ends[[i for t, i in names.items() if t.endswith("</w>")]] = True
         self.ends, self.known, self.atoms = ends, {}, {}
 
     def _encode_atoms(self, atoms: list[bytes]) -> None:
@@ -106,45 +108,40 @@ class ChunkIds:
             yield b"".join([new[w] if p is None else p for w, p in zip(words, parts)] if None in parts else parts)
 
 
-_ENCODERS: dict[str, ChunkIds] = {}
+def token_pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = 1, digest: bool = False) -> DataFrame:
+    """Cuts every document's ids (with end_id last) into full windows and a rest: one row a piece.
 
-
-def encoder(path: str) -> ChunkIds:
-    """This process's encoder of a tokenizer file."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = ChunkIds(path)
-    return _ENCODERS[path]
-
-
-def token_pieces(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = 1) -> DataFrame:
-    """Cuts every document's ids (with end_id last) into full windows and a rest: one row a piece, with the ids.
-
-    doc_id, doc_tokens, start, length, ids (little-endian unsigned 32-bit). A null text is empty.
+    doc_id, doc_tokens, start, length, and ids (little-endian unsigned 32-bit) or, with digest, their ids_crc32; then
+    pack_task and pack_rank, which number the pieces of each length within their task. A null text is empty.
     """
+    name = f"ids of {path}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        own, end = encoder(path), np.uint32(end_id).tobytes()
+        own, end, seen = kept(name, lambda: ChunkIds(path)), np.uint32(end_id).tobytes(), Counter()
+        task = TaskContext.get().partitionId()
         for batch in batches:
-            doc, total, start, length, ids = [], [], [], [], []
+            doc, total, start, length, ids, rank = [], [], [], [], [], []
             for i, x in zip(batch.column("doc_id").to_pylist(), own.encode(as_bytes(batch, "text"))):
                 x += end
                 n = len(x) // 4
                 for a in range(0, n, window):
+                    m = min(window, n - a)
+                    part = x[4 * a : 4 * (a + m)]
                     doc.append(i)
                     total.append(n)
                     start.append(a)
-                    length.append(min(window, n - a))
-                    ids.append(x[4 * a : 4 * (a + window)])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(total, pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(ids, pa.binary())],
-                ["doc_id", "doc_tokens", "start", "length", "ids"],
-            )
-
+                    length.append(m)
+                    ids.append(zlib.crc32(part) if digest else part)
+                    rank.append(seen[m])
+                    seen[m] += 1
+            columns = [pa.array(c, pa.int64()) for c in (doc, total, start, length)] + [pa.array(ids, pa.int64() if digest else pa.binary()), pa.array([task] * len(doc), pa.int64()), pa.array(rank, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "doc_tokens", "start", "length", held, "pack_task", "pack_rank"])
+
+    held = "ids_crc32" if digest else "ids"
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return by_arrow(rows, run, "doc_id bigint, doc_tokens bigint, start bigint, length bigint, ids binary")
+    schema = f"doc_id bigint, doc_tokens bigint, start bigint, length bigint, {held} {'bigint' if digest else 'binary'}, pack_task bigint, pack_rank bigint"
+    return by_arrow(rows, run, schema, name)
 
 
 def combinations(cells: int) -> np.ndarray:
@@ -283,21 +280,18 @@ def slots(plan: list[tuple[tuple[int, ...], int]]) -> dict[int, tuple[np.ndarray
 
 
 def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Adds sequence_id and offset to rows of (doc_id, start, length, ...): at most `window` in a sequence, no gaps.
+    """Adds sequence_id and offset to the rows of token_pieces(), written before: at most `window` in a sequence, no gaps.
 
-    Pieces of one length are numbered within hash groups and by the groups' counts, so that the driver holds
-    only the histogram (at most `window` numbers) and the plan made from it.
+    Pieces are numbered by their tasks' own numbers and the counts of earlier tasks, so that no length, full windows
+    included, meets in one task; the driver holds only the histogram (at most `window` numbers) and the plan made from it.
     """
-    columns = pieces.columns
-    group = F.pmod(F.xxhash64(*[F.col(c) for c in columns]), F.lit(GROUPS))
-    rows = pieces.withColumn("pack_group", group)
-    by_group = rows.groupBy("length", "pack_group").agg(F.count("*").alias("pack_n"))
-    histogram = {r[0]: r[1] for r in by_group.groupBy("length").agg(F.sum("pack_n")).collect()}
+    columns = [c for c in pieces.columns if c not in ("pack_task", "pack_rank")]
+    by_task = pieces.groupBy("length", "pack_task").agg(F.count("*").alias("pack_n"))
+    histogram = {r[0]: r[1] for r in by_task.groupBy("length").agg(F.sum("pack_n")).collect()}
     places = pieces.sparkSession.sparkContext.broadcast(slots(pack_plan(histogram, window)))
-    before = F.coalesce(F.sum("pack_n").over(Window.partitionBy("length").orderBy("pack_group").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    firsts = by_group.select("length", "pack_group", before.alias("pack_first"))
-    own = Window.partitionBy("length", "pack_group").orderBy(*columns)
-    ranked = rows.join(firsts, ["length", "pack_group"]).withColumn("pack_rank", F.row_number().over(own) - 1 + F.col("pack_first"))
+    before = F.coalesce(F.sum("pack_n").over(Window.partitionBy("length").orderBy("pack_task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = by_task.select("length", "pack_task", before.alias("pack_first"))
+    ranked = pieces.join(firsts, ["length", "pack_task"]).withColumn("pack_rank", F.col("pack_rank") + F.col("pack_first"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = places.value
@@ -314,8 +308,8 @@ def pack(pieces: DataFrame, window: int = WINDOW) -> DataFrame:
                 offset[rows] = at[k] + j % many[k] * n
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(sequence), pa.array(offset)], [*columns, "sequence_id", "offset"])
 
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    return by_arrow(ranked.select(*columns, "pack_rank"), run, f"{kept}, sequence_id bigint, offset bigint")
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields if f.name in columns)
+    return by_arrow(ranked.select(*columns, "pack_rank"), run, f"{own}, sequence_id bigint, offset bigint")
 
 
 def packed_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: int = 1) -> DataFrame:
@@ -324,11 +318,5 @@ def packed_documents(docs: DataFrame, path: str, window: int = WINDOW, end_id: i
     A document is its tokenizer ids and end_id; it is cut at multiples of `window`, so that only its rest
     shares a sequence. A null or blank text is end_id alone. Rows that repeat a doc_id are packed each.
     """
-
-    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            crc = pa.array([zlib.crc32(x) for x in batch.column("ids").to_pylist()], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "length")), crc, batch.column("doc_tokens")], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-
-    pieces = by_arrow(token_pieces(docs, path, window, end_id), digests, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
-    return pack(written(pieces, "pieces"), window)
+    pieces = written(token_pieces(docs, path, window, end_id, digest=True), "pieces")
+    return pack(pieces, window).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
