@@ -53,7 +53,7 @@ def splitting_tree(quotas: list[int], shards: int, seed: int = SEED) -> np.ndarr
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken, shards.
+    """One row per document: doc_id, source, size, source_size, target, copies, taken, block, shards, places.
 
     Size is the number of words (null text: 0). Sources in code point order, null last, weigh as `weights`
     repeats, and share the total size; no target is over `most` times its source. A source's documents fall
@@ -118,7 +118,18 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     partial = full.where(cut).withColumn("extra", (F.coalesce(F.sum("size").over(inner), F.lit(0)) + F.col("size") / 2 <= F.col("rest")).cast("int"))
     whole = full.where(~cut).withColumn("extra", (F.col("rest") > 0).cast("int"))
     copies = F.when(F.col("size") > 0, F.col("passes") + F.col("extra")).when(F.col("source_size") > 0, F.lit(1)).otherwise(F.lit(0))
+    homes = F.slice(F.coalesce("homes", F.array().cast("array<int>")), F.lit(1), copies)
+    alone = F.pmod(F.col("draw"), F.lit(shards)).cast("int")  # of texts without words, whose block may not be drawn
+    homes = F.concat(homes, F.array_repeat(alone, F.greatest(copies - F.size(homes), F.lit(0))))
     return whole.unionByName(partial).select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"),
-        F.slice(F.coalesce("homes", F.array().cast("array<int>")), F.lit(1), copies).alias("shards"),
+        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), "block", homes.alias("shards"),
+        F.transform(homes, lambda shard, i: F.xxhash64(F.lit(seed + 3), shard, i, "draw")).alias("places"),
     )
+
+
+def in_shards(rows: DataFrame, shards: str, places: str, keep: list[str], slices: int = 16) -> DataFrame:
+    """One row per copy, a shard's copies in up to `slices` runs, each in the shuffled order of its places."""
+    each = rows.select(*keep, F.explode(F.arrays_zip(F.col(shards).alias("s"), F.col(places).alias("p"))).alias("barloom_home"))
+    slice_ = F.pmod(F.col("barloom_home.p"), F.lit(slices))
+    each = each.repartition(F.col("barloom_home.s"), slice_).sortWithinPartitions("barloom_home.s", slice_, "barloom_home.p")
+    return each.select(*keep)
