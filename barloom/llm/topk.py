@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,10 +13,10 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import by_arrow, shipped, written
 
-#: Vectors a cell aims at, cells at most, rows of a block, queries of a team.
-CELL_ROWS, MOST_CELLS, BLOCK_ROWS, GROUP_QUERIES = 2048, 256, 4096, 1024
-#: Each integer component of a product sum stays exact in a double below this.
-EXACT = 2.0**53
+#: Vectors a cell aims at (in large tables there are as many cells as the root of the rows), rows of a block, queries of a team.
+CELL_ROWS, BLOCK_ROWS, GROUP_QUERIES = 2048, 4096, 4096
+#: Below the first, sums of integer products are exact in a double; below the second in 64 bits.
+EXACT, LONG = 2.0**53, 2.0**63
 
 
 def integer_vectors(vectors: DataFrame, scale: int = 1024) -> DataFrame:
@@ -31,10 +32,14 @@ def integer_vectors(vectors: DataFrame, scale: int = 1024) -> DataFrame:
 
 
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """All inner products of integer rows, exactly."""
-    if q.size and x.size and float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1] < EXACT:
+    """All inner products of integer rows, exactly; beyond 64 bits the nearest number of 64 bits."""
+    most = float(np.abs(q.astype(float)).max()) * float(np.abs(x.astype(float)).max()) * q.shape[1] if q.size and x.size else 0.0
+    if most < EXACT:
         return (q.astype(np.float64) @ x.astype(np.float64).T).astype(np.int64)
-    return q @ x.T
+    if most < LONG:
+        return q @ x.T
+    whole = q.astype(object) @ x.astype(object).T
+    return np.array([[min(max(v, -(2**63)), 2**63 - 1) for v in row] for row in whole], np.int64).reshape(whole.shape)
 
 
 def _located(pivots: dict[int, np.ndarray]):
@@ -60,8 +65,11 @@ def _located(pivots: dict[int, np.ndarray]):
     return run
 
 
-def _needed(pivots: dict[int, np.ndarray], ids: dict[int, np.ndarray], cells: dict[int, dict[int, tuple[float, int]]], k: int):
-    """For each query a lower bound on its k-th best score and the cells that could beat it."""
+def _needed(pivots: dict[int, np.ndarray], ids: dict[int, np.ndarray], cells: dict[int, dict[int, tuple[float, int]]], near: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], k: int):
+    """For each query a lower bound on its k-th best score and the cells that could beat it.
+
+    near: for each vector length the cell, distance to the pivot and vec_id of the k rows nearest to each pivot.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -69,9 +77,14 @@ def _needed(pivots: dict[int, np.ndarray], ids: dict[int, np.ndarray], cells: di
             for vec_id, dim, norm, vec in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "dim", "norm", "vec"))):
                 q, p = np.array([vec], np.int64).reshape(1, dim), pivots[dim]
                 own = products(q, p)[0]
-                # pivots are rows of the data: the k-th best of them bounds the k-th best of all
-                seen = np.sort(own[ids[dim] != vec_id])[::-1]
-                bound = int(seen[k - 1]) if len(seen) >= k else None
+                # rows of the data score at least q.p - |q| * distance: the k-th best of these bounds the k-th best of all
+                cell, far, who = near[dim]
+                low = own[cell] - norm * far
+                seen = np.sort((low - 1e-9 * np.abs(low) - 1)[who != vec_id])[::-1]
+                bound = max(-(2**63), int(np.floor(seen[k - 1]))) if len(seen) >= k else None
+                exact = np.sort(own[ids[dim] != vec_id])[::-1]  # pivots are rows too
+                if len(exact) >= k:
+                    bound = max(int(exact[k - 1]), bound if bound is not None else -(2**63))
                 least.append(bound)
                 # q.x <= q.p + |q| * radius for every x of p's cell; a part in 10^9 more for rounding
                 most = own + norm * np.array([cells[dim].get(c, (0.0, 0))[0] for c in range(len(p))])
@@ -109,12 +122,13 @@ def _solved(k: int):
 def top_k(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest inner products of each row whose vec_id is divisible by `every`.
 
-    Candidates are all other rows of the same length; ties go to the smaller vec_id. Pivots (up to
-    MOST_CELLS rows for each vector length, drawn by hash) part the data into cells. Queries are grouped by
-    pivot as well. Each query's k-th best pivot bounds its k-th best score from below, and a cell's pivot and
-    radius bound its scores from above, so that blocks of a cell are replicated only to the groups of queries
-    that it could serve. Each pair of query group and block is solved in one small task; the best k of each
-    are merged. Rows that repeat a vec_id count each as candidates; as a query such an id is its first vector in order.
+    Candidates are all other rows of the same length; ties go to the smaller vec_id. Pivots (rows for each vector
+    length, drawn by hash, at most as many as the root of the rows) part the data into cells. Queries are grouped by
+    pivot as well. The k rows nearest to each pivot are a cell's summary: with the pivots they bound a query's k-th best
+    score from below, and a cell's pivot and radius bound its scores from above, so that blocks of a cell are replicated
+    only to the groups of queries that it could serve. Each pair of query group and block is solved in one small task; the
+    best k of each are merged. Rows that repeat a vec_id count each as candidates; as a query such an id is its first
+    vector in order. Rows with a null vec_id take no part. Sums beyond 64 bits become the nearest number of 64 bits.
     """
     spark = vectors.sparkSession
     shipped(spark)
@@ -122,7 +136,7 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     n = {r[0]: r[1] for r in data.groupBy("dim").agg(F.count("*")).collect()}
     pivots, ids = {}, {}
     for d, c in n.items():
-        few = min(MOST_CELLS, max(k + 2, c // CELL_ROWS))
+        few = max(k + 2, min(c // CELL_ROWS, math.isqrt(c)))
         rows = data.where(F.col("dim") == d).orderBy(F.xxhash64("vec_id"), "vec_id").limit(few).collect()
         pivots[d] = np.array([r["vec"] for r in rows], np.int64).reshape(len(rows), d)
         ids[d] = np.array([r["vec_id"] for r in rows], np.int64)
@@ -130,6 +144,12 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     cells: dict[int, dict[int, tuple[float, int]]] = {d: {} for d in n}
     for r in located.groupBy("dim", "cell").agg(F.max("far"), F.count("*")).collect():
         cells[r[0]][r[1]] = (r[2], r[3])
+    # the k rows nearest to each pivot: k numbers a cell, first within tasks
+    rows = located.select("dim", "cell", "far", "vec_id", F.spark_partition_id().alias("task"))
+    for by in (("dim", "cell", "task"), ("dim", "cell")):
+        rows = rows.withColumn("at", F.row_number().over(Window.partitionBy(*by).orderBy("far", "vec_id"))).where(F.col("at") <= k)
+    nearest = rows.select("dim", "cell", "far", "vec_id").toPandas()
+    near = {d: tuple(nearest.loc[nearest["dim"] == d, c].to_numpy() for c in ("cell", "far", "vec_id")) for d in n}
 
     same = F.min(F.struct("vec", "dim", "cell", "norm")).alias("q")
     queries = located.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(same).select("vec_id", "q.*")
@@ -147,7 +167,7 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
                 team, have, last = team + split - 1, have + m, d
     homes = spark.createDataFrame(base, "dim int, cell int, first_team int, split int")
     grouped = queries.join(homes, ["dim", "cell"]).withColumn("team", F.col("first_team") + F.pmod(F.xxhash64("vec_id"), F.col("split")).cast("int"))
-    bounded = written(by_arrow(grouped.select("vec_id", "vec", "dim", "team", "norm"), _needed(pivots, ids, cells, k), "vec_id bigint, vec array<bigint>, dim int, team int, least bigint, cells array<int>"), "queries")
+    bounded = written(by_arrow(grouped.select("vec_id", "vec", "dim", "team", "norm"), _needed(pivots, ids, cells, near, k), "vec_id bigint, vec array<bigint>, dim int, team int, least bigint, cells array<int>"), "queries")
 
     blocks = spark.createDataFrame([(d, c, -(-m // BLOCK_ROWS)) for d in cells for c, (_, m) in cells[d].items()], "dim int, cell int, blocks int")
     pairs = bounded.select("dim", "team", F.explode("cells").alias("cell")).distinct().join(blocks, ["dim", "cell"])
