@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -10,13 +11,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import as_bytes, by_arrow
+from barloom.llm.common import as_bytes, by_arrow, kept
 
 #: What a tokenizer of this kind adds to its lowest score for a character that no piece covers.
 UNKNOWN_PENALTY = 10.0
 #: Words whose counts one Python worker remembers, and the longest such word.
 REMEMBERED, LONGEST = 500_000, 200
 SPACE_MARK = "▁"
+#: The score of a place that no segmentation reaches.
+NEVER = float("-inf")
 
 
 @lru_cache(maxsize=4)
@@ -61,19 +64,20 @@ class UnigramCounter:
     def count(self, text: str) -> int:
         """Tokens of one text in which spaces are marks already."""
         n = len(text)
-        best: list[float | None] = [None] * (n + 1)
-        many, open_ = [0] * (n + 1), [False] * (n + 1)
+        best, many, open_ = array("d", [NEVER]) * (n + 1), array("q", [0]) * (n + 1), bytearray(n + 1)
         best[0] = 0.0
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
-        for end, (size, score) in self.matches.iter(text):
-            ends[end + 1].append((end + 1 - size, score))
+        matches = self.matches.iter(text)  # in order of their ends
+        end, (size, score) = next(matches, (n, (0, 0.0)))
         for e in range(1, n + 1):
-            top, pieces, unknown = None, 0, False
-            for start, score in sorted(ends[e]):
-                if best[start] is not None and (top is None or best[start] + score > top):
-                    top, pieces, unknown = best[start] + score, many[start] + 1, False
+            top, pieces, unknown, here = NEVER, 0, False, []
+            while end == e - 1:
+                here.append((e - size, score))
+                end, (size, score) = next(matches, (n, (0, 0.0)))
+            for start, score_ in sorted(here):
+                if best[start] + score_ > top:
+                    top, pieces, unknown = best[start] + score_, many[start] + 1, False
             c = text[e - 1]
-            if c not in self.single and best[e - 1] is not None and (top is None or best[e - 1] + self.unknown > top):
+            if c not in self.single and best[e - 1] + self.unknown > top:
                 top = best[e - 1] + self.unknown
                 if self.bytes:
                     pieces = many[e - 1] + len(c.encode())
@@ -117,9 +121,6 @@ class UnigramCounter:
         return n
 
 
-_COUNTERS: dict[str, UnigramCounter] = {}
-
-
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """One row per document: doc_id, n_tokens, n_chars.
 
@@ -130,9 +131,7 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _COUNTERS:
-            _COUNTERS[path] = UnigramCounter(path)
-        own = _COUNTERS[path]
+        own = kept(f"counts of {path}", lambda: UnigramCounter(path))
         for batch in batches:
             texts = [t.decode() for t in as_bytes(batch, "text")]
             yield pa.RecordBatch.from_arrays(
@@ -140,4 +139,4 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
             )
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return by_arrow(rows, run, "doc_id bigint, n_tokens bigint, n_chars bigint")
+    return by_arrow(rows, run, "doc_id bigint, n_tokens bigint, n_chars bigint", f"counts of {path}")
