@@ -1,8 +1,7 @@
-"""Document likelihood from subword lattices: existing pieces, all segmentations, word counts of the corpus."""
+"""Document likelihood from subword lattices: an existing vocabulary, all segmentations, weights tuned on the corpus."""
 
 from __future__ import annotations
 
-import math
 from collections import Counter
 from collections.abc import Iterator
 
@@ -14,24 +13,22 @@ from pyspark.sql import functions as F
 from barloom.llm.common import as_bytes, by_arrow, crc_mod, gathered, prefix_hashes, slice_hashes, written
 from barloom.llm.tokens import SPACE_MARK, vocabulary
 
-#: A word with at least one in so many of all training tokens is sent to every task: at most so many words, and few
-#: of that in practice.
-FREQUENT = 1_000_000
+#: Words with at least one in so many of all training tokens (so at most so many words) have their scores sent to every
+#: task; the others' are joined. Scores are the same either way.
+FREQUENT = 1 << 16
 #: Words above LONG bytes are taken one by one.
 LONG = 192
 END = b"\n"
-#: Share of a word's probability that goes to repeating a word of the same text, and words until half of that is reached.
-REPEAT, WARM = 0.2, 20
-#: Re-estimations of the pieces before the last one, each on all training words.
-EARLY = 4
+#: Share that the given weights keep in every re-estimation, and how many there are.
+GIVEN, ROUNDS = 0.1, 2
 LN10 = float(np.log(10))
 
 
 class Pieces:
     """The vocabulary's pieces as byte strings with log-probabilities, and the 256 bytes to fall back on.
 
-    A word is a run of pieces and a stop. `logp` has a row for each piece, `stop` the log-probability that a
-    word ends after a piece; all weights of one piece step and the stop sum to one.
+    A text is a run of pieces and an end; a word begins with a mark, which is a space here, so that a piece that begins
+    a word ends the one before. `logp` has a row for each piece and a last one for the end; their weights sum to one.
     """
 
     def __init__(self, names: list[bytes], logp: np.ndarray):
@@ -47,10 +44,6 @@ class Pieces:
         self.by_name = {x: i for i, x in enumerate(names)}
         self.lengths = sorted({*map(int, self.sizes)})
 
-    @property
-    def stop(self) -> float:
-        return float(self.logp[-1])
-
     def find(self, h: np.ndarray, size: int) -> np.ndarray:
         """Place of the piece with each hash and that size, -1 for none."""
         at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
@@ -95,7 +88,7 @@ class Pieces:
 
     def one(self, word: bytes) -> float:
         """The log-sum of a single long word."""
-        return float(self.steps(word)[0][-1]) + self.stop
+        return float(self.steps(word)[0][-1])
 
     def log_marginals(self, words: list[bytes]) -> np.ndarray:
         """Natural log of each word's probability, summed over all its segmentations."""
@@ -111,53 +104,52 @@ class Pieces:
                 for at in range(0, len(rows), step := max(64, 65536 // size)):
                     part = rows[at : at + step]
                     alpha, _ = self.forward(np.frombuffer(b"".join(words[i] for i in part), np.uint8).reshape(len(part), size))
-                    out[part] = alpha[-1] + self.stop
+                    out[part] = alpha[-1]
         return out
 
-    def expected(self, words: list[bytes]) -> np.ndarray:
-        """Expected uses of each piece (the stop last) over all segmentations, one count for each word."""
+    def expected(self, words: list[bytes], times: np.ndarray) -> np.ndarray:
+        """Expected uses of each piece over all segmentations of words that occur so many times."""
         out = np.zeros(len(self.logp))
-        by_size: dict[int, list[bytes]] = {}
-        for w in words:
+        by_size: dict[int, list[int]] = {}
+        for i, w in enumerate(words):
             if w:
-                by_size.setdefault(len(w), []).append(w)
-        for size, all_ in by_size.items():
+                by_size.setdefault(len(w), []).append(i)
+        for size, rows in by_size.items():
             if size > LONG:
-                for w in all_:
+                for w, k in ((words[i], times[i]) for i in rows):
                     alpha, arcs = self.steps(w)
                     beta = np.full(size + 1, -np.inf)
                     beta[size] = 0.0
                     for start, end, i in reversed(arcs):
                         beta[start] = np.logaddexp(beta[start], beta[end] + self.logp[i])
                     for start, end, i in arcs:
-                        out[i] += np.exp(alpha[start] + self.logp[i] + beta[end] - alpha[-1])
-                    out[-1] += 1
+                        out[i] += k * np.exp(alpha[start] + self.logp[i] + beta[end] - alpha[-1])
                 continue
-            for at in range(0, len(all_), step := max(64, 65536 // size)):
-                part = all_[at : at + step]
+            for at in range(0, len(rows), step := max(64, 65536 // size)):
+                part, k = [words[i] for i in rows[at : at + step]], times[rows[at : at + step]]
                 alpha, arcs = self.forward(np.frombuffer(b"".join(part), np.uint8).reshape(len(part), size))
                 beta = np.full((size + 1, len(part)), -np.inf)
                 beta[size] = 0.0
                 for start, end, _, weight in reversed(arcs):
                     beta[start] = np.logaddexp(beta[start], beta[end] + weight)
                 for start, end, who, weight in arcs:
-                    p = np.exp(alpha[start] + weight + beta[end] - alpha[-1])
-                    out[:-1] += np.bincount(who[who >= 0], p[who >= 0], len(out) - 1)
-                out[-1] += len(part)
+                    p = k * np.exp(alpha[start] + weight + beta[end] - alpha[-1])
+                    out += np.bincount(who[who >= 0], p[who >= 0], len(out))
         return out
 
 
 def starting_pieces(path: str) -> Pieces:
-    """Pieces without capitals or marks inside, weighted by the scores of the vocabulary file, and all bytes.
+    """Pieces without ASCII capitals (texts have none) weighted by the scores of the file, all bytes, and the end.
 
-    The scores of a merge vocabulary are negative ranks; a rank r weighs 1 / (r + 20), as word ranks do.
+    The scores of a merge vocabulary are negative ranks; we let a rank r weigh 1 / (r + 20), as word ranks do. The end is
+    one of the file's signs of rank 0.
     """
     weight: dict[bytes, float] = {bytes([b]): 1e-6 for b in range(256)}
     for piece, score in vocabulary(path):
-        text = piece.replace(SPACE_MARK, "").encode()
+        text = piece.replace(SPACE_MARK, " ").encode()
         if text and text == text.lower() and not (piece.startswith("<") and piece.endswith(">")):
             weight[text] = max(weight.get(text, 0.0), 1.0 / (20.0 - min(0.0, score)))
-    p = np.array([*weight.values(), 0.4 * sum(weight.values())])
+    p = np.array([*weight.values(), 1 / 20])
     return Pieces(list(weight), np.log(p / p.sum()))
 
 
@@ -191,26 +183,20 @@ def _uses(pieces: Pieces):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(len(pieces.logp))
         for batch in gathered(batches):
-            total += pieces.expected(batch.column("word").to_pylist())
+            total += pieces.expected([b" " + w for w in batch.column("word").to_pylist()], batch.column("c").to_numpy(zero_copy_only=False).astype(float))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["piece", "uses"])
 
     return run
 
 
-def _weighed(pieces: Pieces, n: int, v: int, kinds: int, discount: float):
+def _weighed(pieces: Pieces, n: int, v: int):
     """Words with log10 of both probabilities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in gathered(batches):
             words, c = batch.column("word").to_pylist(), batch.column("c").to_numpy(zero_copy_only=False).astype(float)
-            spelled = np.exp(pieces.log_marginals([b"" if w == END else w for w in words]))
-            rest = discount * kinds / n if n else 1.0
-            whole = np.maximum(c - discount, 0) / n if n else np.zeros(len(c))
-            p = np.where([w == END for w in words], np.maximum(c / max(n, 1), 0.5 / (n + 1)), whole + rest * spelled)
-            logs = np.log10(np.maximum(p, 1e-300))
-            tiny = p < 1e-300
-            if tiny.any():  # too long for a double: add in the log
-                logs[tiny] = (pieces.log_marginals([words[i] for i in np.flatnonzero(tiny)]) + np.log(max(rest, 1e-300))) / LN10
+            spelled = pieces.log_marginals([b"" if w == END else b" " + w for w in words])
+            logs = np.where([w == END for w in words], pieces.logp[-1], spelled) / LN10
             base = np.log10((c + 1) / (n + v + 1))
             yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.array(base), pa.array(logs)], ["word", "c", "base_log", "model_log"])
 
@@ -221,34 +207,31 @@ def _looked_up(frequent):
     """A row for each text with the sums over frequent words, and one for each other word in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, log10 = frequent.value, math.log10
+        table = frequent.value
         for batch in batches:
             uid, doc, held, word, n, known, base, model = ([] for _ in range(8))
             for u, i, h, text in zip(*(batch.column(c).to_pylist() for c in ("uid", "doc_id", "held_out")), as_bytes(batch, "text")):
                 words = text.lower().split()
                 words.append(END)
-                seen: dict[bytes, int] = {}
-                k, b, m = 0, 0.0, 0.0
-                for at, w in enumerate(words):
-                    before, repeat, row = seen.get(w, 0), REPEAT / (at + WARM), table.get(w)
-                    seen[w] = before + 1
-                    if row is not None:
-                        k += row[0] > 0
-                        b += row[1]
-                        m += log10((1 - repeat * at) * row[2] + repeat * before)
-                    elif before:
-                        m += log10(repeat * before)
+                k, b, m, rare = 0, 0.0, 0.0, 0
+                for w, times in Counter(words).items():
+                    row = table.get(w)
+                    if row is None:
+                        rare += 1
+                        word.append(w)
+                        n.append(times)
                     else:
-                        m += log10(1 - repeat * at)
-                rare = [w for w in seen if w not in table]
-                uid += [u] * (len(rare) + 1)
-                doc += [None] * len(rare) + [i]
-                held += [None] * len(rare) + [h]
-                word += [*rare, None]
-                n += [*(seen[w] for w in rare), len(words)]
-                known += [0] * len(rare) + [k]
-                base += [0.0] * len(rare) + [b]
-                model += [0.0] * len(rare) + [m]
+                        k += times * (row[0] > 0)
+                        b += times * row[1]
+                        m += times * row[2]
+                uid += [u] * (rare + 1)
+                doc += [None] * rare + [i]
+                held += [None] * rare + [h]
+                word.append(None)
+                n.append(len(words))
+                known += [0] * rare + [k]
+                base += [0.0] * rare + [b]
+                model += [0.0] * rare + [m]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(uid, pa.int64()), pa.array(doc, pa.int64()), pa.array(held, pa.bool_()), pa.array(word, pa.binary()), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(model)],
                 ["uid", "doc_id", "held_out", "word", "n", "known", "base", "model"],
@@ -257,19 +240,18 @@ def _looked_up(frequent):
     return run
 
 
-def lattice_scores(docs: DataFrame, path: str, early: int = EARLY) -> DataFrame:
+def lattice_scores(docs: DataFrame, path: str, rounds: int = ROUNDS) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     Tokens are words (A-Z lower-cased) and one end per text. Training rows are those whose crc32(doc_id) mod 7
-    is not 2. base_score adds log10((c + 1) / (N + V + 1)). In score, a word is reached by its own arc, with
-    its discounted count, and by every way to spell it in pieces of the existing vocabulary: its probability is
-    (c - d) / N + d V / N * (sum over segmentations), by a forward recursion in the log. Pieces start from
-    the vocabulary's scores and are re-estimated `early` + 1 times on all training words, each word counted once. With d = n1 / (n1 + 2 n2) the weights of all words sum to one. A
-    third arc repeats a word of the text before it; of a rarer word's later uses it is the only one counted,
-    so that the weights sum to at most one. Counts of words stay distributed; only
-    those above one in FREQUENT tokens (so at most FREQUENT) and one number per piece go to every task. A null
+    is not 2. base_score adds log10((c + 1) / (N + V + 1)). score is the marginal of the
+    text over all its segmentations in pieces of the existing vocabulary: each word, known or not, with its mark adds the
+    log of the sum over its segmentations, by a forward recursion in the log (no piece has a mark inside), and the end its own
+    weight. A piece's weight is the vocabulary's own in a share of GIVEN, for the rest its expected uses in the training
+    words under the weights before, by the words' counts, `rounds` times. So what every task holds is one number per piece. Counts of words stay distributed
+    but for those above one in FREQUENT tokens (so at most FREQUENT), which only spares their join. A null
     text is empty and has its end alone. Rows that repeat a doc_id are trained on and scored each; a null
-    doc_id counts as a training row. With no training row every word is spelled.
+    doc_id counts as a training row. With no training row the given weights stand.
     """
     spark = docs.sparkSession
     rows = docs.select(
@@ -277,26 +259,24 @@ def lattice_scores(docs: DataFrame, path: str, early: int = EARLY) -> DataFrame:
         (crc_mod(F.col("doc_id"), 7) == 2).alias("held_out"), F.col("text").cast("string").alias("text"),
     )
     counts = written(by_arrow(rows.select("text", "held_out"), _words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("c")), "words")
-    seen = F.count_if((F.col("c") == 1) & (F.col("word") != F.lit(END))), F.count_if((F.col("c") == 2) & (F.col("word") != F.lit(END)))
-    n, v, once, twice = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), *seen).first()
-    discount = min(0.95, max(0.05, once / (once + 2 * twice) if once else 0.5))
+    n, v, ends = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.coalesce(F.sum(F.when(F.col("word") == F.lit(END), F.col("c"))), F.lit(0))).first()
     pieces = starting_pieces(path)
-    trained = counts.where((F.col("c") > 0) & (F.col("word") != F.lit(END))).select("word")
-    for _ in range(early + 1):
-        uses = by_arrow(trained, _uses(pieces), "piece int, uses double")
-        got = np.zeros(len(pieces.logp))
-        found = uses.groupBy("piece").agg(F.sum("uses").alias("uses")).toArrow()
+    given = np.exp(pieces.logp)
+    trained = counts.where((F.col("c") > 0) & (F.col("word") != F.lit(END))).select("word", "c")
+    for _ in range(rounds):
+        found = by_arrow(trained, _uses(pieces), "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toArrow()
+        got = np.zeros(len(given))
         got[found.column("piece").to_numpy()] = found.column("uses").to_numpy()
-        got += 0.01
-        pieces = Pieces(pieces.names, np.log(got / got.sum()))
-    kinds = max(v - 1, 1) if v else 0
-    weighed = written(by_arrow(counts, _weighed(pieces, n, v, kinds, discount), "word binary, c bigint, base_log double, model_log double"), "weights")
+        got[-1] = ends
+        if got.sum():
+            pieces = Pieces(pieces.names, np.log(GIVEN * given + (1 - GIVEN) * got / got.sum()))
+    weighed = written(by_arrow(counts, _weighed(pieces, n, v), "word binary, c bigint, base_log double, model_log double"), "weights")
     top = weighed.where(F.col("c") >= max(1.0, n / FREQUENT)).toArrow()
-    frequent = spark.sparkContext.broadcast({w: (c, b, 10.0**m) for w, c, b, m in zip(*(top.column(x).to_pylist() for x in ("word", "c", "base_log", "model_log")))})
+    frequent = spark.sparkContext.broadcast({w: (c, b, m) for w, c, b, m in zip(*(top.column(x).to_pylist() for x in ("word", "c", "base_log", "model_log")))})
     looked = written(by_arrow(rows, _looked_up(frequent), "uid bigint, doc_id bigint, held_out boolean, word binary, n bigint, known bigint, base double, model double"), "looked_up")
     rare = looked.where("word is not null").select("uid", "word", "n").join(weighed.where(F.col("c") < max(1.0, n / FREQUENT)), "word", "left")
     rare = rare.groupBy("uid").agg(
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"), F.sum(F.col("n") * F.col("base_log")).alias("more_base"), F.sum("model_log").alias("more_model")
+        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("more_known"), F.sum(F.col("n") * F.col("base_log")).alias("more_base"), F.sum(F.col("n") * F.col("model_log")).alias("more_model")
     )
     add = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0))
     return looked.where("word is null").join(rare, "uid", "left").select(
