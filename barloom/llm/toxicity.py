@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,8 +25,9 @@ ODD_JOIN = 4.0
 SYMBOLS = 59
 #: Words' first letters that are features beside the whole word.
 STEMS = (4, 5, 6)
-#: Evidence (log-likelihood ratio) that a feature needs, share of toxic documents that it must be in, features kept at most.
-EVIDENCE, SHARE, FEATURES = 20.0, 0.002, 20_000
+#: What a feature needs: evidence (log-likelihood ratio), the log of how much likelier it is in toxic documents, and the
+#: share of these that it must be in, which bounds the features by 100 times those of a mean toxic document.
+EVIDENCE, LIFT, SHARE = 20.0, 4.0, 0.01
 #: Sums of weights are calibrated on a histogram with cells of a quarter, the last for all above.
 CELLS = 240
 #: Tokens whose restoration one Python worker remembers, and the longest that it remembers; longer ones are decoded each time.
@@ -148,23 +149,26 @@ class Restorer:
 
         return self.remembered(run, words)
 
-    def words(self, text: bytes) -> set[bytes]:
-        """The distinct words of a whole text as they stand and as restored."""
+    def words(self, text: bytes) -> Counter:
+        """How often a whole text has each word, as it stands or as restored."""
         text = text.lower()
-        out = set(_WORD.findall(text))
+        out = Counter(_WORD.findall(text))
         if _ODD.search(text):
-            for token in {t for t in _TOKEN.findall(text) if _ODD.search(t)}:
-                for form in {token, token.rstrip(b"!$@|+(")}:
-                    out |= self.restored(form)
-        for run in {m[0] for m in _SPELLED.finditer(text)}:
-            out |= self.spelled(run)
-        out.discard(b"")
+            for token, times in Counter(t for t in _TOKEN.findall(text) if _ODD.search(t)).items():
+                found = self.restored(token) | self.restored(token.rstrip(b"!$@|+("))
+                for w in found.difference(_WORD.findall(token)):
+                    out[w] += times
+        for run, times in Counter(m[0] for m in _SPELLED.finditer(text)).items():
+            for w in self.spelled(run):
+                out[w] += times
+        out.pop(b"", None)
         return out
 
 
-def features(words: set[bytes]) -> set[bytes]:
+def features(words: Iterable[bytes]) -> set[bytes]:
     """The words, and their stems with a mark."""
-    return words | {w[:n] + b"*" for w in words for n in STEMS if len(w) > n}
+    out = set(words)
+    return out | {w[:n] + b"*" for w in out for n in STEMS if len(w) > n}
 
 
 @dataclass
@@ -176,20 +180,20 @@ class ToxicityModel:
     slope: float = 1.0
     offset: float = -3.5
 
-    def total(self, words: set[bytes]) -> float:
-        """Sum over the distinct words: a word's own weight, else that of its most telling stem."""
+    def total(self, words: dict[bytes, int]) -> float:
+        """Sum over all uses of words: the largest of a word's own weight and its stems'."""
         get, out = self.weights.get, 0.0
         if not self.weights:
             return out
-        for w in words:
-            x = get(w)
-            if x is None and len(w) > STEMS[0]:
-                x = max(get(w[:4] + b"*", 0.0), get(w[:5] + b"*", 0.0) if len(w) > 5 else 0.0, get(w[:6] + b"*", 0.0) if len(w) > 6 else 0.0)
+        for w, times in words.items():
+            x = get(w, 0.0)
+            if len(w) > STEMS[0]:
+                x = max(x, get(w[:4] + b"*", 0.0), get(w[:5] + b"*", 0.0) if len(w) > 5 else 0.0, get(w[:6] + b"*", 0.0) if len(w) > 6 else 0.0)
             if x:
-                out += x
+                out += times * x
         return out
 
-    def score(self, words: set[bytes]) -> float:
+    def score(self, words: dict[bytes, int]) -> float:
         z = self.slope * self.total(words) + self.offset
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
@@ -218,21 +222,40 @@ def _characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(cells.astype(np.int32)), pa.array(total[cells])], ["cell", "n"])
 
 
-def _featured(characters, chosen):
+def _worded(characters):
+    """The distinct words of labelled texts with their counts: decoded once, read by all that follows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Restorer(characters.value)
+        for batch in batches:
+            found = [own.words(t) for t in as_bytes(batch, "text")]
+            words, times = pa.array([list(x) for x in found], pa.list_(pa.binary())), pa.array([list(x.values()) for x in found], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column("toxic"), words, times], ["toxic", "words", "times"])
+
+    return run
+
+
+def _featured(chosen):
     """How many documents of a task have each feature (of the chosen, if given)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, only = Restorer(characters.value), chosen.value if chosen else None
-        counts: dict[bytes, int] = {}
+        only, counts = chosen.value if chosen else None, {}
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            items = list(counts.items())
+            for at in range(0, len(items), 1 << 16):
+                names, n = zip(*items[at : at + (1 << 16)])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(n, pa.int64())], ["feature", "n"])
+            counts.clear()
+
         for batch in batches:
-            for text in as_bytes(batch, "text"):
-                found = features(own.words(text))
+            for words in batch.column("words").to_pylist():
+                found = features(words)
                 for f in found if only is None else found & only:
                     counts[f] = counts.get(f, 0) + 1
-        items = list(counts.items())
-        for at in range(0, len(items), 1 << 16):
-            names, n = zip(*items[at : at + (1 << 16)])
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(n, pa.int64())], ["feature", "n"])
+            if len(counts) > 500_000:
+                yield from flushed()
+        yield from flushed()
 
     return run
 
@@ -241,11 +264,10 @@ def _summed(model):
     """How many rows of a task have each sum of weights, by label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, counts = Restorer(model.value.characters), {}
+        counts: Counter = Counter()
         for batch in batches:
-            for text, y in zip(as_bytes(batch, "text"), batch.column("toxic").to_pylist()):
-                key = min(CELLS, int(4 * model.value.total(own.words(text)))), y
-                counts[key] = counts.get(key, 0) + 1
+            for words, times, y in zip(*(batch.column(c).to_pylist() for c in ("words", "times", "toxic"))):
+                counts[min(CELLS, int(4 * model.value.total(dict(zip(words, times))))), y] += 1
         cells, labels = zip(*counts) if counts else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(labels, pa.int32()), pa.array(list(counts.values()), pa.int64())], ["cell", "toxic", "n"])
 
@@ -257,8 +279,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
 
     Training rows are those whose crc32(doc_id) mod 5 is not 0. Features come from the toxic rows and must be
     in a share of SHARE of these, which bounds their number by a multiple of the words in a mean document;
-    the other class is then counted for them alone. A stem's counts leave out its most frequent word. Sums of
-    weights are then calibrated on all of these rows. A doc_id with both labels counts in both classes.
+    the other class is then counted for them alone. A stem's counts leave out its most frequent word. Only features
+    that tell much are kept, as weak ones add up in long texts. Sums of weights over all uses are then calibrated on all
+    of these rows, so that one word alone, which clean texts have too, need not decide. A doc_id with both labels counts in both classes.
     """
     spark = docs.sparkSession
     train = docs.where(crc_mod(F.col("doc_id"), 5) != 0).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -267,12 +290,12 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     characters[sums.column("cell").to_numpy()] = sums.column("n").to_numpy()
     shared = spark.sparkContext.broadcast(characters)
     marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).distinct()
-    known = written(train.join(marks.hint("shuffle_hash"), "doc_id"), "labelled")  # read three times below
+    known = written(by_arrow(train.join(marks.hint("shuffle_hash"), "doc_id").select("text", "toxic"), _worded(shared), "toxic int, words array<binary>, times array<bigint>"), "labelled")
     size = {r[0]: r[1] for r in known.groupBy("toxic").agg(F.count("*")).collect()}
     n0, n1 = size.get(0, 0), size.get(1, 0)
     if not n1:
         return ToxicityModel(characters)
-    count = lambda rows, chosen: by_arrow(rows.select("text"), _featured(shared, chosen), "feature binary, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
+    count = lambda rows, chosen: by_arrow(rows.select("words"), _featured(chosen), "feature binary, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
     often = count(known.where("toxic = 1"), None).where(F.col("n") >= max(4, math.ceil(SHARE * n1))).toArrow()
     with_it = dict(zip(often.column("feature").to_pylist(), often.column("n").to_pylist()))
     other = count(known.where("toxic = 0"), spark.sparkContext.broadcast(set(with_it))).toArrow()
@@ -298,10 +321,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
         p = (a + b) / (n0 + n1)
         ratio = 2 * (term(a, n1, p) + term(b, n0, p) + term(n1 - a, n1, 1 - p) + term(n0 - b, n0, 1 - p))
         w = math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
-        if w > 0 and ratio >= EVIDENCE:
-            told.append((-ratio, f, w))
-    model = ToxicityModel(characters, {f: w for _, f, w in sorted(told)[:FEATURES]})
-    told_by = by_arrow(known.select("text", "toxic"), _summed(spark.sparkContext.broadcast(model)), "cell int, toxic int, n bigint").groupBy("cell", "toxic").agg(F.sum("n").alias("n"))
+        if w >= LIFT and ratio >= EVIDENCE:
+            told.append((f, w))
+    model = ToxicityModel(characters, dict(told))
+    told_by = by_arrow(known, _summed(spark.sparkContext.broadcast(model)), "cell int, toxic int, n bigint").groupBy("cell", "toxic").agg(F.sum("n").alias("n"))
     model.slope, model.offset = calibrated({(r[0], r[1]): r[2] for r in told_by.collect()})
     return model
 
@@ -311,7 +334,7 @@ def toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     Tokens with signs among letters, letters three times in a row, or single characters in a row (to one word
     or several) are decoded by Viterbi over a character lattice under a trigram model; the words of the whole text, as they stand and
-    as restored, are then looked up, or their stems, and their weights added. Null and blank texts get the
+    as restored, and their stems are then looked up, and the weights of all their uses added. Null and blank texts get the
     score of a text without a feature. Rows that repeat a doc_id are scored each; a null doc_id counts as
     held out, as its crc32 is taken as 0.
     """
