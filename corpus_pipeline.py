@@ -1,4 +1,8 @@
-"""A corpus from raw documents: language, exact and near duplicates, source mix, packed sequences."""
+"""A corpus from raw documents: language, exact and near duplicates, source mix, packed sequences.
+
+Every stage takes rows with null or repeated doc_ids, null and blank texts, empty tables and further columns of any name
+(but "barloom_..."); all but the last return the columns that they were given.
+"""
 
 from __future__ import annotations
 
@@ -9,13 +13,13 @@ from barloom.llm.common import written
 from barloom.llm.exact import exact_duplicates
 from barloom.llm.language import fit_language, known_language
 from barloom.llm.minhash import near_duplicates
-from barloom.llm.mixing import mixed_documents
+from barloom.llm.mixing import in_shards, mixed_documents
 from barloom.llm.packing import packed_documents
 from barloom.llm.queries import tokenizer_file
 
 
-#: Columns of the stages' own: a row's place in its table, and its number.
-UID, ROW = "barloom_uid", "barloom_row"
+#: Columns of the stages' own: a row's place in its table, its number, and where its copies go.
+UID, ROW, OWN, FIRST, SHARDS, PLACES = "barloom_uid", "barloom_row", "barloom_own", "barloom_first", "barloom_shards", "barloom_places"
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -25,16 +29,16 @@ def numbered(docs: DataFrame) -> DataFrame:
     rows in the same order each time it is read, as a table that was written does.
     """
     docs = docs.withColumn(UID, F.monotonically_increasing_id())
-    ids = docs.select(F.col("doc_id").cast("bigint").alias("own_id"), UID)
-    by_id = ids.where("own_id is not null").groupBy("own_id").agg(F.count("*").alias("rows"), F.min(UID).alias("first"))
-    again = written(by_id.where("rows > 1").select("own_id", "first"), "repeated_ids")
-    above = (ids.agg(F.max("own_id")).first()[0] or 0) + 1
-    fresh = F.lit(max(above, 1)).cast("bigint") + F.col(UID)
     own = F.col("doc_id").cast("bigint")
+    ids = docs.select(own.alias(OWN), UID)
+    by_id = ids.where(F.col(OWN).isNotNull()).groupBy(OWN).agg(F.count("*").alias("rows"), F.min(UID).alias(FIRST))
+    again = written(by_id.where("rows > 1").select(OWN, FIRST), "repeated_ids")
+    above = (ids.agg(F.max(OWN)).first()[0] or 0) + 1
+    fresh = F.lit(max(above, 1)).cast("bigint") + F.col(UID)
     if again.isEmpty():
         return docs.withColumn(ROW, F.coalesce(own, fresh)).drop(UID)
-    docs = docs.join(again, own == F.col("own_id"), "left")
-    return docs.withColumn(ROW, F.when(own.isNull() | (F.col(UID) != F.col("first")), fresh).otherwise(own)).drop(UID, "own_id", "first")
+    docs = docs.join(again, own == F.col(OWN), "left")
+    return docs.withColumn(ROW, F.when(own.isNull() | (F.col(UID) != F.col(FIRST)), fresh).otherwise(own)).drop(UID, OWN, FIRST)
 
 
 def as_documents(rows: DataFrame) -> DataFrame:
@@ -50,7 +54,8 @@ def left_in(rows: DataFrame, decisions: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents whose language is told; learns from the labelled ones among them.
 
-    Where none of them is labelled, no language can be told: then every document with a letter stays.
+    Null texts and texts without a letter go. Where none of them is labelled, no language can be told: then every
+    document with a letter stays. Repeated rows are judged each.
     """
     model = fit_language(docs)
     if not model.languages:
@@ -65,20 +70,26 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates: five words a shingle, similarity 0.8. Ids count as in exact()."""
+    """Keeps one document of each group of near duplicates: five words a shingle, similarity 0.8. Ids count as in exact().
+
+    Null and blank texts are near nothing and stay.
+    """
     rows = numbered(docs)
     return left_in(rows, near_duplicates(as_documents(rows))).select(docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeats or leaves out documents so that sources meet their target weights; each row counts, whatever its doc_id."""
+    """Repeats or leaves out documents so that sources meet their target weights; each row counts, whatever its doc_id.
+
+    Rows come shard by shard, as the splitting tree deals them, in the shuffled order of their shard.
+    """
     rows = numbered(docs)
-    copies = mixed_documents(as_documents(rows)).where("copies > 0").select(F.col("doc_id").alias(ROW), "copies")
-    return rows.join(copies.hint("shuffle_hash"), ROW).withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(docs.columns)
+    homes = mixed_documents(as_documents(rows)).where("copies > 0").select(F.col("doc_id").alias(ROW), F.col("shards").alias(SHARDS), F.col("places").alias(PLACES))
+    return in_shards(rows.join(homes.hint("shuffle_hash"), ROW), SHARDS, PLACES, docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents into sequences of 2,048 tokens: one row per piece."""
+    """Packs the documents into sequences of 2,048 tokens: one row per piece, each row's text apart; a null text is its end alone."""
     return packed_documents(docs, tokenizer_file("word_bpe_49k.json"))
 
 
