@@ -4,6 +4,8 @@ import re
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from barloom.llm import mixing
 from barloom.llm.common import written
 from tests.llm.test_operators import brute_near, check_packing, reference_ids, words
@@ -87,5 +89,14 @@ def test_rows_without_an_id_of_their_own(spark):
     goal = dict(zip("abc", mixing.targets([1200] * 3, [5, 2, 1])))
     assert all(abs(taken[s] - goal[s]) <= 40 for s in "abc")
     # with no label nothing is learned, and only texts without a letter go
+    names = ("copies", "copy", "shards", "places", "block", "bucket", "kept", "own_id", "size", "n", "rows", "first")
+    wide = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(names)])
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, wide, SF).count() >= 5 and stage(spark, wide.limit(0), SF).count() == 0, name
+        if name != "pack":
+            assert stage(spark, wide, SF).columns == wide.columns, name
+    # texts without words stay in the mix once, and take no words
+    blank = spark.createDataFrame([(1, text(1), "en", "a", 1), (2, None, "en", "a", 1), (None, " ", "en", "a", 1)], DOCS)
+    assert sorted(str(r.text) for r in stages["mix"](spark, written(blank, "blank"), SF).collect()) == sorted(["None", " ", text(1)])
     bare = spark.createDataFrame([(1, "some words", None, "a", 1), (None, "more words", None, "a", 1), (2, "123", None, "a", 1), (3, None, None, "a", 1)], DOCS)
     assert sorted(r.text for r in stages["language"](spark, bare, SF).collect()) == ["more words", "some words"]
