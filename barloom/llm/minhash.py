@@ -119,11 +119,10 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def star_edges(reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(edges, buckets): candidate pairs (a > b), in each band bucket every member with up to three hubs; and the buckets' rows.
+    """(edges, buckets): candidate pairs (a > b), in each band bucket every member with up to two hubs; and the buckets' rows.
 
-    The hubs are the member that shares most buckets in all, the smallest id and one drawn by hash for
-    that bucket, so that a bucket of m members gives at most 3(m-1) pairs. A pair of similar documents
-    meets in many buckets with many hubs, and the popular hub is the text that a family was copied from.
+    The hubs are the member that shares most buckets in all and the smallest id, so that a bucket of m members gives at
+    most 2(m-1) pairs, and a family's buckets mostly the same ones. The popular hub is the text that a family was copied from.
     What pairs of non-hubs in a bucket are left is for rare_shingle_edges(), by (bucket, doc_id, members, hubs).
     """
     rows = reps.select(F.explode("bands").alias("bucket"), "doc_id", F.col("n_shingles").alias("n"))
@@ -135,8 +134,8 @@ def star_edges(reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     hubs = (
         rows.join(fame, "doc_id")
         .groupBy("bucket")
-        .agg(hub(F.struct("fame", -F.col("doc_id"))).alias("x"), hub(-F.col("doc_id")).alias("y"), hub(F.xxhash64("bucket", "doc_id")).alias("z"))
-        .select("bucket", F.array_distinct(F.array("x", "y", "z")).alias("all"))
+        .agg(hub(F.struct("fame", -F.col("doc_id"))).alias("x"), hub(-F.col("doc_id")).alias("y"))
+        .select("bucket", F.array_distinct(F.array("x", "y")).alias("all"))
         .select("bucket", F.size("all").alias("hubs"), F.explode("all").alias("h"))
         .select("bucket", "hubs", "h.hub", "h.hub_n")
     )

@@ -52,23 +52,26 @@ def splitting_tree(quotas: list[int], shards: int, seed: int = SEED) -> np.ndarr
     return out
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies, taken, block, shards, places.
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, shards: int = SHARDS, seed: int = SEED, carry: str | None = None) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, copies, taken, block, shards, places, and the column `carry`.
 
     Size is the number of words (null text: 0). Sources in code point order, null last, weigh as `weights`
     repeats, and share the total size; no target is over `most` times its source. A source's documents fall
     into hash blocks in a random but fixed order; whole passes take every block, the last pass takes blocks
-    from the front and, in the block where the target ends, documents in hash order while at least half of
-    a document is wanted. The blocks drawn are dealt to output shards by splitting_tree(); `shards` lists the
+    from the front and, in the block where the target ends, documents in hash order until less than half of
+    one is wanted (rows that repeat id and text go together). The blocks drawn are dealt to output shards by splitting_tree(); `shards` lists the
     shard of each copy. A source without words has target 0 and is not taken. Rows that repeat a doc_id count
-    each. What reaches the driver is one row per source.
+    each. What reaches the driver is one row per source. Texts are read twice where a column is carried; they move only if
+    the plan, a row for each block, is too large for Spark to send to all tasks.
     """
-    rows = docs.select(
+    whole_rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
+        F.xxhash64(F.lit(seed), F.col("doc_id").cast("bigint"), F.col("text").cast("string")).alias("draw"),
+        *([carry] if carry else []),
     )
-    rows = written(rows, "sizes")
+    rows = written(whole_rows.drop(carry) if carry else whole_rows, "sizes")
     stats = sorted(rows.groupBy("source").agg(F.sum("size"), F.count("*")).collect(), key=lambda r: (r[0] is None, (r[0] or "").encode()))
     spark = docs.sparkSession
     goal = targets([r[1] for r in stats], [weights[i % len(weights)] for i in range(len(stats))], most)
@@ -77,9 +80,12 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
         for i, (r, t) in enumerate(zip(stats, goal))
     ]
     sources = spark.createDataFrame(table, "own_source string, source_no int, source_size bigint, target double, passes int, wanted double, blocks int")
-    drawn = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("size"))
-    placed = rows.join(sources, F.col("source").eqNullSafe(F.col("own_source")), "left").withColumn("draw", drawn)
-    placed = placed.withColumn("block", F.pmod("draw", F.col("blocks")).cast("int"))
+    sources = written(sources.coalesce(1), "sources")  # its size is then known, so that Spark need not move documents to it
+
+    def in_blocks(df: DataFrame) -> DataFrame:
+        return df.join(sources, F.col("source").eqNullSafe(F.col("own_source")), "left").withColumn("block", F.pmod("draw", F.col("blocks")).cast("int"))
+
+    placed = in_blocks(rows)
 
     # blocks in random order; where in that order the last, partial pass ends
     block = placed.groupBy("source_no", "block", "passes", "wanted", "blocks").agg(F.sum("size").alias("words"))
@@ -109,21 +115,26 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
         .groupBy("source_no", "block")
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("pass", "shard"))), lambda x: x["shard"]).alias("homes"))
     )
-    plan = block.select("source_no", "block", "rest", "words").join(homes, ["source_no", "block"], "left")
-
-    # in the block where the target ends, a document is taken while at least half of it is wanted
-    full = placed.drop("own_source", "wanted", "blocks").join(plan, ["source_no", "block"])
-    inner = Window.partitionBy("source_no", "block").orderBy(F.xxhash64(F.lit(seed + 2), "draw"), "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    cut = (F.col("rest") > 0) & (F.col("rest") < F.col("words"))
-    partial = full.where(cut).withColumn("extra", (F.coalesce(F.sum("size").over(inner), F.lit(0)) + F.col("size") / 2 <= F.col("rest")).cast("int"))
-    whole = full.where(~cut).withColumn("extra", (F.col("rest") > 0).cast("int"))
-    copies = F.when(F.col("size") > 0, F.col("passes") + F.col("extra")).when(F.col("source_size") > 0, F.lit(1)).otherwise(F.lit(0))
+    # in the block where the target ends, documents are taken in hash order until less than half of one is wanted
+    order = F.xxhash64(F.lit(seed + 2), F.col("draw"))
+    last = placed.join(block.where("rest > 0 and rest < words").select("source_no", "block", "rest"), ["source_no", "block"])
+    last = last.groupBy("source_no", "block", "rest", order.alias("turn")).agg(F.sum("size").alias("turn_words"))
+    before = F.coalesce(F.sum("turn_words").over(Window.partitionBy("source_no", "block").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends_at = last.withColumn("before", before).where(F.col("before") + F.col("turn_words") / 2 > F.col("rest")).groupBy("source_no", "block").agg(F.min("turn").alias("turn"))
+    plan = block.select("source_no", "block", "rest").join(homes, ["source_no", "block"], "left").join(ends_at, ["source_no", "block"], "left")
+    plan = written(plan.coalesce(1), "plan")
+
+    placed = in_blocks(whole_rows) if carry else placed
+    full = placed.join(plan, ["source_no", "block"])
+    extra = ((F.col("rest") > 0) & F.coalesce(order < F.col("turn"), F.lit(True))).cast("int")
+    copies = F.when(F.col("size") > 0, F.col("passes") + extra).when(F.col("source_size") > 0, F.lit(1)).otherwise(F.lit(0))
     homes = F.slice(F.coalesce("homes", F.array().cast("array<int>")), F.lit(1), copies)
     alone = F.pmod(F.col("draw"), F.lit(shards)).cast("int")  # of texts without words, whose block may not be drawn
     homes = F.concat(homes, F.array_repeat(alone, F.greatest(copies - F.size(homes), F.lit(0))))
-    return whole.unionByName(partial).select(
+    return full.select(
         "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), "block", homes.alias("shards"),
         F.transform(homes, lambda shard, i: F.xxhash64(F.lit(seed + 3), shard, i, "draw")).alias("places"),
+        *([carry] if carry else []),
     )
 
 
