@@ -18,8 +18,8 @@ from barloom.llm.packing import packed_documents
 from barloom.llm.queries import tokenizer_file
 
 
-#: Columns of the stages' own: a row's place in its table, its number, and where its copies go.
-UID, ROW, OWN, FIRST, SHARDS, PLACES = "barloom_uid", "barloom_row", "barloom_own", "barloom_first", "barloom_shards", "barloom_places"
+#: Columns of the stages' own: a row's place in its table, its number (or all of it), and what numbers are made from.
+UID, ROW, OWN, FIRST = "barloom_uid", "barloom_row", "barloom_own", "barloom_first"
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -83,9 +83,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Rows come shard by shard, as the splitting tree deals them, in the shuffled order of their shard.
     """
-    rows = numbered(docs)
-    homes = mixed_documents(as_documents(rows)).where("copies > 0").select(F.col("doc_id").alias(ROW), F.col("shards").alias(SHARDS), F.col("places").alias(PLACES))
-    return in_shards(rows.join(homes.hint("shuffle_hash"), ROW), SHARDS, PLACES, docs.columns)
+    rows = docs.select("doc_id", "text", "source", F.struct(*docs.columns).alias(ROW))
+    return in_shards(mixed_documents(rows, carry=ROW).where("copies > 0"), "shards", "places", [ROW]).select(f"{ROW}.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
