@@ -52,12 +52,21 @@ def average_rank(x: str, *by: str) -> Column:
     return F.rank().over(w.orderBy(col(x))) + (F.count(col(x)).over(Window.partitionBy(*by, x)) - 1) / 2
 
 
+def doubled_rank(x: str, *by: str) -> Column:
+    """Twice the average rank: a whole number, so that sums of it are the same in any order."""
+    return 2 * F.rank().over(Window.partitionBy(*by).orderBy(col(x))).cast("bigint") + F.count(col(x)).over(Window.partitionBy(*by, x)) - 1
+
+
 def rank_ic(rows: DataFrame, score: str, outcome: str, least: int = 8, by: tuple[str, ...] = ("trade_date",)) -> DataFrame:
-    """Spearman correlation of each date with enough names and two varying sides."""
+    """Spearman correlation of each date with enough names and two varying sides.
+
+    Sums are of whole numbers (exact up to some 30,000 names a date) and are divided once, so that a correlation of 0 is 0.
+    """
     rows = rows.where(F.col(score).isNotNull() & F.col(outcome).isNotNull())
-    ranked = rows.withColumn("a", average_rank(score, *by)).withColumn("b", average_rank(outcome, *by))
-    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), F.stddev_pop("a").alias("sa"), F.stddev_pop("b").alias("sb"), F.covar_pop("a", "b").alias("c"))
-    return out.where((F.col("n") >= least) & (F.col("sa") > 0) & (F.col("sb") > 0)).select(*by, "n", (F.col("c") / (F.col("sa") * F.col("sb"))).alias("ic"))
+    ranked = rows.withColumn("a", doubled_rank(score, *by)).withColumn("b", doubled_rank(outcome, *by))
+    spread = lambda x, y: (F.count("*") * F.sum(F.col(x) * F.col(y)) - F.sum(x) * F.sum(y)).cast("double")
+    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), spread("a", "a").alias("va"), spread("b", "b").alias("vb"), spread("a", "b").alias("c"))
+    return out.where((F.col("n") >= least) & (F.col("va") > 0) & (F.col("vb") > 0)).select(*by, "n", (F.col("c") / (F.sqrt("va") * F.sqrt("vb"))).alias("ic"))
 
 
 def ic_summary(ics: DataFrame, horizon: int, *by: str) -> DataFrame:
@@ -137,6 +146,28 @@ def psi(rows: DataFrame, profile: DataFrame, features: list[str], floor: float =
     return bins.join(counts, ["feature", "bin"], "left").withColumn("s", share).groupBy("feature").agg(F.sum((F.col("s") - 0.1) * F.ln(F.col("s") / 0.1)).alias("psi"))
 
 
+def window_psi(rows: DataFrame, profile: DataFrame, features: list[str], window: int = 60, step: int = 10, floor: float = 1e-4) -> DataFrame:
+    """Population stability of every `window` sessions, each `step` sessions, against a profile of 11 quantiles: feature, slice, psi.
+
+    rows: session_idx and the features. Rows are counted by session and bin first, so that a slice adds up window x 10 counts.
+    """
+    long = rows.select("session_idx", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])).alias("s")).select("session_idx", "s.*").where("x is not null")
+    binned = long.join(F.broadcast(profile.select("feature", F.slice("quantiles", 2, 9).alias("edges"))), "feature")  # one row per feature
+    daily = binned.groupBy("feature", "session_idx", F.size(F.filter("edges", lambda e: e <= F.col("x"))).alias("bin")).agg(F.count("*").alias("n"))
+    last = rows.agg(F.max("session_idx").alias("last")).where(F.col("last") >= window)
+    slices = last.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("last") - window) / step))).alias("slice"))
+    days = slices.withColumn("session_idx", F.explode(F.sequence(F.col("slice") * step + 1, F.col("slice") * step + window)))
+    counts = daily.join(days, "session_idx").groupBy("feature", "slice").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.when(F.col("bin") == k, F.col("n")).otherwise(0)) for k in range(10)]).alias("bins"))
+    share = lambda x: F.greatest(x / F.col("n"), F.lit(floor))
+    return counts.select("feature", "slice", F.aggregate("bins", F.lit(0.0), lambda s, x: s + (share(x) - 0.1) * F.ln(share(x) / 0.1)).alias("psi"))
+
+
+def drift_alerts(recent: DataFrame, baseline: DataFrame, floor: float) -> DataFrame:
+    """Slices whose shift is above the floor and above what the training period itself did (feature, q95)."""
+    limit = F.greatest(F.lit(floor), F.col("q95"))
+    return recent.join(F.broadcast(baseline), "feature").withColumn("limit", limit).where(F.col("psi") > F.col("limit"))  # one row per feature
+
+
 def ks(rows: DataFrame, reference: DataFrame, x: str) -> DataFrame:
     """Largest gap between the two empirical distribution functions, by one sort of both together."""
     both = rows.select(F.col(x).alias("x"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(reference.select(F.col(x).alias("x"), F.lit(0).alias("a"), F.lit(1).alias("b"))).where("x is not null")
@@ -206,8 +237,8 @@ def dca(equity: DataFrame, amount: float) -> DataFrame:
     return s.withColumn("gain", F.col("value") / F.col("paid") - 1)
 
 
-def bootstrap(days: DataFrame, resamples: int, block: float, seed: int) -> DataFrame:
-    """Stationary block resamples of paired daily returns a and b: Sharpe of both and their difference, by resample.
+def bootstrap(days: DataFrame, resamples: int, block: float, seed: int, more: tuple[str, ...] = ()) -> DataFrame:
+    """Stationary block resamples of paired daily returns a and b_ret (and more): Sharpe of each, and the difference of the first two, by resample.
 
     A day restarts with probability 1 / block; otherwise it follows the day before it. The draw of a
     position is a hash of (seed, resample, position), so that every run and engine node agrees.
@@ -221,7 +252,7 @@ def bootstrap(days: DataFrame, resamples: int, block: float, seed: int) -> DataF
     rows = grid.withColumn("s", F.last(start, ignorenulls=True).over(w)).select("b", F.pmod(F.col("s.day") + F.col("t") - F.col("s.at"), F.col("n")).alias("i"))
     drawn = rows.join(base, "i")
     sharpe = lambda c: F.try_divide(F.avg(c), F.stddev_samp(c)) * math.sqrt(252)
-    return drawn.groupBy("b").agg(sharpe("a").alias("sharpe_a"), sharpe("b_ret").alias("sharpe_b")).withColumn("difference", F.col("sharpe_a") - F.col("sharpe_b"))
+    return drawn.groupBy("b").agg(sharpe("a").alias("sharpe_a"), sharpe("b_ret").alias("sharpe_b"), *[sharpe(c).alias(f"sharpe_{c}") for c in more]).withColumn("difference", F.col("sharpe_a") - F.col("sharpe_b"))
 
 
 def interval(samples: DataFrame, x: str, low: float = 0.05, high: float = 0.95) -> DataFrame:

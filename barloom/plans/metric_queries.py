@@ -103,8 +103,10 @@ def rank_within_date(spark, sf):
 
 
 AVG_RANK = "rank() OVER (PARTITION BY {by} ORDER BY {x}) + (count({x}) OVER (PARTITION BY {by}, {x}) - 1) / 2.0::DOUBLE"
-_IC = DONE + f""", rk AS (SELECT model_id, trade_date, {AVG_RANK.format(by='model_id, trade_date', x='score')} AS a, {AVG_RANK.format(by='model_id, trade_date', x='fwd')} AS b FROM dn),
-ic AS (SELECT model_id, trade_date, count(*) AS n, covar_pop(a, b) / (stddev_pop(a) * stddev_pop(b)) AS ic FROM rk GROUP BY 1, 2 HAVING count(*) >= 8 AND stddev_pop(a) > 0 AND stddev_pop(b) > 0)"""
+_RANK2 = "2 * rank() OVER (PARTITION BY model_id, trade_date ORDER BY {x}) + count({x}) OVER (PARTITION BY model_id, trade_date, {x}) - 1"
+_SPREAD = "CAST(count(*) * sum({x} * {y}) - sum({x}) * sum({y}) AS DOUBLE)"
+_IC = DONE + f""", rk AS (SELECT model_id, trade_date, {_RANK2.format(x='score')} AS a, {_RANK2.format(x='fwd')} AS b FROM dn),
+ic AS (SELECT model_id, trade_date, n, c / (sqrt(va) * sqrt(vb)) AS ic FROM (SELECT model_id, trade_date, count(*) AS n, {_SPREAD.format(x='a', y='a')} AS va, {_SPREAD.format(x='b', y='b')} AS vb, {_SPREAD.format(x='a', y='b')} AS c FROM rk GROUP BY 1, 2) WHERE n >= 8 AND va > 0 AND vb > 0)"""
 
 
 def ics(spark, sf):
@@ -283,12 +285,32 @@ def feature_ks(spark, sf):
     return _round(S.ks(d.where(_NEW), d.where(_OLD), "score"), (), "ks")
 
 
-@query("drift_alerts", f"""WITH {DONE}, y AS (SELECT fold, avg(score) AS m FROM dn WHERE model_id = 'A' GROUP BY 1), b AS (SELECT avg(score) AS m, stddev_samp(score) AS s FROM dn WHERE {_OLD}) SELECT fold, {fl('abs(y.m - b.m) / b.s')} AS shift FROM y, b WHERE abs(y.m - b.m) / b.s > 0.02""")
+_WINDOWS = DONE + "," + P.CAL + f""", xs AS (SELECT c.session_idx, d.trade_date, d.score AS x FROM dn d JOIN cal c USING (trade_date) WHERE model_id = 'A'), e AS (SELECT quantile_cont(score, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM dn WHERE {_OLD}),
+by_ AS (SELECT trade_date < DATE '1999-01-01' AS old, session_idx, len(list_filter(e, lambda v: v <= x)) AS bin, count(*) AS n FROM xs, e GROUP BY 1, 2, 3),
+sl AS (SELECT k AS slice, k * 10 + 1 AS a, k * 10 + 60 AS z FROM range(0, 1000) t(k)), g AS (SELECT old, slice, bin, sum(n) AS n FROM by_ JOIN sl ON session_idx BETWEEN a AND z WHERE z <= CASE WHEN old THEN (SELECT max(session_idx) FROM xs WHERE trade_date < DATE '1999-01-01') ELSE (SELECT max(session_idx) FROM xs) END GROUP BY 1, 2, 3),
+t AS (SELECT old, slice, sum(n)::DOUBLE AS t FROM g GROUP BY 1, 2), ps AS (SELECT old, slice, sum((s - 0.1) * ln(s / 0.1)) AS psi FROM (SELECT t.old, t.slice, greatest(coalesce(g.n, 0) / t.t, 1e-4) AS s FROM t CROSS JOIN range(0, 10) r(k) LEFT JOIN g ON g.old = t.old AND g.slice = t.slice AND g.bin = r.k) GROUP BY 1, 2),
+bl AS (SELECT count(*) AS slices, quantile_cont(psi, 0.95) AS q95 FROM ps WHERE old)"""
+
+
+def _windowed(spark, sf, which):
+    """Population stability of all 60-session slices of model A's scores before or from 1999 on, against those before."""
+    d = done(spark, sf).where("model_id = 'A'")
+    rows = d.where(which).join(F.broadcast(P.calendar(spark, sf)), "trade_date")  # one row per session
+    return S.window_psi(rows, S.feature_profile(d.where(_OLD), ["score"], 11), ["score"])
+
+
+def _baseline(spark, sf):
+    return _windowed(spark, sf, _OLD).groupBy("feature").agg(F.count("*").alias("slices"), F.percentile("psi", F.lit(0.95)).alias("q95"))
+
+
+@query("drift_window_baseline", f"WITH {_WINDOWS} SELECT 'score' AS feature, slices, {fl('q95', 5)} AS q95 FROM bl")
+def drift_window_baseline(spark, sf):
+    return _round(_baseline(spark, sf), ("feature", "slices"), "q95", places=5)
+
+
+@query("drift_alerts", f"WITH {_WINDOWS} SELECT 'score' AS feature, slice, {fl('psi', 5)} AS psi, {fl('greatest(0.02, q95)', 5)} AS \"limit\" FROM ps, bl WHERE NOT old AND psi > greatest(0.02, q95)")
 def drift_alerts(spark, sf):
-    d = done(spark, sf)
-    base = d.where(_OLD).agg(F.avg("score").alias("bm"), F.stddev_samp("score").alias("bs"))
-    rows = d.where("model_id = 'A'").groupBy("fold").agg(F.avg("score").alias("m")).crossJoin(F.broadcast(base)).withColumn("shift", F.abs(F.col("m") - F.col("bm")) / F.col("bs"))  # one row
-    return _round(rows.where("shift > 0.02"), ("fold",), "shift")
+    return _round(S.drift_alerts(_windowed(spark, sf, _NEW), _baseline(spark, sf), 0.02), ("feature", "slice"), "psi", "limit", places=5)
 
 
 # performance

@@ -6,9 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import change, own, rnd, sessions
+from barloom.operators import metrics as M
 from barloom.operators import portfolio as T
 from barloom.plans.feature_queries import GRID, GW, fl, grid
-from barloom.plans.metric_queries import DONE, PRED, _round, done, predictions
+from barloom.plans.metric_queries import _AUC, DONE, PRED, _round, done, predictions
 from barloom.plans.registry import query
 from barloom.sources import panel as P
 
@@ -259,10 +260,12 @@ def market_context(spark, sf):
     return P.own_bars(spark, sf).select("instrument_id", "trade_date", rnd(F.when(F.count("close").over(f20) == 20, F.max("high").over(f20)), 4).alias("high_20"), rnd(F.when(F.count("close").over(f50) == 50, F.avg("close").over(f50))).alias("sma_50"))
 
 
-@query("evidence_grade", f"""WITH {DONE}, s AS (SELECT model_id, fold, count(*) AS n, avg(label) AS a, avg(proba) - avg(label) AS g FROM dn GROUP BY 1, 2) SELECT model_id, fold, CASE WHEN n >= 500 AND a >= 0.55 AND abs(g) <= 0.05 THEN 'A' WHEN n >= 200 AND a >= 0.52 AND abs(g) <= 0.1 THEN 'B' WHEN n >= 50 THEN 'C' ELSE 'D' END AS grade FROM s""")
+@query("evidence_grade", f"""WITH {DONE}, {_AUC}, s AS (SELECT model_id, fold, count(*) AS n, avg(proba) - avg(label) AS g FROM dn GROUP BY 1, 2) SELECT model_id, fold, CASE WHEN n >= 500 AND auc >= 0.55 AND abs(g) <= 0.05 THEN 'A' WHEN n >= 200 AND auc >= 0.52 AND abs(g) <= 0.1 THEN 'B' WHEN n >= 50 THEN 'C' ELSE 'D' END AS grade FROM s JOIN au USING (model_id, fold)""")
 def evidence_grade(spark, sf):
-    s = done(spark, sf).groupBy("model_id", "fold").agg(F.count("*").alias("n"), F.avg("label").alias("a"), (F.avg("proba") - F.avg("label")).alias("g"))
-    return s.select("model_id", "fold", T.evidence_grade(F.col("n"), F.col("a"), F.col("g")).alias("grade"))
+    d = done(spark, sf)
+    s = d.groupBy("model_id", "fold").agg(F.count("*").alias("n"), (F.avg("proba") - F.avg("label")).alias("g"))
+    areas = M.auc(d, "proba", "label", ("model_id", "fold"))
+    return s.join(F.broadcast(areas), ["model_id", "fold"]).select("model_id", "fold", T.evidence_grade(F.col("n"), F.col("auc"), F.col("g")).alias("grade"))  # one row per model and fold
 
 
 def _tk(x: str) -> str:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import rnd
-from barloom.operators import ingest as I
 from barloom.operators import models as M
 from barloom.plans.feature_queries import DATASET, dataset, fl
 from barloom.plans.metric_queries import DONE, EQ, done, equity
@@ -118,21 +117,28 @@ def stream_intraday_bars(spark, sf):
 
 
 @query("stream_upsert", """WITH n AS (SELECT event_id, user_id, value FROM events WHERE value IS NOT NULL), o AS (SELECT event_id, user_id, CASE WHEN event_id % 3 = 0 THEN value + 1 ELSE value END AS value FROM n WHERE event_id % 2 = 0)
-SELECT n.event_id, CASE WHEN o.event_id IS NULL THEN 'inserted' WHEN (o.user_id, o.value) = (n.user_id, n.value) THEN 'unchanged' ELSE 'updated' END AS change FROM n LEFT JOIN o USING (event_id)""")
+SELECT 0 AS batch, event_id, 'inserted' AS change FROM o UNION ALL SELECT 1, n.event_id, CASE WHEN o.event_id IS NULL THEN 'inserted' WHEN (o.user_id, o.value) = (n.user_id, n.value) THEN 'unchanged' ELSE 'updated' END FROM n LEFT JOIN o USING (event_id)""")
 def stream_upsert(spark, sf):
-    stored = P.events(spark, sf).where("value is not null and event_id % 2 = 0").select("event_id", "user_id", F.when(F.col("event_id") % 3 == 0, F.col("value") + 1).otherwise(F.col("value")).alias("value"))
-    stream = Z.event_stream(spark, f"{sf}/events.parquet").where("value is not null").select("event_id", "user_id", "value")
-    return Z.each_batch(stream, "upserts", lambda batch: I.upsert(stored, batch, ["event_id"], ("user_id", "value")).where("change != 'kept'").select("event_id", "change"))
-
-
-@query("stream_alert_dedupe", "SELECT DISTINCT user_id, event_type FROM events")
+    rows = P.events(spark, sf).where("value is not null").select("event_id", "user_id", "value")
+    first = rows.where("event_id % 2 = 0").withColumn("value", F.when(F.col("event_id") % 3 == 0, F.col("value") + 1).otherwise(F.col("value")))
+    path = S.scratch(spark, "fetches")  # two fetches, each a file: the second meets what the first left
+    for part in (first, rows):
+        part.coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    return Z.upserted(stream, "upserts", ["event_id"], ("user_id", "value")).select(F.col("batch").cast("int").alias("batch"), "event_id", "change")
+
+
+@query("stream_alert_dedupe", """WITH RECURSIVE out_ AS (SELECT user_id, event_type, arg_min(event_id, row(ts, event_id)) AS event_id, min(ts) AS ts FROM events GROUP BY 1, 2
+UNION ALL SELECT user_id, event_type, event_id, ts FROM (SELECT e.user_id, e.event_type, e.event_id, e.ts, row_number() OVER (PARTITION BY e.user_id, e.event_type ORDER BY e.ts, e.event_id) AS k FROM out_ o JOIN events e ON e.user_id = o.user_id AND e.event_type = o.event_type AND e.ts > o.ts + INTERVAL 36 HOUR) WHERE k = 1)
+SELECT event_id FROM out_""")
 def stream_alert_dedupe(spark, sf):
     stream = Z.suppressed(Z.event_stream(spark, f"{sf}/events.parquet"), 36, ["user_id", "event_type"])
-    return Z.drained(stream.select("user_id", "event_type"), "alerts").distinct()
+    return Z.drained(stream, "alerts")
 
 
 @query("alert_gap_dedupe", """WITH a AS (SELECT event_id, user_id, event_type, ts, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS p FROM events) SELECT event_id FROM a WHERE p IS NULL OR ts - p > INTERVAL 36 HOUR""")
 def alert_gap_dedupe(spark, sf):
+    """Alerts after 36 hours of silence: the gap is to the alert before, whether that one went out or not (stream_alert_dedupe asks for one that did)."""
     from pyspark.sql import Window
 
     before = F.lag("ts").over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))

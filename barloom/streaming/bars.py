@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from barloom.operators.ingest import upsert
 from barloom.sources.files import scratch
 
 
@@ -25,8 +29,25 @@ def hourly_bars(events: DataFrame, late: str) -> DataFrame:
 
 
 def suppressed(alerts: DataFrame, hours: int, key: list[str]) -> DataFrame:
-    """An alert that repeats within some hours of the one before it is passed over."""
-    return alerts.withWatermark("ts", f"{hours} hours").dropDuplicatesWithinWatermark(key)
+    """event_id of the alerts that go out: one goes out unless an equal one went out in the `hours` before it.
+
+    The state of a key is the time of its last alert that went out, so that alerts passed over don't prolong the silence.
+    What one micro-batch holds of a key is sorted in one task. An alert older than the last one that went out is passed over.
+    """
+    gap = hours * 3_600_000_000
+
+    def run(_, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(parts))
+        at, ids = rows["ts"].astype("datetime64[us]").astype("int64").to_numpy(), rows["event_id"].to_numpy()
+        last, out = state.get[0] if state.exists else None, []
+        for i in np.lexsort((ids, at)):
+            if last is None or at[i] - last > gap:
+                out.append(ids[i])
+                last = int(at[i])
+        state.update((last,))
+        yield pd.DataFrame({"event_id": np.array(out, np.int64)})
+
+    return alerts.select(*key, "ts", "event_id").groupBy(*key).applyInPandasWithState(run, "event_id bigint", "last bigint", "append", GroupStateTimeout.NoTimeout)
 
 
 def drained(stream: DataFrame, name: str) -> DataFrame:
@@ -38,14 +59,21 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def each_batch(stream: DataFrame, name: str, f: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Applies a batch operator to every micro-batch and appends what it returns, one folder per batch id, so that a repeated batch overwrites itself."""
+def upserted(stream: DataFrame, name: str, key: list[str], fields: tuple[str, ...]) -> DataFrame:
+    """Upserts every micro-batch into a stored table and tells what changed: batch, the key, change.
+
+    The table after batch n is its version n, which batch n + 1 reads; versions and changes are folders by batch
+    number, so that a batch that is run again overwrites its own.
+    """
     spark = stream.sparkSession
-    out = scratch(spark, name)
+    table, changes = scratch(spark, f"{name}_table"), scratch(spark, name)
 
     def write(batch: DataFrame, number: int) -> None:
-        f(batch).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        stored = spark.read.schema(batch.schema).parquet(f"{table}/{number - 1}") if number else batch.limit(0)
+        after = upsert(stored, batch, key, fields)
+        after.select(*key, "row.*").write.mode("overwrite").parquet(f"{table}/{number}")
+        after.where("change != 'kept'").select(*key, "change").write.mode("overwrite").parquet(f"{changes}/batch={number}")
 
-    query = stream.writeStream.foreachBatch(write).option("checkpointLocation", scratch(spark, f"{name}_state")).trigger(availableNow=True).start()
+    query = stream.select(*key, *fields).writeStream.foreachBatch(write).option("checkpointLocation", scratch(spark, f"{name}_state")).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(out).drop("batch")
+    return spark.read.parquet(changes)
