@@ -128,11 +128,15 @@ def downside_beta(df: DataFrame, bench: DataFrame, n: int = 126, least: int = 20
     filled = F.last("bench", ignorenulls=True).over(own().rowsBetween(Window.unboundedPreceding, 0))
     df = df.withColumn("bench", filled).withColumn("r", change("close", 1)).withColumn("m", change("bench", 1))
     down = (F.col("m") < 0) & F.col("r").isNotNull()
-    frame = own().rowsBetween(-(n - 1), 0)
-    s = lambda x: F.sum(F.when(down, x)).over(frame)
-    k, x, y, xy, xx = s(F.lit(1.0)), s(F.col("m")), s(F.col("r")), s(F.col("m") * F.col("r")), s(F.col("m") * F.col("m"))
+    # sums of n rows as differences of running sums, so that each row is added once
+    terms = {"k": F.lit(1.0), "x": F.col("m"), "y": F.col("r"), "xy": F.col("m") * F.col("r"), "xx": F.col("m") * F.col("m")}
+    upto = own().rowsBetween(Window.unboundedPreceding, 0)
+    df = df.withColumns({"n_r": F.count("r").over(upto), **{f"s_{c}": F.sum(F.when(down, x).otherwise(0.0)).over(upto) for c, x in terms.items()}})
+    s = lambda c: F.col(c) - F.coalesce(F.lag(c, n).over(own()), F.lit(0))
+    df = df.withColumns({c: s(c) for c in ("n_r", *[f"s_{c}" for c in terms])})
+    k, x, y, xy, xx = F.nullif(F.col("s_k"), F.lit(0.0)), *(F.col(f"s_{c}") for c in terms if c != "k")
     cov, var = xy / k - x / k * (y / k), xx / k - x / k * (x / k)
-    return df.withColumn("downside_beta", F.when((F.count(F.col("r")).over(frame) == n) & (k >= least) & (var > 1e-14), F.try_divide(cov, var))).drop("bench", "r", "m")
+    return df.withColumn("downside_beta", F.when((F.col("n_r") == n) & (k >= least) & (var > 1e-14), F.try_divide(cov, var))).drop("bench", "r", "m", "n_r", *[f"s_{c}" for c in terms])
 
 
 def drawdown(df: DataFrame, n: int = YEAR) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import col, ratio
+from barloom.sources.files import scratch
 
 # walk-forward splits
 
@@ -168,14 +169,36 @@ def drift_alerts(recent: DataFrame, baseline: DataFrame, floor: float) -> DataFr
     return recent.join(F.broadcast(baseline), "feature").withColumn("limit", limit).where(F.col("psi") > F.col("limit"))  # one row per feature
 
 
+def in_ranges(rows: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Rows with running sums in a total order, themselves included: ranges of the order are written, added up apart, and put after the totals of those before."""
+    spark = rows.sparkSession
+    at = rows.repartitionByRange(*order).withColumn("range_no", F.spark_partition_id())
+    at.write.parquet(path := scratch(spark, "ranges"))
+    at = spark.read.schema(at.schema).parquet(path)
+    totals = at.groupBy("range_no").agg(*[F.sum(x).alias(f"all_{c}") for c, x in sums.items()])
+    earlier = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    totals = totals.select("range_no", *[F.coalesce(F.sum(f"all_{c}").over(earlier), F.lit(0)).alias(f"before_{c}") for c in sums])
+    own_range = Window.partitionBy("range_no").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = at.join(F.broadcast(totals), "range_no")  # as many rows as there are ranges
+    return out.withColumns({c: F.sum(x).over(own_range) + F.col(f"before_{c}") for c, x in sums.items()}).drop("range_no", *[f"before_{c}" for c in sums])
+
+
+def equal_groups(rows: DataFrame, order: list[str], groups: int, name: str) -> DataFrame:
+    """Numbers `groups` groups of equal size in a total order from 1, the first ones a row larger where it doesn't divide."""
+    ranked = in_ranges(rows, order, {"place": F.lit(1)}).crossJoin(F.broadcast(rows.agg(F.count("*").alias("total"))))  # one row
+    base, more = F.floor(F.col("total") / groups), F.col("total") % groups
+    large = more * (base + 1)
+    number = F.when(F.col("place") <= large, F.ceil(F.col("place") / (base + 1))).otherwise(more + F.ceil((F.col("place") - large) / base))
+    return ranked.withColumn(name, number.cast("bigint")).drop("place", "total")
+
+
 def ks(rows: DataFrame, reference: DataFrame, x: str) -> DataFrame:
-    """Largest gap between the two empirical distribution functions, by one sort of both together."""
+    """Largest gap between the two empirical distribution functions, over both together in order."""
     both = rows.select(F.col(x).alias("x"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(reference.select(F.col(x).alias("x"), F.lit(0).alias("a"), F.lit(1).alias("b"))).where("x is not null")
     steps = both.groupBy("x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    up = Window.orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     totals = steps.agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
-    gap = F.abs(F.sum("a").over(up) / F.col("na") - F.sum("b").over(up) / F.col("nb"))
-    return steps.crossJoin(F.broadcast(totals)).select(gap.alias("gap")).agg(F.max("gap").alias("ks"))  # one row
+    gap = F.abs(F.col("up_a") / F.col("na") - F.col("up_b") / F.col("nb"))
+    return in_ranges(steps, ["x"], {"up_a": F.col("a"), "up_b": F.col("b")}).crossJoin(F.broadcast(totals)).select(gap.alias("gap")).agg(F.max("gap").alias("ks"))  # one row
 
 
 # performance

@@ -188,7 +188,7 @@ def holding_lookup(spark, sf):
 
 @query("holding_report", f"""WITH {_BIN}, n AS (SELECT *, ntile(5) OVER (ORDER BY proba, instrument_id, trade_date) AS bucket FROM bn) SELECT bucket, {fl('avg(holding)')} AS realised, quantile_cont(holding, 0.5) AS median, {fl('avg(abs(holding - 5))')} AS mae FROM n GROUP BY 1""")
 def holding_report(spark, sf):
-    rows = done(spark, sf).where("model_id = 'A'").withColumn("bucket", F.ntile(5).over(Window.orderBy("proba", "instrument_id", "trade_date")).cast("bigint"))
+    rows = S.equal_groups(done(spark, sf).where("model_id = 'A'"), ["proba", "instrument_id", "trade_date"], 5, "bucket")
     return rows.groupBy("bucket").agg(rnd(F.avg("holding")).alias("realised"), F.percentile("holding", F.lit(0.5)).alias("median"), rnd(F.avg(F.abs(F.col("holding") - 5))).alias("mae"))
 
 
