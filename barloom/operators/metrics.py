@@ -82,13 +82,15 @@ def pinball(y: str, q: Column | str, level: float) -> Column:
 
 
 def quantile_report(rows: DataFrame, y: str, quantiles: dict[float, str]) -> DataFrame:
-    """Pinball loss and coverage of each predicted quantile, and the loss of the constant one."""
+    """Pinball loss and coverage of each predicted quantile, the loss of the constant one, and coverage and width from the lowest to the highest."""
     flat = F.percentile(F.col(y), F.array(*[F.lit(q) for q in quantiles]))
-    rows = rows.crossJoin(F.broadcast(rows.agg(flat.alias("constants"))))  # one row
+    low, high = F.col(quantiles[min(quantiles)]), F.col(quantiles[max(quantiles)])
+    whole = rows.agg(flat.alias("constants"), F.avg(F.col(y).between(low, high).cast("double")).alias("interval_coverage"), F.avg(high - low).alias("interval_width"))
+    rows = rows.crossJoin(F.broadcast(whole))  # one row
     long = rows.select(F.explode(F.array(*[
         F.struct(F.lit(q).alias("level"), pinball(y, c, q).alias("loss"), (F.col(y) <= F.col(c)).cast("double").alias("covered"), pinball(y, F.col("constants")[k], q).alias("constant_loss")) for k, (q, c) in enumerate(quantiles.items())
-    ])).alias("x")).select("x.*")
-    return long.groupBy("level").agg(F.avg("loss").alias("loss"), F.avg("covered").alias("coverage"), F.avg("constant_loss").alias("constant_loss"))
+    ])).alias("x"), "interval_coverage", "interval_width").select("x.*", "interval_coverage", "interval_width")
+    return long.groupBy("level", "interval_coverage", "interval_width").agg(F.avg("loss").alias("loss"), F.avg("covered").alias("coverage"), F.avg("constant_loss").alias("constant_loss"))
 
 
 def brier_logloss(rows: DataFrame, p: str, y: str, *by: str, floor: float = 1e-6) -> DataFrame:

@@ -60,21 +60,59 @@ def prob_filter(rows: DataFrame, score: str, proba: str, multiple: float, base:
     return rows.withColumn(score, F.when(F.col(proba) >= multiple * base, F.col(score)))
 
 
-def tranches(targets: DataFrame, steps: int) -> DataFrame:
-    """From the weights before to the new ones in equal steps of a rebalance: (rebalance, step, instrument, weight)."""
-    names = targets.select("instrument_id").distinct()
-    when = targets.select("rebalance").distinct()
-    grid = when.crossJoin(names).join(targets, ["rebalance", "instrument_id"], "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))  # rebalances times names
-    w = Window.partitionBy("instrument_id").orderBy("rebalance")
-    grid = grid.withColumn("before", F.coalesce(F.lag("weight").over(w), F.lit(0.0))).where("weight > 0 or before > 0")
-    rows = grid.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
-    return rows.select("rebalance", "step", "instrument_id", (F.col("before") + (F.col("weight") - F.col("before")) * F.col("step") / steps).alias("weight"))
+def tranches(targets: DataFrame, schedule: DataFrame, last: DataFrame, steps: int, spacing: int) -> DataFrame:
+    """From the weights held to the target in equal steps, `spacing` sessions apart: (session_idx, instrument_id, weight).
+
+    targets: session_idx, instrument_id, weight > 0, at most once each; schedule: session_idx of all rebalances; last: one row,
+    session_idx of the last session. Steps that would fall on the next rebalance or later are dropped, so that what is held then is
+    only part of the way: p' = p + (target - p) * done / steps. A rebalance without targets changes nothing. A name's path is one
+    array over the rebalances, which are few.
+    """
+    order = Window.orderBy("session_idx")  # one row per rebalance
+    with_names = targets.select("session_idx", F.lit(1).alias("any")).distinct()
+    ahead = schedule.crossJoin(F.broadcast(last.withColumnRenamed("session_idx", "last"))).withColumn("stop", F.coalesce(F.lead("session_idx").over(order), F.col("last") + 1))  # one row
+    room = F.least(F.lit(steps), F.floor((F.col("stop") - 1 - F.col("session_idx")) / spacing) + 1)
+    plan = ahead.join(with_names, "session_idx", "left").select("session_idx", F.when(F.col("any") == 1, room).otherwise(0).cast("int").alias("done"))
+    plan = plan.agg(F.array_sort(F.collect_list(F.struct("session_idx", "done"))).alias("plan"))
+    names = targets.groupBy("instrument_id").agg(F.map_from_entries(F.collect_list(F.struct("session_idx", "weight"))).alias("wanted"))
+    target = lambda r: F.coalesce(F.try_element_at("wanted", r["session_idx"]), F.lit(0.0))
+    move = lambda s, r: F.struct(
+        (s["held"] + (target(r) - s["held"]) * r["done"] / steps).alias("held"),
+        F.array_append(s["path"], F.struct(r["session_idx"].alias("session_idx"), r["done"].alias("done"), s["held"].alias("before"), target(r).alias("target"))).alias("path"),
+    )
+    start = F.struct(F.lit(0.0).alias("held"), F.expr("cast(array() as array<struct<session_idx: bigint, done: int, before: double, target: double>>)").alias("path"))
+    path = names.crossJoin(F.broadcast(plan)).select("instrument_id", F.explode(F.aggregate("plan", start, move, lambda s: s["path"])).alias("x")).select("instrument_id", "x.*")  # one row
+    rows = path.where("done > 0 and (before > 1e-9 or target > 0)").withColumn("step", F.explode(F.sequence(F.lit(1), F.col("done"))))
+    weight = F.col("before") + (F.col("target") - F.col("before")) * F.col("step") / steps
+    return rows.select((F.col("session_idx") + (F.col("step") - 1) * spacing).alias("session_idx"), "instrument_id", weight.alias("weight")).where("weight > 1e-9")
+
+
+def trailing_returns(picks: DataFrame, returns: DataFrame, window: int, least: int = 60) -> DataFrame:
+    """The last `window` sessions' returns of the names chosen at each rebalance: (grp, instrument_id, i, ret), without gaps.
+
+    picks: grp (session of the rebalance), instrument_id; returns: session_idx, instrument_id, ret. A name with fewer than `least`
+    returns takes the mean of the group's others on that day; other gaps are 0. A pick asks for its `window` days by key, so the join
+    is on equal columns.
+    """
+    days = F.explode(F.sequence(F.greatest(F.col("grp") - window + 1, F.lit(1).cast("bigint")), F.col("grp")))
+    wanted = picks.select("grp", "instrument_id", days.alias("session_idx"))
+    rows = wanted.join(returns.select("session_idx", "instrument_id", "ret"), ["session_idx", "instrument_id"], "left")
+    rows = rows.withColumn("seen", F.count("ret").over(Window.partitionBy("grp", "instrument_id")) >= least)
+    mean = F.avg(F.when(F.col("seen"), F.col("ret"))).over(Window.partitionBy("grp", "session_idx"))
+    value = F.coalesce(F.when(F.col("seen"), F.col("ret")).otherwise(mean), F.lit(0.0))
+    return rows.select("grp", "instrument_id", F.col("session_idx").alias("i"), value.alias("ret"))
+
+
+def sleeve_overlap(targets: DataFrame) -> DataFrame:
+    """Names that two or more sleeves hold on a day, with their number and their summed weight. targets: sleeve, trade_date, instrument_id, weight."""
+    s = targets.groupBy("trade_date", "instrument_id").agg(F.count_distinct("sleeve").alias("sleeves"), F.sum("weight").alias("combined"))
+    return s.where("sleeves > 1")
 
 
 def risk_parity(returns: DataFrame, rounds: int = 200) -> DataFrame:
     """Equal risk contributions by fixed-point steps on the covariance of each group's columns of names.
 
-    returns: grp, instrument_id, i (day number), ret. A group holds the names of one rebalance: K by K.
+    returns: grp, instrument_id, i (day number), ret. A group holds the names chosen at one rebalance: K by K.
     """
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -235,6 +273,25 @@ def card_levels(signals: DataFrame, stop_atr: float = 2.0, target_atr: float = 4
     return rows.withColumn("reason", reason)
 
 
+def invest_levels(signals: DataFrame, capital: float, cap: float, below: float = -0.03, above: float = 0.01, lot: int = 100) -> DataFrame:
+    """Zone, reference and scenario prices on ticks, weight under a cap, lots, or why there is no card.
+
+    signals: close, floor, ceiling (of the next session), q10, q50, q90 (returns), weight. The zone is the close less and plus its
+    shares, inside the floor and ceiling; scenario prices start from the tick nearest to its middle, kept inside it.
+    """
+    p = F.col("close")
+    nearest = lambda x: F.floor(col(x) / tick(x) + 0.5) * tick(x)
+    rows = signals.withColumn("zone_low", F.greatest(tick_round(p * (1 + below), False), F.col("floor"))).withColumn("zone_high", F.least(tick_round(p * (1 + above), False), F.col("ceiling")))
+    rows = rows.withColumn("reference", F.least(F.greatest(nearest((F.col("zone_low") + F.col("zone_high")) / 2), F.col("zone_low")), F.col("zone_high")))
+    at = lambda q: F.col("reference") * (1 + F.col(q))
+    rows = rows.withColumn("bear", F.greatest(tick_round(at("q10"), False), F.lit(0.01))).withColumn("base", nearest(at("q50"))).withColumn("bull", tick_round(at("q90"), True))
+    rows = rows.withColumn("weight", F.least(F.col("weight"), F.lit(cap))).withColumn("quantity", lots(F.col("weight") * capital, F.col("zone_high"), lot))
+    missing = F.col("q10").isNull() | F.col("q50").isNull() | F.col("q90").isNull()
+    off = (F.col("zone_low") > F.col("zone_high")) | (F.col("zone_high") <= F.col("floor"))
+    reason = F.when(p.isNull() | (p <= 0), "no price").when(missing, "no scenarios").when(off, "zone outside the band").when(F.col("quantity") < lot, "less than a lot")
+    return rows.withColumn("reason", reason)
+
+
 def card_sizing(cards: DataFrame, capital: float, risk: float, cap: float) -> DataFrame:
     """Weight such that the way to the stop costs `risk` of the capital, under a cap, in whole lots."""
     entry = F.col("zone_high")

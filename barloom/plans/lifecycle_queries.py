@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import change, rnd
+from barloom.functions.columns import own, rnd
 from barloom.operators import features as X
 from barloom.operators import ingest as I
 from barloom.operators import lifecycle as L
@@ -15,7 +15,7 @@ from barloom.operators import portfolio as T
 from barloom.plans.feature_queries import DATASET, dataset, fl, grid
 from barloom.plans.market_queries import ALL, _UNION, some_findings
 from barloom.plans.metric_queries import _IC, DONE, EQ, _round, done, equity, ics
-from barloom.plans.portfolio_queries import _CARD, _EXIT, _ORD, _TOP, best, cards, exits, fills
+from barloom.plans.portfolio_queries import _CARD, _EXIT, _ORD, _TOP, TRAILING, _dn, _near, _up, best, cards, exits, fills, trailing
 from barloom.plans.registry import query
 from barloom.plans.system_queries import FEATURES, _model_rows
 from barloom.sources import files
@@ -110,30 +110,35 @@ def era_metrics(spark, sf):
 _SEED = "CAST(('0x' || substr(md5(s || '-' || instrument_id || '-' || bar_idx), 1, 8)) AS BIGINT)"
 
 
-@query("noise_floor", f"""WITH {DONE}, r AS (SELECT s, trade_date, fwd, row_number() OVER (PARTITION BY s, trade_date ORDER BY {_SEED}, instrument_id) AS k FROM dn, range(0, 10) t(s) WHERE model_id = 'A' AND bar_idx % 5 = 0), d AS (SELECT s, trade_date, avg(fwd) AS ret FROM r WHERE k <= 3 GROUP BY 1, 2), q AS (SELECT s, avg(ret) / nullif(stddev_samp(ret), 0) AS sh FROM d GROUP BY 1)
-SELECT {fl('quantile_cont(sh, 0.05)')} AS p05, {fl('quantile_cont(sh, 0.5)')} AS p50, {fl('quantile_cont(sh, 0.95)')} AS p95 FROM q""")
+@query("noise_floor", f"""WITH {P.OWN_BARS}, nx AS (SELECT instrument_id, trade_date, bar_idx, lead(close) OVER (PARTITION BY instrument_id ORDER BY bar_idx) / close - 1 AS nxt FROM own), r AS (SELECT s, trade_date, nxt, row_number() OVER (PARTITION BY s, trade_date ORDER BY {_SEED}, instrument_id) AS k FROM nx, range(0, 10) t(s) WHERE nxt IS NOT NULL), d AS (SELECT s, trade_date, avg(nxt) AS ret FROM r WHERE k <= 3 GROUP BY 1, 2),
+q AS (SELECT s, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252) AS sharpe, 252 * avg(ln(1 + ret)) AS log_cagr FROM d GROUP BY 1), l AS (SELECT unnest(['sharpe', 'log_cagr']) AS metric, unnest([sharpe, log_cagr]) AS x FROM q)
+SELECT metric, {fl('quantile_cont(x, 0.05)', 5)} AS p05, {fl('quantile_cont(x, 0.5)', 5)} AS p50, {fl('quantile_cont(x, 0.95)', 5)} AS p95 FROM l GROUP BY 1""")
 def noise_floor(spark, sf):
-    rows = done(spark, sf).where("model_id = 'A' and bar_idx % 5 = 0").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(9))))
+    """Sharpe and yearly log growth of portfolios of three names drawn anew each day, over ten seeds."""
+    b = P.own_bars(spark, sf)
+    rows = b.select("instrument_id", "trade_date", "bar_idx", (F.lead("close").over(own()) / F.col("close") - 1).alias("nxt")).where("nxt is not null").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(9))))
     draw = F.conv(F.substring(F.md5(F.concat_ws("-", "s", "instrument_id", "bar_idx")), 1, 8), 16, 10).cast("bigint")
     picked = rows.withColumn("k", F.row_number().over(Window.partitionBy("s", "trade_date").orderBy(draw, "instrument_id"))).where("k <= 3")
-    sharpe = picked.groupBy("s", "trade_date").agg(F.avg("fwd").alias("ret")).groupBy("s").agg(F.try_divide(F.avg("ret"), F.stddev_samp("ret")).alias("sh"))
-    return _round(sharpe.agg(F.percentile("sh", F.lit(0.05)).alias("p05"), F.percentile("sh", F.lit(0.5)).alias("p50"), F.percentile("sh", F.lit(0.95)).alias("p95")), (), "p05", "p50", "p95")
+    daily = picked.groupBy("s", "trade_date").agg(F.avg("nxt").alias("ret"))
+    by_seed = daily.groupBy("s").agg((F.try_divide(F.avg("ret"), F.stddev_samp("ret")) * 252**0.5).alias("sharpe"), (252 * F.avg(F.ln(1 + F.col("ret")))).alias("log_cagr"))
+    long = by_seed.select(F.expr("stack(2, 'sharpe', sharpe, 'log_cagr', log_cagr) as (metric, x)"))
+    return _round(long.groupBy("metric").agg(*[F.percentile("x", F.lit(q)).alias(c) for c, q in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))]), ("metric",), "p05", "p50", "p95", places=5)
 
 
 @query("reality_check")
 def reality_check(spark, sf):
     """Share of resamples in which the best centred Sharpe difference to the benchmark beats what was seen: small if the best is no accident.
 
-    Candidates are the top three names of models A and B, the benchmark all names; every fifth bar, as outcomes span five.
+    Candidates are the top three names of models A and B, the benchmark all names; blocks of ten days keep outcomes that overlap together.
     """
-    rows = done(spark, sf).where("bar_idx % 5 = 0 and score is not null")
+    rows = done(spark, sf).where("score is not null")
     every = rows.where("model_id = 'A'").groupBy("trade_date").agg(F.avg("fwd").alias("bench"))
     d = rows.withColumn("r", F.row_number().over(Window.partitionBy("model_id", "trade_date").orderBy(F.desc("score"), "instrument_id"))).where("r <= 3")
     daily = d.groupBy("trade_date").pivot("model_id", ["A", "B"]).agg(F.avg("fwd")).where("A is not null and B is not null").withColumnsRenamed({"A": "a", "B": "b_ret"}).join(every, "trade_date")
     sharpe = lambda x: F.try_divide(F.avg(x), F.stddev_samp(x)) * 252**0.5
     seen = daily.agg((sharpe("a") - sharpe("bench")).alias("a0"), (sharpe("b_ret") - sharpe("bench")).alias("b0"))
     best_one = F.greatest(F.col("sharpe_a") - F.col("sharpe_bench") - F.col("a0"), F.col("sharpe_b") - F.col("sharpe_bench") - F.col("b0"))
-    drawn = S.bootstrap(daily.select("trade_date", "a", "b_ret", "bench"), 200, 5.0, 11, ("bench",))
+    drawn = S.bootstrap(daily.select("trade_date", "a", "b_ret", "bench"), 200, 10.0, 11, ("bench",))
     statistic = F.greatest("a0", "b0")
     return drawn.crossJoin(F.broadcast(seen)).agg(F.max(statistic).alias("statistic"), F.avg((best_one >= statistic).cast("double")).alias("p_value"), F.count("*").alias("resamples"))  # one row
 
@@ -194,19 +199,13 @@ def barrier_orders(spark, sf):
     return cards(spark, sf).where("atr is not null").select("instrument_id", "trade_date", rnd(2.0 * F.col("atr") / F.col("close")).alias("stop_pct"), rnd(4.0 * F.col("atr") / F.col("close")).alias("target_pct"), F.lit(10).alias("max_hold"))
 
 
-_RC = P.OWN_BARS + f""", rr AS (SELECT instrument_id % 2 AS grp, instrument_id, bar_idx AS i, close / lag(close) OVER w - 1 AS ret FROM own WHERE instrument_id <= 8 WINDOW w AS (PARTITION BY instrument_id ORDER BY bar_idx)),
-xx AS (SELECT grp, instrument_id, i, ret - avg(ret) OVER (PARTITION BY instrument_id) AS x FROM rr WHERE i BETWEEN 2 AND 253), pp AS (SELECT a.grp, a.instrument_id, b.instrument_id AS other, avg(a.x * b.x) AS s, avg(a.x * b.x * a.x * b.x) AS q, count(*) AS n FROM xx a JOIN xx b ON a.grp = b.grp AND a.i = b.i GROUP BY 1, 2, 3),
+_RC = TRAILING + """, xx AS (SELECT grp, instrument_id, i, ret - avg(ret) OVER (PARTITION BY grp, instrument_id) AS x FROM trail), pp AS (SELECT a.grp, a.instrument_id, b.instrument_id AS other, avg(a.x * b.x) AS s, avg(a.x * b.x * a.x * b.x) AS q, count(*) AS n FROM xx a JOIN xx b ON a.grp = b.grp AND a.i = b.i GROUP BY 1, 2, 3),
 tt AS (SELECT grp, sum(s) FILTER (instrument_id = other) / count(*) FILTER (instrument_id = other) AS mu, sum(s * s) - count(*) FILTER (instrument_id = other) * pow(sum(s) FILTER (instrument_id = other) / count(*) FILTER (instrument_id = other), 2) AS apart, sum((q - s * s) / n) AS noise FROM pp GROUP BY 1)"""
 
 
-def _returns(spark, sf, last):
-    rows = P.own_bars(spark, sf).where("instrument_id <= 8").withColumn("ret", change("close", 1)).where(f"bar_idx between 2 and {last}")
-    return rows.select((F.col("instrument_id") % 2).alias("grp"), "instrument_id", F.col("bar_idx").alias("i"), "ret")
-
-
-@query("returns_cov", f"WITH {_RC} SELECT grp, instrument_id, other, {fl('least(noise, apart) / apart * CASE WHEN instrument_id = other THEN mu ELSE 0 END + (1 - least(noise, apart) / apart) * s', 5)} AS covariance FROM pp JOIN tt USING (grp)")
+@query("returns_cov", f"WITH {_RC} SELECT grp, instrument_id, other, {fl('CASE WHEN apart > 0 THEN least(noise, apart) / apart ELSE 1 END * CASE WHEN instrument_id = other THEN mu ELSE 0 END + (1 - CASE WHEN apart > 0 THEN least(noise, apart) / apart ELSE 1 END) * s', 5)} AS covariance FROM pp JOIN tt USING (grp)")
 def returns_cov(spark, sf):
-    return _round(L.shrunk_covariance(_returns(spark, sf, 253)), ("grp", "instrument_id", "other"), "covariance", places=5)
+    return _round(L.shrunk_covariance(trailing(spark, sf)), ("grp", "instrument_id", "other"), "covariance", places=5)
 
 
 @query("target_weights", f"""WITH {_TOP}, v AS (SELECT *, abs(score) + 0.01 AS vol FROM tp) SELECT 'equal' AS scheme, instrument_id, trade_date, {fl('1.0::DOUBLE / count(*) OVER (PARTITION BY trade_date)')} AS weight FROM v UNION ALL SELECT 'inverse', instrument_id, trade_date, {fl('(1 / vol) / sum(1 / vol) OVER (PARTITION BY trade_date)')} FROM v""")
@@ -288,10 +287,21 @@ def open_alerts(spark, sf):
     return some_findings(spark, sf).where("severity in ('error', 'warning') and instrument_id % 4 != 0").select("instrument_id", "trade_date", "check", "severity")
 
 
-@query("card_invest_levels", f"WITH {_CARD} SELECT instrument_id, trade_date, {fl('close * 0.9::DOUBLE', 4)} AS low_price, {fl('close * 1.05::DOUBLE', 4)} AS mid_price, {fl('close * 1.3::DOUBLE', 4)} AS high_price FROM sg WHERE day(trade_date) <= 5")
+_INV = DONE + f""", sg AS (SELECT instrument_id, trade_date, close, score - 0.2 AS q10, score AS q50, score + 0.2 AS q90, {_up('close * 0.9::DOUBLE')} AS floor_, {_dn('close * 1.1::DOUBLE')} AS ceil_, proba / 4 AS w FROM dn JOIN own USING (instrument_id, trade_date) WHERE model_id = 'A'),
+zn AS (SELECT *, greatest({_dn('close * (1 - 0.03::DOUBLE)')}, floor_) AS zl, least({_dn('close * (1 + 0.01::DOUBLE)')}, ceil_) AS zh, least(w, 0.13::DOUBLE) AS weight FROM sg), rf AS (SELECT *, least(greatest({_near('(zl + zh) / 2')}, zl), zh) AS ref FROM zn),
+iv AS (SELECT instrument_id, trade_date, zl, zh, greatest({_dn('ref * (1 + q10)')}, 0.01) AS bear, {_near('ref * (1 + q50)')} AS base, {_up('ref * (1 + q90)')} AS bull, weight, floor(weight * 10000000.0::DOUBLE / (zh * 100)) * 100 AS q, floor_ FROM rf)"""
+
+
+@query("card_invest_levels", f"WITH {_INV} SELECT instrument_id, trade_date, {fl('zl', 4)} AS zone_low, {fl('zh', 4)} AS zone_high, {fl('bear', 4)} AS bear, {fl('base', 4)} AS base, {fl('bull', 4)} AS bull, {fl('weight', 4)} AS weight, CAST(q AS BIGINT) AS quantity, CASE WHEN zl > zh OR zh <= floor_ THEN 'zone outside the band' WHEN q < 100 THEN 'less than a lot' END AS reason FROM iv")
 def card_invest_levels(spark, sf):
-    rows = cards(spark, sf).where("day(trade_date) <= 5")
-    return rows.select("instrument_id", "trade_date", *[rnd(F.col("close") * k, 4).alias(c) for c, k in (("low_price", 0.9), ("mid_price", 1.05), ("high_price", 1.3))])
+    p = F.col("close")
+    rows = done(spark, sf).where("model_id = 'A'").join(P.bars(spark, sf).select("instrument_id", "trade_date", "close"), ["instrument_id", "trade_date"])
+    rows = rows.select(
+        "instrument_id", "trade_date", "close", (F.col("score") - 0.2).alias("q10"), F.col("score").alias("q50"), (F.col("score") + 0.2).alias("q90"),
+        T.tick_round(p * 0.9, True).alias("floor"), T.tick_round(p * 1.1, False).alias("ceiling"), (F.col("proba") / 4).alias("weight"),
+    )
+    cards_ = T.invest_levels(rows, 10_000_000.0, 0.13).withColumn("quantity", F.col("quantity").cast("bigint"))
+    return _round(cards_, ("instrument_id", "trade_date", "quantity", "reason"), "zone_low", "zone_high", "bear", "base", "bull", "weight", places=4)
 
 
 @query("card_aggregate")

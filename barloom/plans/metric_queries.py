@@ -144,10 +144,10 @@ _Q = {0.1: "lo", 0.5: "mid", 0.9: "hi"}
 
 
 @query("quantile_report", f"""WITH {DONE}, q AS (SELECT fwd, score - 0.2 AS lo, score AS mid, score + 0.2 AS hi FROM dn), k AS (SELECT *, unnest([0.1::DOUBLE, 0.5, 0.9]) AS level, unnest([lo, mid, hi]) AS v, unnest([(SELECT quantile_cont(fwd, 0.1) FROM q), (SELECT quantile_cont(fwd, 0.5) FROM q), (SELECT quantile_cont(fwd, 0.9) FROM q)]) AS c FROM q)
-SELECT level, {fl('avg(greatest(level * (fwd - v), (level - 1) * (fwd - v)))')} AS loss, {fl('avg((fwd <= v)::INT)')} AS coverage, {fl('avg(greatest(level * (fwd - c), (level - 1) * (fwd - c)))')} AS constant_loss FROM k GROUP BY 1""")
+SELECT level, {fl('avg(greatest(level * (fwd - v), (level - 1) * (fwd - v)))')} AS loss, {fl('avg((fwd <= v)::INT)')} AS coverage, {fl('avg(greatest(level * (fwd - c), (level - 1) * (fwd - c)))')} AS constant_loss, (SELECT {fl('avg((fwd BETWEEN lo AND hi)::INT)')} FROM q) AS interval_coverage, (SELECT {fl('avg(hi - lo)')} FROM q) AS interval_width FROM k GROUP BY 1""")
 def quantile_report(spark, sf):
     rows = done(spark, sf).select("fwd", (F.col("score") - 0.2).alias("lo"), F.col("score").alias("mid"), (F.col("score") + 0.2).alias("hi"))
-    return _round(S.quantile_report(rows, "fwd", _Q), ("level",), "loss", "coverage", "constant_loss")
+    return _round(S.quantile_report(rows, "fwd", _Q), ("level",), "loss", "coverage", "constant_loss", "interval_coverage", "interval_width")
 
 
 @query("pinball", f"WITH {DONE} SELECT model_id, {fl('avg(greatest(0.9 * (fwd - score), -0.1 * (fwd - score)))')} AS loss FROM dn GROUP BY 1")
@@ -179,11 +179,11 @@ def holding_table(spark, sf):
     return S.holding_table(done(spark, sf).where("model_id = 'A'"), "proba", "holding", 10)
 
 
-@query("holding_lookup", f"WITH {_BIN}, h AS (SELECT bin, quantile_cont(holding, 0.5) AS median FROM bn GROUP BY 1) SELECT instrument_id, trade_date, median FROM bn JOIN h USING (bin) WHERE trade_date >= DATE '2001-01-01'")
+@query("holding_lookup", f"WITH {_BIN}, h AS (SELECT bin, quantile_cont(holding, 0.5) AS median FROM bn GROUP BY 1) SELECT instrument_id, trade_date, median FROM bn JOIN h USING (bin)")
 def holding_lookup(spark, sf):
     rows = S.bins_of(done(spark, sf).where("model_id = 'A'"), "proba", 10)
     table = rows.groupBy("bin").agg(F.percentile("holding", F.lit(0.5)).alias("median"))
-    return rows.where("trade_date >= date'2001-01-01'").join(F.broadcast(table), "bin").select("instrument_id", "trade_date", "median")  # at most ten rows
+    return rows.join(F.broadcast(table), "bin").select("instrument_id", "trade_date", "median")  # at most ten rows
 
 
 @query("holding_report", f"""WITH {_BIN}, n AS (SELECT *, ntile(5) OVER (ORDER BY proba, instrument_id, trade_date) AS bucket FROM bn) SELECT bucket, {fl('avg(holding)')} AS realised, quantile_cont(holding, 0.5) AS median, {fl('avg(abs(holding - 5))')} AS mae FROM n GROUP BY 1""")
@@ -315,11 +315,11 @@ def drift_alerts(spark, sf):
 
 # performance
 
-EQ = P.BARS + ", eq AS (SELECT instrument_id AS portfolio, trade_date, close AS equity FROM bars WHERE instrument_id <= 6), er AS (SELECT *, equity / lag(equity) OVER (PARTITION BY portfolio ORDER BY trade_date) - 1 AS ret FROM eq)"
+EQ = P.BARS + ", eq AS (SELECT instrument_id AS portfolio, trade_date, close AS equity FROM bars), er AS (SELECT *, equity / lag(equity) OVER (PARTITION BY portfolio ORDER BY trade_date) - 1 AS ret FROM eq)"
 
 
 def equity(spark, sf):
-    return P.bars(spark, sf).where("instrument_id <= 6").select(F.col("instrument_id").alias("portfolio"), "trade_date", F.col("close").alias("equity"))
+    return P.bars(spark, sf).select(F.col("instrument_id").alias("portfolio"), "trade_date", F.col("close").alias("equity"))
 
 
 @query("equity_returns", f"WITH {EQ} SELECT portfolio, trade_date, {fl('ret')} AS ret FROM er")
@@ -335,11 +335,11 @@ def perf_metrics(spark, sf):
     return s.select("portfolio", *[rnd(c).alias(c) for c in ("total_return", "cagr", "max_drawdown")], *[rnd(c, 5).alias(c) for c in ("volatility", "sharpe", "sortino", "calmar")])
 
 
-TRADES = DONE + f", td AS (SELECT instrument_id, trade_date, fold, {fl('fwd - 0.003')} AS net, holding AS sessions FROM dn WHERE model_id = 'A' AND bar_idx % 10 = 0)"
+TRADES = DONE + f", td AS (SELECT instrument_id, trade_date, fold, {fl('fwd - 0.003')} AS net, holding AS sessions FROM dn WHERE model_id = 'A')"
 
 
 def round_trip_rows(spark, sf):
-    return done(spark, sf).where("model_id = 'A' and bar_idx % 10 = 0").select("instrument_id", "trade_date", "fold", rnd(F.col("fwd") - 0.003).alias("net"), F.col("holding").alias("sessions"))
+    return done(spark, sf).where("model_id = 'A'").select("instrument_id", "trade_date", "fold", rnd(F.col("fwd") - 0.003).alias("net"), F.col("holding").alias("sessions"))
 
 
 @query("trade_stats", f"""WITH {TRADES} SELECT instrument_id, count(*) AS n, {fl('avg((net > 0)::INT)')} AS win_rate, {fl('avg(net)')} AS expectancy, {fl('avg(sessions)')} AS holding, {fl('avg(net) FILTER (net > 0)')} AS avg_win, {fl('avg(net) FILTER (net < 0)')} AS avg_loss,
@@ -385,7 +385,7 @@ def slice_metrics(spark, sf):
     return _sliced(S.slice_metrics(_calm(spark, sf).where("trade_date between date'1997-01-01' and date'1998-12-31'"), "portfolio"), "portfolio")
 
 
-@query("by_regime", f"""WITH {_REG}, eq AS (SELECT instrument_id AS portfolio, trade_date, close AS equity FROM bars WHERE instrument_id <= 6), er AS (SELECT *, equity / lag(equity) OVER (PARTITION BY portfolio ORDER BY trade_date) - 1 AS ret FROM eq)
+@query("by_regime", f"""WITH {_REG}, eq AS (SELECT instrument_id AS portfolio, trade_date, close AS equity FROM bars), er AS (SELECT *, equity / lag(equity) OVER (PARTITION BY portfolio ORDER BY trade_date) - 1 AS ret FROM eq)
 SELECT portfolio, CASE WHEN rg.ret > 0.05 THEN 'up' WHEN rg.ret < -0.05 THEN 'down' ELSE 'sideways' END AS regime, {_SL.replace('(ret', '(er.ret').replace('+ ret', '+ er.ret')} FROM er JOIN rg ON trade_date BETWEEN s AND e WHERE abs(er.ret) < 0.5 GROUP BY 1, 2""")
 def by_regime(spark, sf):
     r = S.regimes(P.bench(spark, sf)).select("start", "end", "regime")

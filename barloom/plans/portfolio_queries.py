@@ -26,11 +26,11 @@ def rebalance_sessions(spark, sf):
     return out
 
 
-_TOP = DONE + ", tp AS (SELECT instrument_id, trade_date, score, proba, row_number() OVER (PARTITION BY trade_date ORDER BY score DESC, instrument_id) AS rank FROM dn WHERE model_id = 'A' AND day(trade_date) <= 7 QUALIFY rank <= 5)"
+_TOP = DONE + ", tp AS (SELECT instrument_id, trade_date, score, proba, row_number() OVER (PARTITION BY trade_date ORDER BY score DESC, instrument_id) AS rank FROM dn WHERE model_id = 'A' QUALIFY rank <= 5)"
 
 
 def best(spark, sf):
-    return T.top_k(done(spark, sf).where("model_id = 'A' and day(trade_date) <= 7"), "score", 5)
+    return T.top_k(done(spark, sf).where("model_id = 'A'"), "score", 5)
 
 
 @query("top_k", f"WITH {_TOP} SELECT instrument_id, trade_date, rank FROM tp")
@@ -91,11 +91,19 @@ def rebalance_targets(spark, sf):
     return T.top_k(rows, "score", 4).select("instrument_id", "trade_date", F.lit(0.25).alias("weight"))
 
 
-@query("tranche_targets", f"""WITH {_TOP}, t AS (SELECT trade_date AS rebalance, instrument_id, 0.2::DOUBLE AS weight FROM tp WHERE trade_date < DATE '1996-01-01'), g AS (SELECT r.rebalance, n.instrument_id, coalesce(t.weight, 0) AS weight FROM (SELECT DISTINCT rebalance FROM t) r CROSS JOIN (SELECT DISTINCT instrument_id FROM t) n LEFT JOIN t ON t.rebalance = r.rebalance AND t.instrument_id = n.instrument_id),
-b AS (SELECT *, coalesce(lag(weight) OVER (PARTITION BY instrument_id ORDER BY rebalance), 0) AS p FROM g) SELECT rebalance, CAST(k AS INTEGER) AS step, instrument_id, {fl('p + (weight - p) * k / 3.0')} AS weight FROM b, range(1, 4) r(k) WHERE weight > 0 OR p > 0""")
+@query("tranche_targets", f"""WITH RECURSIVE {_TOP}, {P.CAL}, rb AS (SELECT min(session_idx) AS session_idx, min(trade_date) AS trade_date FROM cal GROUP BY year(trade_date), month(trade_date)),
+tg AS (SELECT session_idx, instrument_id, 0.2::DOUBLE AS weight FROM tp JOIN rb USING (trade_date)), rs AS (SELECT session_idx, row_number() OVER o AS n, coalesce(lead(session_idx) OVER o, (SELECT max(session_idx) + 1 FROM cal)) AS stop FROM rb WINDOW o AS (ORDER BY session_idx)),
+rd AS (SELECT n, session_idx, CASE WHEN session_idx IN (SELECT session_idx FROM tg) THEN least(3, (stop - 1 - session_idx) // 8 + 1) ELSE 0 END AS done FROM rs),
+gd AS (SELECT n, rd.session_idx, done, i.instrument_id, coalesce(weight, 0) AS t FROM rd CROSS JOIN (SELECT DISTINCT instrument_id FROM tg) i LEFT JOIN tg ON tg.session_idx = rd.session_idx AND tg.instrument_id = i.instrument_id),
+ph(n, session_idx, done, instrument_id, t, before, held) AS (SELECT n, session_idx, done, instrument_id, t, 0.0::DOUBLE, t * done / 3 FROM gd WHERE n = 1
+ UNION ALL SELECT gd.n, gd.session_idx, gd.done, gd.instrument_id, gd.t, ph.held, ph.held + (gd.t - ph.held) * gd.done / 3 FROM ph JOIN gd ON gd.n = ph.n + 1 AND gd.instrument_id = ph.instrument_id),
+st AS (SELECT session_idx + (k - 1) * 8 AS session_idx, instrument_id, before + (t - before) * k / 3 AS w FROM ph JOIN range(1, 4) r(k) ON k <= done WHERE before > 1e-9 OR t > 0) SELECT session_idx, instrument_id, {fl('w')} AS weight FROM st WHERE w > 1e-9""")
 def tranche_targets(spark, sf):
-    t = best(spark, sf).where("trade_date < date'1996-01-01'").select(F.col("trade_date").alias("rebalance"), "instrument_id", F.lit(0.2).alias("weight"))
-    return _round(T.tranches(t, 3), ("rebalance", "step", "instrument_id"), "weight")
+    """Three steps, eight sessions apart, towards the five best names of each month's first session; the third is often dropped."""
+    cal = P.calendar(spark, sf)
+    months = T.rebalance_sessions(cal, "month")
+    t = best(spark, sf).join(F.broadcast(months), "trade_date").select("session_idx", "instrument_id", F.lit(0.2).alias("weight"))  # one row per month
+    return _round(T.tranches(t, months.select("session_idx"), cal.agg(F.max("session_idx").alias("session_idx")), 3, 8), ("session_idx", "instrument_id"), "weight")
 
 
 @query("regime_off", f"""WITH {P.BARS}, {P.BENCH}, s AS (SELECT trade_date, close, CASE WHEN count(*) OVER w = 200 THEN avg(close) OVER w END AS m FROM bench WINDOW w AS (ORDER BY trade_date ROWS BETWEEN 199 PRECEDING AND CURRENT ROW)) SELECT trade_date, coalesce(close < m, false) AS off FROM s""")
@@ -239,14 +247,29 @@ def cost_sensitivity(spark, sf):
 
 @query("kill_state")
 def kill_state(spark, sf):
-    b = P.own_bars(spark, sf).where("instrument_id <= 5").select(F.col("instrument_id").alias("portfolio"), F.col("bar_idx").alias("session_idx"), F.col("close").alias("equity"))
+    b = P.own_bars(spark, sf).select(F.col("instrument_id").alias("portfolio"), F.col("bar_idx").alias("session_idx"), F.col("close").alias("equity"))
     return T.kill_states(b, 0.2, 10)
 
 
+#: The eight best names of model A at each quarter's first session, with their returns of the 252 sessions up to it.
+TRAILING = DONE + f""",{P.CAL}, qs AS (SELECT min(session_idx) AS grp, min(trade_date) AS trade_date FROM cal GROUP BY year(trade_date), quarter(trade_date)),
+pk AS (SELECT grp, instrument_id FROM dn JOIN qs USING (trade_date) WHERE model_id = 'A' QUALIFY row_number() OVER (PARTITION BY grp ORDER BY score DESC, instrument_id) <= 8),
+gr AS (SELECT i.instrument_id, c.session_idx, b.close FROM cal c CROSS JOIN (SELECT DISTINCT instrument_id FROM bars) i LEFT JOIN bars b ON b.instrument_id = i.instrument_id AND b.trade_date = c.trade_date),
+sr AS (SELECT instrument_id, session_idx, close / nullif(lag(close) OVER (PARTITION BY instrument_id ORDER BY session_idx), 0) - 1 AS ret FROM gr),
+tr0 AS (SELECT grp, instrument_id, session_idx AS i, ret, count(ret) OVER (PARTITION BY grp, instrument_id) >= 60 AS seen FROM pk JOIN sr USING (instrument_id) WHERE session_idx BETWEEN grp - 251 AND grp),
+trail AS (SELECT grp, instrument_id, i, coalesce(CASE WHEN seen THEN ret ELSE avg(ret) FILTER (seen) OVER (PARTITION BY grp, i) END, 0) AS ret FROM tr0)"""
+
+
+def trailing(spark, sf):
+    q = T.rebalance_sessions(P.calendar(spark, sf), "quarter").select(F.col("session_idx").alias("grp"), "trade_date")
+    rows = done(spark, sf).where("model_id = 'A'").join(F.broadcast(q), "trade_date")  # one row per quarter
+    r = grid(spark, sf).select("instrument_id", "session_idx", change("close", 1, sessions()).alias("ret"))
+    return T.trailing_returns(T.top_k(rows, "score", 8, by=("grp",)), r, 252)
+
+
 @query("risk_parity")
 def risk_parity(spark, sf):
-    rows = P.own_bars(spark, sf).withColumn("ret", change("close", 1)).where("instrument_id <= 8 and bar_idx between 2 and 260")
-    return T.risk_parity(rows.select((F.col("instrument_id") % 2).alias("grp"), "instrument_id", F.col("bar_idx").alias("i"), "ret"))
+    return T.risk_parity(trailing(spark, sf))
 
 
 _MC = P.OWN_BARS + f""",
@@ -280,6 +303,10 @@ def _up(x: str) -> str:
     return f"(ceil(({x}) / {_tk(x)} - 1e-9) * {_tk(x)})"
 
 
+def _near(x: str) -> str:
+    return f"(floor(({x}) / {_tk(x)} + 0.5) * {_tk(x)})"
+
+
 _CARD = P.OWN_BARS + f""",
 sg AS (SELECT instrument_id, trade_date, close, CASE WHEN count(close) OVER w = 14 THEN floor(avg(high - low) OVER w / 5 * 10000.0 + 0.5) / 10000.0 END AS atr, 0.15::DOUBLE AS band FROM own WINDOW w AS (PARTITION BY instrument_id ORDER BY bar_idx ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)),
 lv AS (SELECT *, {_dn('close * 1.01::DOUBLE')} AS zone_high, {_up('close * 0.985::DOUBLE')} AS zone_low, CASE WHEN atr IS NULL THEN {_up('close * (1 - band)')} ELSE {_up('greatest(close - 2.0::DOUBLE * atr, close * (1 - band))')} END AS stop,
@@ -319,10 +346,13 @@ def next_schedule(spark, sf):
     return cal.join(ahead, "session_idx", "left").select("trade_date", "third_session", F.add_months(F.trunc("trade_date", "month"), 1).alias("next_month"))
 
 
-@query("sleeve_overlap", f"""WITH {_TOP} SELECT a.trade_date, a.instrument_id, 0.2::DOUBLE + 0.1::DOUBLE AS combined FROM tp a JOIN tp b ON a.trade_date = b.trade_date AND a.instrument_id = b.instrument_id AND b.rank <= 2""")
+@query("sleeve_overlap", f"""WITH {DONE}, tp AS (SELECT model_id, trade_date, instrument_id, abs(score) + 0.01 AS x FROM dn QUALIFY row_number() OVER (PARTITION BY model_id, trade_date ORDER BY score DESC, instrument_id) <= 5),
+w AS (SELECT model_id AS sleeve, trade_date, instrument_id, x / sum(x) OVER (PARTITION BY model_id, trade_date) AS weight FROM tp), o AS (SELECT trade_date, instrument_id, count(DISTINCT sleeve) AS sleeves, sum(weight) AS combined FROM w GROUP BY 1, 2)
+SELECT trade_date, count(*) AS names, {fl('max(combined)')} AS most FROM o WHERE sleeves > 1 GROUP BY 1""")
 def sleeve_overlap(spark, sf):
-    a, b = best(spark, sf), best(spark, sf).where("rank <= 2").select("trade_date", "instrument_id")
-    return a.join(b, ["trade_date", "instrument_id"]).select("trade_date", "instrument_id", (F.lit(0.2) + F.lit(0.1)).alias("combined"))
+    top = T.top_k(done(spark, sf), "score", 5, by=("model_id", "trade_date")).withColumn("x", F.abs("score") + 0.01)
+    targets = top.select(F.col("model_id").alias("sleeve"), "trade_date", "instrument_id", (F.col("x") / F.sum("x").over(Window.partitionBy("model_id", "trade_date"))).alias("weight"))
+    return T.sleeve_overlap(targets).groupBy("trade_date").agg(F.count("*").alias("names"), rnd(F.max("combined")).alias("most"))
 
 
 @query("cards_insert_only", f"WITH {_TOP} SELECT instrument_id, trade_date, 'stored' AS origin FROM tp WHERE rank <= 2 UNION ALL SELECT instrument_id, trade_date, 'new' FROM tp WHERE rank > 2")

@@ -166,3 +166,38 @@ def test_calibration_improves_a_skewed_probability(spark):
     before, after = out.agg(F.avg((F.col("p") - F.col("label")) ** 2), F.avg((F.col("calibrated") - F.col("label")) ** 2)).first()
     assert after < before - 0.01
     assert math.isfinite(after)
+
+
+def test_tranches_are_dropped_at_the_next_rebalance(spark):
+    t = spark.createDataFrame([(1, 7, 0.6), (1, 8, 0.3), (10, 7, 0.6), (40, 8, 0.9)], "session_idx bigint, instrument_id bigint, weight double")
+    schedule = spark.createDataFrame([(1,), (10,), (20,), (40,)], "session_idx bigint")  # nobody is wanted at 20: nothing moves
+    last = spark.createDataFrame([(45,)], "session_idx bigint")
+    got = {(r.session_idx, r.instrument_id): round(r.weight, 6) for r in T.tranches(t, schedule, last, 3, 5).collect()}
+    assert got == {
+        (1, 7): 0.2, (1, 8): 0.1, (6, 7): 0.4, (6, 8): 0.2,  # the third step would fall on 11
+        (10, 7): round(0.4 + 0.2 / 3, 6), (10, 8): round(0.2 - 0.2 / 3, 6), (15, 7): round(0.4 + 0.4 / 3, 6), (15, 8): round(0.2 / 3, 6),
+        (40, 7): round((0.4 + 0.4 / 3) * 2 / 3, 6), (40, 8): round(0.2 / 3 + (0.9 - 0.2 / 3) / 3, 6), (45, 7): round((0.4 + 0.4 / 3) / 3, 6), (45, 8): round(0.2 / 3 + (0.9 - 0.2 / 3) * 2 / 3, 6),
+    }
+
+
+def test_trailing_returns_fill_thin_names_with_the_mean(spark):
+    picks = spark.createDataFrame([(4, 1), (4, 2), (4, 3)], "grp bigint, instrument_id bigint")
+    seen = [(i, k, 0.1 * i * k) for i in range(1, 5) for k in (1, 2) if (i, k) != (3, 2)] + [(4, 3, 9.0)]
+    r = spark.createDataFrame(seen, "session_idx bigint, instrument_id bigint, ret double")
+    got = {(x.instrument_id, x.i): round(x.ret, 6) for x in T.trailing_returns(picks, r, 3, 2).collect()}
+    assert got == {(1, 2): 0.2, (1, 3): 0.3, (1, 4): 0.4, (2, 2): 0.4, (2, 3): 0.0, (2, 4): 0.8, (3, 2): 0.3, (3, 3): 0.3, (3, 4): 0.6}
+
+
+def test_sleeves_that_share_a_name(spark):
+    t = spark.createDataFrame([("a", D0, 1, 0.2), ("b", D0, 1, 0.3), ("a", D0, 2, 0.5)], "sleeve string, trade_date date, instrument_id bigint, weight double")
+    assert [(r.instrument_id, r.sleeves, r.combined) for r in T.sleeve_overlap(t).collect()] == [(1, 2, pytest.approx(0.5))]
+
+
+def test_invest_levels_and_refusals(spark):
+    rows = [(1, 20.0, 18.0, 22.0, -0.1, 0.05, 0.2, 0.5), (2, 20.0, 20.5, 22.0, -0.1, 0.05, 0.2, 0.5), (3, 20.0, 18.0, 22.0, None, 0.05, 0.2, 0.5), (4, 20.0, 18.0, 22.0, -0.1, 0.05, 0.2, 0.0001), (5, None, 18.0, 22.0, -0.1, 0.05, 0.2, 0.5)]
+    df = spark.createDataFrame(rows, "instrument_id bigint, close double, floor double, ceiling double, q10 double, q50 double, q90 double, weight double")
+    got = {r.instrument_id: r for r in T.invest_levels(df, 1_000_000.0, 0.1).collect()}
+    a = got[1]
+    assert (a.zone_low, a.zone_high, a.reference, a.bear, a.base, a.bull) == pytest.approx((19.4, 20.2, 19.8, 17.8, 20.8, 23.8))
+    assert (a.weight, a.quantity, a.reason) == (0.1, 4900, None)
+    assert [got[k].reason for k in (2, 3, 4, 5)] == ["zone outside the band", "no scenarios", "less than a lot", "no price"]
