@@ -29,6 +29,14 @@ def champions(log: DataFrame) -> DataFrame:
     return rows.groupBy("strategy").agg(F.max(F.when(F.col("r") == 1, F.col("model_id"))).alias("champion"), F.max(F.when(F.col("r") == 2, F.col("model_id"))).alias("previous"))
 
 
+def retrain_reasons(models: DataFrame, breaches: DataFrame, features: str, days: int) -> DataFrame:
+    """Reasons to fit a model again: model_id, kind, age_days (of a schedule). models: model_id, last, trained, features; breaches: model_id, metric."""
+    age, none = F.datediff("last", "trained").cast("bigint"), F.lit(None).cast("bigint")
+    old = models.where(age > days).select("model_id", F.lit("schedule").alias("kind"), age.alias("age_days"))
+    other = models.where(F.col("features") != features).select("model_id", F.lit("new_feature_set").alias("kind"), none.alias("age_days"))
+    return old.unionByName(other).unionByName(breaches.select("model_id", F.col("metric").alias("kind"), none.alias("age_days")))
+
+
 def shrunk_covariance(returns: DataFrame) -> DataFrame:
     """Covariances of all pairs of a group's names, drawn towards the mean variance as far as their own noise asks.
 

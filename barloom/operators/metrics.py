@@ -124,8 +124,42 @@ def auc(rows: DataFrame, p: str, y: str, by: tuple[str, ...]) -> DataFrame:
     return s.select(*by, ratio(F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2, F.col("n1") * F.col("n0")).alias("auc"))
 
 
-def holding_table(rows: DataFrame, p: str, holding: str, n: int) -> DataFrame:
-    return bins_of(rows, p, n).groupBy("bin").agg(F.count("*").alias("n"), F.percentile(holding, F.lit(0.5)).alias("median"), F.percentile(holding, F.lit(0.75)).alias("p75"))
+def merged_edges(edges: list[float], counts: list[int], least: int) -> list[float]:
+    """Edges left when the smallest bucket below `least` joins its smaller neighbour (the lower one on ties) until none is; counts: one more than edges."""
+    edges, counts = list(edges), list(counts)
+    while edges and min(counts) < least:
+        i = counts.index(min(counts))
+        beside = [j for j in (i - 1, i + 1) if 0 <= j < len(counts)]
+        low = min(i, min(beside, key=lambda j: counts[j]))
+        counts[low : low + 2] = [counts[low] + counts[low + 1]]
+        del edges[low]
+    return edges
+
+
+def holding_table(rows: DataFrame, p: str, holding: str, n: int, horizon: int, least: int = 100) -> DataFrame:
+    """Median, upper quartile and timed-out share of the holding time by bucket of p; small buckets are merged. At most n counts reach the driver."""
+    rows = rows.where(F.col(p).isNotNull() & F.col(holding).isNotNull())
+    found = rows.agg(F.percentile(F.col(p), F.array(*[F.lit(k / n) for k in range(1, n)])).alias("edges")).first()["edges"] or []
+    edges = sorted(set(found))
+    bucket = lambda es: F.size(F.filter(F.array(*[F.lit(e) for e in es]), lambda e: e <= F.col(p))) if es else F.lit(0)
+    sizes = {r["bin"]: r["count"] for r in rows.groupBy(bucket(edges).alias("bin")).count().collect()}
+    edges = merged_edges(edges, [sizes.get(k, 0) for k in range(len(edges) + 1)], least)
+    return rows.groupBy(bucket(edges).alias("bin")).agg(
+        F.count("*").alias("n"), F.percentile(holding, F.lit(0.5)).alias("median"), F.percentile(holding, F.lit(0.75)).alias("p75"), F.avg((F.col(holding) >= horizon).cast("double")).alias("timed_out")
+    )
+
+
+def evidence_by_month(rows: DataFrame, least: int) -> DataFrame:
+    """ROC area by fold and month from the labels that had ended before the month: fold, month, n, auc; only months in which a fold gained labels.
+
+    rows: fold, proba, label, end_date. A fold's labels end within few months, so a row is repeated for those alone. Folds with
+    fewer than `least` labels, or of one class, have no area yet.
+    """
+    known = rows.select("fold", "proba", "label", F.add_months(F.trunc("end_date", "month"), 1).alias("known"))
+    steps = known.select(F.col("fold").alias("f"), F.col("known").alias("month")).distinct()
+    seen = known.join(F.broadcast(steps), (F.col("fold") == F.col("f")) & (F.col("known") <= F.col("month"))).drop("f", "known")  # one row per fold and month
+    n = seen.groupBy("fold", "month").agg(F.count("*").alias("n"))
+    return auc(seen, "proba", "label", ("fold", "month")).join(n, ["fold", "month"]).where((F.col("n") >= least) & F.col("auc").isNotNull())
 
 
 # drift
@@ -262,22 +296,37 @@ def dca(equity: DataFrame, amount: float) -> DataFrame:
     return s.withColumn("gain", F.col("value") / F.col("paid") - 1)
 
 
-def bootstrap(days: DataFrame, resamples: int, block: float, seed: int, more: tuple[str, ...] = ()) -> DataFrame:
-    """Stationary block resamples of paired daily returns a and b_ret (and more): Sharpe of each, and the difference of the first two, by resample.
+def resampled(days: DataFrame, resamples: int, block: float, seed: int) -> DataFrame:
+    """Stationary block resamples of the days' columns, kept together: b (resample), t (position) and the columns.
 
-    A day restarts with probability 1 / block; otherwise it follows the day before it. The draw of a
-    position is a hash of (seed, resample, position), so that every run and engine node agrees.
+    A day restarts with probability 1 / block; otherwise it follows the day before it. The draw of a position is an md5 of
+    (seed, resample, position), so that every run, node and engine agrees.
     """
-    base = days.withColumn("i", F.row_number().over(Window.orderBy("trade_date")).cast("bigint") - 1)
+    base = days.withColumn("i", F.row_number().over(Window.orderBy("trade_date")).cast("bigint") - 1).drop("trade_date")  # one row per date
     n = days.agg(F.count("*").alias("n"))
-    u = lambda k: F.pmod(F.xxhash64(F.lit(seed + k), "b", "t"), F.lit(1 << 52)) / float(1 << 52)
-    grid = days.sparkSession.range(resamples).withColumnRenamed("id", "b").crossJoin(n).select("b", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("t"))
+    u = lambda k: F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed + k), "b", "t")), 1, 8), 16, 10).cast("bigint") / 4294967296.0
+    grid = days.sparkSession.range(resamples).withColumnRenamed("id", "b").crossJoin(F.broadcast(n)).where("n > 0").select("b", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)).alias("t"))  # one row
     w = Window.partitionBy("b").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
     start = F.when((F.col("t") == 0) | (u(0) < 1 / block), F.struct(F.col("t").alias("at"), F.floor(u(1) * F.col("n")).alias("day")))
-    rows = grid.withColumn("s", F.last(start, ignorenulls=True).over(w)).select("b", F.pmod(F.col("s.day") + F.col("t") - F.col("s.at"), F.col("n")).alias("i"))
-    drawn = rows.join(base, "i")
-    sharpe = lambda c: F.try_divide(F.avg(c), F.stddev_samp(c)) * math.sqrt(252)
-    return drawn.groupBy("b").agg(sharpe("a").alias("sharpe_a"), sharpe("b_ret").alias("sharpe_b"), *[sharpe(c).alias(f"sharpe_{c}") for c in more]).withColumn("difference", F.col("sharpe_a") - F.col("sharpe_b"))
+    rows = grid.withColumn("s", F.last(start, ignorenulls=True).over(w)).select("b", "t", F.pmod(F.col("s.day") + F.col("t") - F.col("s.at"), F.col("n")).alias("i"))
+    return rows.join(base, "i").drop("i")
+
+
+def path_metrics(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """Yearly Sharpe and log growth and the deepest fall of each column of daily returns, by b in order of t."""
+    upto = Window.partitionBy("b").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"grown_{c}": F.sum(F.log1p(c)).over(upto) for c in columns})
+    rows = rows.withColumns({f"fall_{c}": F.col(f"grown_{c}") - F.greatest(F.max(f"grown_{c}").over(upto), F.lit(0.0)) for c in columns})
+    of = lambda c: [
+        (F.try_divide(F.avg(c), F.stddev_samp(c)) * math.sqrt(252)).alias(f"sharpe_{c}"), (252 * F.avg(F.log1p(c))).alias(f"growth_{c}"), (F.exp(F.min(f"fall_{c}")) - 1).alias(f"drawdown_{c}")
+    ]
+    return rows.groupBy("b").agg(*[x for c in columns for x in of(c)])
+
+
+def bootstrap(days: DataFrame, resamples: int, block: float, seed: int, columns: tuple[str, ...] = ("a", "b_ret")) -> DataFrame:
+    """path_metrics of each resample of the paired daily returns; `difference` is that of the Sharpes of the first two."""
+    drawn = path_metrics(resampled(days, resamples, block, seed), columns)
+    return drawn.withColumn("difference", F.col(f"sharpe_{columns[0]}") - F.col(f"sharpe_{columns[1]}"))
 
 
 def interval(samples: DataFrame, x: str, low: float = 0.05, high: float = 0.95) -> DataFrame:

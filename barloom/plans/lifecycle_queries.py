@@ -14,7 +14,7 @@ from barloom.operators import models as M
 from barloom.operators import portfolio as T
 from barloom.plans.feature_queries import DATASET, dataset, fl, grid
 from barloom.plans.market_queries import ALL, _UNION, some_findings
-from barloom.plans.metric_queries import _IC, DONE, EQ, _round, done, equity, ics
+from barloom.plans.metric_queries import _IC, DAILY, DONE, EQ, _round, boot_sql, daily_returns, done, equity, ics, path_sql
 from barloom.plans.portfolio_queries import _CARD, _EXIT, _ORD, _TOP, TRAILING, _dn, _near, _up, best, cards, exits, fills, trailing
 from barloom.plans.registry import query
 from barloom.plans.system_queries import FEATURES, _model_rows
@@ -125,22 +125,19 @@ def noise_floor(spark, sf):
     return _round(long.groupBy("metric").agg(*[F.percentile("x", F.lit(q)).alias(c) for c, q in (("p05", 0.05), ("p50", 0.5), ("p95", 0.95))]), ("metric",), "p05", "p50", "p95", places=5)
 
 
-@query("reality_check")
+@query("reality_check", f"""WITH {DAILY}, {boot_sql('daily', ('a', 'b_ret', 'bench'), 200, 10.0, 11, 'rc')}, {path_sql('rcr', ('a', 'b_ret', 'bench'), 'ms')}, d AS (SELECT b, sharpe_a - sharpe_bench AS a, sharpe_b_ret - sharpe_bench AS o FROM ms), z AS (SELECT a AS a0, o AS o0, greatest(a, o) AS st FROM d WHERE b = -1)
+SELECT {fl('any_value(st)', 5)} AS statistic, avg((greatest(a - a0, o - o0) >= st)::INT) AS p_value, count(*) AS resamples FROM d, z WHERE b >= 0""")
 def reality_check(spark, sf):
     """Share of resamples in which the best centred Sharpe difference to the benchmark beats what was seen: small if the best is no accident.
 
-    Candidates are the top three names of models A and B, the benchmark all names; blocks of ten days keep outcomes that overlap together.
+    Candidates are the top three names of models A and B, held for a bar; the benchmark is all names.
     """
-    rows = done(spark, sf).where("score is not null")
-    every = rows.where("model_id = 'A'").groupBy("trade_date").agg(F.avg("fwd").alias("bench"))
-    d = rows.withColumn("r", F.row_number().over(Window.partitionBy("model_id", "trade_date").orderBy(F.desc("score"), "instrument_id"))).where("r <= 3")
-    daily = d.groupBy("trade_date").pivot("model_id", ["A", "B"]).agg(F.avg("fwd")).where("A is not null and B is not null").withColumnsRenamed({"A": "a", "B": "b_ret"}).join(every, "trade_date")
-    sharpe = lambda x: F.try_divide(F.avg(x), F.stddev_samp(x)) * 252**0.5
-    seen = daily.agg((sharpe("a") - sharpe("bench")).alias("a0"), (sharpe("b_ret") - sharpe("bench")).alias("b0"))
-    best_one = F.greatest(F.col("sharpe_a") - F.col("sharpe_bench") - F.col("a0"), F.col("sharpe_b") - F.col("sharpe_bench") - F.col("b0"))
-    drawn = S.bootstrap(daily.select("trade_date", "a", "b_ret", "bench"), 200, 10.0, 11, ("bench",))
-    statistic = F.greatest("a0", "b0")
-    return drawn.crossJoin(F.broadcast(seen)).agg(F.max(statistic).alias("statistic"), F.avg((best_one >= statistic).cast("double")).alias("p_value"), F.count("*").alias("resamples"))  # one row
+    daily, names = daily_returns(spark, sf), ("a", "b_ret", "bench")
+    gap = lambda df: df.select((F.col("sharpe_a") - F.col("sharpe_bench")).alias("a"), (F.col("sharpe_b_ret") - F.col("sharpe_bench")).alias("o"))
+    seen = gap(S.path_metrics(daily.withColumnRenamed("trade_date", "t").withColumn("b", F.lit(-1)), names)).withColumnsRenamed({"a": "a0", "o": "o0"})
+    drawn = gap(S.bootstrap(daily, 200, 10.0, 11, names)).crossJoin(F.broadcast(seen))  # one row
+    statistic, best_one = F.greatest("a0", "o0"), F.greatest(F.col("a") - F.col("a0"), F.col("o") - F.col("o0"))
+    return drawn.agg(rnd(F.max(statistic), 5).alias("statistic"), F.avg((best_one >= statistic).cast("double")).alias("p_value"), F.count("*").alias("resamples"))
 
 
 @query("dca_irr")
@@ -160,10 +157,20 @@ def thesis_flags(spark, sf):
     return done(spark, sf).where("model_id = 'A'").select("instrument_id", "trade_date", strong.alias("strong"), long_.alias("long_hold"), (strong & long_).alias("both"))
 
 
-@query("live_performance", f"WITH {_IC} SELECT model_id, trade_date, {fl('avg(ic) OVER (PARTITION BY model_id ORDER BY trade_date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)')} AS rolling_ic FROM ic")
+@query("live_performance", f"""WITH {_IC}, tk AS (SELECT *, row_number() OVER (PARTITION BY model_id, trade_date ORDER BY score DESC, instrument_id) AS r FROM dn), dy AS (SELECT model_id, trade_date, max(end_date) AS ended, count(*) FILTER (r <= 5) AS nt, count(*) FILTER (r <= 5 AND fwd > 0) AS ht, sum(proba) AS p, sum(label) AS y, count(*) AS n FROM tk GROUP BY 1, 2), j AS (SELECT dy.*, ic FROM dy LEFT JOIN ic USING (model_id, trade_date))
+SELECT model_id, trade_date, max(ended) OVER w AS known_from, {fl('avg(ic) OVER w')} AS rolling_ic, {fl('sum(ht) OVER w / (sum(nt) OVER w)')} AS hit_rate, {fl('(sum(p) OVER w - sum(y) OVER w) / sum(n) OVER w')} AS gap FROM j WINDOW w AS (PARTITION BY model_id ORDER BY trade_date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)""")
 def live_performance(spark, sf):
+    """Over 60 days up to each: mean rank correlation, share of gains among the five best, stated less realised rate; known_from: the day the last of their labels ended."""
+    top = Window.partitionBy("model_id", "trade_date").orderBy(F.desc("score"), "instrument_id")
+    rows = done(spark, sf).withColumn("top", F.row_number().over(top) <= 5)
+    day = rows.groupBy("model_id", "trade_date").agg(
+        F.max("end_date").alias("ended"), F.count_if("top").alias("nt"), F.count_if(F.col("top") & (F.col("fwd") > 0)).alias("ht"), F.sum("proba").alias("p"), F.sum("label").alias("y"), F.count("*").alias("n")
+    ).join(ics(spark, sf).drop("n"), ["model_id", "trade_date"], "left")
     w = Window.partitionBy("model_id").orderBy("trade_date").rowsBetween(-59, 0)
-    return ics(spark, sf).select("model_id", "trade_date", rnd(F.avg("ic").over(w)).alias("rolling_ic"))
+    return day.select(
+        "model_id", "trade_date", F.max("ended").over(w).alias("known_from"), rnd(F.avg("ic").over(w)).alias("rolling_ic"), rnd(F.sum("ht").over(w) / F.sum("nt").over(w)).alias("hit_rate"),
+        rnd((F.sum("p").over(w) - F.sum("y").over(w)) / F.sum("n").over(w)).alias("gap"),
+    )
 
 
 @query("ops_metrics", f"WITH {_ORD} SELECT count(*) AS orders, count(price) AS filled, {fl('count(price) / nullif(count(*), 0)')} AS fill_rate, count(*) FILTER (reason = 'expired') AS expired FROM fills")
@@ -171,18 +178,26 @@ def ops_metrics(spark, sf):
     return fills(spark, sf).agg(F.count("*").alias("orders"), F.count("price").alias("filled"), rnd(F.try_divide(F.count("price"), F.count("*"))).alias("fill_rate"), F.count_if(F.col("reason") == "expired").alias("expired"))
 
 
-@query("breach_rules", f"""WITH {_IC}, s AS (SELECT model_id, avg(ic) AS m, avg((ic > 0)::INT) AS h FROM ic GROUP BY 1) SELECT model_id, metric, severity FROM (SELECT model_id, 'mean_ic' AS metric, CASE WHEN m < -0.05 THEN 'error' WHEN m < 0.02 THEN 'warning' END AS severity FROM s UNION ALL SELECT model_id, 'hit_rate', CASE WHEN h < 0.4 THEN 'error' WHEN h < 0.52 THEN 'warning' END FROM s) WHERE severity IS NOT NULL""")
+_BREACH = _IC + """, bs AS (SELECT model_id, avg(ic) AS m, avg((ic > 0)::INT) AS h FROM ic GROUP BY 1), bg AS (SELECT model_id, abs(avg(proba) - avg(label)) AS g FROM dn GROUP BY 1), br AS (SELECT model_id, metric, severity FROM (SELECT model_id, 'mean_ic' AS metric, CASE WHEN m < -0.05 THEN 'error' WHEN m < 0.02 THEN 'warning' END AS severity FROM bs
+UNION ALL SELECT model_id, 'hit_rate', CASE WHEN h < 0.4 THEN 'error' WHEN h < 0.52 THEN 'warning' END FROM bs UNION ALL SELECT model_id, 'calibration', CASE WHEN g > 0.1 THEN 'error' WHEN g > 0.01 THEN 'warning' END FROM bg) WHERE severity IS NOT NULL)"""
+
+
+@query("breach_rules", f"WITH {_BREACH} SELECT model_id, metric, severity FROM br")
 def breach_rules(spark, sf):
     s = ics(spark, sf).groupBy("model_id").agg(F.avg("ic").alias("m"), F.avg((F.col("ic") > 0).cast("int")).alias("h"))
-    rule = lambda name, x, low, mid: F.struct(F.lit(name).alias("metric"), F.when(F.col(x) < low, "error").when(F.col(x) < mid, "warning").alias("severity"))
-    return s.select("model_id", F.explode(F.array(rule("mean_ic", "m", -0.05, 0.02), rule("hit_rate", "h", 0.4, 0.52))).alias("x")).select("model_id", "x.*").where("severity is not null")
+    s = s.join(done(spark, sf).groupBy("model_id").agg(F.abs(F.avg("proba") - F.avg("label")).alias("g")), "model_id", "full")
+    rule = lambda name, error, warning: F.struct(F.lit(name).alias("metric"), F.when(F.expr(error), "error").when(F.expr(warning), "warning").alias("severity"))
+    rules = F.array(rule("mean_ic", "m < -0.05", "m < 0.02"), rule("hit_rate", "h < 0.4", "h < 0.52"), rule("calibration", "g > 0.1", "g > 0.01"))
+    return s.select("model_id", F.explode(rules).alias("x")).select("model_id", "x.*").where("severity is not null")
 
 
-@query("retrain_due", f"""WITH {DONE}, l AS (SELECT model_id, max(trade_date) AS last, max(trade_date) FILTER (fold < 4) AS trained FROM dn GROUP BY 1) SELECT model_id, last - trained AS age_days, CASE WHEN last - trained > 365 THEN 'older than a year' ELSE 'fresh' END AS reason FROM l""")
+@query("retrain_due", f"""WITH {_BREACH}, l AS (SELECT model_id, max(trade_date) AS last, max(trade_date) FILTER (fold < 4) AS trained, CASE model_id WHEN 'A' THEN 'core:2' ELSE 'core:1' END AS features FROM dn GROUP BY 1)
+SELECT model_id, 'schedule' AS kind, CAST(last - trained AS BIGINT) AS age_days FROM l WHERE last - trained > 365 UNION ALL SELECT model_id, 'new_feature_set', NULL FROM l WHERE features <> 'core:2' UNION ALL SELECT model_id, metric, NULL FROM br""")
 def retrain_due(spark, sf):
+    """Why a model is due: its training data is over a year old, the features in force are not those it was fitted on, or a metric is in breach."""
     s = done(spark, sf).groupBy("model_id").agg(F.max("trade_date").alias("last"), F.max(F.when(F.col("fold") < 4, F.col("trade_date"))).alias("trained"))
-    age = F.datediff("last", "trained").cast("bigint")
-    return s.select("model_id", age.alias("age_days"), F.when(age > 365, "older than a year").otherwise("fresh").alias("reason"))
+    fitted_on = F.when(F.col("model_id") == "A", "core:2").otherwise("core:1")
+    return L.retrain_reasons(s.withColumn("features", fitted_on), breach_rules(spark, sf), "core:2", 365)
 
 
 _LOG = DONE + ", lg AS (SELECT 'swing' || instrument_id % 3 AS strategy, model_id || '-' || fold AS model_id, max(trade_date) AS at_, CASE WHEN fold % 2 = 0 THEN 'champion' ELSE 'shadow' END AS status FROM dn GROUP BY instrument_id % 3, model_id, fold)"

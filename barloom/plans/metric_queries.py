@@ -174,9 +174,9 @@ def ece(spark, sf):
     return _round(S.ece(done(spark, sf).where("model_id = 'A'"), "proba", "label"), (), "ece")
 
 
-@query("holding_table", f"WITH {_BIN} SELECT bin, count(*) AS n, quantile_cont(holding, 0.5) AS median, quantile_cont(holding, 0.75) AS p75 FROM bn GROUP BY 1")
+@query("holding_table", f"WITH {_BIN} SELECT bin, count(*) AS n, quantile_cont(holding, 0.5) AS median, quantile_cont(holding, 0.75) AS p75, {fl('avg((holding >= 10)::INT)')} AS timed_out FROM bn GROUP BY 1")
 def holding_table(spark, sf):
-    return S.holding_table(done(spark, sf).where("model_id = 'A'"), "proba", "holding", 10)
+    return S.holding_table(done(spark, sf).where("model_id = 'A'"), "proba", "holding", 10, 10).withColumn("timed_out", rnd("timed_out"))
 
 
 @query("holding_lookup", f"WITH {_BIN}, h AS (SELECT bin, quantile_cont(holding, 0.5) AS median FROM bn GROUP BY 1) SELECT instrument_id, trade_date, median FROM bn JOIN h USING (bin)")
@@ -208,16 +208,20 @@ def calibration_report(spark, sf):
     return _round(S.brier_logloss(rows, "p", "label", "model_id", "fold", "variant"), ("model_id", "fold", "variant", "n"), "brier")
 
 
-@query("evidence_monthly", f"""WITH {DONE}, m AS (SELECT DISTINCT CAST(date_trunc('month', trade_date) AS DATE) AS month FROM dn WHERE trade_date >= DATE '2000-01-01'),
-e AS (SELECT month, count(*) AS n, avg(proba) - avg(label) AS gap FROM m JOIN dn ON end_date < month AND model_id = 'A' GROUP BY 1) SELECT month, n, {fl('gap')} AS gap FROM e""")
+@query("evidence_monthly", f"""WITH {DONE}, m AS (SELECT DISTINCT CAST(date_trunc('month', trade_date) AS DATE) AS month FROM dn), k AS (SELECT month, fold, proba, label FROM m JOIN dn ON end_date < month AND model_id = 'A'),
+r AS (SELECT month, fold, label, {AVG_RANK.format(by='month, fold', x='proba')} AS r FROM k), au AS (SELECT month, fold, count(*) AS n, (sum(r) FILTER (label = 1) - count(*) FILTER (label = 1) * (count(*) FILTER (label = 1) + 1) / 2.0::DOUBLE) / nullif(count(*) FILTER (label = 1) * count(*) FILTER (label = 0), 0) AS auc FROM r GROUP BY 1, 2),
+a AS (SELECT month, sum(n * auc) / sum(n) AS auc, count(*) AS folds FROM au WHERE n >= 500 AND auc IS NOT NULL GROUP BY 1), e AS (SELECT month, count(*) AS n, avg(proba) - avg(label) AS gap FROM k GROUP BY 1) SELECT month, n, {fl('gap')} AS gap, {fl('auc')} AS auc, coalesce(folds, 0) AS folds FROM e LEFT JOIN a USING (month)""")
 def evidence_monthly(spark, sf):
     # labels ended before a month are those of all earlier end months: a running sum over months, no range join
-    d = done(spark, sf)
-    ended = d.where("model_id = 'A'").groupBy(F.trunc("end_date", "month").alias("month")).agg(F.count("*").alias("k"), F.sum("proba").alias("p"), F.sum("label").alias("y"))
-    months = d.where("trade_date >= date'2000-01-01'").select(F.trunc("trade_date", "month").alias("month")).distinct().withColumn("asked", F.lit(True))
+    d = done(spark, sf).where("model_id = 'A'")
+    ended = d.groupBy(F.trunc("end_date", "month").alias("month")).agg(F.count("*").alias("k"), F.sum("proba").alias("p"), F.sum("label").alias("y"))
+    months = d.select(F.trunc("trade_date", "month").alias("month")).distinct()
     w = Window.orderBy("month").rowsBetween(Window.unboundedPreceding, -1)  # one row per month
-    rows = months.join(ended, "month", "full").select("month", "asked", F.sum("k").over(w).alias("n"), F.sum("p").over(w).alias("p"), F.sum("y").over(w).alias("y")).where("asked and n > 0")
-    return rows.select("month", "n", rnd((F.col("p") - F.col("y")) / F.col("n")).alias("gap"))
+    rows = months.withColumn("asked", F.lit(True)).join(ended, "month", "full").select("month", "asked", F.sum("k").over(w).alias("n"), F.sum("p").over(w).alias("p"), F.sum("y").over(w).alias("y")).where("asked and n > 0")
+    areas = S.evidence_by_month(d, 500).withColumnRenamed("month", "since")
+    latest = months.join(F.broadcast(areas), F.col("since") <= F.col("month")).groupBy("month", "fold").agg(F.max_by("auc", "since").alias("auc"), F.max_by("n", "since").alias("n"))  # one row per fold and month
+    area = latest.groupBy("month").agg((F.sum(F.col("n") * F.col("auc")) / F.sum("n")).alias("auc"), F.count("*").alias("folds"))
+    return rows.join(area, "month", "left").select("month", "n", rnd((F.col("p") - F.col("y")) / F.col("n")).alias("gap"), rnd("auc").alias("auc"), F.coalesce("folds", F.lit(0)).alias("folds"))
 
 
 @query("similar_signals", f"""WITH {_BIN} SELECT bin, count(*) AS n, {fl('avg(label)')} AS win_rate, {fl('avg(fwd)')} AS mean_return FROM bn GROUP BY ROLLUP (bin)""")
@@ -253,11 +257,62 @@ def top_contributions(spark, sf):
     return rows.select("model_id", "instrument_id", "trade_date", "x.feature", rnd("x.part").alias("part"))
 
 
-@query("model_compare", f"""WITH {_IC}, b AS (SELECT a.trade_date, a.ic AS x, b.ic AS y FROM ic a JOIN ic b ON a.trade_date = b.trade_date AND a.model_id = 'A' AND b.model_id = 'B') SELECT count(*) AS n, {fl('avg(x - y)')} AS mean_difference, {fl('avg((x > y)::INT)')} AS better FROM b""")
+def boot_sql(days: str, columns: tuple[str, ...], resamples: int, block: float, seed: int, name: str) -> str:
+    """SQL of resampled: {name}r (b, t, columns) from a table of trade_date and the columns, with the days as they were at b = -1."""
+    u = lambda k, t: f"(CAST(('0x' || substr(md5('{seed + k}-' || b || '-' || {t}), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE)"
+    cols = ", ".join(columns)
+    return f"""{name}i AS (SELECT {cols}, row_number() OVER (ORDER BY trade_date) - 1 AS i FROM {days}), {name}n AS (SELECT count(*) AS n FROM {name}i),
+{name}t AS (SELECT b, t, max(CASE WHEN t = 0 OR {u(0, 't')} < {1 / block!r}::DOUBLE THEN t END) OVER (PARTITION BY b ORDER BY t) AS at_ FROM range(0, {resamples}) rb(b), (SELECT unnest(range(0, n)) AS t FROM {name}n)),
+{name}r AS (SELECT b, t, {cols} FROM (SELECT b, t, (CAST(floor({u(1, 'at_')} * n) AS BIGINT) + t - at_) % n AS i FROM {name}t, {name}n) JOIN {name}i USING (i) UNION ALL SELECT -1, i, {cols} FROM {name}i)"""
+
+
+def path_sql(rows: str, columns: tuple[str, ...], name: str) -> str:
+    """SQL of path_metrics."""
+    each = lambda f: ", ".join(f.format(c=c) for c in columns)
+    return f"""{name}g AS (SELECT *, {each('sum(ln(1 + {c})) OVER w AS grown_{c}')} FROM {rows} WINDOW w AS (PARTITION BY b ORDER BY t)), {name}f AS (SELECT *, {each('grown_{c} - greatest(max(grown_{c}) OVER w, 0) AS fall_{c}')} FROM {name}g WINDOW w AS (PARTITION BY b ORDER BY t)),
+{name} AS (SELECT b, {each('avg({c}) / nullif(stddev_samp({c}), 0) * sqrt(252) AS sharpe_{c}, 252 * avg(ln(1 + {c})) AS growth_{c}, exp(min(fall_{c})) - 1 AS drawdown_{c}')} FROM {name}f GROUP BY b)"""
+
+
+#: Next-bar returns of each day: the three best names of A (a) and of B (b_ret), and all names (bench).
+DAILY = DONE + """, nx AS (SELECT instrument_id, trade_date, lead(close) OVER (PARTITION BY instrument_id ORDER BY bar_idx) / close - 1 AS nxt FROM own),
+pn AS (SELECT model_id, trade_date, nxt, row_number() OVER (PARTITION BY model_id, trade_date ORDER BY score DESC, instrument_id) AS r FROM dn JOIN nx USING (instrument_id, trade_date)),
+daily AS (SELECT trade_date, avg(nxt) FILTER (model_id = 'A' AND r <= 3) AS a, avg(nxt) FILTER (model_id = 'B' AND r <= 3) AS b_ret, avg(nxt) FILTER (model_id = 'A') AS bench FROM pn GROUP BY 1 HAVING a IS NOT NULL AND b_ret IS NOT NULL)"""
+
+
+def daily_returns(spark, sf):
+    ahead = P.own_bars(spark, sf).select("instrument_id", "trade_date", (F.lead("close").over(own()) / F.col("close") - 1).alias("nxt"))
+    best = Window.partitionBy("model_id", "trade_date").orderBy(F.desc("score"), "instrument_id")
+    rows = done(spark, sf).join(ahead, ["instrument_id", "trade_date"]).withColumn("r", F.row_number().over(best))
+    mean = lambda when: F.avg(F.when(F.expr(when), F.col("nxt")))
+    return rows.groupBy("trade_date").agg(mean("model_id = 'A' and r <= 3").alias("a"), mean("model_id = 'B' and r <= 3").alias("b_ret"), mean("model_id = 'A'").alias("bench")).where("a is not null and b_ret is not null")
+
+
+def _ece_sql(model: str) -> str:
+    return f"""(WITH e AS (SELECT quantile_cont(proba, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e FROM dn WHERE model_id = '{model}'), g AS (SELECT len(list_filter(e, lambda x: x <= proba)) AS bin, count(*) AS n, abs(avg(proba) - avg(label)) AS g FROM dn, e WHERE model_id = '{model}' GROUP BY 1) SELECT sum(n * g) / sum(n) FROM g)"""
+
+
+@query("model_compare", f"""WITH {_IC.replace(DONE, DAILY)}, b AS (SELECT a.trade_date, a.ic AS x, b.ic AS y FROM ic a JOIN ic b ON a.trade_date = b.trade_date AND a.model_id = 'A' AND b.model_id = 'B'), {boot_sql('b', ('x', 'y'), 200, 10.0, 21, 'ci')}, {boot_sql('daily', ('a', 'b_ret'), 200, 10.0, 23, 'cs')}, {path_sql('csr', ('a', 'b_ret'), 'ms')},
+j AS (SELECT (SELECT count(*) FROM b) AS n, (SELECT avg(y - x) FROM b) AS mean_difference, (SELECT avg((y > x)::INT) FROM b) AS better, (SELECT quantile_cont(d, 0.05) FROM (SELECT avg(y - x) AS d FROM cir WHERE b >= 0 GROUP BY b)) AS ic_low, (SELECT quantile_cont(sharpe_b_ret - sharpe_a, 0.05) FROM ms WHERE b >= 0) AS sharpe_low,
+ (SELECT drawdown_a FROM ms WHERE b = -1) AS drawdown_a, (SELECT drawdown_b_ret FROM ms WHERE b = -1) AS drawdown_b, {_ece_sql('A')} AS ece_a, {_ece_sql('B')} AS ece_b)
+SELECT n, {", ".join(f"{fl(c)} AS {c}" for c in ("mean_difference", "better", "ic_low", "sharpe_low", "drawdown_a", "drawdown_b", "ece_a", "ece_b"))}, (ic_low > 0 OR sharpe_low > 0) AND drawdown_b >= drawdown_a - 0.05 AND ece_b <= ece_a + 0.02 AS passed FROM j""")
 def model_compare(spark, sf):
+    """Challenger B against champion A: rank correlations and portfolios with lower bounds at 5 % over one attempt, falls, calibration, verdict."""
     x = ics(spark, sf)
     a, b = x.where("model_id = 'A'").select("trade_date", F.col("ic").alias("x")), x.where("model_id = 'B'").select("trade_date", F.col("ic").alias("y"))
-    return a.join(b, "trade_date").agg(F.count("*").alias("n"), rnd(F.avg(F.col("x") - F.col("y"))).alias("mean_difference"), rnd(F.avg((F.col("x") > F.col("y")).cast("int"))).alias("better"))
+    pairs, daily, d = a.join(b, "trade_date"), daily_returns(spark, sf).drop("bench"), done(spark, sf)
+    parts = [
+        pairs.agg(F.count("*").alias("n"), F.avg(F.col("y") - F.col("x")).alias("mean_difference"), F.avg((F.col("y") > F.col("x")).cast("double")).alias("better")),
+        S.resampled(pairs, 200, 10.0, 21).groupBy("b").agg(F.avg(F.col("y") - F.col("x")).alias("d")).agg(F.percentile("d", F.lit(0.05)).alias("ic_low")),
+        S.bootstrap(daily, 200, 10.0, 23).agg(F.percentile(-F.col("difference"), F.lit(0.05)).alias("sharpe_low")),
+        S.path_metrics(daily.withColumnRenamed("trade_date", "t").withColumn("b", F.lit(-1)), ("a", "b_ret")).select(F.col("drawdown_a"), F.col("drawdown_b_ret").alias("drawdown_b")),
+        S.ece(d.where("model_id = 'A'"), "proba", "label").withColumnRenamed("ece", "ece_a"), S.ece(d.where("model_id = 'B'"), "proba", "label").withColumnRenamed("ece", "ece_b"),
+    ]
+    row = parts[0]
+    for part in parts[1:]:
+        row = row.crossJoin(F.broadcast(part))  # one row each
+    passed = ((F.col("ic_low") > 0) | (F.col("sharpe_low") > 0)) & (F.col("drawdown_b") >= F.col("drawdown_a") - 0.05) & (F.col("ece_b") <= F.col("ece_a") + 0.02)
+    numbers = [c for c in row.columns if c != "n"]
+    return row.select("n", *[rnd(c).alias(c) for c in numbers], passed.alias("passed"))
 
 
 # drift
@@ -421,16 +476,35 @@ def thesis_information(spark, sf):
     return _round(rows.groupBy("flag").agg(F.count_if("on").alias("n"), F.avg(F.when(F.col("on"), F.col("fwd"))).alias("flagged"), F.avg(F.when(~F.col("on"), F.col("fwd"))).alias("clear")), ("flag", "n"), "flagged", "clear")
 
 
-@query("bootstrap")
+_PAIR = P.BARS + "," + P.BENCH + """, pr AS (SELECT b.trade_date, b.close / lag(b.close) OVER w - 1 AS a, f.close / lag(f.close) OVER w - 1 AS b_ret FROM bench b JOIN fallback f USING (trade_date) WINDOW w AS (ORDER BY trade_date)), pd AS (SELECT * FROM pr WHERE a IS NOT NULL)"""
+
+
+@query("bootstrap", f"""WITH {_PAIR}, {boot_sql('pd', ('a', 'b_ret'), 200, 10.0, 7, 'bs')}, {path_sql('bsr', ('a', 'b_ret'), 'ms')},
+l AS (SELECT b, unnest(['sharpe', 'growth', 'drawdown']) AS metric, unnest([sharpe_a, growth_a, drawdown_a]) AS a, unnest([sharpe_b_ret, growth_b_ret, drawdown_b_ret]) AS o FROM ms), d AS (SELECT b, metric, unnest(['a', 'b', 'difference']) AS side, unnest([a, o, a - o]) AS x FROM l)
+SELECT metric, side, {fl('max(x) FILTER (b = -1)', 5)} AS point, {fl('quantile_cont(x, 0.05) FILTER (b >= 0)', 5)} AS low, {fl('quantile_cont(x, 0.5) FILTER (b >= 0)', 5)} AS mid, {fl('quantile_cont(x, 0.95) FILTER (b >= 0)', 5)} AS high FROM d GROUP BY 1, 2""")
 def bootstrap(spark, sf):
+    """Sharpe, log growth and deepest fall of the benchmark, its fallback and their difference: as they were, and over 200 paired block resamples."""
     b = P.bench(spark, sf).select("trade_date", "close").join(P.bench_fallback(spark, sf).select("trade_date", F.col("close").alias("other")), "trade_date")
     w = Window.orderBy("trade_date")  # one row per date
     days = b.select("trade_date", (F.col("close") / F.lag("close").over(w) - 1).alias("a"), (F.col("other") / F.lag("other").over(w) - 1).alias("b_ret")).where("a is not null")
-    return S.interval(S.bootstrap(days, 200, 10.0, 7), "difference")
-
-
-@query("decision_table", f"""WITH {_IC}, {_AUC}, v AS (SELECT 'mean_ic' AS criterion, (SELECT avg(ic) FROM ic WHERE model_id = 'A') AS value, 0.0::DOUBLE AS threshold UNION ALL SELECT 'auc', (SELECT avg(auc) FROM au WHERE model_id = 'A'), 0.5) SELECT criterion, {fl('value')} AS value, threshold, value > threshold AS ok FROM v""")
+    seen = S.path_metrics(days.withColumnRenamed("trade_date", "t").withColumn("b", F.lit(-1).cast("bigint")), ("a", "b_ret"))
+    both = S.bootstrap(days, 200, 10.0, 7).drop("difference").unionByName(seen)
+    side = lambda m, name, x: F.struct(F.lit(m).alias("metric"), F.lit(name).alias("side"), x.alias("x"))
+    rows = [s for m in ("sharpe", "growth", "drawdown") for s in (side(m, "a", F.col(f"{m}_a")), side(m, "b", F.col(f"{m}_b_ret")), side(m, "difference", F.col(f"{m}_a") - F.col(f"{m}_b_ret")))]
+    long = both.select("b", F.explode(F.array(*rows)).alias("r")).select("b", "r.*")
+    drawn = F.when(F.col("b") >= 0, F.col("x"))
+    s = long.groupBy("metric", "side").agg(F.max(F.when(F.col("b") < 0, F.col("x"))).alias("point"), *[F.percentile(drawn, F.lit(q)).alias(c) for c, q in (("low", 0.05), ("mid", 0.5), ("high", 0.95))])
+    return _round(s, ("metric", "side"), "point", "low", "mid", "high", places=5)
+
+
+@query("decision_table", f"""WITH {_IC}, {_AUC}, v AS (SELECT 'mean_ic' AS criterion, (SELECT avg(ic) FROM ic WHERE model_id = 'A') AS value, 0.0::DOUBLE AS threshold, true AS above UNION ALL SELECT 'ic_hit_rate', (SELECT avg((ic > 0)::INT) FROM ic WHERE model_id = 'A'), 0.5, true
+UNION ALL SELECT 'auc', (SELECT avg(auc) FROM au WHERE model_id = 'A'), 0.5, true UNION ALL SELECT 'ece', {_ece_sql('A')}, 0.05, false), o AS (SELECT criterion, value, threshold, CASE WHEN above THEN value > threshold ELSE value < threshold END AS ok FROM v)
+SELECT criterion, {fl('value')} AS value, threshold, ok FROM o UNION ALL SELECT 'all', NULL, NULL, bool_and(ok) FROM o""")
 def decision_table(spark, sf):
-    ic = ics(spark, sf).where("model_id = 'A'").agg(F.avg("ic").alias("value")).select(F.lit("mean_ic").alias("criterion"), "value", F.lit(0.0).alias("threshold"))
-    a = S.auc(done(spark, sf), "proba", "label", ("model_id", "fold")).where("model_id = 'A'").agg(F.avg("auc").alias("value")).select(F.lit("auc").alias("criterion"), "value", F.lit(0.5).alias("threshold"))
-    return ic.unionByName(a).select("criterion", rnd("value").alias("value"), "threshold", (F.col("value") > F.col("threshold")).alias("ok"))
+    d = done(spark, sf)
+    criterion = lambda df, name, x, threshold, above: df.agg(x.alias("value")).select(F.lit(name).alias("criterion"), "value", F.lit(threshold).alias("threshold"), (F.col("value") > threshold if above else F.col("value") < threshold).alias("ok"))
+    ic, areas = ics(spark, sf).where("model_id = 'A'"), S.auc(d, "proba", "label", ("model_id", "fold")).where("model_id = 'A'")
+    rows = criterion(ic, "mean_ic", F.avg("ic"), 0.0, True).unionByName(criterion(ic, "ic_hit_rate", F.avg((F.col("ic") > 0).cast("double")), 0.5, True))
+    rows = rows.unionByName(criterion(areas, "auc", F.avg("auc"), 0.5, True)).unionByName(criterion(S.ece(d.where("model_id = 'A'"), "proba", "label"), "ece", F.max("ece"), 0.05, False))
+    whole = rows.agg(F.bool_and("ok").alias("ok")).select(F.lit("all").alias("criterion"), F.lit(None).cast("double").alias("value"), F.lit(None).cast("double").alias("threshold"), "ok")
+    return rows.unionByName(whole).withColumn("value", rnd("value"))

@@ -201,3 +201,29 @@ def test_invest_levels_and_refusals(spark):
     assert (a.zone_low, a.zone_high, a.reference, a.bear, a.base, a.bull) == pytest.approx((19.4, 20.2, 19.8, 17.8, 20.8, 23.8))
     assert (a.weight, a.quantity, a.reason) == (0.1, 4900, None)
     assert [got[k].reason for k in (2, 3, 4, 5)] == ["zone outside the band", "no scenarios", "less than a lot", "no price"]
+
+
+def test_small_buckets_join_their_smaller_neighbour():
+    assert S.merged_edges([0.1, 0.2, 0.3], [5, 50, 200, 200], 100) == [0.3]
+    assert S.merged_edges([0.1, 0.2], [100, 3, 40], 40) == [0.1]
+    assert S.merged_edges([0.1], [1, 1], 100) == []
+    assert S.merged_edges([], [7], 100) == []
+
+
+def test_evidence_uses_only_labels_that_ended(spark):
+    rows = [(0, p, y, datetime.date(2020, 1, 5 + i)) for i, (p, y) in enumerate([(0.1, 0), (0.9, 1)])] + [(0, 0.5, 1, datetime.date(2020, 3, 1)), (1, 0.3, 1, datetime.date(2020, 3, 2))]
+    df = spark.createDataFrame(rows, "fold int, proba double, label int, end_date date")
+    got = {(r.fold, str(r.month)): (r.n, r.auc) for r in S.evidence_by_month(df, 1).collect()}
+    assert got == {(0, "2020-02-01"): (2, 1.0), (0, "2020-04-01"): (3, 1.0)}  # fold 1 has one class
+
+
+def test_path_metrics_by_hand(spark):
+    df = spark.createDataFrame([(0, 0, 0.1), (0, 1, -0.5), (0, 2, 0.2)], "b bigint, t bigint, a double")
+    r = S.path_metrics(df, ("a",)).first()
+    assert r.drawdown_a == pytest.approx(-0.5) and r.growth_a == pytest.approx(84 * math.log(1.1 * 0.5 * 1.2))
+
+
+def test_reasons_to_fit_again(spark):
+    m = spark.createDataFrame([("A", datetime.date(2021, 6, 1), D0, "v2"), ("B", D0, D0, "v1")], "model_id string, last date, trained date, features string")
+    b = spark.createDataFrame([("B", "mean_ic")], "model_id string, metric string")
+    assert {(r.model_id, r.kind) for r in L.retrain_reasons(m, b, "v2", 365).collect()} == {("A", "schedule"), ("B", "new_feature_set"), ("B", "mean_ic")}
