@@ -18,6 +18,27 @@ def rebalance_sessions(calendar: DataFrame, period: str) -> DataFrame:
     return calendar.groupBy(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).agg(F.min("session_idx").alias("session_idx"), F.min("trade_date").alias("trade_date")).select("session_idx", "trade_date")
 
 
+def session_after(calendar: DataFrame, k: int, name: str) -> DataFrame:
+    """The k-th session after each; beyond the last known session it goes on by weekdays."""
+    ahead = calendar.select((F.col("session_idx") - k).alias("session_idx"), F.col("trade_date").alias(name))
+    end = calendar.agg(F.max("trade_date").alias("last_date"), F.max("session_idx").alias("last_idx"))
+    days = F.filter(F.sequence(F.date_add("last_date", 1), F.date_add("last_date", 2 * k + 3)), lambda d: F.weekday(d) < 5)
+    rows = calendar.join(ahead, "session_idx", "left").crossJoin(F.broadcast(end))  # one row
+    return rows.withColumn(name, F.coalesce(name, F.try_element_at(days, (F.col("session_idx") + k - F.col("last_idx")).cast("int")))).drop("last_date", "last_idx")
+
+
+def next_period(date: str, period: str) -> Column:
+    """First weekday of the week, month or quarter after a date's own."""
+    start = F.trunc(date, period)
+    after = {"week": F.date_add(start, 7), "month": F.add_months(start, 1), "quarter": F.add_months(start, 3)}[period]
+    return F.date_add(after, F.when(F.weekday(after) == 5, 2).when(F.weekday(after) == 6, 1).otherwise(0))
+
+
+def seeded_random(seed: int, *keys: str) -> Column:
+    """A number in [0, 1) drawn by md5 of the seed and the keys: the same in every run."""
+    return F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), *[F.col(k) for k in keys])), 1, 8), 16, 10).cast("bigint") / 4294967296.0
+
+
 def top_k(rows: DataFrame, score: str, k: int, highest: bool = True, by: tuple[str, ...] = ("trade_date",)) -> DataFrame:
     """The k best of each group, nulls never, ties by instrument."""
     order = F.col(score).desc() if highest else F.col(score).asc()
@@ -170,42 +191,65 @@ def inferred_band(grid: DataFrame, allowed: tuple[float, ...] = (0.07, 0.1, 0.15
 # orders against bars
 
 
+def market_conditions(grid: DataFrame, statuses: DataFrame, band: float) -> DataFrame:
+    """Bars with what stops a trade: suspended, up_locked (all at the ceiling: nobody sells), down_locked (all at the floor: nobody buys).
+
+    grid: instrument_id, trade_date, session_idx, prices; statuses: intervals [valid_from, valid_to). The band is taken around the
+    last close before the session.
+    """
+    w = Window.partitionBy("instrument_id").orderBy("session_idx").rowsBetween(Window.unboundedPreceding, -1)
+    s = statuses.where("status = 'suspended'").select(F.col("instrument_id").alias("sid"), "valid_from", "valid_to", F.lit(True).alias("stopped")).distinct()
+    on = (F.col("instrument_id") == F.col("sid")) & (F.col("trade_date") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("trade_date") < F.col("valid_to")))
+    rows = grid.withColumn("ref", F.last("close", ignorenulls=True).over(w)).join(s, on, "left")
+    one_price = F.col("high") == F.col("low")
+    up = one_price & (F.col("high") >= tick_round(F.col("ref") * (1 + band), False))
+    down = one_price & (F.col("low") <= tick_round(F.col("ref") * (1 - band), True))
+    no = F.lit(False)
+    return rows.select(*grid.columns, F.coalesce("stopped", no).alias("suspended"), F.coalesce(up, no).alias("up_locked"), F.coalesce(down, no).alias("down_locked"))
+
+
 def entry_fills(orders: DataFrame, bars: DataFrame) -> DataFrame:
     """First fill of each order in its sessions, or why there is none.
 
     orders: order_id, instrument_id, first, last (session numbers), kind (open, limit, stop, zone), low, high,
-    cap. open: at the open; limit: at the lower of open and limit; stop: at the higher of open and trigger;
-    zone: at an open inside [low, high]. An open above the cap cancels the order on its first session.
+    cap; bars: of market_conditions. open: at the open; limit: at the lower of open and limit; stop: at the higher of open and
+    trigger; zone: at an open inside [low, high]. An open above the cap cancels the order on its first session. Sessions
+    suspended or locked at the ceiling fill nothing.
     """
-    b = bars.select(F.col("instrument_id").alias("bid"), "session_idx", "open", F.col("high").alias("bh"), F.col("low").alias("bl"))
-    seen = orders.join(b, (F.col("instrument_id") == F.col("bid")) & F.col("session_idx").between(F.col("first"), F.col("last")) & F.col("open").isNotNull(), "left")
+    b = bars.where("open is not null or suspended").select(F.col("instrument_id").alias("bid"), "session_idx", F.when(~F.col("suspended"), F.col("open")).alias("open"), F.col("high").alias("bh"), F.col("low").alias("bl"), "suspended", "up_locked")
+    seen = orders.join(b, (F.col("instrument_id") == F.col("bid")) & F.col("session_idx").between(F.col("first"), F.col("last")), "left")
     o, kind = F.col("open"), F.col("kind")
     price = (
         F.when(kind == "open", o).when((kind == "limit") & (F.col("bl") <= F.col("high")), F.least(o, F.col("high")))
         .when((kind == "stop") & (F.col("bh") >= F.col("low")), F.greatest(o, F.col("low"))).when((kind == "zone") & o.between(F.col("low"), F.col("high")), o)
     )
-    price = F.when(o <= F.col("cap"), price)
+    price = F.when((o <= F.col("cap")) & ~F.col("up_locked"), price)
     gone = (F.col("session_idx") == F.col("first")) & (o > F.col("cap"))
     s = seen.withColumn("price", price).groupBy("order_id", "instrument_id").agg(
-        F.min_by(F.struct("session_idx", "price"), F.when(F.col("price").isNotNull(), F.col("session_idx"))).alias("fill"), F.max(F.coalesce(gone, F.lit(False))).alias("gone"), F.count("session_idx").alias("sessions")
+        F.min_by(F.struct("session_idx", "price"), F.when(F.col("price").isNotNull(), F.col("session_idx"))).alias("fill"), F.max(F.coalesce(gone, F.lit(False))).alias("gone"),
+        F.count("open").alias("sessions"), F.count_if("suspended").alias("halts"), F.count_if(F.col("open").isNotNull() & F.col("up_locked")).alias("locks"),
     )
     ok = F.col("fill.price").isNotNull() & ~F.col("gone")
-    reason = F.when(F.col("gone"), "cancelled: opened above cap").when(F.col("sessions") == 0, "no bar").when(~ok, "expired")
+    reason = (
+        F.when(F.col("gone"), "cancelled: opened above cap").when((F.col("sessions") == 0) & (F.col("halts") > 0), "suspended").when(F.col("sessions") == 0, "no bar")
+        .when(~ok & (F.col("locks") == F.col("sessions")), "locked at the ceiling").when(~ok, "expired")
+    )
     return s.select("order_id", "instrument_id", F.when(ok, F.col("fill.session_idx")).alias("session_idx"), F.when(ok, F.col("fill.price")).alias("price"), reason.alias("reason"))
 
 
-def bracket_exits(trades: DataFrame, bars: DataFrame, settle: int = 2) -> DataFrame:
+def bracket_exits(trades: DataFrame, bars: DataFrame, settle: int = 2, grace: int = 5) -> DataFrame:
     """First exit after settlement: stop gap, target gap, stop, target, or time at the close of the last session.
 
-    trades: trade_id, instrument_id, entry (session), price, stop, target, max_hold.
+    trades: trade_id, instrument_id, entry (session), price, stop, target, max_hold; bars: of market_conditions. Sessions suspended
+    or locked at the floor are skipped; a time exit that falls on one is made in the next `grace` sessions, else the trade stays open.
     """
-    b = bars.select(F.col("instrument_id").alias("bid"), "session_idx", F.col("open").alias("o"), F.col("high").alias("h"), F.col("low").alias("l"), F.col("close").alias("c"))
-    on = (F.col("instrument_id") == F.col("bid")) & F.col("session_idx").between(F.col("entry") + settle + 1, F.col("entry") + F.col("max_hold")) & F.col("c").isNotNull()
+    b = bars.where("close is not null and not suspended and not down_locked").select(F.col("instrument_id").alias("bid"), "session_idx", F.col("open").alias("o"), F.col("high").alias("h"), F.col("low").alias("l"), F.col("close").alias("c"))
+    on = (F.col("instrument_id") == F.col("bid")) & F.col("session_idx").between(F.col("entry") + settle + 1, F.col("entry") + F.col("max_hold") + grace)
     o = F.col("o")
     event = (
         F.when(o <= F.col("stop"), F.struct(o.alias("price"), F.lit("stop gap").alias("reason"))).when(o >= F.col("target"), F.struct(o.alias("price"), F.lit("target gap").alias("reason")))
         .when(F.col("l") <= F.col("stop"), F.struct(F.col("stop").alias("price"), F.lit("stop").alias("reason"))).when(F.col("h") >= F.col("target"), F.struct(F.col("target").alias("price"), F.lit("target").alias("reason")))
-        .when(F.col("session_idx") == F.col("entry") + F.col("max_hold"), F.struct(F.col("c").alias("price"), F.lit("time").alias("reason")))
+        .when(F.col("session_idx") >= F.col("entry") + F.col("max_hold"), F.struct(F.col("c").alias("price"), F.lit("time").alias("reason")))
     )
     rows = trades.join(b, on, "left").withColumn("event", event)
     s = rows.groupBy("trade_id", "instrument_id", "price", "entry").agg(F.min_by(F.struct("session_idx", "event"), F.when(F.col("event").isNotNull(), F.col("session_idx"))).alias("x"))

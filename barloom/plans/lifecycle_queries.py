@@ -15,7 +15,7 @@ from barloom.operators import portfolio as T
 from barloom.plans.feature_queries import DATASET, dataset, fl, grid
 from barloom.plans.market_queries import ALL, _UNION, some_findings
 from barloom.plans.metric_queries import _IC, DAILY, DONE, EQ, _round, boot_sql, daily_returns, done, equity, ics, path_sql
-from barloom.plans.portfolio_queries import _CARD, _EXIT, _ORD, _TOP, TRAILING, _dn, _near, _up, best, cards, exits, fills, trailing
+from barloom.plans.portfolio_queries import _CARD, _EXIT, _GRADED, _TOP, TRAILING, _dn, _near, _up, best, cards, evidence_grade, exits, fills, market, orders, trailing
 from barloom.plans.registry import query
 from barloom.plans.system_queries import FEATURES, _model_rows
 from barloom.sources import files
@@ -173,9 +173,15 @@ def live_performance(spark, sf):
     )
 
 
-@query("ops_metrics", f"WITH {_ORD} SELECT count(*) AS orders, count(price) AS filled, {fl('count(price) / nullif(count(*), 0)')} AS fill_rate, count(*) FILTER (reason = 'expired') AS expired FROM fills")
+@query("ops_metrics", f"""WITH {_EXIT} SELECT count(*) AS orders, count(price) AS filled, {fl('count(price) / nullif(count(*), 0)')} AS fill_rate, count(*) FILTER (reason = 'expired') AS expired, (SELECT {fl('avg(exit - entry - 10)')} FROM ex2) AS hold_deviation,
+(SELECT count(*) FILTER (valid_from > DATE '1999-12-01' AND valid_from <= DATE '2000-02-29') + count(*) FILTER (valid_to > DATE '1999-12-01' AND valid_to <= DATE '2000-02-29') FROM membership) AS universe_changes_90d FROM fills""")
 def ops_metrics(spark, sf):
-    return fills(spark, sf).agg(F.count("*").alias("orders"), F.count("price").alias("filled"), rnd(F.try_divide(F.count("price"), F.count("*"))).alias("fill_rate"), F.count_if(F.col("reason") == "expired").alias("expired"))
+    """Fill rate, sessions held beyond the ten stated, and members that came or went in the 90 days up to 2000-02-29."""
+    f = fills(spark, sf).agg(F.count("*").alias("orders"), F.count("price").alias("filled"), rnd(F.try_divide(F.count("price"), F.count("*"))).alias("fill_rate"), F.count_if(F.col("reason") == "expired").alias("expired"))
+    held = exits(spark, sf).agg(rnd(F.avg(F.col("exit") - F.col("entry") - 10)).alias("hold_deviation"))
+    recent = lambda c: F.count_if((F.col(c) > F.date_sub(F.lit("2000-02-29").cast("date"), 90)) & (F.col(c) <= "2000-02-29"))
+    changes = P.membership(spark, sf).agg((recent("valid_from") + recent("valid_to")).alias("universe_changes_90d"))
+    return f.crossJoin(F.broadcast(held)).crossJoin(F.broadcast(changes))  # one row each
 
 
 _BREACH = _IC + """, bs AS (SELECT model_id, avg(ic) AS m, avg((ic > 0)::INT) AS h FROM ic GROUP BY 1), bg AS (SELECT model_id, abs(avg(proba) - avg(label)) AS g FROM dn GROUP BY 1), br AS (SELECT model_id, metric, severity FROM (SELECT model_id, 'mean_ic' AS metric, CASE WHEN m < -0.05 THEN 'error' WHEN m < 0.02 THEN 'warning' END AS severity FROM bs
@@ -236,14 +242,15 @@ def partial_target(spark, sf):
     f = fills(spark, sf).where("price is not null")
     p = F.col("price")
     t = f.select(F.col("order_id").alias("trade_id"), "instrument_id", F.col("session_idx").alias("entry"), "price", (p * 0.6).alias("stop"), (p * 1.2).alias("target1"), (p * 1.6).alias("target"), F.lit(12).alias("max_hold"))
-    return L.partial_targets(t, grid(spark, sf), 0.5)
+    return L.partial_targets(t, market(spark, sf), 0.5)
 
 
-@query("prob_calibration", f"WITH {DONE} SELECT model_id, CASE WHEN proba >= 0.55 THEN 'high' WHEN proba >= 0.48 THEN 'mid' ELSE 'low' END AS kind, count(*) AS n, {fl('avg(proba)')} AS stated, {fl('avg(label)')} AS realised FROM dn GROUP BY 1, 2")
+@query("prob_calibration", f"WITH {_GRADED} SELECT model_id, grade, CASE WHEN proba >= 0.55 THEN 'high' WHEN proba >= 0.48 THEN 'mid' ELSE 'low' END AS kind, count(*) AS n, {fl('avg(proba)')} AS stated, {fl('avg(label)')} AS realised FROM dn JOIN gd USING (model_id, fold) GROUP BY 1, 2, 3")
 def prob_calibration(spark, sf):
     kind = F.when(F.col("proba") >= 0.55, "high").when(F.col("proba") >= 0.48, "mid").otherwise("low")
-    s = done(spark, sf).groupBy("model_id", kind.alias("kind")).agg(F.count("*").alias("n"), F.avg("proba").alias("stated"), F.avg("label").alias("realised"))
-    return _round(s, ("model_id", "kind", "n"), "stated", "realised")
+    rows = done(spark, sf).join(F.broadcast(evidence_grade(spark, sf)), ["model_id", "fold"])  # one row per model and fold
+    s = rows.groupBy("model_id", "grade", kind.alias("kind")).agg(F.count("*").alias("n"), F.avg("proba").alias("stated"), F.avg("label").alias("realised"))
+    return _round(s, ("model_id", "grade", "kind", "n"), "stated", "realised")
 
 
 @query("invest_outcomes", f"WITH {DONE} SELECT model_id, fold, count(*) AS n, {fl('avg((fwd BETWEEN score - 0.2 AND score + 0.2)::INT)')} AS coverage, {fl('avg(fwd)')} AS mean FROM dn GROUP BY 1, 2")
@@ -266,12 +273,18 @@ def order_status_map(spark, sf):
     return _statuses(spark, sf).select("order_id", "status")
 
 
-@query("recommendation_status", f"WITH {_STATUS} SELECT order_id, {fl('max(g.high) / any_value(price) - 1')} AS mfe, {fl('min(g.low) / any_value(price) - 1')} AS mae FROM st JOIN grid g ON g.instrument_id = st.instrument_id AND g.session_idx BETWEEN entry AND exit WHERE status = 'closed' GROUP BY 1")
+@query("recommendation_status", f"""WITH {_STATUS}, {P.BENCH}, bs AS (SELECT session_idx, b.close FROM bench b JOIN cal USING (trade_date)), ex3 AS (SELECT order_id, max(g.high) / any_value(price) - 1 AS mfe, min(g.low) / any_value(price) - 1 AS mae FROM st JOIN grid g ON g.instrument_id = st.instrument_id AND g.session_idx BETWEEN entry AND exit WHERE status = 'closed' GROUP BY 1)
+SELECT order_id, {fl('mfe')} AS mfe, {fl('mae')} AS mae, {fl('(exit_price - x.price) / (x.price * 0.4)')} AS realised_r, {fl('b2.close / b1.close - 1')} AS benchmark FROM ex3 JOIN ex2 x ON x.trade_id = order_id LEFT JOIN bs b1 ON b1.session_idx = x.entry LEFT JOIN bs b2 ON b2.session_idx = x.exit""")
 def recommendation_status(spark, sf):
+    """Closed orders: best and worst excursion, result in units of the risk to the stop, and the benchmark over the same sessions."""
     g = grid(spark, sf).select(F.col("instrument_id").alias("gid"), "session_idx", "high", "low")
     s = _statuses(spark, sf).where("status = 'closed'")
     rows = s.join(g, (F.col("instrument_id") == F.col("gid")) & F.col("session_idx").between(F.col("entry"), F.col("exit")))
-    return _round(rows.groupBy("order_id", "price").agg((F.max("high") / F.first("price") - 1).alias("mfe"), (F.min("low") / F.first("price") - 1).alias("mae")), ("order_id",), "mfe", "mae")
+    out = rows.groupBy("order_id", "price", "entry", "exit", "exit_price").agg((F.max("high") / F.first("price") - 1).alias("mfe"), (F.min("low") / F.first("price") - 1).alias("mae"))
+    out = out.withColumn("realised_r", (F.col("exit_price") - F.col("price")) / (F.col("price") * 0.4))
+    level = P.bench(spark, sf).join(P.calendar(spark, sf), "trade_date")
+    at = lambda name, to: F.broadcast(level.select(F.col("session_idx").alias(name), F.col("close").alias(to)))  # noqa: E731  one row per session
+    return _round(out.join(at("entry", "b1"), "entry", "left").join(at("exit", "b2"), "exit", "left").withColumn("benchmark", F.col("b2") / F.col("b1") - 1), ("order_id",), "mfe", "mae", "realised_r", "benchmark")
 
 
 @query("open_recommendations", f"WITH {_STATUS} SELECT order_id, instrument_id FROM st WHERE entry <= 1000 AND (exit IS NULL OR exit > 1000)")
@@ -345,13 +358,23 @@ def sleeve_expand(spark, sf):
     return rows.select("sleeve", "instrument_id", "trade_date", F.concat_ws("-", "sleeve", "instrument_id").alias("key"))
 
 
-@query("daily_report_tables", f"WITH {_TOP}, d AS (SELECT max(trade_date) AS d FROM tp) SELECT 'picks' AS section, CAST(instrument_id AS VARCHAR) AS key, {fl('score')} AS value FROM tp, d WHERE trade_date = d UNION ALL SELECT 'closes', CAST(instrument_id AS VARCHAR), close FROM own, d WHERE trade_date = d")
+@query("daily_report_tables", f"""WITH {_EXIT}, dn0 AS (SELECT instrument_id, trade_date, floor((close / lag(close, 5) OVER w - 1) * 1e6 + 0.5) / 1e6 AS score, floor((lead(close, 5) OVER w / close - 1) * 1e6 + 0.5) / 1e6 AS fwd FROM bars WINDOW w AS (PARTITION BY instrument_id ORDER BY trade_date)), tp AS (SELECT * FROM dn0 WHERE score IS NOT NULL AND fwd IS NOT NULL QUALIFY row_number() OVER (PARTITION BY trade_date ORDER BY score DESC, instrument_id) <= 5),
+d AS (SELECT c.session_idx AS s, c.trade_date AS d FROM cal c WHERE c.trade_date = (SELECT max(trade_date) FROM tp JOIN cal USING (trade_date))), eq AS (SELECT instrument_id, trade_date, close, close / max(close) OVER (PARTITION BY instrument_id ORDER BY trade_date ROWS UNBOUNDED PRECEDING) - 1 AS fall FROM bars)
+SELECT 'picks' AS section, CAST(instrument_id AS VARCHAR) AS key, {fl('score')} AS value FROM tp, d WHERE trade_date = d UNION ALL SELECT 'closes', CAST(instrument_id AS VARCHAR), close FROM bars, d WHERE trade_date = d UNION ALL SELECT 'drawdown', CAST(instrument_id AS VARCHAR), {fl('fall')} FROM eq, d WHERE trade_date = d
+UNION ALL SELECT 'orders', CAST(order_id AS VARCHAR), low FROM od, d WHERE first <= s AND last >= s UNION ALL SELECT 'positions', CAST(trade_id AS VARCHAR), {fl('price', 4)} FROM ex2, d WHERE entry <= s AND (exit IS NULL OR exit > s) UNION ALL SELECT 'closed', CAST(trade_id AS VARCHAR), {fl('exit_price / price - 1')} FROM ex2, d WHERE exit <= s AND exit > s - 20""")
 def daily_report_tables(spark, sf):
+    """The tables of the last day with picks, one below the other: picks, closes, drawdowns, working orders, open positions, and trades closed in 20 sessions."""
     top = best(spark, sf)
-    day = F.broadcast(top.agg(F.max("trade_date").alias("trade_date")))  # one row
-    picks = top.join(day, "trade_date").select(F.lit("picks").alias("section"), F.col("instrument_id").cast("string").alias("key"), rnd("score").alias("value"))
-    closes = P.bars(spark, sf).join(day, "trade_date").select(F.lit("closes").alias("section"), F.col("instrument_id").cast("string").alias("key"), F.col("close").alias("value"))
-    return picks.unionByName(closes)
+    day = F.broadcast(top.join(P.calendar(spark, sf), "trade_date").agg(F.max("trade_date").alias("trade_date"), F.max("session_idx").alias("s")))  # one row
+    part = lambda rows, section, key, value: rows.select(F.lit(section).alias("section"), F.col(key).cast("string").alias("key"), value.alias("value"))
+    w = Window.partitionBy("instrument_id").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
+    b = P.bars(spark, sf).withColumn("fall", F.col("close") / F.max("close").over(w) - 1).join(day.drop("s"), "trade_date")
+    trades, at = exits(spark, sf).crossJoin(day.select("s")), F.col("s")
+    out = part(top.join(day.drop("s"), "trade_date"), "picks", "instrument_id", rnd("score")).unionByName(part(b, "closes", "instrument_id", F.col("close"))).unionByName(part(b, "drawdown", "instrument_id", rnd("fall")))
+    out = out.unionByName(part(orders(spark, sf).crossJoin(day.select("s")).where(at.between(F.col("first"), F.col("last"))), "orders", "order_id", F.col("low")))
+    held = trades.where((F.col("entry") <= at) & (F.col("exit").isNull() | (F.col("exit") > at)))
+    closed = trades.where((F.col("exit") <= at) & (F.col("exit") > at - 20))
+    return out.unionByName(part(held, "positions", "trade_id", rnd("price", 4))).unionByName(part(closed, "closed", "trade_id", rnd(F.col("exit_price") / F.col("price") - 1)))
 
 
 # models

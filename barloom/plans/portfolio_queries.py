@@ -70,17 +70,18 @@ def prob_filter(spark, sf):
     return T.prob_filter(done(spark, sf), "score", "proba", 1.02, 0.5).select("model_id", "instrument_id", "trade_date", "score")
 
 
-@query("topk_targets", f"WITH {_TOP} SELECT trade_date, count(*) * 0.2::DOUBLE AS invested, {fl('1 - count(*) * 0.2::DOUBLE')} AS cash FROM tp GROUP BY 1")
+@query("topk_targets", f"WITH {_TOP} SELECT trade_date, instrument_id, 0.2::DOUBLE AS weight, {fl('1 - count(*) OVER (PARTITION BY trade_date) * 0.2::DOUBLE')} AS cash FROM tp")
 def topk_targets(spark, sf):
-    s = best(spark, sf).groupBy("trade_date").agg((F.count("*") * 0.2).alias("invested"))
-    return s.select("trade_date", "invested", rnd(1 - F.col("invested")).alias("cash"))
+    """A fifth for each of five names; what fewer names leave is cash."""
+    held = F.count("*").over(Window.partitionBy("trade_date")) * 0.2
+    return best(spark, sf).select("trade_date", "instrument_id", F.lit(0.2).alias("weight"), rnd(1 - held).alias("cash"))
 
 
-@query("baseline_scores", f"""WITH {DONE}, r AS (SELECT instrument_id, trade_date, rank() OVER (PARTITION BY trade_date ORDER BY score) AS a, rank() OVER (PARTITION BY trade_date ORDER BY holding) AS b, count(*) OVER (PARTITION BY trade_date) AS n FROM dn WHERE model_id = 'A') SELECT instrument_id, trade_date, {fl('(a + b) / (2.0::DOUBLE * n)')} AS mean_rank, 1.0::DOUBLE AS constant FROM r""")
+@query("baseline_scores", f"""WITH {DONE}, r AS (SELECT instrument_id, trade_date, rank() OVER (PARTITION BY trade_date ORDER BY score) AS a, rank() OVER (PARTITION BY trade_date ORDER BY holding) AS b, count(*) OVER (PARTITION BY trade_date) AS n FROM dn WHERE model_id = 'A') SELECT instrument_id, trade_date, {fl('(a + b) / (2.0::DOUBLE * n)')} AS mean_rank, 1.0::DOUBLE AS constant, CAST(('0x' || substr(md5('17-' || trade_date || '-' || instrument_id), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE AS random FROM r""")
 def baseline_scores(spark, sf):
     d = Window.partitionBy("trade_date")
     rows = done(spark, sf).where("model_id = 'A'")
-    return rows.select("instrument_id", "trade_date", rnd((F.rank().over(d.orderBy("score")) + F.rank().over(d.orderBy("holding"))) / (2.0 * F.count("*").over(d))).alias("mean_rank"), F.lit(1.0).alias("constant"))
+    return rows.select("instrument_id", "trade_date", rnd((F.rank().over(d.orderBy("score")) + F.rank().over(d.orderBy("holding"))) / (2.0 * F.count("*").over(d))).alias("mean_rank"), F.lit(1.0).alias("constant"), T.seeded_random(17, "trade_date", "instrument_id").alias("random"))
 
 
 @query("rebalance_targets", f"""WITH {_CALS}, m AS (SELECT min(trade_date) AS trade_date FROM cal GROUP BY year(trade_date), month(trade_date)), own AS (SELECT *, row_number() OVER (PARTITION BY instrument_id ORDER BY trade_date) AS bar_idx FROM bars), s AS (SELECT instrument_id, trade_date, {fl('close / lag(close, 5) OVER w - 1')} AS score FROM own WINDOW w AS (PARTITION BY instrument_id ORDER BY bar_idx))
@@ -138,14 +139,35 @@ def lot_size(spark, sf):
 
 # orders: every 15th session of an instrument, kind by id
 
-_ORD = GRID + """,
+def _tk(x: str) -> str:
+    return f"(CASE WHEN {x} < 10 THEN 0.01::DOUBLE WHEN {x} < 50 THEN 0.05 ELSE 0.1 END)"
+
+
+def _dn(x: str) -> str:
+    return f"(floor(({x}) / {_tk(x)} + 1e-9) * {_tk(x)})"
+
+
+def _up(x: str) -> str:
+    return f"(ceil(({x}) / {_tk(x)} - 1e-9) * {_tk(x)})"
+
+
+def _near(x: str) -> str:
+    return f"(floor(({x}) / {_tk(x)} + 0.5) * {_tk(x)})"
+
+
+_MKT = GRID + "," + P.MARKET + f""",
+rf0 AS (SELECT *, last_value(close IGNORE NULLS) OVER (PARTITION BY instrument_id ORDER BY session_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ref FROM grid),
+mkt AS (SELECT g.instrument_id, session_idx, open, high, low, close, coalesce(high = low AND high >= {_dn('ref * 1.3::DOUBLE')}, false) AS up_locked, coalesce(high = low AND low <= {_up('ref * 0.7::DOUBLE')}, false) AS down_locked,
+ EXISTS (SELECT 1 FROM statuses s WHERE s.status = 'suspended' AND s.instrument_id = g.instrument_id AND g.trade_date >= s.valid_from AND g.trade_date < s.valid_to) AS suspended FROM rf0 g)"""
+
+_ORD = _MKT + """,
 od AS (SELECT instrument_id * 100000 + session_idx AS order_id, instrument_id, session_idx + 1 AS first, session_idx + 3 AS last, ['open', 'limit', 'stop', 'zone'][instrument_id % 4 + 1] AS kind,
  floor(close * 0.9 * 10000.0 + 0.5) / 10000.0 AS low, floor(close * 1.05 * 10000.0 + 0.5) / 10000.0 AS high, floor(close * 1.4 * 10000.0 + 0.5) / 10000.0 AS cap, close FROM grid WHERE close IS NOT NULL AND session_idx % 15 = 0),
-se AS (SELECT o.*, g.session_idx, g.open, g.high AS bh, g.low AS bl FROM od o LEFT JOIN grid g ON g.instrument_id = o.instrument_id AND g.session_idx BETWEEN o.first AND o.last AND g.open IS NOT NULL),
-pr_ AS (SELECT *, CASE WHEN open <= cap THEN CASE WHEN kind = 'open' THEN open WHEN kind = 'limit' AND bl <= high THEN least(open, high) WHEN kind = 'stop' AND bh >= low THEN greatest(open, low) WHEN kind = 'zone' AND open BETWEEN low AND high THEN open END END AS price FROM se),
-ag AS (SELECT order_id, instrument_id, arg_min(row(session_idx, price), session_idx) FILTER (price IS NOT NULL) AS f, bool_or(coalesce(session_idx = first AND open > cap, false)) AS gone, count(session_idx) AS n FROM pr_ GROUP BY 1, 2),
+se AS (SELECT o.*, g.session_idx, CASE WHEN NOT suspended THEN g.open END AS open, g.high AS bh, g.low AS bl, suspended, up_locked FROM od o LEFT JOIN mkt g ON g.instrument_id = o.instrument_id AND g.session_idx BETWEEN o.first AND o.last AND (g.open IS NOT NULL OR suspended)),
+pr_ AS (SELECT *, CASE WHEN open <= cap AND NOT up_locked THEN CASE WHEN kind = 'open' THEN open WHEN kind = 'limit' AND bl <= high THEN least(open, high) WHEN kind = 'stop' AND bh >= low THEN greatest(open, low) WHEN kind = 'zone' AND open BETWEEN low AND high THEN open END END AS price FROM se),
+ag AS (SELECT order_id, instrument_id, arg_min(row(session_idx, price), session_idx) FILTER (price IS NOT NULL) AS f, bool_or(coalesce(session_idx = first AND open > cap, false)) AS gone, count(open) AS n, count(*) FILTER (suspended) AS halts, count(*) FILTER (open IS NOT NULL AND up_locked) AS locks FROM pr_ GROUP BY 1, 2),
 fills AS (SELECT order_id, instrument_id, CASE WHEN f IS NOT NULL AND NOT gone THEN f[1] END AS session_idx, CASE WHEN f IS NOT NULL AND NOT gone THEN f[2] END AS price,
- CASE WHEN gone THEN 'cancelled: opened above cap' WHEN n = 0 THEN 'no bar' WHEN f IS NULL THEN 'expired' END AS reason FROM ag)"""
+ CASE WHEN gone THEN 'cancelled: opened above cap' WHEN n = 0 AND halts > 0 THEN 'suspended' WHEN n = 0 THEN 'no bar' WHEN f IS NULL AND locks = n THEN 'locked at the ceiling' WHEN f IS NULL THEN 'expired' END AS reason FROM ag)"""
 
 
 def orders(spark, sf):
@@ -154,8 +176,12 @@ def orders(spark, sf):
     return g.select((F.col("instrument_id") * 100000 + F.col("session_idx")).alias("order_id"), "instrument_id", (F.col("session_idx") + 1).alias("first"), (F.col("session_idx") + 3).alias("last"), kind.alias("kind"), *[rnd(F.col("close") * k, 4).alias(c) for c, k in (("low", 0.9), ("high", 1.05), ("cap", 1.4))])
 
 
+def market(spark, sf):
+    return T.market_conditions(grid(spark, sf), P.status_history(spark, sf), 0.3)
+
+
 def fills(spark, sf):
-    return T.entry_fills(orders(spark, sf), grid(spark, sf))
+    return T.entry_fills(orders(spark, sf), market(spark, sf))
 
 
 @query("entry_fill", f"WITH {_ORD} SELECT order_id, session_idx, price, reason FROM fills")
@@ -170,8 +196,8 @@ def order_stats(spark, sf):
 
 _EXIT = _ORD + """,
 tr2 AS (SELECT order_id AS trade_id, instrument_id, session_idx AS entry, price, floor(price * 0.6 * 10000.0 + 0.5) / 10000.0 AS stop, floor(price * 1.5 * 10000.0 + 0.5) / 10000.0 AS target FROM fills WHERE price IS NOT NULL),
-ev AS (SELECT t.*, g.session_idx, CASE WHEN g.open <= stop THEN row(g.open, 'stop gap') WHEN g.open >= target THEN row(g.open, 'target gap') WHEN g.low <= stop THEN row(stop, 'stop') WHEN g.high >= target THEN row(target, 'target') WHEN g.session_idx = entry + 10 THEN row(g.close, 'time') END AS e
- FROM tr2 t LEFT JOIN grid g ON g.instrument_id = t.instrument_id AND g.session_idx BETWEEN entry + 3 AND entry + 10 AND g.close IS NOT NULL),
+ev AS (SELECT t.*, g.session_idx, CASE WHEN g.open <= stop THEN row(g.open, 'stop gap') WHEN g.open >= target THEN row(g.open, 'target gap') WHEN g.low <= stop THEN row(stop, 'stop') WHEN g.high >= target THEN row(target, 'target') WHEN g.session_idx >= entry + 10 THEN row(g.close, 'time') END AS e
+ FROM tr2 t LEFT JOIN mkt g ON g.instrument_id = t.instrument_id AND g.session_idx BETWEEN entry + 3 AND entry + 15 AND g.close IS NOT NULL AND NOT suspended AND NOT down_locked),
 exits AS (SELECT trade_id, instrument_id, entry, price, arg_min(row(session_idx, e), session_idx) FILTER (e IS NOT NULL) AS x FROM ev GROUP BY 1, 2, 3, 4),
 ex2 AS (SELECT trade_id, instrument_id, entry, price, x[1] AS exit, x[2][1] AS exit_price, coalesce(x[2][2], 'open') AS reason FROM exits)"""
 
@@ -179,7 +205,7 @@ ex2 AS (SELECT trade_id, instrument_id, entry, price, x[1] AS exit, x[2][1] AS e
 def exits(spark, sf):
     f = fills(spark, sf).where("price is not null")
     t = f.select(F.col("order_id").alias("trade_id"), "instrument_id", F.col("session_idx").alias("entry"), "price", rnd(F.col("price") * 0.6, 4).alias("stop"), rnd(F.col("price") * 1.5, 4).alias("target"), F.lit(10).alias("max_hold"))
-    return T.bracket_exits(t, grid(spark, sf))
+    return T.bracket_exits(t, market(spark, sf))
 
 
 @query("bracket_exit", f"WITH {_EXIT} SELECT trade_id, exit, exit_price, reason FROM ex2")
@@ -192,10 +218,18 @@ def round_trips(spark, sf):
     return exits(spark, sf).where("exit is not null").select("trade_id", (F.col("exit") - F.col("entry")).alias("sessions"), rnd(F.col("exit_price") / F.col("price") - 1).alias("gross"), rnd(F.col("exit_price") * 0.997 / (F.col("price") * 1.002) - 1).alias("net"), "reason")
 
 
-@query("swing_outcomes", f"WITH {_EXIT} SELECT reason, count(*) AS n, {fl('avg((exit_price - price) / (price * 0.4))', 5)} AS mean_r, {fl('avg(exit - entry)')} AS holding FROM ex2 GROUP BY 1")
+_KIND = "['open', 'limit', 'stop', 'zone'][instrument_id % 4 + 1]"
+
+
+@query("swing_outcomes", f"""WITH {_EXIT} SELECT {_KIND} AS kind, reason, count(*) AS n, {fl('avg((exit_price - price) / (price * 0.4))', 5)} AS mean_r, {fl('avg(exit - entry)')} AS holding, {fl('avg(exit - entry - 10)')} AS beyond_stated,
+{fl('avg(exit_price / (floor(price * 0.6 * 10000.0 + 0.5) / 10000.0) - 1) FILTER (starts_with(reason, $$stop$$))', 5)} AS stop_slippage FROM ex2 GROUP BY 1, 2""")
 def swing_outcomes(spark, sf):
-    s = exits(spark, sf).groupBy("reason").agg(F.count("*").alias("n"), F.avg((F.col("exit_price") - F.col("price")) / (F.col("price") * 0.4)).alias("r"), F.avg(F.col("exit") - F.col("entry")).alias("h"))
-    return s.select("reason", "n", rnd("r", 5).alias("mean_r"), rnd("h").alias("holding"))
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("open", "limit", "stop", "zone")]), (F.col("instrument_id") % 4 + 1).cast("int"))
+    held, stop = F.col("exit") - F.col("entry"), rnd(F.col("price") * 0.6, 4)
+    s = exits(spark, sf).groupBy(kind.alias("kind"), "reason").agg(
+        F.count("*").alias("n"), F.avg((F.col("exit_price") - F.col("price")) / (F.col("price") * 0.4)).alias("r"), F.avg(held).alias("h"), F.avg(held - 10).alias("d"), F.avg(F.when(F.col("reason").startswith("stop"), F.col("exit_price") / stop - 1)).alias("s")
+    )
+    return s.select("kind", "reason", "n", rnd("r", 5).alias("mean_r"), rnd("h").alias("holding"), rnd("d").alias("beyond_stated"), rnd("s", 5).alias("stop_slippage"))
 
 
 _LIFE = _EXIT + """,
@@ -272,18 +306,37 @@ def risk_parity(spark, sf):
     return T.risk_parity(trailing(spark, sf))
 
 
-_MC = P.OWN_BARS + f""",
-mc AS (SELECT instrument_id, trade_date, close, {fl('CASE WHEN count(close) OVER (PARTITION BY instrument_id ORDER BY bar_idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) = 20 THEN max(high) OVER (PARTITION BY instrument_id ORDER BY bar_idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END', 4)} AS high_20,
- {fl('CASE WHEN count(close) OVER (PARTITION BY instrument_id ORDER BY bar_idx ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) = 50 THEN avg(close) OVER (PARTITION BY instrument_id ORDER BY bar_idx ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) END')} AS sma_50 FROM own)"""
+def _last(n: int, least: int, agg: str, x: str) -> str:
+    w = f"OVER (PARTITION BY instrument_id ORDER BY bar_idx ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN count(close) {w} >= {least} THEN {agg}({x}) {w} END"
+
 
+_SCALED = "CAST(floor(close * 10000.0 + 0.5) AS BIGINT)"
+_MC = P.OWN_BARS + f""", mv AS (SELECT *, abs(close / nullif(lag(close) OVER (PARTITION BY instrument_id ORDER BY bar_idx), 0) - 1) AS m FROM own), mx AS (SELECT *, max(m) OVER (PARTITION BY instrument_id ORDER BY bar_idx ROWS BETWEEN 252 PRECEDING AND 1 PRECEDING) - 0.005 AS most FROM mv),
+bd AS (SELECT *, CASE WHEN most IS NULL THEN NULL WHEN most <= 0.2 THEN 0.2::DOUBLE WHEN most <= 0.5 THEN 0.5 ELSE 0.9 END AS band FROM mx), nb AS (SELECT *, coalesce(lead(band) OVER (PARTITION BY instrument_id ORDER BY bar_idx), band, 0.2) AS next_band FROM bd),
+mc AS (SELECT instrument_id, trade_date, {_last(20, 20, 'max', 'high')} AS high_20, {_last(60, 20, 'max', 'high')} AS high_60, {_last(252, 120, 'max', 'high')} AS high_252, {_last(50, 50, 'sum', _SCALED)} / 50 / 10000.0::DOUBLE AS sma_50, {_last(200, 200, 'sum', _SCALED)} / 200 / 10000.0::DOUBLE AS sma_200,
+ {_up('close * (1 - next_band)')} AS next_floor, {_dn('close * (1 + next_band)')} AS next_ceiling FROM nb)"""
 
-@query("market_context", f"WITH {_MC} SELECT instrument_id, trade_date, high_20, sma_50 FROM mc")
+
+@query("market_context", f"WITH {_MC} SELECT instrument_id, trade_date, high_20, high_60, high_252, {fl('sma_50')} AS sma_50, {fl('sma_200')} AS sma_200, {fl('next_floor', 4)} AS next_floor, {fl('next_ceiling', 4)} AS next_ceiling FROM mc")
 def market_context(spark, sf):
-    f20, f50 = own().rowsBetween(-19, 0), own().rowsBetween(-49, 0)
-    return P.own_bars(spark, sf).select("instrument_id", "trade_date", rnd(F.when(F.count("close").over(f20) == 20, F.max("high").over(f20)), 4).alias("high_20"), rnd(F.when(F.count("close").over(f50) == 50, F.avg("close").over(f50))).alias("sma_50"))
+    """Highs and means of an instrument's own bars, and floor and ceiling of its next one by the band known by then."""
+    frame = lambda n: own().rowsBetween(-(n - 1), 0)
+    high = lambda n, least: F.when(F.count("close").over(frame(n)) >= least, F.max("high").over(frame(n)))
+    mean = lambda n: F.when(F.count("close").over(frame(n)) == n, F.sum(F.floor(F.col("close") * 10000 + 0.5)).over(frame(n)) / n / 10000.0)  # noqa: E731  whole numbers add up alike in any order
+    rows = T.inferred_band(P.own_bars(spark, sf).withColumn("session_idx", F.col("bar_idx")), (0.2, 0.5, 0.9))
+    band = F.coalesce(F.lead("band").over(own()), "band", F.lit(0.2))
+    rows = rows.select(
+        "instrument_id", "trade_date", "close", high(20, 20).alias("high_20"), high(60, 20).alias("high_60"), high(252, 120).alias("high_252"), rnd(mean(50)).alias("sma_50"), rnd(mean(200)).alias("sma_200"), band.alias("b")
+    )
+    p = F.col("close")
+    return rows.select("instrument_id", "trade_date", "high_20", "high_60", "high_252", "sma_50", "sma_200", rnd(T.tick_round(p * (1 - F.col("b")), True), 4).alias("next_floor"), rnd(T.tick_round(p * (1 + F.col("b")), False), 4).alias("next_ceiling"))
+
+
+_GRADED = f"""{DONE}, {_AUC}, eg AS (SELECT model_id, fold, count(*) AS n, avg(proba) - avg(label) AS g FROM dn GROUP BY 1, 2), gd AS (SELECT model_id, fold, CASE WHEN n >= 500 AND auc >= 0.55 AND abs(g) <= 0.05 THEN 'A' WHEN n >= 200 AND auc >= 0.52 AND abs(g) <= 0.1 THEN 'B' WHEN n >= 50 THEN 'C' ELSE 'D' END AS grade FROM eg JOIN au USING (model_id, fold))"""
 
 
-@query("evidence_grade", f"""WITH {DONE}, {_AUC}, s AS (SELECT model_id, fold, count(*) AS n, avg(proba) - avg(label) AS g FROM dn GROUP BY 1, 2) SELECT model_id, fold, CASE WHEN n >= 500 AND auc >= 0.55 AND abs(g) <= 0.05 THEN 'A' WHEN n >= 200 AND auc >= 0.52 AND abs(g) <= 0.1 THEN 'B' WHEN n >= 50 THEN 'C' ELSE 'D' END AS grade FROM s JOIN au USING (model_id, fold)""")
+@query("evidence_grade", f"WITH {_GRADED} SELECT model_id, fold, grade FROM gd")
 def evidence_grade(spark, sf):
     d = done(spark, sf)
     s = d.groupBy("model_id", "fold").agg(F.count("*").alias("n"), (F.avg("proba") - F.avg("label")).alias("g"))
@@ -291,22 +344,6 @@ def evidence_grade(spark, sf):
     return s.join(F.broadcast(areas), ["model_id", "fold"]).select("model_id", "fold", T.evidence_grade(F.col("n"), F.col("auc"), F.col("g")).alias("grade"))  # one row per model and fold
 
 
-def _tk(x: str) -> str:
-    return f"(CASE WHEN {x} < 10 THEN 0.01::DOUBLE WHEN {x} < 50 THEN 0.05 ELSE 0.1 END)"
-
-
-def _dn(x: str) -> str:
-    return f"(floor(({x}) / {_tk(x)} + 1e-9) * {_tk(x)})"
-
-
-def _up(x: str) -> str:
-    return f"(ceil(({x}) / {_tk(x)} - 1e-9) * {_tk(x)})"
-
-
-def _near(x: str) -> str:
-    return f"(floor(({x}) / {_tk(x)} + 0.5) * {_tk(x)})"
-
-
 _CARD = P.OWN_BARS + f""",
 sg AS (SELECT instrument_id, trade_date, close, CASE WHEN count(close) OVER w = 14 THEN floor(avg(high - low) OVER w / 5 * 10000.0 + 0.5) / 10000.0 END AS atr, 0.15::DOUBLE AS band FROM own WINDOW w AS (PARTITION BY instrument_id ORDER BY bar_idx ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)),
 lv AS (SELECT *, {_dn('close * 1.01::DOUBLE')} AS zone_high, {_up('close * 0.985::DOUBLE')} AS zone_low, CASE WHEN atr IS NULL THEN {_up('close * (1 - band)')} ELSE {_up('greatest(close - 2.0::DOUBLE * atr, close * (1 - band))')} END AS stop,
@@ -339,11 +376,19 @@ def card_validate(spark, sf):
     return rows.groupBy("instrument_id").agg(has("stop not below zone").alias("stop_high"), has("target not above zone").alias("target_low"))
 
 
-@query("next_schedule", f"""WITH {_CALS} SELECT c.trade_date, n.trade_date AS third_session, CAST(date_trunc('month', c.trade_date) + INTERVAL 1 MONTH AS DATE) AS next_month FROM cal c LEFT JOIN cal n ON n.session_idx = c.session_idx + 3""")
+def _weekday_sql(x: str) -> str:
+    return f"CAST({x} + CASE isodow({x}) WHEN 6 THEN 2 WHEN 7 THEN 1 ELSE 0 END AS DATE)"
+
+
+_NEXT = {c: f"CAST(date_trunc('{c}', c.trade_date) + INTERVAL {n} AS DATE)" for c, n in (("week", "7 DAY"), ("month", "1 MONTH"), ("quarter", "3 MONTH"))}
+
+
+@query("next_schedule", f"""WITH {_CALS}, e AS (SELECT max(trade_date) AS last, max(session_idx) AS n FROM cal) SELECT c.trade_date, coalesce(n.trade_date, list_filter(list_transform(range(1, 10), lambda k: CAST(e.last + CAST(k AS INTEGER) AS DATE)), lambda d: isodow(d) <= 5)[c.session_idx + 3 - e.n]) AS third_session,
+{", ".join(f"{_weekday_sql(x)} AS next_{c}" for c, x in _NEXT.items())} FROM cal c CROSS JOIN e LEFT JOIN cal n ON n.session_idx = c.session_idx + 3""")
 def next_schedule(spark, sf):
+    """The third session after each (weekdays beyond the last known one), and the first weekday of the next week, month and quarter."""
     cal = P.calendar(spark, sf)
-    ahead = cal.select((F.col("session_idx") - 3).alias("session_idx"), F.col("trade_date").alias("third_session"))
-    return cal.join(ahead, "session_idx", "left").select("trade_date", "third_session", F.add_months(F.trunc("trade_date", "month"), 1).alias("next_month"))
+    return T.session_after(cal, 3, "third_session").select("trade_date", "third_session", *[T.next_period("trade_date", p).alias(f"next_{p}") for p in ("week", "month", "quarter")])
 
 
 @query("sleeve_overlap", f"""WITH {DONE}, tp AS (SELECT model_id, trade_date, instrument_id, abs(score) + 0.01 AS x FROM dn QUALIFY row_number() OVER (PARTITION BY model_id, trade_date ORDER BY score DESC, instrument_id) <= 5),

@@ -57,9 +57,11 @@ def _builds(spark, sf):
     return S.resolve_versions(i.select(F.concat(F.lit("r"), F.col("instrument_id") % 3).alias("recipe"), F.concat(F.lit("c"), F.col("instrument_id") % 4).alias("content"), F.col("instrument_id").alias("built")))
 
 
-@query("dataset_version_resolve", f"WITH {_BUILDS} SELECT * FROM vv")
+@query("dataset_version_resolve", f"WITH {_BUILDS} SELECT *, row_number() OVER (PARTITION BY recipe ORDER BY version DESC) <= 2 OR version = 1 AND recipe <> 'r1' AS kept FROM vv")
 def dataset_version_resolve(spark, sf):
-    return _builds(spark, sf)
+    """Versions of each recipe, and whether one is kept: the two newest, and the first of two recipes, which models use."""
+    v = _builds(spark, sf)
+    return S.retained(v, v.where("version = 1 and recipe != 'r1'").select("recipe", "version"), 2)
 
 
 @query("load_latest_dataset", f"WITH {_BUILDS} SELECT recipe, arg_max(content, version) AS content, max(version) AS version FROM vv GROUP BY 1")

@@ -62,6 +62,13 @@ def resolve_versions(recipes: DataFrame) -> DataFrame:
     return first.withColumn("version", F.row_number().over(w).cast("bigint"))
 
 
+def retained(versions: DataFrame, used: DataFrame, keep: int) -> DataFrame:
+    """Versions with `kept`: among the newest of their recipe, or used by a model (recipe, version)."""
+    newest = F.row_number().over(Window.partitionBy("recipe").orderBy(F.desc("version"))) <= keep
+    marked = versions.withColumn("kept", newest).join(used.select("recipe", "version").distinct().withColumn("in_use", F.lit(True)), ["recipe", "version"], "left")
+    return marked.withColumn("kept", F.col("kept") | F.coalesce("in_use", F.lit(False))).select(*versions.columns, "kept")
+
+
 def snapshot_csv(spark: SparkSession, path: str, exchanges: tuple[str, ...]) -> tuple[DataFrame, DataFrame]:
     """(good, rejects) of a membership snapshot: comments, upper case, domains, weights in [0, 1], repeated symbols."""
     schema = "symbol string, previous_symbol string, exchange string, weight string, status string"

@@ -227,3 +227,41 @@ def test_reasons_to_fit_again(spark):
     m = spark.createDataFrame([("A", datetime.date(2021, 6, 1), D0, "v2"), ("B", D0, D0, "v1")], "model_id string, last date, trained date, features string")
     b = spark.createDataFrame([("B", "mean_ic")], "model_id string, metric string")
     assert {(r.model_id, r.kind) for r in L.retrain_reasons(m, b, "v2", 365).collect()} == {("A", "schedule"), ("B", "new_feature_set"), ("B", "mean_ic")}
+
+
+def market_rows(spark, bars, statuses=()):
+    """bars: (session, open, high, low, close) of instrument 1 on consecutive days."""
+    g = spark.createDataFrame([(1, D0 + datetime.timedelta(days=b[0]), *[float(x) if k else x for k, x in enumerate(b)]) for b in bars], "instrument_id bigint, trade_date date, session_idx bigint, open double, high double, low double, close double")
+    s = spark.createDataFrame(list(statuses), "instrument_id bigint, status string, valid_from date, valid_to date")
+    return T.market_conditions(g, s, 0.1)
+
+
+def test_locked_and_suspended_sessions_fill_nothing(spark):
+    halted = [(1, "suspended", D0 + datetime.timedelta(days=5), D0 + datetime.timedelta(days=7))]
+    m = market_rows(spark, [(1, 20, 20, 20, 20), (2, 22, 22, 22, 22), (3, 22, 23, 21, 22), (4, 25, 26, 24, 25), (5, 25, 25, 25, 25), (6, 25, 25, 25, 25)], halted)
+    assert {r.session_idx for r in m.where("up_locked").collect()} == {2} and {r.session_idx for r in m.where("suspended").collect()} == {5, 6}
+    orders = [(1, 1, 2, 3, "open", 0.0, 0.0, 24.0), (2, 1, 2, 2, "open", 0.0, 0.0, 24.0), (3, 1, 4, 4, "open", 0.0, 0.0, 24.0), (4, 1, 5, 6, "open", 0.0, 0.0, 99.0), (5, 1, 8, 9, "open", 0.0, 0.0, 99.0), (6, 1, 3, 3, "limit", 0.0, 20.0, 99.0)]
+    o = spark.createDataFrame(orders, "order_id bigint, instrument_id bigint, first bigint, last bigint, kind string, low double, high double, cap double")
+    got = {r.order_id: (r.session_idx, r.price, r.reason) for r in T.entry_fills(o, m).collect()}
+    assert got == {1: (3, 22.0, None), 2: (None, None, "locked at the ceiling"), 3: (None, None, "cancelled: opened above cap"), 4: (None, None, "suspended"), 5: (None, None, "no bar"), 6: (None, None, "expired")}
+
+
+def test_exits_skip_floors_and_time_exits_wait(spark):
+    m = market_rows(spark, [(1, 20, 20.5, 19.5, 20), (2, 20, 20.5, 19.5, 20), (3, 20, 20.5, 19.5, 20), (4, 18, 18, 18, 18), (5, 17, 17.5, 16.5, 17), (6, 17, 17.5, 16.5, 17)])
+    assert {r.session_idx for r in m.where("down_locked").collect()} == {4}
+    trades = [(1, 1, 1, 20.0, 18.5, 30.0, 10), (2, 1, 1, 20.0, 1.0, 30.0, 3), (3, 1, 1, 20.0, 1.0, 30.0, 10)]
+    t = spark.createDataFrame(trades, "trade_id bigint, instrument_id bigint, entry bigint, price double, stop double, target double, max_hold bigint")
+    got = {r.trade_id: (r.exit, r.exit_price, r.reason) for r in T.bracket_exits(t, m).collect()}
+    assert got == {1: (5, 17.0, "stop gap"), 2: (5, 17.0, "time"), 3: (None, None, "open")}  # session 4 is locked at the floor
+
+
+def test_next_dates(spark):
+    cal = spark.createDataFrame([(datetime.date(2024, 5, 30), 1), (datetime.date(2024, 5, 31), 2)], "trade_date date, session_idx bigint")
+    rows = T.session_after(cal, 3, "third").select("third", *[T.next_period("trade_date", p).alias(p) for p in ("week", "month", "quarter")]).orderBy("third").collect()
+    assert [str(r.third) for r in rows] == ["2024-06-04", "2024-06-05"]  # one more session, then weekdays
+    assert (str(rows[0].week), str(rows[0].month), str(rows[0].quarter)) == ("2024-06-03", "2024-06-03", "2024-07-01")
+
+
+def test_versions_in_use_are_kept(spark):
+    v = spark.createDataFrame([("r", k) for k in range(1, 5)], "recipe string, version bigint")
+    assert {r.version: r.kept for r in files.retained(v, v.where("version = 1"), 2).collect()} == {1: True, 2: False, 3: True, 4: True}
