@@ -124,6 +124,27 @@ def auc(rows: DataFrame, p: str, y: str, by: tuple[str, ...]) -> DataFrame:
     return s.select(*by, ratio(F.col("s") - F.col("n1") * (F.col("n1") + 1) / 2, F.col("n1") * F.col("n0")).alias("auc"))
 
 
+def isotonic_by_fold(rows: DataFrame, p: str, y: str, n: int = 10) -> DataFrame:
+    """Each row's probability as calibrated on the earlier folds of its model: adds isotonic and constant (their base rate); the first fold has none.
+
+    rows: model_id, fold, p, y. The earlier rows are counted in n bins of equal size; the rising fit of bin i is the largest, over starts
+    a <= i, of the smallest mean of bins a to b >= i. Folds are few, so a row is repeated for the later ones of its model.
+    """
+    folds = rows.select("model_id", F.col("fold").alias("k")).distinct()
+    earlier = rows.join(F.broadcast(folds), "model_id").where(F.col("fold") < F.col("k")).select("model_id", "k", F.col(p).alias("p"), F.col(y).alias("y"))  # one row per model and fold
+    edges = earlier.groupBy("model_id", "k").agg(F.percentile("p", F.array(*[F.lit(j / n) for j in range(1, n)])).alias("edges"), F.avg("y").alias("constant"))
+    bin_of = lambda x: F.size(F.filter("edges", lambda e: e <= F.col(x)))
+    counts = earlier.join(F.broadcast(edges), ["model_id", "k"]).withColumn("bin", bin_of("p")).groupBy("model_id", "k").agg(
+        F.array(*[F.count_if(F.col("bin") == j) for j in range(n)]).alias("ns"), F.array(*[F.coalesce(F.sum(F.when(F.col("bin") == j, F.col("y"))), F.lit(0)) for j in range(n)]).alias("ys")
+    )
+    total = lambda xs, a, b: F.aggregate(F.slice(xs, a + 1, b - a + 1), F.lit(0).cast("bigint"), lambda s, x: s + x)
+    span = lambda a, b: F.sequence(a, b)
+    lowest = lambda a, i: F.array_min(F.transform(span(i, F.lit(n - 1)), lambda b: F.try_divide(total("ys", a, b), total("ns", a, b))))
+    fit = F.transform(span(F.lit(0), F.lit(n - 1)), lambda i: F.array_max(F.transform(span(F.lit(0), i), lambda a: lowest(a, i))))
+    model = edges.join(counts.select("model_id", "k", fit.alias("fit")), ["model_id", "k"]).withColumnRenamed("k", "fold")
+    return rows.join(F.broadcast(model), ["model_id", "fold"]).withColumn("isotonic", F.element_at("fit", bin_of(p) + 1)).drop("edges", "fit")
+
+
 def merged_edges(edges: list[float], counts: list[int], least: int) -> list[float]:
     """Edges left when the smallest bucket below `least` joins its smaller neighbour (the lower one on ties) until none is; counts: one more than edges."""
     edges, counts = list(edges), list(counts)

@@ -132,6 +132,40 @@ def set_status(statuses: DataFrame, wanted: DataFrame, effective: str) -> DataFr
     return rows.select("instrument_id", "was", F.col("status").alias("wanted"), result.alias("result"))
 
 
+def apply_status(statuses: DataFrame, wanted: DataFrame, effective: str) -> DataFrame:
+    """The status history after the transitions of set_status: what holds at the date ends there where it changes, new ones start; the rest stays."""
+    d = _day(effective)
+    made = set_status(statuses, wanted, effective).select("instrument_id", F.col("wanted").alias("to"), "result")
+    rows = statuses.join(made.select("instrument_id", "result"), "instrument_id", "left")
+    ends = F.col("result").isin("closed", "rolled") & valid(d)
+    kept = rows.withColumn("valid_to", F.when(ends, d).otherwise(F.col("valid_to")))
+    opened = made.where(F.col("result").isin("opened", "rolled")).select("instrument_id", F.col("to").alias("status"), d.alias("valid_from"), F.lit(None).cast("date").alias("valid_to"))
+    return kept.select("instrument_id", "status", "valid_from", "valid_to").unionByName(opened)
+
+
+def apply_snapshot(history: DataFrame, snapshot: DataFrame, effective: str) -> DataFrame:
+    """Membership after a snapshot: rows of names that are absent, delisted or of another weight end at the date, new ones start; history stays.
+
+    history: instrument_id, valid_from, valid_to, weight; snapshot: instrument_id, weight, status and, where given, valid_from. A date before
+    the latest recorded change is an error. An earlier valid_from counts in an empty universe alone.
+    """
+    d = _day(effective)
+    latest = history.agg(F.greatest(F.max("valid_from"), F.max("valid_to"))).first()[0]  # one date
+    if latest is not None and str(latest) > effective:
+        raise ValueError(f"{effective} is before the latest recorded change, {latest}")
+    live = snapshot.where(F.coalesce("status", F.lit("active")) != "delisted")
+    since = F.least(F.coalesce("valid_from", d), d) if latest is None and "valid_from" in snapshot.columns else d
+    live = live.select("instrument_id", F.col("weight").alias("to"), since.alias("since"), F.lit(True).alias("listed"))
+    rows = history.join(live.drop("since"), "instrument_id", "left")
+    is_open, other = F.col("valid_to").isNull(), ~F.col("weight").eqNullSafe(F.col("to"))
+    today = is_open & F.col("listed") & (F.col("valid_from") == d)  # begun on this very date: set anew in place
+    ends = is_open & (F.col("listed").isNull() | other) & ~F.coalesce(today, F.lit(False))
+    kept = rows.select("instrument_id", "valid_from", F.when(ends, d).otherwise(F.col("valid_to")).alias("valid_to"), F.when(today, F.col("to")).otherwise(F.col("weight")).alias("weight"))
+    held = history.where("valid_to is null").select("instrument_id", F.col("weight").alias("was"), F.col("valid_from").alias("began"))
+    fresh = live.join(held, "instrument_id", "left").where(F.col("began").isNull() | ((F.col("began") < d) & ~F.col("was").eqNullSafe(F.col("to"))))
+    return kept.unionByName(fresh.select("instrument_id", F.col("since").alias("valid_from"), F.lit(None).cast("date").alias("valid_to"), F.col("to").alias("weight")))
+
+
 def liquidity_universe(bars: DataFrame, n: int, top: int, latest: str) -> tuple[DataFrame, DataFrame]:
     """(chosen, excluded): the `top` instruments by median value traded over their last n bars; too short or stale ones are excluded with a reason."""
     w = Window.partitionBy("instrument_id").orderBy(F.desc("trade_date"))

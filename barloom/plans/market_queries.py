@@ -109,6 +109,14 @@ def snapshot_diff(spark, sf):
     return U.snapshot_diff(*_snapshot(spark, sf), "2001-01-02")
 
 
+@query("snapshot_apply", f"""WITH {M}, {_SNAP}, lv AS (SELECT instrument_id, weight FROM sn WHERE status <> 'delisted') SELECT h.instrument_id, valid_from, CASE WHEN valid_to IS NULL AND (lv.weight IS NULL OR lv.weight <> h.weight) THEN DATE '2001-01-02' ELSE valid_to END AS valid_to, h.weight FROM mb h LEFT JOIN lv USING (instrument_id)
+UNION ALL SELECT lv.instrument_id, DATE '2001-01-02', NULL, lv.weight FROM lv LEFT JOIN (SELECT * FROM mb WHERE valid_to IS NULL) o USING (instrument_id) WHERE o.instrument_id IS NULL OR o.weight <> lv.weight""")
+def snapshot_apply(spark, sf):
+    """Membership rows after the snapshot of snapshot_diff."""
+    history = P.membership(spark, sf).where("universe = 'WIDE'").drop("universe")
+    return U.apply_snapshot(history, _snapshot(spark, sf)[1], "2001-01-02")
+
+
 _CH = "ch AS (SELECT instrument_id, 'N' || symbol AS new_value FROM symbols WHERE valid_to IS NULL AND instrument_id % 8 = 0)"
 
 
@@ -131,13 +139,26 @@ def scd2_exchange(spark, sf):
     return U.set_exchange(h.withColumn("exchange", F.when(F.col("instrument_id") % 16 != 0, F.col("exchange"))), _changes(spark, sf, "Z", "exchange"), "2001-01-02")
 
 
-@query("scd2_status", f"""WITH {M}, w AS (SELECT instrument_id, CASE instrument_id % 3 WHEN 0 THEN 'suspended' WHEN 1 THEN 'delisted' ELSE 'active' END AS status FROM ins),
-j AS (SELECT w.instrument_id, coalesce(s.status, 'active') AS was, w.status AS wanted FROM w LEFT JOIN (SELECT * FROM statuses WHERE {at('2000-07-01')}) s USING (instrument_id))
-SELECT *, CASE WHEN was = 'delisted' THEN 'refused: delisted' WHEN was = wanted THEN 'unchanged' WHEN wanted = 'active' THEN 'closed' WHEN was = 'active' THEN 'opened' ELSE 'rolled' END AS result FROM j""")
-def scd2_status(spark, sf):
+_STAT = f"""{M}, w AS (SELECT instrument_id, CASE instrument_id % 3 WHEN 0 THEN 'suspended' WHEN 1 THEN 'delisted' ELSE 'active' END AS status FROM ins),
+j AS (SELECT w.instrument_id, coalesce(s.status, 'active') AS was, w.status AS wanted FROM w LEFT JOIN (SELECT * FROM statuses WHERE {at('2000-07-01')}) s USING (instrument_id)),
+sx AS (SELECT *, CASE WHEN was = 'delisted' THEN 'refused: delisted' WHEN was = wanted THEN 'unchanged' WHEN wanted = 'active' THEN 'closed' WHEN was = 'active' THEN 'opened' ELSE 'rolled' END AS result FROM j)"""
+
+
+def _wanted(spark, sf):
     k = F.col("instrument_id") % 3
-    want = P.instruments(spark, sf).withColumn("status", F.when(k == 0, "suspended").when(k == 1, "delisted").otherwise("active"))
-    return U.set_status(P.status_history(spark, sf), want, "2000-07-01")
+    return P.instruments(spark, sf).withColumn("status", F.when(k == 0, "suspended").when(k == 1, "delisted").otherwise("active"))
+
+
+@query("scd2_status", f"WITH {_STAT} SELECT * FROM sx")
+def scd2_status(spark, sf):
+    return U.set_status(P.status_history(spark, sf), _wanted(spark, sf), "2000-07-01")
+
+
+@query("scd2_status_apply", f"""WITH {_STAT} SELECT s.instrument_id, status, valid_from, CASE WHEN result IN ('closed', 'rolled') AND {at('2000-07-01')} THEN DATE '2000-07-01' ELSE valid_to END AS valid_to FROM statuses s LEFT JOIN sx USING (instrument_id)
+UNION ALL SELECT instrument_id, wanted, DATE '2000-07-01', NULL FROM sx WHERE result IN ('opened', 'rolled')""")
+def scd2_status_apply(spark, sf):
+    """Status rows after the transitions of scd2_status."""
+    return U.apply_status(P.status_history(spark, sf), _wanted(spark, sf), "2000-07-01")
 
 
 _LIQ = f"""WITH {P.BARS}, l AS (SELECT * FROM bars WHERE NOT (instrument_id = 7 AND trade_date > DATE '2001-01-01') AND NOT (instrument_id = 9 AND trade_date > DATE '1995-01-31') QUALIFY row_number() OVER (PARTITION BY instrument_id ORDER BY trade_date DESC) <= 60),

@@ -201,11 +201,18 @@ def auc(spark, sf):
     return _round(S.auc(done(spark, sf), "proba", "label", ("model_id", "fold")), ("model_id", "fold"), "auc")
 
 
-@query("calibration_report", f"""WITH {DONE}, v AS (SELECT model_id, fold, label, unnest(['raw', 'half']) AS variant, unnest([proba, 0.5 * proba + 0.25]) AS p FROM dn) SELECT model_id, fold, variant, count(*) AS n, {fl('avg((p - label) * (p - label))')} AS brier FROM v GROUP BY 1, 2, 3""")
+@query("calibration_report", f"""WITH {DONE}, fk AS (SELECT DISTINCT model_id, fold AS k FROM dn), tn AS (SELECT fk.model_id, k, proba, label FROM fk JOIN dn ON dn.model_id = fk.model_id AND dn.fold < k),
+ed AS (SELECT model_id, k, quantile_cont(proba, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e, avg(label) AS base FROM tn GROUP BY 1, 2), bc AS (SELECT model_id, k, len(list_filter(e, lambda x: x <= proba)) AS bin, count(*) AS n, sum(label) AS y FROM tn JOIN ed USING (model_id, k) GROUP BY 1, 2, 3),
+ab AS (SELECT a.model_id, a.k, a.bin AS lo, b.bin AS hi, sum(c.y)::DOUBLE / sum(c.n) AS v FROM bc a JOIN bc b ON a.model_id = b.model_id AND a.k = b.k AND b.bin >= a.bin JOIN bc c ON a.model_id = c.model_id AND a.k = c.k AND c.bin BETWEEN a.bin AND b.bin GROUP BY 1, 2, 3, 4),
+mn AS (SELECT i.model_id, i.k, i.bin, lo, min(v) AS v FROM bc i JOIN ab ON ab.model_id = i.model_id AND ab.k = i.k AND lo <= i.bin AND hi >= i.bin GROUP BY 1, 2, 3, 4), iso AS (SELECT model_id, k, bin, max(v) AS v FROM mn GROUP BY 1, 2, 3),
+v AS (SELECT dn.model_id, fold, label, unnest(['raw', 'isotonic', 'constant']) AS variant, unnest([proba, iso.v, base]) AS p FROM dn JOIN ed ON ed.model_id = dn.model_id AND ed.k = fold JOIN iso ON iso.model_id = dn.model_id AND iso.k = fold AND iso.bin = len(list_filter(e, lambda x: x <= proba)))
+SELECT model_id, fold, variant, count(*) AS n, {fl('avg((p - label) * (p - label))')} AS brier, {fl('avg(p) - avg(label)')} AS gap FROM v GROUP BY 1, 2, 3""")
 def calibration_report(spark, sf):
-    v = F.explode(F.array(F.struct(F.lit("raw").alias("variant"), F.col("proba").alias("p")), F.struct(F.lit("half").alias("variant"), (0.5 * F.col("proba") + 0.25).alias("p"))))
-    rows = done(spark, sf).select("model_id", "fold", "label", v.alias("x")).select("model_id", "fold", "label", "x.*")
-    return _round(S.brier_logloss(rows, "p", "label", "model_id", "fold", "variant"), ("model_id", "fold", "variant", "n"), "brier")
+    """Brier score and gap of the stated probability, of its isotonic fit on the earlier folds, and of their base rate, by fold."""
+    rows = S.isotonic_by_fold(done(spark, sf).select("model_id", "fold", "proba", "label"), "proba", "label")
+    long = rows.select("model_id", "fold", "label", F.expr("stack(3, 'raw', proba, 'isotonic', isotonic, 'constant', constant) as (variant, p)"))
+    s = long.groupBy("model_id", "fold", "variant").agg(F.count("*").alias("n"), F.avg(F.pow(F.col("p") - F.col("label"), F.lit(2))).alias("brier"), (F.avg("p") - F.avg("label")).alias("gap"))
+    return _round(s, ("model_id", "fold", "variant", "n"), "brier", "gap")
 
 
 @query("evidence_monthly", f"""WITH {DONE}, m AS (SELECT DISTINCT CAST(date_trunc('month', trade_date) AS DATE) AS month FROM dn), k AS (SELECT month, fold, proba, label FROM m JOIN dn ON end_date < month AND model_id = 'A'),

@@ -265,3 +265,29 @@ def test_next_dates(spark):
 def test_versions_in_use_are_kept(spark):
     v = spark.createDataFrame([("r", k) for k in range(1, 5)], "recipe string, version bigint")
     assert {r.version: r.kept for r in files.retained(v, v.where("version = 1"), 2).collect()} == {1: True, 2: False, 3: True, 4: True}
+
+
+def test_snapshot_ends_and_starts_membership(spark):
+    day = lambda k: D0 + datetime.timedelta(days=k)
+    h = spark.createDataFrame([(1, D0, None, 1.0), (2, D0, None, 1.0), (3, D0, None, 1.0), (4, D0, day(5), 1.0), (6, D0, None, 1.0)], "instrument_id bigint, valid_from date, valid_to date, weight double")
+    s = spark.createDataFrame([(1, 1.0, "active"), (2, 0.5, None), (4, 1.0, "suspended"), (5, 2.0, "active"), (6, 1.0, "delisted")], "instrument_id bigint, weight double, status string")
+    out = U.apply_snapshot(h, s, str(day(9)))
+    key = lambda r: (r.instrument_id, (r.valid_from - D0).days, r.valid_to and (r.valid_to - D0).days, r.weight)
+    assert {key(r) for r in out.collect()} == {(1, 0, None, 1.0), (2, 0, 9, 1.0), (2, 9, None, 0.5), (3, 0, 9, 1.0), (4, 0, 5, 1.0), (4, 9, None, 1.0), (5, 9, None, 2.0), (6, 0, 9, 1.0)}
+    assert {key(r) for r in U.apply_snapshot(out, s, str(day(9))).collect()} == {key(r) for r in out.collect()}  # again: nothing changes
+    with pytest.raises(ValueError):
+        U.apply_snapshot(out, s, str(day(8)))
+    early = s.withColumn("valid_from", F.lit(D0))
+    assert {r.valid_from for r in U.apply_snapshot(h.limit(0), early, str(day(9))).collect()} == {D0}
+
+
+def test_isotonic_by_fold_rises_and_sees_earlier_folds_only(spark):
+    rows = [("m", k, i / 100, int((i * 7 + k) % 100 < i)) for k in range(3) for i in range(100)]
+    df = spark.createDataFrame(rows, "model_id string, fold bigint, proba double, label int")
+    got = S.isotonic_by_fold(df, "proba", "label").orderBy("fold", "proba").collect()
+    assert {r.fold for r in got} == {1, 2}
+    for k in (1, 2):
+        fit = [r.isotonic for r in got if r.fold == k]
+        assert fit == sorted(fit) and all(0 <= x <= 1 for x in fit)
+    first = df.where("fold = 0").agg(F.avg("label")).first()[0]
+    assert {round(r.constant, 9) for r in got if r.fold == 1} == {round(first, 9)}
