@@ -140,7 +140,11 @@ def reality_check(spark, sf):
     return drawn.agg(rnd(F.max(statistic), 5).alias("statistic"), F.avg((best_one >= statistic).cast("double")).alias("p_value"), F.count("*").alias("resamples"))
 
 
-@query("dca_irr")
+@query("dca_irr", f"""WITH RECURSIVE {EQ}, m AS (SELECT portfolio, min(trade_date) AS d, arg_min(equity, trade_date) AS at_ FROM eq GROUP BY portfolio, date_trunc('month', trade_date)), n AS (SELECT portfolio, min(trade_date) AS d0, max(trade_date) AS d1, arg_max(equity, trade_date) AS e FROM eq GROUP BY 1),
+fw AS (SELECT portfolio, (d - d0)::DOUBLE AS days, 100.0::DOUBLE AS amount FROM m JOIN n USING (portfolio) UNION ALL SELECT portfolio, max(d1 - d0)::DOUBLE, -sum(100 * e / at_) FROM m JOIN n USING (portfolio) GROUP BY 1),
+bi(k, portfolio, lo, hi) AS (SELECT 0, portfolio, -0.99::DOUBLE, 10.0::DOUBLE FROM n UNION ALL SELECT k + 1, portfolio, CASE WHEN v > 0 THEN lo ELSE mid END, CASE WHEN v > 0 THEN mid ELSE hi END
+ FROM (SELECT k, b.portfolio, lo, hi, (lo + hi) / 2 AS mid, sum(amount * pow(1 + (lo + hi) / 2, -days / 365.25::DOUBLE)) AS v FROM bi b JOIN fw ON fw.portfolio = b.portfolio WHERE k < 60 GROUP BY k, b.portfolio, lo, hi))
+SELECT portfolio, {fl('(lo + hi) / 2')} AS rate FROM bi WHERE k = 60""")
 def dca_irr(spark, sf):
     e = equity(spark, sf)
     months = e.groupBy("portfolio", F.trunc("trade_date", "month").alias("m")).agg(F.min("trade_date").alias("d"), F.min_by("equity", "trade_date").alias("at"))
@@ -148,7 +152,7 @@ def dca_irr(spark, sf):
     rows = months.join(ends, "portfolio")
     paid = rows.select("portfolio", F.datediff("d", "d0").cast("double").alias("days"), F.lit(100.0).alias("amount"))
     got = rows.groupBy("portfolio").agg(F.max(F.datediff("d1", "d0")).cast("double").alias("days"), (-F.sum(100 * F.col("end") / F.col("at"))).alias("amount"))
-    return L.internal_rate(paid.unionByName(got))
+    return _round(L.internal_rate(paid.unionByName(got)), ("portfolio",), "rate")
 
 
 @query("thesis_flags", f"WITH {DONE} SELECT instrument_id, trade_date, score > 0.2 AS strong, holding > 5 AS long_hold, score > 0.2 AND holding > 5 AS both FROM dn WHERE model_id = 'A'")
@@ -237,12 +241,22 @@ def target_weights(spark, sf):
     return _round(a.unionByName(b), ("scheme", "instrument_id", "trade_date"), "weight")
 
 
-@query("partial_target")
+def _exit_sql(trades: str, target: str, settle: int, name: str) -> str:
+    """SQL of bracket_exits on mkt for a table of trades with entry, price, stop, max_hold and a target column."""
+    return f"""{name}e AS (SELECT t.trade_id, g.session_idx, CASE WHEN g.open <= stop THEN row(g.open, 'stop gap') WHEN g.open >= {target} THEN row(g.open, 'target gap') WHEN g.low <= stop THEN row(stop, 'stop') WHEN g.high >= {target} THEN row({target}, 'target') WHEN g.session_idx >= entry + max_hold THEN row(g.close, 'time') END AS e
+ FROM {trades} t LEFT JOIN mkt g ON g.instrument_id = t.instrument_id AND g.session_idx BETWEEN entry + {settle + 1} AND entry + max_hold + 5 AND g.close IS NOT NULL AND NOT suspended AND NOT down_locked),
+{name} AS (SELECT trade_id, x[1] AS exit, x[2][1] AS exit_price, coalesce(x[2][2], 'open') AS reason FROM (SELECT trade_id, arg_min(row(session_idx, e), session_idx) FILTER (e IS NOT NULL) AS x FROM {name}e GROUP BY 1))"""
+
+
+@query("partial_target", f"""WITH {_EXIT}, tt AS (SELECT order_id AS trade_id, instrument_id, session_idx AS entry, price, price * 0.6::DOUBLE AS stop, price * 1.2::DOUBLE AS target1, price * 1.6::DOUBLE AS target, 12 AS max_hold FROM fills WHERE price IS NOT NULL), {_exit_sql('tt', 'target1', 2, 'xa')}, {_exit_sql('tt', 'target', 2, 'xb')},
+one AS (SELECT trade_id, exit AS exit1, exit_price AS price1 FROM xa WHERE reason IN ('target', 'target gap')), lt AS (SELECT trade_id, instrument_id, exit1 AS entry, price, price AS stop, target, max_hold - (exit1 - entry) AS max_hold FROM tt JOIN one USING (trade_id)), {_exit_sql('lt', 'target', 0, 'xc')}
+SELECT trade_id, NULL AS exit1, NULL::DOUBLE AS price1, exit AS exit2, {fl('exit_price', 4)} AS price2, {fl('exit_price', 4)} AS mean_price FROM xb WHERE trade_id NOT IN (SELECT trade_id FROM one)
+UNION ALL SELECT trade_id, exit1, {fl('price1', 4)}, exit, {fl('exit_price', 4)}, {fl('0.5::DOUBLE * price1 + (1 - 0.5::DOUBLE) * exit_price', 4)} FROM one LEFT JOIN xc USING (trade_id)""")
 def partial_target(spark, sf):
     f = fills(spark, sf).where("price is not null")
     p = F.col("price")
     t = f.select(F.col("order_id").alias("trade_id"), "instrument_id", F.col("session_idx").alias("entry"), "price", (p * 0.6).alias("stop"), (p * 1.2).alias("target1"), (p * 1.6).alias("target"), F.lit(12).alias("max_hold"))
-    return L.partial_targets(t, market(spark, sf), 0.5)
+    return _round(L.partial_targets(t, market(spark, sf), 0.5), ("trade_id", "exit1", "exit2"), "price1", "price2", "mean_price", places=4)
 
 
 @query("prob_calibration", f"WITH {_GRADED} SELECT model_id, grade, CASE WHEN proba >= 0.55 THEN 'high' WHEN proba >= 0.48 THEN 'mid' ELSE 'low' END AS kind, count(*) AS n, {fl('avg(proba)')} AS stated, {fl('avg(label)')} AS realised FROM dn JOIN gd USING (model_id, fold) GROUP BY 1, 2, 3")
