@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import col, ratio
+from barloom.functions.columns import col, ratio, rnd
 from barloom.sources.files import scratch
 
 # walk-forward splits
@@ -70,6 +70,17 @@ def rank_ic(rows: DataFrame, score: str, outcome: str, least: int = 8, by: tuple
     return out.where((F.col("n") >= least) & (F.col("va") > 0) & (F.col("vb") > 0)).select(*by, "n", (F.col("c") / (F.sqrt("va") * F.sqrt("vb"))).alias("ic"))
 
 
+def ablation_ic(rows: DataFrame, columns: list[str], group: list[str], outcome: str, least: int = 8) -> DataFrame:
+    """Rank correlation of each date for the mean of all columns and of those outside the group: with_group, without_group, difference."""
+    mean = lambda cs: rnd(sum((F.col(c) for c in cs), F.lit(0.0)) / len(cs))
+    rest = [c for c in columns if c not in group]
+    sides = F.explode(F.array(F.struct(F.lit("with").alias("side"), mean(columns).alias("x")), F.struct(F.lit("without").alias("side"), mean(rest).alias("x")))).alias("s")
+    ics = rank_ic(rows.select("trade_date", outcome, sides).select("trade_date", outcome, "s.*"), "x", outcome, least, ("side", "trade_date"))
+    pick = lambda side: F.max(F.when(F.col("side") == side, F.col("ic")))
+    both = ics.groupBy("trade_date").agg(pick("with").alias("with_group"), pick("without").alias("without_group"))
+    return both.where("with_group is not null and without_group is not null").withColumn("difference", F.col("with_group") - F.col("without_group"))
+
+
 def ic_summary(ics: DataFrame, horizon: int, *by: str) -> DataFrame:
     """Mean, deviation, their ratio, a t value for overlapping horizons and the share above 0."""
     s = ics.groupBy(*by).agg(F.count("*").alias("n"), F.avg("ic").alias("mean"), F.stddev_samp("ic").alias("sd"), F.avg((F.col("ic") > 0).cast("double")).alias("hit_rate"))

@@ -344,10 +344,11 @@ def card_sizing(cards: DataFrame, capital: float, risk: float, cap: float) -> Da
 
 
 def card_problems(cards: DataFrame) -> Column:
-    """What is wrong with a card: missing parts, order of levels, off-tick prices."""
-    on_tick = lambda c: F.abs(F.col(c) / tick(c) - F.round(F.col(c) / tick(c))) > 1e-6
+    """What is wrong with a card: missing parts, order of levels, off-tick prices, an entry zone outside the band around the close."""
+    off_tick = lambda c: F.abs(F.col(c) / tick(c) - F.round(F.col(c) / tick(c))) > 1e-6
     checks = [
         ("no stop", F.col("stop").isNull()), ("no target", F.col("target1").isNull()), ("stop not below zone", F.col("stop") >= F.col("zone_low")),
-        ("zone upside down", F.col("zone_low") > F.col("zone_high")), ("target not above zone", F.col("target1") <= F.col("zone_high")), ("stop off tick", on_tick("stop")),
+        ("zone upside down", F.col("zone_low") > F.col("zone_high")), ("target not above zone", F.col("target1") <= F.col("zone_high")), ("stop off tick", off_tick("stop")), ("target off tick", off_tick("target1")),
+        ("zone outside the band", (F.col("zone_low") < F.col("close") * (1 - F.col("band"))) | (F.col("zone_high") > F.col("close") * (1 + F.col("band")))),
     ]
     return F.array_compact(F.array(*[F.when(c, F.lit(text)) for text, c in checks]))

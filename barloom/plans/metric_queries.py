@@ -133,11 +133,14 @@ def ic_report(spark, sf):
     return _round(S.ic_summary(rows, 5, "model_id", "fold"), ("model_id", "fold", "n"), "mean")
 
 
-@query("ablation_ic", f"WITH {_IC} SELECT a.trade_date, {fl('a.ic - b.ic')} AS difference FROM ic a JOIN ic b ON a.trade_date = b.trade_date AND a.model_id = 'A' AND b.model_id = 'B'")
+_ABL = DONE + f""", al AS (SELECT trade_date, fwd, unnest(['with', 'without']) AS model_id, unnest([{fl('(0.0::DOUBLE + score + holding / 10.0::DOUBLE) / 2')}, {fl('(0.0::DOUBLE + score) / 1')}]) AS score FROM dn WHERE model_id = 'A')""" + _IC[len(DONE):].replace("FROM dn)", "FROM al)")
+
+
+@query("ablation_ic", f"WITH {_ABL} SELECT a.trade_date, {fl('a.ic')} AS with_group, {fl('b.ic')} AS without_group, {fl('a.ic - b.ic')} AS difference FROM ic a JOIN ic b ON a.trade_date = b.trade_date AND a.model_id = 'with' AND b.model_id = 'without'")
 def ablation_ic(spark, sf):
-    x = ics(spark, sf)
-    a, b = x.where("model_id = 'A'").select("trade_date", F.col("ic").alias("a")), x.where("model_id = 'B'").select("trade_date", F.col("ic").alias("b"))
-    return a.join(b, "trade_date").select("trade_date", rnd(F.col("a") - F.col("b")).alias("difference"))
+    """Model A's score together with the holding time as a second column, against the score alone."""
+    rows = done(spark, sf).where("model_id = 'A'").withColumn("holding_d", F.col("holding") / 10)
+    return _round(S.ablation_ic(rows, ["score", "holding_d"], ["holding_d"], "fwd"), ("trade_date",), "with_group", "without_group", "difference")
 
 
 _Q = {0.1: "lo", 0.5: "mid", 0.9: "hi"}

@@ -250,10 +250,16 @@ def positions_from_fills(spark, sf):
     return s.select("instrument_id", F.col("lifecycle").cast("bigint").alias("lifecycle"), "opened", F.col("closed").alias("last_fill"), "most", "fills")
 
 
-@query("sleeve_pnl", f"""WITH {_LIFE} SELECT instrument_id % 2 AS sleeve, {fl('sum(CASE side WHEN $$buy$$ THEN -quantity * price ELSE quantity * price END)', 2)} AS cash_flow, count(*) AS fills FROM fl_ GROUP BY 1""")
+@query("sleeve_pnl", f"""WITH {_LIFE}, lc0 AS (SELECT instrument_id, arg_max(close, trade_date) AS last FROM bars GROUP BY 1), cf AS (SELECT instrument_id, CASE side WHEN 'buy' THEN -quantity * price ELSE quantity * price END AS cash, 0.0::DOUBLE AS held FROM fl_ UNION ALL SELECT instrument_id, -100 * price, 100 * last FROM ex2 JOIN lc0 USING (instrument_id) WHERE exit IS NULL)
+SELECT instrument_id % 2 AS sleeve, {fl('sum(cash)', 2)} AS cash_flow, {fl('sum(held)', 2)} AS value_held, {fl('sum(cash + held)', 2)} AS pnl, count(*) AS fills FROM cf GROUP BY 1""")
 def sleeve_pnl(spark, sf):
-    s = trade_fills(spark, sf).groupBy((F.col("instrument_id") % 2).alias("sleeve")).agg(F.sum(F.when(F.col("side") == "buy", -F.col("quantity") * F.col("price")).otherwise(F.col("quantity") * F.col("price"))).alias("c"), F.count("*").alias("fills"))
-    return s.select("sleeve", rnd("c", 2).alias("cash_flow"), "fills")
+    """Cash flow of all fills of a sleeve, and what it still holds at the last close."""
+    last = P.bars(spark, sf).groupBy("instrument_id").agg(F.max_by("close", "trade_date").alias("last"))
+    held = exits(spark, sf).where("exit is null").join(F.broadcast(last), "instrument_id").select("instrument_id", (-100 * F.col("price")).alias("cash"), (100 * F.col("last")).alias("held"))  # one row per instrument
+    value = F.col("quantity") * F.col("price")
+    done_ = trade_fills(spark, sf).select("instrument_id", F.when(F.col("side") == "buy", -value).otherwise(value).alias("cash"), F.lit(0.0).alias("held"))
+    s = done_.unionByName(held).groupBy((F.col("instrument_id") % 2).alias("sleeve")).agg(F.sum("cash").alias("c"), F.sum("held").alias("h"), F.sum(F.col("cash") + F.col("held")).alias("p"), F.count("*").alias("fills"))
+    return s.select("sleeve", rnd("c", 2).alias("cash_flow"), rnd("h", 2).alias("value_held"), rnd("p", 2).alias("pnl"), "fills")
 
 
 _WR = GRID + f""",
@@ -368,12 +374,16 @@ def card_sizing(spark, sf):
     return s.select("instrument_id", "trade_date", rnd("weight").alias("weight"), F.col("quantity").cast("bigint").alias("quantity"))
 
 
-@query("card_validate", f"""WITH {_CARD} SELECT instrument_id, count(*) FILTER (stop >= zone_low) AS stop_high, count(*) FILTER (target1 <= zone_high) AS target_low FROM rr GROUP BY 1""")
+_PROBLEMS = f"""[CASE WHEN stop IS NULL THEN 'no stop' END, CASE WHEN target1 IS NULL THEN 'no target' END, CASE WHEN stop >= zone_low THEN 'stop not below zone' END, CASE WHEN zone_low > zone_high THEN 'zone upside down' END, CASE WHEN target1 <= zone_high THEN 'target not above zone' END,
+CASE WHEN abs(stop / {_tk('stop')} - round(stop / {_tk('stop')})) > 1e-6 THEN 'stop off tick' END, CASE WHEN abs(target1 / {_tk('target1')} - round(target1 / {_tk('target1')})) > 1e-6 THEN 'target off tick' END, CASE WHEN zone_low < close * (1 - band) OR zone_high > close * (1 + band) THEN 'zone outside the band' END]"""
+
+
+@query("card_validate", f"""WITH {_CARD}, pb AS (SELECT instrument_id, unnest(list_filter({_PROBLEMS}, lambda x: x IS NOT NULL)) AS problem FROM (SELECT * REPLACE (CASE WHEN instrument_id % 10 = 0 THEN 0.01::DOUBLE ELSE band END AS band, CASE WHEN instrument_id % 10 = 1 THEN stop + 0.013::DOUBLE ELSE stop END AS stop) FROM rr)) SELECT instrument_id, problem, count(*) AS n FROM pb GROUP BY 1, 2""")
 def card_validate(spark, sf):
-    rows = cards(spark, sf)
-    rows = rows.withColumn("problems", T.card_problems(rows))
-    has = lambda t: F.count_if(F.array_contains("problems", t))
-    return rows.groupBy("instrument_id").agg(has("stop not below zone").alias("stop_high"), has("target not above zone").alias("target_low"))
+    """Problems by instrument; every tenth has a narrow band, every tenth a stop off the ticks."""
+    k = F.col("instrument_id") % 10
+    rows = cards(spark, sf).withColumn("band", F.when(k == 0, 0.01).otherwise(F.col("band"))).withColumn("stop", F.when(k == 1, F.col("stop") + 0.013).otherwise(F.col("stop")))
+    return rows.select("instrument_id", F.explode(T.card_problems(rows)).alias("problem")).groupBy("instrument_id", "problem").agg(F.count("*").alias("n"))
 
 
 def _weekday_sql(x: str) -> str:
