@@ -291,3 +291,18 @@ def test_isotonic_by_fold_rises_and_sees_earlier_folds_only(spark):
         assert fit == sorted(fit) and all(0 <= x <= 1 for x in fit)
     first = df.where("fold = 0").agg(F.avg("label")).first()[0]
     assert {round(r.constant, 9) for r in got if r.fold == 1} == {round(first, 9)}
+
+
+def test_ablation_shows_what_a_column_adds(spark):
+    df = spark.createDataFrame([(D0, float(i), float((i * 7) % 10), float(i)) for i in range(10)], "trade_date date, good double, noise double, y double")
+    r = S.ablation_ic(df, ["good", "noise"], ["noise"], "y").first()
+    assert r.without_group == pytest.approx(1) and r.with_group < 1 and r.difference == pytest.approx(r.with_group - 1)
+
+
+def test_card_problems_by_hand(spark):
+    rows = [(1, 20.0, 0.1, 19.5, 20.2, 18.0, 25.0), (2, 20.0, 0.01, 19.5, 20.2, 19.6, 20.0), (3, 20.0, 0.1, 20.5, 20.2, None, 25.02), (4, 20.0, 0.1, 19.5, 20.2, 18.013, None)]
+    df = spark.createDataFrame(rows, "instrument_id bigint, close double, band double, zone_low double, zone_high double, stop double, target1 double")
+    got = {r.instrument_id: set(r.p) for r in df.select("instrument_id", T.card_problems(df).alias("p")).collect()}
+    assert got == {
+        1: set(), 2: {"stop not below zone", "target not above zone", "zone outside the band"}, 3: {"no stop", "zone upside down", "target off tick"}, 4: {"no target", "stop off tick"},
+    }
