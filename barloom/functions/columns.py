@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -47,3 +47,11 @@ def ratio(a: Column | str, b: Column | str) -> Column:
 def change(x: Column | str, n: int, window: WindowSpec | None = None) -> Column:
     """x over its value n rows before, less 1."""
     return ratio(col(x), F.lag(col(x), n).over(window or own())) - 1
+
+
+def settled(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with further columns that filters and later columns read as they are.
+
+    Long chains of columns that use each other several times grow exponentially when the optimizer pushes a filter through them.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))

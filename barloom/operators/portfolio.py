@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import col, ratio
+from barloom.functions.columns import col, ratio, settled
 
 # schedules and weights
 
@@ -307,14 +307,46 @@ def evidence_grade(n: Column, area: Column, gap: Column) -> Column:
     return F.when((n >= 500) & (area >= 0.55) & (g <= 0.05), "A").when((n >= 200) & (area >= 0.52) & (g <= 0.1), "B").when(n >= 50, "C").otherwise("D")
 
 
-def card_levels(signals: DataFrame, stop_atr: float = 2.0, target_atr: float = 4.0, least: float = 1.5) -> DataFrame:
-    """Entry zone, stop and targets on ticks inside the next session's band, and why a card is refused."""
+# fixed values of the card rules: shares of the close, or multiples of the average range
+BREAKOUT_WITHIN = 0.02
+BREAKOUT_BUFFER, BREAKOUT_ZONE = 0.1, 0.3
+PULLBACK = (0.6, 0.15)
+AT_OPEN = (-0.01, 0.01)
+
+
+def nearest(price: Column | str) -> Column:
+    """To the nearest tick, halves up."""
+    return F.floor(col(price) / tick(price) + 0.5) * tick(price)
+
+
+def card_levels(signals: DataFrame, style: str = "auto", stop_atr: float = 1.0, target_atr: tuple[float, float] = (1.0, 2.0), least: float = 1.5) -> DataFrame:
+    """Entry style, zone, stop and targets on ticks inside the next session's band, and why a card is refused.
+
+    signals: close, atr, floor, ceiling (of the next session), high_20, high_60. Styles: `pullback` is a limit zone below the close,
+    `breakout` a trigger above the 20-session high (not chased far beyond it), `open` a zone around the close; `auto` takes a breakout
+    where the close is near that high. Targets end a tick below the 60-session high where it lies above the entry; the reward to the
+    second target must be `least` times the risk.
+    """
     p, a = F.col("close"), F.col("atr")
-    rows = signals.withColumn("zone_high", tick_round(p * 1.01, False)).withColumn("zone_low", tick_round(p * 0.985, True))
-    rows = rows.withColumn("stop", tick_round(F.greatest(p - stop_atr * a, p * (1 - F.col("band"))), True)).withColumn("target1", tick_round(F.least(p + target_atr * a, p * (1 + F.col("band") * 3)), False))
-    rows = rows.withColumn("reward_risk", F.try_divide(F.col("target1") - F.col("zone_high"), F.col("zone_high") - F.col("stop")))
-    reason = F.when(a.isNull(), "no volatility").when(F.col("stop") >= F.col("zone_low"), "stop inside zone").when(F.col("reward_risk") < least, "reward below risk")
-    return rows.withColumn("reason", reason)
+    near_high = F.coalesce(p >= F.col("high_20") * (1 - BREAKOUT_WITHIN), F.lit(False))
+    rows = signals.withColumn("style", F.when(near_high, "breakout").otherwise("pullback") if style == "auto" else F.lit(style))
+    is_ = lambda name: F.col("style") == name
+    rows = settled(rows, trigger=F.when(is_("breakout"), tick_round(F.col("high_20") + BREAKOUT_BUFFER * a, True)))
+    low = F.when(is_("breakout"), F.col("trigger")).when(is_("pullback"), tick_round(p - PULLBACK[0] * a, False)).otherwise(tick_round(p * (1 + AT_OPEN[0]), False))
+    high = F.when(is_("breakout"), F.greatest(F.col("trigger"), tick_round(F.col("trigger") + BREAKOUT_ZONE * a, False))).when(is_("pullback"), tick_round(p - PULLBACK[1] * a, False)).otherwise(tick_round(p * (1 + AT_OPEN[1]), False))
+    rows = settled(rows, zone_low=F.when(low.isNotNull(), F.greatest(low, F.col("floor"))), zone_high=F.when(high.isNotNull(), F.least(high, F.col("ceiling"))))
+    rows = settled(rows, reference=F.when(F.col("zone_low").isNotNull(), F.least(F.greatest(nearest((F.col("zone_low") + F.col("zone_high")) / 2), F.col("zone_low")), F.col("zone_high"))))
+    ref, top = F.col("reference"), F.col("high_60")
+    rows = rows.withColumn("stop", tick_round(ref - stop_atr * a, False)).withColumn("limit", F.when(top > ref, tick_round(top - tick(top), False)))
+    rows = rows.withColumn("wanted", tick_round(ref + target_atr[1] * a, True)).withColumn("target2", F.when(F.col("wanted").isNotNull(), F.least("wanted", "limit")))
+    rows = rows.withColumn("target1", F.when(F.col("wanted").isNotNull(), F.least(tick_round(ref + target_atr[0] * a, True), F.col("limit"), F.col("target2")))).withColumn("capped", F.col("target2") < F.col("wanted"))
+    rows = rows.withColumn("reward_risk", F.try_divide(F.col("target2") - ref, ref - F.col("stop")))
+    reason = (
+        F.when(a.isNull(), "no volatility").when(is_("breakout") & F.col("high_20").isNull(), "no high to break").when(F.col("trigger") > F.col("ceiling"), "trigger above the ceiling")
+        .when((F.col("zone_low") > F.col("zone_high")) | (F.col("zone_high") <= F.col("floor")), "zone outside the band").when((F.col("stop") <= 0) | (F.col("stop") >= ref), "no valid stop")
+        .when(F.col("limit") <= ref + tick(ref), "resistance too near").when(F.col("target1") <= ref, "target not above entry").when(F.col("reward_risk") < least, "reward below risk")
+    )
+    return rows.withColumn("reason", reason).drop("limit", "wanted")
 
 
 def invest_levels(signals: DataFrame, capital: float, cap: float, below: float = -0.03, above: float = 0.01, lot: int = 100) -> DataFrame:
@@ -324,7 +356,6 @@ def invest_levels(signals: DataFrame, capital: float, cap: float, below: float =
     shares, inside the floor and ceiling; scenario prices start from the tick nearest to its middle, kept inside it.
     """
     p = F.col("close")
-    nearest = lambda x: F.floor(col(x) / tick(x) + 0.5) * tick(x)
     rows = signals.withColumn("zone_low", F.greatest(tick_round(p * (1 + below), False), F.col("floor"))).withColumn("zone_high", F.least(tick_round(p * (1 + above), False), F.col("ceiling")))
     rows = rows.withColumn("reference", F.least(F.greatest(nearest((F.col("zone_low") + F.col("zone_high")) / 2), F.col("zone_low")), F.col("zone_high")))
     at = lambda q: F.col("reference") * (1 + F.col(q))

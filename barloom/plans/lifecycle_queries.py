@@ -329,21 +329,29 @@ def open_alerts(spark, sf):
     return some_findings(spark, sf).where("severity in ('error', 'warning') and instrument_id % 4 != 0").select("instrument_id", "trade_date", "check", "severity")
 
 
-_INV = DONE + f""", sg AS (SELECT instrument_id, trade_date, close, score - 0.2 AS q10, score AS q50, score + 0.2 AS q90, {_up('close * 0.9::DOUBLE')} AS floor_, {_dn('close * 1.1::DOUBLE')} AS ceil_, proba / 4 AS w FROM dn JOIN own USING (instrument_id, trade_date) WHERE model_id = 'A'),
-zn AS (SELECT *, greatest({_dn('close * (1 - 0.03::DOUBLE)')}, floor_) AS zl, least({_dn('close * (1 + 0.01::DOUBLE)')}, ceil_) AS zh, least(w, 0.13::DOUBLE) AS weight FROM sg), rf AS (SELECT *, least(greatest({_near('(zl + zh) / 2')}, zl), zh) AS ref FROM zn),
+_INV = DONE + f""", si AS (SELECT instrument_id, trade_date, close, score - 0.2 AS q10, score AS q50, score + 0.2 AS q90, {_up('close * 0.9::DOUBLE')} AS floor_, {_dn('close * 1.1::DOUBLE')} AS ceil_, proba / 4 AS w FROM dn JOIN own USING (instrument_id, trade_date) WHERE model_id = 'A'),
+zn AS (SELECT *, greatest({_dn('close * (1 - 0.03::DOUBLE)')}, floor_) AS zl, least({_dn('close * (1 + 0.01::DOUBLE)')}, ceil_) AS zh, least(w, 0.13::DOUBLE) AS weight FROM si), rf AS (SELECT *, least(greatest({_near('(zl + zh) / 2')}, zl), zh) AS ref FROM zn),
 iv AS (SELECT instrument_id, trade_date, zl, zh, greatest({_dn('ref * (1 + q10)')}, 0.01) AS bear, {_near('ref * (1 + q50)')} AS base, {_up('ref * (1 + q90)')} AS bull, weight, floor(weight * 10000000.0::DOUBLE / (zh * 100)) * 100 AS q, floor_ FROM rf)"""
 
 
-@query("card_invest_levels", f"WITH {_INV} SELECT instrument_id, trade_date, {fl('zl', 4)} AS zone_low, {fl('zh', 4)} AS zone_high, {fl('bear', 4)} AS bear, {fl('base', 4)} AS base, {fl('bull', 4)} AS bull, {fl('weight', 4)} AS weight, CAST(q AS BIGINT) AS quantity, CASE WHEN zl > zh OR zh <= floor_ THEN 'zone outside the band' WHEN q < 100 THEN 'less than a lot' END AS reason FROM iv")
+_REFUSAL = "CASE WHEN zl > zh OR zh <= floor_ THEN 'zone outside the band' WHEN q < 100 THEN 'less than a lot' END"
+_REFUSED = f"coalesce({_REFUSAL}, 'accepted')"
+
+
+@query("card_invest_levels", f"WITH {_INV} SELECT instrument_id, trade_date, {fl('zl', 4)} AS zone_low, {fl('zh', 4)} AS zone_high, {fl('bear', 4)} AS bear, {fl('base', 4)} AS base, {fl('bull', 4)} AS bull, {fl('weight', 4)} AS weight, CAST(q AS BIGINT) AS quantity, {_REFUSAL} AS reason FROM iv")
 def card_invest_levels(spark, sf):
+    cards_ = _invest_cards(spark, sf).withColumn("quantity", F.col("quantity").cast("bigint"))
+    return _round(cards_, ("instrument_id", "trade_date", "quantity", "reason"), "zone_low", "zone_high", "bear", "base", "bull", "weight", places=4)
+
+
+def _invest_cards(spark, sf):
     p = F.col("close")
     rows = done(spark, sf).where("model_id = 'A'").join(P.bars(spark, sf).select("instrument_id", "trade_date", "close"), ["instrument_id", "trade_date"])
     rows = rows.select(
         "instrument_id", "trade_date", "close", (F.col("score") - 0.2).alias("q10"), F.col("score").alias("q50"), (F.col("score") + 0.2).alias("q90"),
         T.tick_round(p * 0.9, True).alias("floor"), T.tick_round(p * 1.1, False).alias("ceiling"), (F.col("proba") / 4).alias("weight"),
     )
-    cards_ = T.invest_levels(rows, 10_000_000.0, 0.13).withColumn("quantity", F.col("quantity").cast("bigint"))
-    return _round(cards_, ("instrument_id", "trade_date", "quantity", "reason"), "zone_low", "zone_high", "bear", "base", "bull", "weight", places=4)
+    return T.invest_levels(rows, 10_000_000.0, 0.13)
 
 
 @query("card_aggregate")
@@ -353,19 +361,36 @@ def card_aggregate(spark, sf):
     return L.accepted_cards(rows, 0.3, 0.08, 0.02)
 
 
-@query("card_plan", f"WITH {_CARD} SELECT CASE WHEN atr IS NULL THEN 'no volatility' WHEN stop >= zone_low THEN 'stop inside zone' WHEN rr_ < 1.5 THEN 'reward below risk' ELSE 'accepted' END AS outcome, CAST(year(trade_date) AS INTEGER) AS year, count(*) AS n FROM rr GROUP BY 1, 2")
-def card_plan(spark, sf):
-    return cards(spark, sf).groupBy(F.coalesce("reason", F.lit("accepted")).alias("outcome"), F.year("trade_date").alias("year")).agg(F.count("*").alias("n"))
+_STEP = "m AS (SELECT min(session_idx) AS s FROM cal GROUP BY year(trade_date), quarter(trade_date)), step_ AS (SELECT trade_date, session_idx, CASE WHEN session_idx IN (SELECT s FROM m) THEN 'rebalance' WHEN session_idx - 10 IN (SELECT s FROM m) THEN 'second tranche' ELSE 'none' END AS step FROM cal)"
 
 
-@query("invest_step_due", f"WITH {P.BARS_CAL}, m AS (SELECT min(session_idx) AS s FROM cal GROUP BY year(trade_date), quarter(trade_date)) SELECT trade_date, session_idx, CASE WHEN session_idx IN (SELECT s FROM m) THEN 'rebalance' WHEN session_idx - 10 IN (SELECT s FROM m) THEN 'second tranche' ELSE 'none' END AS step FROM cal")
+@query("invest_step_due", f"WITH {P.BARS_CAL}, {_STEP} SELECT * FROM step_")
 def invest_step_due(spark, sf):
+    return _steps(spark, sf)
+
+
+def _steps(spark, sf):
     cal = P.calendar(spark, sf)
     q = T.rebalance_sessions(cal, "quarter").select("session_idx")
     due = q.select("session_idx", F.lit("rebalance").alias("step")).unionByName(q.select((F.col("session_idx") + 10).alias("session_idx"), F.lit("second tranche").alias("step"))).groupBy("session_idx").agg(F.min("step").alias("step"))
     return cal.join(due, "session_idx", "left").select("trade_date", "session_idx", F.coalesce("step", F.lit("none")).alias("step"))
 
 
+_CARDS_ONLY = _CARD.removeprefix(P.OWN_BARS).lstrip(", \n")
+
+
+@query("card_plan", f"""WITH {_INV}, {P.CAL}, {_STEP}, pk AS (SELECT instrument_id, trade_date FROM dn WHERE model_id = 'A' QUALIFY row_number() OVER (PARTITION BY trade_date ORDER BY score DESC, instrument_id) <= 5), {_CARDS_ONLY}, cp AS (SELECT 'swing' AS sleeve, trade_date, coalesce(reason, 'accepted') AS outcome FROM rr JOIN pk USING (instrument_id, trade_date)
+UNION ALL SELECT 'invest', iv.trade_date, {_REFUSED} FROM iv JOIN pk USING (instrument_id, trade_date) JOIN step_ USING (trade_date) WHERE step <> 'none') SELECT sleeve, outcome, CAST(year(trade_date) AS INTEGER) AS year, count(*) AS n FROM cp GROUP BY 1, 2, 3""")
+def card_plan(spark, sf):
+    """Cards of the five best of each date: swing cards daily, invest cards at quarterly rebalances and their second tranches; accepted or why not, by year."""
+    picks = best(spark, sf).select("instrument_id", "trade_date")
+    outcome = F.coalesce("reason", F.lit("accepted")).alias("outcome")
+    swing = cards(spark, sf).join(picks, ["instrument_id", "trade_date"]).select(F.lit("swing").alias("sleeve"), "trade_date", outcome)
+    due = F.broadcast(_steps(spark, sf).where("step != 'none'").select("trade_date"))  # two rows a quarter
+    invest = _invest_cards(spark, sf).join(picks, ["instrument_id", "trade_date"]).join(due, "trade_date").select(F.lit("invest").alias("sleeve"), "trade_date", outcome)
+    return swing.unionByName(invest).groupBy("sleeve", "outcome", F.year("trade_date").alias("year")).agg(F.count("*").alias("n"))
+
+
 @query("sleeve_expand", f"WITH {_TOP} SELECT sleeve, instrument_id, trade_date, sleeve || '-' || instrument_id AS key FROM tp, (SELECT unnest(['swing', 'invest']) AS sleeve)")
 def sleeve_expand(spark, sf):
     rows = best(spark, sf).withColumn("sleeve", F.explode(F.array(F.lit("swing"), F.lit("invest"))))

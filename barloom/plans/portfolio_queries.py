@@ -351,24 +351,39 @@ def evidence_grade(spark, sf):
 
 
 _CARD = P.OWN_BARS + f""",
-sg AS (SELECT instrument_id, trade_date, close, CASE WHEN count(close) OVER w = 14 THEN floor(avg(high - low) OVER w / 5 * 10000.0 + 0.5) / 10000.0 END AS atr, 0.15::DOUBLE AS band FROM own WINDOW w AS (PARTITION BY instrument_id ORDER BY bar_idx ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)),
-lv AS (SELECT *, {_dn('close * 1.01::DOUBLE')} AS zone_high, {_up('close * 0.985::DOUBLE')} AS zone_low, CASE WHEN atr IS NULL THEN {_up('close * (1 - band)')} ELSE {_up('greatest(close - 2.0::DOUBLE * atr, close * (1 - band))')} END AS stop,
- CASE WHEN atr IS NULL THEN {_dn('close * (1 + band * 3)')} ELSE {_dn('least(close + 4.0::DOUBLE * atr, close * (1 + band * 3))')} END AS target1 FROM sg),
-rr AS (SELECT *, (target1 - zone_high) / nullif(zone_high - stop, 0) AS rr_ FROM lv)"""
+sg AS (SELECT instrument_id, trade_date, close, CASE WHEN count(close) OVER w = 14 THEN floor(avg(high - low) OVER w / 5 * 10000.0 + 0.5) / 10000.0 END AS atr, 0.15::DOUBLE AS band, {_up('close * (1 - 0.15::DOUBLE)')} AS floor_, {_dn('close * (1 + 0.15::DOUBLE)')} AS ceil_,
+  CASE WHEN count(close) OVER h20 = 20 THEN max(high) OVER h20 END AS high_20, CASE WHEN count(close) OVER h60 = 60 THEN max(high) OVER h60 END AS high_60
+  FROM own WINDOW w AS (PARTITION BY instrument_id ORDER BY bar_idx ROWS BETWEEN 13 PRECEDING AND CURRENT ROW), h20 AS (PARTITION BY instrument_id ORDER BY bar_idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW), h60 AS (PARTITION BY instrument_id ORDER BY bar_idx ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)),
+tg AS (SELECT *, {_up('high_20 + 0.1::DOUBLE * atr')} AS up_ FROM sg),
+st_ AS (SELECT *, CASE WHEN close >= high_20 * (1 - 0.02::DOUBLE) THEN 'breakout' ELSE 'pullback' END AS style FROM tg),
+zn_ AS (SELECT *, CASE WHEN atr IS NULL THEN NULL WHEN style = 'breakout' THEN up_ END AS trigger_, CASE WHEN atr IS NULL THEN NULL WHEN style = 'breakout' THEN greatest(up_, floor_) ELSE greatest({_dn('close - 0.6::DOUBLE * atr')}, floor_) END AS zone_low,
+  CASE WHEN atr IS NULL THEN NULL WHEN style = 'breakout' THEN least(greatest(up_, {_dn('up_ + 0.3::DOUBLE * atr')}), ceil_) ELSE least({_dn('close - 0.15::DOUBLE * atr')}, ceil_) END AS zone_high FROM st_),
+rf_ AS (SELECT *, CASE WHEN zone_low IS NULL THEN NULL ELSE least(greatest({_near('(zone_low + zone_high) / 2')}, zone_low), zone_high) END AS ref FROM zn_),
+lv AS (SELECT *, {_dn('ref - 1.0::DOUBLE * atr')} AS stop, CASE WHEN high_60 > ref THEN {_dn('high_60 - ' + _tk('high_60'))} END AS limit_, {_up('ref + 1.0::DOUBLE * atr')} AS want1, {_up('ref + 2.0::DOUBLE * atr')} AS want2 FROM rf_),
+tt_ AS (SELECT *, CASE WHEN ref IS NULL THEN NULL WHEN limit_ < want2 THEN limit_ ELSE want2 END AS target2, CASE WHEN ref IS NULL THEN NULL ELSE least(want1, want2, coalesce(limit_, want2)) END AS target1, limit_ < want2 AS over_ FROM lv),
+rr AS (SELECT *, CASE WHEN ref IS NOT NULL THEN coalesce(over_, false) END AS capped, CASE WHEN atr IS NULL THEN 'no volatility' WHEN trigger_ > ceil_ THEN 'trigger above the ceiling' WHEN zone_low > zone_high OR zone_high <= floor_ THEN 'zone outside the band' WHEN stop <= 0 OR stop >= ref THEN 'no valid stop'
+  WHEN limit_ <= ref + {_tk('ref')} THEN 'resistance too near' WHEN target1 <= ref THEN 'target not above entry' WHEN (target2 - ref) / nullif(ref - stop, 0) < 1.5 THEN 'reward below risk' END AS reason FROM tt_)"""
 
 
 def cards(spark, sf):
-    w = own().rowsBetween(-13, 0)
-    s = P.own_bars(spark, sf).select("instrument_id", "trade_date", "close", F.when(F.count("close").over(w) == 14, rnd(F.avg(F.col("high") - F.col("low")).over(w) / 5, 4)).alias("atr"), F.lit(0.15).alias("band"))
+    """Cards of all bars, with a band of 15 %."""
+    over = lambda n: own().rowsBetween(-(n - 1), 0)
+    full = lambda n, x: F.when(F.count("close").over(over(n)) == n, x)
+    band = F.lit(0.15)
+    s = P.own_bars(spark, sf).select(
+        "instrument_id", "trade_date", "close", full(14, rnd(F.avg(F.col("high") - F.col("low")).over(over(14)) / 5, 4)).alias("atr"), band.alias("band"),
+        T.tick_round(F.col("close") * (1 - band), True).alias("floor"), T.tick_round(F.col("close") * (1 + band), False).alias("ceiling"),
+        *[full(n, F.max("high").over(over(n))).alias(f"high_{n}") for n in (20, 60)],
+    )
     return T.card_levels(s)
 
 
-@query("card_levels", f"""WITH {_CARD} SELECT instrument_id, trade_date, {fl('zone_low', 4)} AS zone_low, {fl('zone_high', 4)} AS zone_high, {fl('stop', 4)} AS stop, {fl('target1', 4)} AS target1, CASE WHEN atr IS NULL THEN 'no volatility' WHEN stop >= zone_low THEN 'stop inside zone' WHEN rr_ < 1.5 THEN 'reward below risk' END AS reason FROM rr""")
+@query("card_levels", f"""WITH {_CARD} SELECT instrument_id, trade_date, style, {fl('trigger_', 4)} AS trigger, {fl('zone_low', 4)} AS zone_low, {fl('zone_high', 4)} AS zone_high, {fl('ref', 4)} AS reference, {fl('stop', 4)} AS stop, {fl('target1', 4)} AS target1, {fl('target2', 4)} AS target2, capped, reason FROM rr""")
 def card_levels(spark, sf):
-    return _round(cards(spark, sf), ("instrument_id", "trade_date", "reason"), "zone_low", "zone_high", "stop", "target1", places=4)
+    return _round(cards(spark, sf), ("instrument_id", "trade_date", "style", "capped", "reason"), "trigger", "zone_low", "zone_high", "reference", "stop", "target1", "target2", places=4)
 
 
-@query("card_sizing", f"""WITH {_CARD}, z AS (SELECT *, least(0.1::DOUBLE, 0.01::DOUBLE * zone_high / nullif(zone_high - stop, 0)) AS weight FROM rr WHERE atr IS NOT NULL AND stop < zone_low AND rr_ >= 1.5) SELECT instrument_id, trade_date, {fl('weight')} AS weight, CAST(floor(10000000.0::DOUBLE * weight / (zone_high * 100)) * 100 AS BIGINT) AS quantity FROM z""")
+@query("card_sizing", f"""WITH {_CARD}, z AS (SELECT *, least(0.1::DOUBLE, 0.01::DOUBLE * zone_high / nullif(zone_high - stop, 0)) AS weight FROM rr WHERE reason IS NULL) SELECT instrument_id, trade_date, {fl('weight')} AS weight, CAST(floor(10000000.0::DOUBLE * weight / (zone_high * 100)) * 100 AS BIGINT) AS quantity FROM z""")
 def card_sizing(spark, sf):
     s = T.card_sizing(cards(spark, sf).where("reason is null"), 10_000_000.0, 0.01, 0.1)
     return s.select("instrument_id", "trade_date", rnd("weight").alias("weight"), F.col("quantity").cast("bigint").alias("quantity"))

@@ -306,3 +306,20 @@ def test_card_problems_by_hand(spark):
     assert got == {
         1: set(), 2: {"stop not below zone", "target not above zone", "zone outside the band"}, 3: {"no stop", "zone upside down", "target off tick"}, 4: {"no target", "stop off tick"},
     }
+
+
+def test_card_levels_by_style(spark):
+    columns = "id int, close double, atr double, floor double, ceiling double, high_20 double, high_60 double"
+    rows = [(1, 20.0, 2.0, 17.0, 23.0, 25.0, 30.0), (2, 20.0, 2.0, 17.0, 23.0, 25.0, 20.5), (3, 20.0, 2.0, 17.0, 23.0, 20.1, 20.1), (4, 20.0, None, 17.0, 23.0, 25.0, 30.0), (5, 20.0, 2.0, 17.0, 20.25, 20.1, 20.1), (6, 20.0, 2.0, 19.9, 23.0, 25.0, 30.0), (7, 20.0, 2.0, 17.0, 23.0, 25.0, 19.35)]
+    df = spark.createDataFrame(rows, columns)
+    fields = ("style", "trigger", "zone_low", "zone_high", "reference", "stop", "target1", "target2", "capped", "reason")
+    plain = lambda r: tuple(round(r[f], 4) if isinstance(r[f], float) else r[f] for f in fields)
+    got = {r.id: plain(r) for r in T.card_levels(df).collect()}
+    assert got[1] == ("pullback", None, 18.8, 19.7, 19.25, 17.25, 21.25, 23.25, False, None)
+    assert got[2] == ("pullback", None, 18.8, 19.7, 19.25, 17.25, 20.45, 20.45, True, "reward below risk")
+    assert got[3] == ("breakout", 20.3, 20.3, 20.9, 20.6, 18.6, 22.6, 24.6, False, None)
+    assert got[4] == ("pullback", None, None, None, None, None, None, None, None, "no volatility")
+    assert [got[k][-1] for k in (5, 6, 7)] == ["trigger above the ceiling", "zone outside the band", "resistance too near"]
+    at_open = T.card_levels(df.where("id = 1"), "open").first()
+    assert (round(at_open.zone_low, 4), round(at_open.zone_high, 4), round(at_open.reference, 4)) == (19.8, 20.2, 20.0)
+    assert T.card_levels(df.drop("high_20").selectExpr("*", "cast(null as double) high_20"), "breakout").where("reason = 'no high to break'").count() == 6
