@@ -427,37 +427,29 @@ def wf_final_fit(spark, sf):
 
 @query("score_range")
 def score_range(spark, sf):
+    """Scores, ranks, calibrated probabilities and scenario quantiles of a quarter, by a model stored and loaded again."""
     rows = _model_rows(spark, sf)
-    scored = M.fit_rank_trees(rows.where("fold < 4"), FEATURES, "fwd", 5).transform(rows.where("trade_date between date'2000-01-01' and date'2000-03-31'"))
-    w = Window.partitionBy("trade_date").orderBy(F.desc("score_ml"), "instrument_id")
-    return scored.select("instrument_id", "trade_date", "score_ml", F.row_number().over(w).alias("rank"))
+    fitted = rows.where("fold < 4")
+    path = M.save_model(M.fit_rank_trees(fitted, FEATURES, "fwd", 5), files.scratch(spark, "model"))
+    scored = M.score_range(spark, path, rows, "2000-01-01", "2000-03-31").withColumnRenamed("proba", "p")
+    proba = M.fit_isotonic(fitted, "proba", "label").transform(scored)
+    out = M.scenario_quantiles(fitted, proba, "score", "fwd", 5)
+    return out.select("instrument_id", "trade_date", "score_ml", "rank", F.col("calibrated").alias("proba"), *[F.col("scenarios")[i].alias(q) for i, q in enumerate(("q10", "q50", "q90"))])
 
 
 @query("grid_tune")
 def grid_tune(spark, sf):
-    """Mean daily rank correlation on the validation fold for every point of the grid."""
-    rows = _model_rows(spark, sf)
-    out = None
-    for penalty in (0.001, 0.1, 10.0):  # a handful of points
-        scored = M.fit_linear(rows.where("fold < 3"), FEATURES, "fwd", penalty).transform(rows.where("fold = 3"))
-        part = S.rank_ic(scored.select("trade_date", "score_ml", "fwd"), "score_ml", "fwd").agg(F.avg("ic").alias("mean_ic"), F.count("*").alias("days")).withColumn("penalty", F.lit(penalty))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Ridge and elastic net on the forward rank, every point with its mean daily rank correlation on the validation fold, the best of each family marked."""
+    rows = M.forward_rank(_model_rows(spark, sf), "fwd", "fwd_rank")
+    grid = [(0.001, 0.0), (0.1, 0.0), (10.0, 0.0), (0.001, 0.5), (0.01, 0.5), (0.01, 0.9)]
+    return M.tune(rows.where("fold < 3"), rows.where("fold = 3"), FEATURES, "fwd_rank", "fwd", grid)
 
 
 @query("meta_label")
 def meta_label(spark, sf):
-    """A logistic filter fitted on earlier trades; later ones above the training median, with their outcome."""
-    from pyspark.ml.functions import vector_to_array
-
-    rows = _model_rows(spark, sf)
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-
-    model = Pipeline(stages=[*M._inputs(FEATURES, True), LogisticRegression(featuresCol="vector", labelCol="label")]).fit(rows.where("fold < 4"))
-    p = lambda df: model.transform(df).withColumn("p", vector_to_array("probability")[1])
-    cut = p(rows.where("fold < 4")).agg(F.percentile("p", F.lit(0.5)).alias("cut"))
-    return p(rows.where("fold >= 4")).crossJoin(F.broadcast(cut)).groupBy((F.col("p") >= F.col("cut")).alias("kept")).agg(F.count("*").alias("n"), F.avg("fwd").alias("mean"))  # one row
+    """A logistic filter on earlier trades, judged on the later ones by the gain of what it keeps and that gain's lower bound."""
+    later = M.meta_filter(_model_rows(spark, sf), FEATURES, "fwd", "1999-01-01")
+    return M.filter_gain(later, "fwd", 200, 7)
 
 
 @query("recalibrate")

@@ -323,3 +323,72 @@ def test_card_levels_by_style(spark):
     at_open = T.card_levels(df.where("id = 1"), "open").first()
     assert (round(at_open.zone_low, 4), round(at_open.zone_high, 4), round(at_open.reference, 4)) == (19.8, 20.2, 20.0)
     assert T.card_levels(df.drop("high_20").selectExpr("*", "cast(null as double) high_20"), "breakout").where("reason = 'no high to break'").count() == 6
+
+
+@pytest.fixture(scope="module")
+def planted(spark):
+    """60 dates of 12 names in 3 folds: fwd follows x with a little noise, and y not at all."""
+    rng = random.Random(5)
+    rows = []
+    for d in range(60):
+        for i in range(12):
+            x, y = rng.gauss(0, 1), rng.gauss(0, 1)
+            rows.append((i, D0 + datetime.timedelta(days=d), d // 20, x, y, 0.5 * x + rng.gauss(0, 0.05), float(rng.random() < 1 / (1 + math.exp(-2 * x)))))
+    return spark.createDataFrame(rows, "instrument_id int, trade_date date, fold int, x double, y double, fwd double, label double").cache()
+
+
+def test_linear_contributions_add_up(planted):
+    model = M.fit_linear(planted, ["x", "y"], "fwd", 0.0)
+    intercept = model.stages[-1].intercept
+    rows = M.linear_contributions(model, planted, ["x", "y"]).collect()
+    assert all(abs(sum(r.contributions) + intercept - r.score_ml) < 1e-9 for r in rows)
+    assert all(abs(r.score_ml - 0.5 * r.x) < 0.05 for r in rows)
+
+
+def test_tuning_marks_the_best_of_each_family(planted):
+    grid = [(0.001, 0.0), (1000.0, 0.9), (0.01, 0.5)]
+    got = {r.point: r for r in M.tune(planted.where("fold < 2"), planted.where("fold = 2"), ["x", "y"], "fwd", "fwd", grid).collect()}
+    assert (got[0].family, got[0].best, got[0].days) == ("ridge", True, 20) and got[0].mean_ic > 0.95
+    assert got[1].mean_ic is None and not got[1].best  # all coefficients are 0
+    assert got[2].best and got[2].mean_ic > 0.95
+
+
+def test_walk_forward_sees_earlier_folds_only(planted):
+    turned = planted.withColumn("fwd", F.when(F.col("fold") == 2, -F.col("fwd")).otherwise(F.col("fwd")))
+    out = M.walk_forward(turned, [1, 2], "fold", lambda t: M.fit_linear(t, ["x", "y"], "fwd", 0.0), lambda m, t: m.transform(t))
+    corr = {r.fold: r.c for r in out.groupBy("fold").agg(F.corr("score_ml", "fwd").alias("c")).collect()}
+    assert corr[1] > 0.95 and corr[2] < -0.95
+
+
+def test_trees_rank_and_stored_models_score_alike(spark, planted):
+    ranked = M.forward_rank(planted, "fwd", "r").withColumn("held", F.col("fold") == 1)
+    assert ranked.agg(F.min("r"), F.max("r")).first()[:] == (0.0, 1.0)
+    model = M.fit_rank_trees(ranked.where("fold < 2"), ["x", "y"], "r", 20, validation="held")
+    assert dict(M.importances(model, ["x", "y"]))["x"] > 0.7
+    path = M.save_model(model, files.scratch(spark, "model"))
+    got = M.score_range(spark, path, planted, "2020-02-15", "2020-02-20").collect()
+    assert len(got) == 72 and sorted(r.rank for r in got if r.trade_date == datetime.date(2020, 2, 15)) == list(range(1, 13))
+    want = {(r.instrument_id, r.trade_date): r.score_ml for r in model.transform(planted).collect()}
+    assert all(r.score_ml == want[r.instrument_id, r.trade_date] for r in got)
+    assert np.corrcoef([r.score_ml for r in got], [r.fwd for r in got])[0, 1] > 0.8
+
+
+def test_meta_filter_keeps_a_share_and_gains(planted):
+    later = M.meta_filter(planted, ["x", "y"], "fwd", "2020-02-10", keep=0.6)
+    assert later.count() == 240
+    r = M.filter_gain(later, "fwd", 100, 3).first()
+    rows = later.collect()
+    kept = [x.fwd for x in rows if x.kept]
+    assert r.trades == 240 and r.kept == len(kept) and abs(r.mean_kept - np.mean(kept)) < 1e-12
+    assert abs(r.gain - (np.mean(kept) - np.mean([x.fwd for x in rows]))) < 1e-12 and 0 < r.lower_bound < r.gain
+    noise = M.filter_gain(later.withColumn("kept", F.col("instrument_id") % 2 == 0), "fwd", 100, 3).first()
+    assert noise.lower_bound < 0
+
+
+def test_platt_scaling_of_overconfident_odds(planted):
+    stated = planted.withColumn("p", 1 / (1 + F.exp(-6 * F.col("x"))))
+    model = M.fit_platt(stated, "p", "label")
+    assert abs(model.stages[-1].coefficients[0] - 1 / 3) < 0.08  # the odds were stated three times too strong
+    trees = M.fit_event_trees(planted.where("fold < 2"), ["x", "y"], "label", 5)
+    r = M.event_probability(trees, planted.where("fold = 2")).agg(F.corr("proba_ml", "x").alias("c"), F.min("proba_ml").alias("a"), F.max("proba_ml").alias("b")).first()
+    assert r.c > 0.8 and 0 <= r.a < r.b <= 1
