@@ -103,3 +103,29 @@ def accepted_cards(cards: DataFrame, budget: float, name_cap: float, risk_cap: f
         return pdf[["trade_date", "instrument_id"]].assign(weight=[x for x, _ in out], decision=[x for _, x in out])
 
     return cards.groupBy("trade_date").applyInPandas(run, "trade_date date, instrument_id bigint, weight double, decision string")
+
+
+def portfolio_snapshots(trades: DataFrame, closes: DataFrame, capital: float, lot: int = 100) -> DataFrame:
+    """Cash, equity, peak, drawdown, exposure and positions of each portfolio and session.
+
+    trades: portfolio, instrument_id, entry, price, exit, exit_price (null while open), a lot each; closes: portfolio, instrument_id,
+    session_idx, trade_date, close (null without a bar: the last one counts). Quantities are running sums of steps, so that no trade
+    meets all the sessions it lasts. Positions (instrument:quantity, by instrument) are listed for the last session only.
+    """
+    bought = trades.select("portfolio", "instrument_id", F.col("entry").alias("session_idx"), F.lit(lot).alias("step"), (-lot * F.col("price")).alias("flow"))
+    sold = trades.where("exit is not null").select("portfolio", "instrument_id", F.col("exit").alias("session_idx"), F.lit(-lot).alias("step"), (lot * F.col("exit_price")).alias("flow"))
+    keys = ["portfolio", "instrument_id", "session_idx"]
+    steps = bought.unionByName(sold).groupBy(*keys).agg(F.sum("step").alias("step"), F.sum("flow").alias("flow"))
+    w = Window.partitionBy("portfolio", "instrument_id").orderBy("session_idx").rowsBetween(Window.unboundedPreceding, 0)
+    rows = closes.join(steps, keys, "left").withColumn("held", F.coalesce(F.sum("step").over(w), F.lit(0))).withColumn("last_close", F.coalesce(F.last("close", True).over(w), F.lit(0.0)))
+    position = F.when(F.col("held") > 0, F.struct("instrument_id", "held"))
+    day = rows.groupBy("portfolio", "session_idx", "trade_date").agg(
+        F.coalesce(F.sum("flow"), F.lit(0.0)).alias("flow"), F.sum(F.col("held") * F.col("last_close")).alias("market_value"), F.array_sort(F.collect_list(position)).alias("open")
+    )
+    past = Window.partitionBy("portfolio").orderBy("session_idx").rowsBetween(Window.unboundedPreceding, 0)  # one row per session
+    day = day.withColumn("cash", F.sum("flow").over(past) + capital).withColumn("equity", F.col("cash") + F.col("market_value")).withColumn("peak", F.max("equity").over(past))
+    latest = F.col("session_idx") == F.max("session_idx").over(Window.partitionBy("portfolio"))
+    listed = F.array_join(F.transform("open", lambda x: F.concat_ws(":", x["instrument_id"], x["held"])), ",")
+    return day.select(
+        "portfolio", "trade_date", "cash", "equity", "peak", (F.col("equity") / F.col("peak") - 1).alias("drawdown"), F.try_divide("market_value", "equity").alias("exposure"), F.when(latest, listed).alias("positions")
+    )

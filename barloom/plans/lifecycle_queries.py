@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import own, rnd
+from barloom.operators import datasets as D
 from barloom.operators import features as X
 from barloom.operators import ingest as I
 from barloom.operators import lifecycle as L
@@ -65,12 +66,44 @@ def feature_registry(spark, sf):
     return _round(X.feature_frame(P.own_bars(spark, sf), chosen), ("instrument_id", "trade_date"), "ret_3", "ret_10")
 
 
-@query("build_dataset", f"WITH {DATASET} SELECT CAST(year(trade_date) AS INTEGER) AS year, count(*) AS n_rows, count(fwd_ret_5) AS labelled, {fl('avg(f_ret_5)')} AS mean_feature FROM ds_ GROUP BY 1")
+#: Registered features of the example recipe, and the columns they add.
+_CHOSEN = [k for k in X.REGISTRY if k[0] != "liquidity"]
+_ADDED = ("ret_1", "ret_2", "ret_3", "ret_5", "ret_10", "zscore", "bollinger", "donchian_high", "donchian_low", "gap", "volume_spike", "atr_pct", "rsi", "macd", "macd_hist", "drawdown", "sma_ratio")
+
+
+def _recipe(end: str) -> D.Recipe:
+    def columns(panel):
+        w = Window.partitionBy("instrument_id").orderBy("trade_date")
+        bars_ = panel.where("close is not null").select("instrument_id", "trade_date", "open", "high", "low", "close", "volume", F.row_number().over(w).cast("bigint").alias("bar_idx"))
+        own_ = X.feature_frame(bars_, _CHOSEN).select("instrument_id", "trade_date", *_ADDED)
+        return X.forward_return(panel, 5).join(own_, ["instrument_id", "trade_date"], "left")
+
+    return D.Recipe("swing", "1990-01-01", end, columns, _ADDED, ("fwd_ret_5",), "fwd_end_5")
+
+
+def _built(n: int, end: str) -> str:
+    rows = f"ft WHERE is_member AND close IS NOT NULL AND n >= 20 AND trade_date <= DATE '{end}' AND instrument_id IN (SELECT instrument_id FROM grid WHERE close IS NOT NULL AND trade_date <= DATE '{end}' GROUP BY 1 HAVING count(*) >= 60)"
+    return f"SELECT {n} AS built, count(*) AS n_rows, count(DISTINCT instrument_id) AS instruments, count(fwd_ret_5) AS labelled, (SELECT count(*) FROM (SELECT instrument_id FROM grid WHERE close IS NOT NULL AND trade_date <= DATE '{end}' GROUP BY 1 HAVING count(*) < 60)) AS refused, min(trade_date) AS first_row, max(trade_date) AS last_row FROM {rows}"
+
+
+@query("build_dataset", f"""WITH {DATASET}, bd AS ({_built(1, '2030-12-31')} UNION ALL {_built(2, '1999-12-31')} UNION ALL {_built(3, '2099-12-31')}) SELECT built, CASE WHEN built = 2 AND (SELECT count(DISTINCT n_rows) FROM bd) > 1 THEN 2 ELSE 1 END AS version, n_rows, instruments, labelled, refused, first_row, last_row FROM bd""")
 def build_dataset(spark, sf):
-    df = dataset(spark, sf)
-    files.write_dataset(df, path := files.scratch(spark, "dataset"))
-    d = files.read_dataset(spark, path)
-    return d.groupBy(F.year("trade_date").alias("year")).agg(F.count("*").alias("n_rows"), F.count("fwd_ret_5").alias("labelled"), rnd(F.avg("f_ret_5")).alias("mean_feature"))
+    """Three builds of one recipe, 17 features and a label, the first audited: the third asks for more days than there are and is the first again, so it has its version."""
+    from barloom.operators.universe import membership_daily
+
+    member = membership_daily(P.membership(spark, sf).where("universe = 'WIDE'"), P.calendar(spark, sf))
+    joined = grid(spark, sf).join(member, ["instrument_id", "trade_date"], "left").withColumn("is_member", F.coalesce("is_member", F.lit(False)))
+    joined.write.parquet(path := files.scratch(spark, "panel"))
+    panel = spark.read.parquet(path)
+    out, reports = None, []
+    for n, end in enumerate(("2030-12-31", "1999-12-31", "2099-12-31"), 1):
+        path, report = D.build(spark, panel, _recipe(end), "1998-06-30" if n == 1 else None)
+        reports.append((report["recipe"], report["content"], n, report["refused"]))
+        d = files.read_dataset(spark, path).agg(F.count("*").alias("n_rows"), F.count_distinct("instrument_id").alias("instruments"), F.count("fwd_ret_5").alias("labelled"), F.min("trade_date").alias("first_row"), F.max("trade_date").alias("last_row"))
+        out = d.withColumn("built", F.lit(n)) if out is None else out.unionByName(d.withColumn("built", F.lit(n)))
+    log = spark.createDataFrame(reports, "recipe string, content string, built int, refused bigint")  # a row per build
+    versions = log.join(files.resolve_versions(log), ["recipe", "content"]).select("built", "version", "refused")
+    return out.join(versions, "built").select("built", "version", "n_rows", "instruments", "labelled", "refused", "first_row", "last_row")
 
 
 _METRICS = f"SELECT model_id, fold, unnest(['mean_ic', 'n_days']) AS metric, unnest([{fl('avg(ic)')}, count(*)::DOUBLE]) AS value FROM (SELECT *, CAST(year(trade_date) - 1995 AS BIGINT) AS fold FROM ic) GROUP BY 1, 2"
@@ -312,10 +345,18 @@ def trades_table(spark, sf):
     return s.select("order_id", (F.col("exit") - F.col("entry")).alias("sessions"), rnd(F.col("exit_price") / F.col("price") - 1).alias("ret"), (F.col("exit_price") > F.col("price")).alias("win"))
 
 
-@query("portfolio_snapshots", f"WITH {EQ} SELECT portfolio, trade_date, max(equity) OVER w AS peak, {fl('equity / max(equity) OVER w - 1')} AS drawdown FROM eq WINDOW w AS (PARTITION BY portfolio ORDER BY trade_date ROWS UNBOUNDED PRECEDING)")
+@query("portfolio_snapshots", f"""WITH {_EXIT}, stp_ AS (SELECT instrument_id, entry AS s, 100 AS step, -100 * price AS flow FROM ex2 UNION ALL SELECT instrument_id, exit, -100, 100 * exit_price FROM ex2 WHERE exit IS NOT NULL), sq AS (SELECT instrument_id, s, sum(step) AS step, sum(flow) AS flow FROM stp_ GROUP BY 1, 2),
+hd AS (SELECT g.instrument_id % 3 AS portfolio, g.instrument_id, session_idx, trade_date, flow, CAST(coalesce(sum(step) OVER w, 0) AS BIGINT) AS held, coalesce(last_value(close IGNORE NULLS) OVER w, 0) AS px FROM grid g LEFT JOIN sq ON sq.instrument_id = g.instrument_id AND s = session_idx WINDOW w AS (PARTITION BY g.instrument_id ORDER BY session_idx ROWS UNBOUNDED PRECEDING)),
+dy AS (SELECT portfolio, session_idx, trade_date, coalesce(sum(flow), 0) AS flow, sum(held * px) AS mv, coalesce(string_agg(instrument_id || ':' || held, ',' ORDER BY instrument_id) FILTER (held > 0), '') AS open_ FROM hd GROUP BY 1, 2, 3),
+cs AS (SELECT *, 10000000.0::DOUBLE + sum(flow) OVER (PARTITION BY portfolio ORDER BY session_idx ROWS UNBOUNDED PRECEDING) AS cash FROM dy), pk AS (SELECT *, max(cash + mv) OVER (PARTITION BY portfolio ORDER BY session_idx ROWS UNBOUNDED PRECEDING) AS peak, max(session_idx) OVER (PARTITION BY portfolio) AS latest FROM cs)
+SELECT portfolio, trade_date, {fl('cash', 2)} AS cash, {fl('cash + mv', 2)} AS equity, {fl('peak', 2)} AS peak, {fl('(cash + mv) / peak - 1')} AS drawdown, {fl('mv / nullif(cash + mv, 0)')} AS exposure, CASE WHEN session_idx = latest THEN open_ END AS positions FROM pk""")
 def portfolio_snapshots(spark, sf):
-    w = Window.partitionBy("portfolio").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
-    return equity(spark, sf).select("portfolio", "trade_date", F.max("equity").over(w).alias("peak"), rnd(F.col("equity") / F.max("equity").over(w) - 1).alias("drawdown"))
+    """Three portfolios hold the trades of the example's fills, a lot each."""
+    own_portfolio = (F.col("instrument_id") % 3).alias("portfolio")
+    trades = exits(spark, sf).select(own_portfolio, "instrument_id", "entry", "price", "exit", "exit_price")
+    closes = grid(spark, sf).select(own_portfolio, "instrument_id", "session_idx", "trade_date", "close")
+    s = L.portfolio_snapshots(trades, closes, 10_000_000.0)
+    return s.select("portfolio", "trade_date", *[rnd(c, 2).alias(c) for c in ("cash", "equity", "peak")], rnd("drawdown").alias("drawdown"), rnd("exposure").alias("exposure"), "positions")
 
 
 @query("exposure_stats", f"WITH {_TOP}, d AS (SELECT trade_date, count(*) * 0.15::DOUBLE AS e FROM tp GROUP BY 1) SELECT {fl('avg(e)')} AS mean, {fl('max(e)')} AS most, {fl('min(e)')} AS least, count(*) AS days FROM d")

@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from barloom.operators import datasets as D
 from barloom.operators import features as X
 from barloom.operators import ingest as I
 from barloom.operators import lifecycle as L
@@ -392,3 +393,30 @@ def test_platt_scaling_of_overconfident_odds(planted):
     trees = M.fit_event_trees(planted.where("fold < 2"), ["x", "y"], "label", 5)
     r = M.event_probability(trees, planted.where("fold = 2")).agg(F.corr("proba_ml", "x").alias("c"), F.min("proba_ml").alias("a"), F.max("proba_ml").alias("b")).first()
     assert r.c > 0.8 and 0 <= r.a < r.b <= 1
+
+
+def test_a_build_refuses_what_looks_ahead(spark):
+    rows = [(i, D0 + datetime.timedelta(days=d), d + 1, True, 10.0 + (d * 7 + i) % 5) for i in (1, 2) for d in range(80)] + [(3, D0, 1, True, 10.0)]
+    df = spark.createDataFrame(rows, "instrument_id int, trade_date date, session_idx int, is_member boolean, close double")
+
+    def recipe(shift):
+        def columns(panel):
+            return X.forward_return(panel, 3).withColumn("f", F.lag("close", shift).over(X.sessions()))
+
+        return D.Recipe("small", "2019-01-01", "2030-01-01", columns, ("f",), ("fwd_ret_3",), "fwd_end_3")
+
+    path, report = D.build(spark, df, recipe(2), "2020-02-10")
+    assert (report["n_rows"], report["refused"], report["last_date"]) == (2 * (80 - 19), 1, D0 + datetime.timedelta(days=79))
+    assert files.read_dataset(spark, path).where("fwd_ret_3 is null").count() == 6
+    assert D.build(spark, df, recipe(2))[1]["content"] == report["content"]
+    with pytest.raises(ValueError, match="looks ahead in f"):
+        D.build(spark, df, recipe(-1), "2020-02-10")
+    with pytest.raises(ValueError, match="no bars"):
+        D.build(spark, df.where("close is null"), recipe(2))
+
+
+def test_snapshots_of_two_trades(spark):
+    closes = spark.createDataFrame([(1, 7, s, D0 + datetime.timedelta(days=s), c) for s, c in ((1, 10.0), (2, 12.0), (3, None), (4, 9.0))], "portfolio int, instrument_id int, session_idx int, trade_date date, close double")
+    trades = spark.createDataFrame([(1, 7, 1, 10.0, 2, 12.0), (1, 7, 2, 11.0, None, None)], "portfolio int, instrument_id int, entry int, price double, exit int, exit_price double")
+    got = [(r.cash, r.equity, r.peak, round(r.exposure, 4), r.positions) for r in L.portfolio_snapshots(trades, closes, 2000.0).orderBy("trade_date").collect()]
+    assert got == [(1000.0, 2000.0, 2000.0, 0.5, None), (1100.0, 2300.0, 2300.0, 0.5217, None), (1100.0, 2300.0, 2300.0, 0.5217, None), (1100.0, 2000.0, 2300.0, 0.45, "7:100")]
