@@ -1,6 +1,9 @@
 """DuckDB SQL for the queries that SQL can express."""
 
+from barloom.llm.audit import audit_sql
+from barloom.llm.codes import codes_sql
 from barloom.llm.sharding import shards_sql
+from barloom.llm.signs import near_sql
 
 _EXACT = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
@@ -16,4 +19,7 @@ s AS (SELECT q.vec_id AS query_id, d.vec_id AS vec_id, CAST(list_inner_product(q
 r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10"""
 
-ORACLE_SQL = {"op2_exact_dedup": _EXACT, "op5_topk": _TOPK, "op6_sharding": shards_sql()}
+ORACLE_SQL = {
+    "op2_exact_dedup": _EXACT, "op5_topk": _TOPK, "op6_sharding": shards_sql(),
+    "op11_filter_audit": audit_sql(), "op12_vector_codes": codes_sql(), "op13_near_vectors": near_sql(),
+}

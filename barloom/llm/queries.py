@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from barloom.llm.audit import filter_audit
+from barloom.llm.codes import compressed
 from barloom.llm.exact import exact_duplicates
 from barloom.llm.language import fit_language, identify
 from barloom.llm.lattice import lattice_scores
@@ -13,6 +15,7 @@ from barloom.llm.minhash import near_duplicates
 from barloom.llm.mixing import mixed_documents
 from barloom.llm.packing import packed_documents
 from barloom.llm.sharding import extendible_shards
+from barloom.llm.signs import near_vectors
 from barloom.llm.tokens import token_counts
 from barloom.llm.topk import top_k
 from barloom.llm.toxicity import fit_toxicity, toxicity
@@ -71,6 +74,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(docs, fit_toxicity(docs, _table(spark, sf_dir, "labels")))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compressed(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_packing, op2_exact_dedup, op3_language_id, op4_mixing, op5_topk, op6_sharding, op7_near_dedup, op8_lm_scoring, op9_token_counts, op10_toxicity)
+    f.__name__: f
+    for f in (
+        op1_packing, op2_exact_dedup, op3_language_id, op4_mixing, op5_topk, op6_sharding, op7_near_dedup, op8_lm_scoring, op9_token_counts, op10_toxicity,
+        op11_filter_audit, op12_vector_codes, op13_near_vectors,
+    )
 }
