@@ -37,35 +37,38 @@ def counted(text: bytes) -> Counter:
     return words
 
 
-def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shard, size = TaskContext.get().partitionId() << 33, 0
-    rows, ends, words, indices, counts = [], [0], {}, [], []
-
-    def done() -> pa.RecordBatch:
-        values = [
-            pa.array([shard], pa.int64()), pa.array([rows], pa.list_(_ROW)), pa.array([np.array(ends, np.int64)], pa.list_(pa.int64())), pa.array([list(words)], pa.list_(pa.binary())),
-            pa.array([np.array(indices, np.int32)], pa.list_(pa.int32())), pa.array([np.array(counts, np.int64)], pa.list_(pa.int64())),
-        ]
-        return pa.RecordBatch.from_arrays(values, ["shard", "rows", "ends", "words", "indices", "counts"])
-
-    for batch in batches:
-        for doc_id, part, text in zip(batch.column("doc_id").to_pylist(), batch.column("part").to_pylist(), as_bytes(batch, "text")):
-            if rows and size + len(text) > SHARD_BYTES:
-                yield done()
-                shard, size = shard + 1, 0
-                rows, ends, words, indices, counts = [], [0], {}, [], []
-            own = counted(text)
-            indices.extend([words.setdefault(w, len(words)) for w in own])
-            counts.extend(own.values())
-            ends.append(len(indices))
-            upper = 100 * len(text.translate(None, _NOT_UPPER)) > 3 * len(text.translate(None, _INNER))
-            rows.append({"doc_id": doc_id, "part": part, "digest": hashlib.sha256(text).digest(), "upper": upper, "marks": len(text.translate(None, _MARKS)) < len(text)})
-            size += len(text)
-    if rows:
-        yield done()
-
-
-def document_shards(docs: DataFrame) -> DataFrame:
+def _encoded(shard_bytes: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, size = TaskContext.get().partitionId() << 33, 0
+        rows, ends, words, indices, counts = [], [0], {}, [], []
+
+        def done() -> pa.RecordBatch:
+            values = [
+                pa.array([shard], pa.int64()), pa.array([rows], pa.list_(_ROW)), pa.array([np.array(ends, np.int64)], pa.list_(pa.int64())), pa.array([list(words)], pa.list_(pa.binary())),
+                pa.array([np.array(indices, np.int32)], pa.list_(pa.int32())), pa.array([np.array(counts, np.int64)], pa.list_(pa.int64())),
+            ]
+            return pa.RecordBatch.from_arrays(values, ["shard", "rows", "ends", "words", "indices", "counts"])
+
+        for batch in batches:
+            for doc_id, part, text in zip(batch.column("doc_id").to_pylist(), batch.column("part").to_pylist(), as_bytes(batch, "text")):
+                if rows and size + len(text) > shard_bytes:
+                    yield done()
+                    shard, size = shard + 1, 0
+                    rows, ends, words, indices, counts = [], [0], {}, [], []
+                own = counted(text)
+                indices.extend([words.setdefault(w, len(words)) for w in own])
+                counts.extend(own.values())
+                ends.append(len(indices))
+                upper = 100 * len(text.translate(None, _NOT_UPPER)) > 3 * len(text.translate(None, _INNER))
+                rows.append({"doc_id": doc_id, "part": part, "digest": hashlib.sha256(text).digest(), "upper": upper, "marks": len(text.translate(None, _MARKS)) < len(text)})
+                size += len(text)
+        if rows:
+            yield done()
+
+    return run
+
+
+def document_shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Shards of documents with their word counts in row order; words are numbered within the shard.
 
     shard, rows (doc_id, part, sha256 of the text, and whether capitals are over 3 % and a mark is there), ends (where each row ends,
@@ -73,7 +76,7 @@ def document_shards(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), F.col("text").cast("string").alias("text"))
     schema = f"shard bigint, rows {_ROW_SQL}, ends array<bigint>, words array<binary>, indices array<int>, counts array<bigint>"
-    return written(by_arrow(rows, _encoded, schema), "shards")
+    return written(by_arrow(rows, _encoded(shard_bytes), schema), "shards")
 
 
 def word_dictionary(shards: DataFrame) -> DataFrame:
