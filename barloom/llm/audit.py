@@ -13,12 +13,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import as_bytes, by_arrow, cut_text, written
+from barloom.llm.common import as_bytes, by_arrow, cut_text, gathered, written
 
 #: Bytes of text that one shard of the matrix aims at; a longer text is a shard of its own.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 16 << 20
 #: Ranges of hashes in which words are numbered.
-WORD_RANGES = 4096
+WORD_RANGES = 1 << 14
 
 FILTERS = "ABCDE"
 _NOT_UPPER = bytes(c for c in range(256) if not 65 <= c <= 90)
@@ -45,7 +45,7 @@ def _encoded(shard_bytes: int):
         def done() -> pa.RecordBatch:
             values = [
                 pa.array([shard], pa.int64()), pa.array([rows], pa.list_(_ROW)), pa.array([np.array(ends, np.int64)], pa.list_(pa.int64())), pa.array([list(words)], pa.list_(pa.binary())),
-                pa.array([np.array(indices, np.int32)], pa.list_(pa.int32())), pa.array([np.array(counts, np.int64)], pa.list_(pa.int64())),
+                pa.array([np.array(indices, "<i4").tobytes()], pa.binary()), pa.array([np.array(counts, "<i4").tobytes()], pa.binary()),
             ]
             return pa.RecordBatch.from_arrays(values, ["shard", "rows", "ends", "words", "indices", "counts"])
 
@@ -72,57 +72,77 @@ def document_shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFram
     """Shards of documents with their word counts in row order; words are numbered within the shard.
 
     shard, rows (doc_id, part, sha256 of the text, and whether capitals are over 3 % and a mark is there), ends (where each row ends,
-    after a 0), words, indices into words, counts.
+    after a 0), words, and as 32-bit numbers indices into words and counts.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), F.col("text").cast("string").alias("text"))
-    schema = f"shard bigint, rows {_ROW_SQL}, ends array<bigint>, words array<binary>, indices array<int>, counts array<bigint>"
+    schema = f"shard bigint, rows {_ROW_SQL}, ends array<bigint>, words array<binary>, indices binary, counts binary"
     return written(by_arrow(rows, _encoded(shard_bytes), schema), "shards")
 
 
-def word_dictionary(shards: DataFrame) -> DataFrame:
-    """(word, id) of all words of all shards; ids are gapless from 0 and the same in every run."""
-    words = shards.select(F.explode("words").alias("word")).distinct().withColumn("range", F.pmod(F.xxhash64("word"), F.lit(WORD_RANGES)).cast("int"))
-    words = words.withColumn("place", F.row_number().over(Window.partitionBy("range").orderBy("word")) - 1)
-    words = written(words, "words")
-    sizes = words.groupBy("range").count()
+def numbered_words(shards: DataFrame) -> DataFrame:
+    """(shard, local, id, word): the global number of each word of each shard; word only once for each id.
+
+    Words are sorted within ranges of their hash and numbered there, so that ids are gapless from 0 and the same in every run. A shard names each
+    of its words once, so a word that all documents use gives one row a shard.
+    """
+    asked = shards.select("shard", F.posexplode("words").alias("local", "word")).withColumn("range", F.pmod(F.xxhash64("word"), F.lit(WORD_RANGES)).cast("int"))
+    by_word = Window.partitionBy("range").orderBy("word")
+    before = F.lag("word").over(by_word)
+    placed = asked.select("shard", "local", "range", (F.dense_rank().over(by_word) - 1).alias("place"), F.when(before.isNull() | (before != F.col("word")), F.col("word")).alias("word"))
+    placed = written(placed, "words")
+    sizes = placed.groupBy("range").agg((F.max("place") + 1).alias("n"))
     # at most WORD_RANGES rows
-    first = sizes.select("range", (F.sum("count").over(Window.orderBy("range")) - F.col("count")).alias("first"))
-    return written(words.join(F.broadcast(first), "range").select("word", (F.col("first") + F.col("place")).alias("id")), "dictionary")
+    first = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("first"))
+    return placed.join(F.broadcast(first), "range").select("shard", "local", (F.col("first") + F.col("place")).alias("id"), "word")
+
+
+def word_dictionary(numbers: DataFrame) -> DataFrame:
+    """(word, id) of all words."""
+    return numbers.where("word is not null").select("word", "id")
+
+
+def _by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shard that a task has numbers for."""
+    for batch in gathered(batches, 1 << 20):
+        shard, local, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "local", "id"))
+        order = np.argsort(shard, kind="stable")
+        each, at = np.unique(shard[order], return_index=True)
+        cut = lambda x, kind: pa.array([v.astype(kind).tobytes() for v in np.split(x[order], at[1:])], pa.binary())
+        if len(shard):
+            yield pa.RecordBatch.from_arrays([pa.array(each), cut(local, "<i4"), cut(ids, "<i8")], ["shard", "local", "id"])
 
 
 def _globally_numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        indices, counts = [], []
-        lists = {c: batch.column(c) for c in ("ends", "indices", "counts", "ids")}
+        all_indices, all_counts = [], []
         for i in range(batch.num_rows):
-            ends, local, n, ids = (lists[c][i].values.to_numpy(zero_copy_only=False) if lists[c][i].is_valid else np.zeros(0, np.int64) for c in ("ends", "indices", "counts", "ids"))
-            words = ids[local] if len(local) else np.zeros(0, np.int64)
+            ends = batch.column("ends")[i].values.to_numpy(zero_copy_only=False)
+            local, counts = (np.frombuffer(batch.column(c)[i].as_py(), "<i4") for c in ("indices", "counts"))
+            pieces = batch.column("pieces")[i].as_py() or []
+            ids = np.zeros(sum(len(p["local"]) for p in pieces) // 4, np.int64)
+            for p in pieces:
+                ids[np.frombuffer(p["local"], "<i4")] = np.frombuffer(p["id"], "<i8")
+            words = ids[local]
             order = np.lexsort((words, np.repeat(np.arange(len(ends) - 1), np.diff(ends))))
-            indices.append(words[order])
-            counts.append(n[order])
-        yield pa.RecordBatch.from_arrays(
-            [*(batch.column(c) for c in ("shard", "rows", "ends")), pa.array(indices, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int64()))], ["shard", "rows", "ends", "indices", "counts"]
-        )
+            all_indices.append(words[order])
+            all_counts.append(counts[order])
+        lists = [pa.array(all_indices, pa.list_(pa.int64())), pa.array(all_counts, pa.list_(pa.int32()))]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("shard", "rows", "ends")), *lists], ["shard", "rows", "ends", "indices", "counts"])
 
 
-def csr_shards(shards: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """The document-term matrix: each shard's rows in compressed form, columns by the dictionary's ids in order.
-
-    A shard asks for each of its words once, so a word that all documents use gives one row a shard; what a shard gets back is as large as
-    its own words.
-    """
-    asked = shards.select("shard", F.posexplode("words").alias("local", "word"))
-    ids = asked.join(dictionary, "word").groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("local", "id"))).alias("ids"))
-    ids = written(ids.select("shard", F.col("ids.id").alias("ids")), "ids")
-    rows = shards.select("shard", "rows", "ends", "indices", "counts").join(ids.hint("shuffle_hash"), "shard", "left")
-    return written(by_arrow(rows, _globally_numbered, f"shard bigint, rows {_ROW_SQL}, ends array<bigint>, indices array<bigint>, counts array<bigint>"), "matrix")
+def csr_shards(shards: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The document-term matrix: each shard's rows in compressed form, columns by global word numbers in order. What a shard gets back is as large as its own words."""
+    pieces = by_arrow(numbers.select("shard", "local", "id"), _by_shard, "shard bigint, local binary, id binary")
+    pieces = pieces.groupBy("shard").agg(F.collect_list(F.struct("local", "id")).alias("pieces"))
+    rows = shards.select("shard", "rows", "ends", "indices", "counts").join(pieces.hint("shuffle_hash"), "shard", "left")
+    return written(by_arrow(rows, _globally_numbered, f"shard bigint, rows {_ROW_SQL}, ends array<bigint>, indices array<bigint>, counts array<int>"), "matrix")
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(batch.num_rows):
             ends, counts = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("ends", "counts"))
-            sums = np.concatenate([[0], np.cumsum(counts)])[ends]
+            sums = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])[ends]
             rows = batch.column("rows")[i].values
             yield pa.RecordBatch.from_arrays(
                 [*(rows.field(c) for c in ("doc_id", "part", "digest", "upper", "marks")), pa.array(np.diff(sums).astype(np.int64)), pa.array(np.diff(ends).astype(np.int64))],
@@ -137,7 +157,7 @@ def document_flags(docs: DataFrame) -> DataFrame:
     the pair (text, doc_id) is looked up, so that a crowd of copies meets in no task. Null ids come after all others.
     """
     shards = document_shards(docs)
-    matrix = csr_shards(shards, word_dictionary(shards))
+    matrix = csr_shards(shards, numbered_words(shards))
     schema = "doc_id bigint, part string, digest binary, upper boolean, marks boolean, n_words bigint, n_distinct bigint"
     rows = by_arrow(matrix.select("rows", "ends", "counts"), _summed, schema)
     rows = written(rows, "rows")

@@ -86,12 +86,12 @@ def test_audit_equals_brute_force(spark):
 def test_matrix_holds_every_count(spark):
     docs = spark.createDataFrame([r for r in audit_rows() if r[0] != 10], DOCS).repartition(2)
     shards = audit.document_shards(docs, 3000)
-    dictionary = audit.word_dictionary(shards)
-    word = {r.id: bytes(r.word).decode() for r in dictionary.collect()}
+    numbers = audit.numbered_words(shards)
+    word = {r.id: bytes(r.word).decode() for r in audit.word_dictionary(numbers).collect()}
     assert sorted(word) == list(range(len(word))) and len(set(word.values())) == len(word)
     assert shards.count() > 2 and shards.select("shard").distinct().count() == shards.count()
     got, want = Counter(), Counter()
-    for s in audit.csr_shards(shards, dictionary).collect():
+    for s in audit.csr_shards(shards, numbers).collect():
         for i, row in enumerate(s.rows):
             ids, n = s.indices[s.ends[i] : s.ends[i + 1]], s.counts[s.ends[i] : s.ends[i + 1]]
             assert ids == sorted(set(ids))
