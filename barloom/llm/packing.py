@@ -38,7 +38,8 @@ class ChunkIds:
     """Token ids of white-space-free chunks as little-endian unsigned 32-bit, remembered by chunk.
 
     The tokenizer of word_bpe_49k.json drops white space and lower-cases before it splits, so that a text's
-    ids are those of its chunks in order. Plain chunks (letters, then punctuation) split once more.
+    ids are those of its chunks in order. Plain chunks (letters, then punctuation) split once more. Special tokens that are
+    spelled out in a text are found in it before it is lower-cased; their chunks go to the tokenizer as they stand.
     """
 
     def __init__(self, path: str):
@@ -46,9 +47,10 @@ class ChunkIds:
         from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile(b"|".join(map(re.escape, special)) if special else rb"(?!)")
         # the same merges, held once, over words that need no normalising and are split already
         self.words = Tokenizer(self.tokenizer.model)
         self.words.pre_tokenizer = WhitespaceSplit()
@@ -86,18 +88,28 @@ class ChunkIds:
                 other.append(c)
         self._encode_atoms(list(need))
         out = {c: atoms[c] if not (a and t) else atoms[a] + atoms[t] for c, a, t in plain}
+        self.tokenizer.encode_special_tokens = True  # what only lower-casing made a special token is none
         for c, x in zip(other, self.tokenizer.encode_batch_fast([c.decode() for c in other], add_special_tokens=False)):
             out[c] = np.array(x.ids, np.uint32).tobytes()
         return out
 
+    def as_it_stands(self, chunk: bytes) -> bytes:
+        """The ids of a chunk in which a special token is spelled out."""
+        self.tokenizer.encode_special_tokens = False
+        return np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, np.uint32).tobytes()
+
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text. Very long chunks are not remembered."""
         if len(self.known) > REMEMBERED:
             self.known = {}
         get, fresh, split, found = self.known.get, set(), [], []
         for t in texts:
-            words = t.lower().split()
-            parts = list(map(get, words))
+            if self.special.search(t):
+                words = [w if self.special.search(w) else w.lower() for w in t.split()]
+                parts = [self.as_it_stands(w) if self.special.search(w) else get(w) for w in words]
+            else:
+                words = t.lower().split()
+                parts = list(map(get, words))
             if None in parts:
                 fresh.update([w for w, p in zip(words, parts) if p is None])
             split.append(words)

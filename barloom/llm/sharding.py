@@ -37,8 +37,8 @@ def directory(sums: DataFrame, limit: int, low: int, high: int) -> DataFrame:
     return sums.select("bits", at.alias("at")).select("bits", "at.depth", "at.prefix").join(leaves, ["depth", "prefix"])
 
 
-def extendible_shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """One row per document: doc_id, n_bytes, depth, prefix, page, shard, shard_bytes.
+def extendible_shards(docs: DataFrame, limit: int = LIMIT, carry: str | None = None) -> DataFrame:
+    """One row per document: doc_id, n_bytes, depth, prefix, page, shard, shard_bytes, and the column `carry` if one is named.
 
     The directory is indexed by the leading bits of a hash of doc_id. A bucket with over `limit` bytes of
     UTF-8 text splits on the next bit, and only it, until every bucket fits; shard is "depth-prefix-page".
@@ -48,7 +48,9 @@ def extendible_shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     bytes, so that only a single row over the limit makes a page over it. Null and empty texts have 0 bytes;
     a null doc_id hashes as an empty key.
     """
+    more = [carry] if carry else []
     rows = docs.select(
+        *more,
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("bigint").alias("n_bytes"),
     ).withColumn("bits", hash_bits(F.col("doc_id")))
@@ -60,7 +62,7 @@ def extendible_shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     coarse = rows.groupBy(F.col("cell").alias("bits")).agg(F.sum("n_bytes").alias("bytes"))
     upper = directory(coarse, limit, 0, first).select(F.col("bits").alias("cell"), "depth", "prefix", "bucket_bytes")
     held = rows.join(upper, "cell", "left")
-    fits, rest = held.where("depth is not null"), held.where("depth is null").select("doc_id", "n_bytes", "bits")
+    fits, rest = held.where("depth is not null"), held.where("depth is null").select("doc_id", "n_bytes", "bits", *more)
     fine = rest.groupBy("bits").agg(F.sum("n_bytes").alias("bytes"))
     rest = rest.join(directory(fine, limit, first + 1, BITS), "bits", "left") if first < BITS else rest.withColumns({"depth": F.lit(None).cast("int"), "prefix": F.lit(None).cast("bigint"), "bucket_bytes": F.lit(None).cast("bigint")})
     deep, over = rest.where("depth is not null"), rest.where("depth is null")
@@ -72,19 +74,28 @@ def extendible_shards(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     alone = F.sum(large.cast("int")).over(Window.partitionBy("bits"))
     page = F.when(large, F.row_number().over(order) - 1).otherwise(alone + F.floor(upto * 2 / limit))
     over = over.withColumn("page", page.cast("bigint")).select(
-        "doc_id", "n_bytes", F.lit(BITS).alias("depth"), F.col("bits").alias("prefix"), F.sum("n_bytes").over(Window.partitionBy("bits", "page")).alias("bucket_bytes"), "page"
+        "doc_id", "n_bytes", F.lit(BITS).alias("depth"), F.col("bits").alias("prefix"), F.sum("n_bytes").over(Window.partitionBy("bits", "page")).alias("bucket_bytes"), "page", *more
     )
-    whole = fits.select("doc_id", "n_bytes", "depth", "prefix", "bucket_bytes").unionByName(deep.select("doc_id", "n_bytes", "depth", "prefix", "bucket_bytes"))
+    columns = ["doc_id", "n_bytes", "depth", "prefix", "bucket_bytes", *more]
+    whole = fits.select(columns).unionByName(deep.select(columns))
     return whole.withColumn("page", F.lit(0).cast("bigint")).unionByName(over).select(
-        "doc_id", "n_bytes", "depth", "prefix", "page", F.concat_ws("-", "depth", "prefix", "page").alias("shard"), F.col("bucket_bytes").alias("shard_bytes")
+        "doc_id", "n_bytes", "depth", "prefix", "page", F.concat_ws("-", "depth", "prefix", "page").alias("shard"), F.col("bucket_bytes").alias("shard_bytes"), *more
     )
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
-    """Writes the documents as one folder per shard under path, and returns the rows of extendible_shards()."""
-    plan = extendible_shards(docs, limit)
-    docs.join(plan.select("doc_id", "shard").distinct(), "doc_id").repartition("shard").write.partitionBy("shard").parquet(path)
-    return plan
+    """Writes each row once, in its shard's folder under path, and returns the rows of extendible_shards().
+
+    The row travels with its plan, whatever its doc_id. Folders are named by the column "shard", with underscores added while the documents
+    have a column of that name.
+    """
+    folder = "shard"
+    while folder in docs.columns:
+        folder += "_"
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("barloom_row"))
+    plan = written(extendible_shards(rows, limit, "barloom_row"), "shards")
+    plan.select(F.col("shard").alias(folder), "barloom_row.*").repartition(folder).write.partitionBy(folder).parquet(path)
+    return plan.drop("barloom_row")
 
 
 def shards_sql(limit: int = LIMIT) -> str:

@@ -63,7 +63,6 @@ def reference_ids(text):
     from tokenizers import Tokenizer
 
     t = reference_ids.t = getattr(reference_ids, "t", None) or Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     return np.array([*t.encode(text, add_special_tokens=False).ids, 1], np.uint32)
 
 
@@ -350,8 +349,42 @@ def test_sharding_odd(odd, tmp_path):
         of[r.shard].append(r.n_bytes)
     assert all(sum(v) <= 3000 or sum(x > 0 for x in v) == 1 for v in of.values())
     assert sharding.extendible_shards(odd.limit(0)).count() == 0
-    sharding.write_shards(odd.where("doc_id is not null").select("doc_id", "text"), str(tmp_path / "s"), 3000)
-    assert odd.sparkSession.read.parquet(str(tmp_path / "s")).count() >= len(ODD) - 1
+    same = [(1, "a" * 1400), (1, "b" * 1400), (1, None), (None, "c" * 1400), (None, "d" * 10), (2, "e" * 2900), (3, "f" * 5000)]
+    for n, table in enumerate((odd, odd.sparkSession.createDataFrame(same, "doc_id bigint, text string").selectExpr("*", "'x' AS shard"))):
+        plan = sharding.write_shards(table, str(tmp_path / f"s{n}"), 3000).collect()
+        back = odd.sparkSession.read.parquet(str(tmp_path / f"s{n}"))
+        assert Counter(map(str, map(tuple, back.select(table.columns).collect()))) == Counter(map(str, map(tuple, table.collect())))
+        size, rows = Counter(), Counter()
+        for r in back.select(back.columns[-1], "text").collect():
+            size[r[0]] += len((r[1] or "").encode())
+            rows[r[0]] += bool(r[1])
+        assert all(b <= 3000 or rows[s] == 1 for s, b in size.items()) and size == Counter({r.shard: r.shard_bytes for r in plan})
+
+
+def test_tables_without_a_folder_set(tmp_path):
+    """Where spark.checkpoint.dir is unset, a local session gets a folder of its own, the same each time."""
+    import os
+    import subprocess
+    import sys
+
+    code = """
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+assert not spark.conf.get("spark.checkpoint.dir", None)
+from barloom.llm.common import shared_dir, written
+from barloom.sources.files import scratch
+assert written(spark.range(5), "x").count() == 5 and shared_dir(spark) == shared_dir(spark)
+spark.range(3).write.parquet(scratch(spark, "y"))
+print("fine")
+"""
+    done = subprocess.run([sys.executable, "-c", code], env={**os.environ, "SPARK_CONF_DIR": str(tmp_path), "PYTHONPATH": os.getcwd()}, capture_output=True, text=True, timeout=120)
+    assert done.stdout.strip().endswith("fine"), done.stderr[-2000:]
+
+
+def test_special_tokens_as_the_plain_call(spark):
+    texts = ["hello <|endoftext|> world", "a<|endoftext|>b<|startoftext|>", "<|ENDOFTEXT|> <|EndOfText|>", "<|endoftext|>", "x <|endoftext |> <|endoftext|>, end"]
+    rows = packing.packed_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), tokenizer_file("word_bpe_49k.json")).collect()
+    check_packing(rows, {i: reference_ids(t) for i, t in enumerate(texts)}, defaultdict(lambda: 1))
 
 
 # 7 near duplicates

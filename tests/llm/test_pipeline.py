@@ -100,3 +100,24 @@ def test_rows_without_an_id_of_their_own(spark):
     assert sorted(str(r.text) for r in stages["mix"](spark, written(blank, "blank"), SF).collect()) == sorted(["None", " ", text(1)])
     bare = spark.createDataFrame([(1, "some words", None, "a", 1), (None, "more words", None, "a", 1), (2, "123", None, "a", 1), (3, None, None, "a", 1)], DOCS)
     assert sorted(r.text for r in stages["language"](spark, bare, SF).collect()) == ["more words", "some words"]
+
+
+def test_numbers_stay_with_their_rows(spark, tmp_path):
+    """However a table is split when it is read again, a row without an id of its own keeps its number."""
+    rows = [(None if i % 3 else i % 40, f"text {i}", "en", "a", i) for i in range(4000)]
+    spark.createDataFrame(rows, DOCS).repartition(6).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    old = {k: spark.conf.get(k, None) for k in ("spark.sql.leafNodeDefaultParallelism", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "1024")
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "4")
+        numbers = corpus_pipeline.numbered(docs)
+        seen = []
+        for n in ("4", "16", "2"):
+            spark.conf.set("spark.sql.leafNodeDefaultParallelism", n)
+            again = numbers.select("*").withColumn("k", F.lit(n)).drop("k")
+            seen.append(sorted((r.n_chars, r[corpus_pipeline.ROW]) for r in again.collect()))
+        assert seen[0] == seen[1] == seen[2] and len({r for _, r in seen[0]}) == len(rows)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
