@@ -25,20 +25,24 @@ UID, ROW, OWN, FIRST = "barloom_uid", "barloom_row", "barloom_own", "barloom_fir
 def numbered(docs: DataFrame) -> DataFrame:
     """The documents with a number of their own, ROW: the doc_id, or above all of them where it is null or an earlier row has it.
 
-    Operators take this number for the doc_id, so that each decision finds its one row again. docs must give its
-    rows in the same order each time it is read, as a table that was written does.
+    Operators take this number for the doc_id, so that each decision finds its one row again. Rows whose doc_id doesn't tell
+    them apart are written with their numbers before anything is decided, so that a number stays with its row
+    however often, and by however many executors, docs is read. Which of equal doc_ids comes first is settled there too.
     """
-    docs = docs.withColumn(UID, F.monotonically_increasing_id())
     own = F.col("doc_id").cast("bigint")
-    ids = docs.select(own.alias(OWN), UID)
-    by_id = ids.where(F.col(OWN).isNotNull()).groupBy(OWN).agg(F.count("*").alias("rows"), F.min(UID).alias(FIRST))
-    again = written(by_id.where("rows > 1").select(OWN, FIRST), "repeated_ids")
-    above = (ids.agg(F.max(OWN)).first()[0] or 0) + 1
-    fresh = F.lit(max(above, 1)).cast("bigint") + F.col(UID)
-    if again.isEmpty():
-        return docs.withColumn(ROW, F.coalesce(own, fresh)).drop(UID)
-    docs = docs.join(again, own == F.col(OWN), "left")
-    return docs.withColumn(ROW, F.when(own.isNull() | (F.col(UID) != F.col(FIRST)), fresh).otherwise(own)).drop(UID, OWN, FIRST)
+    known = docs.select(own.alias(OWN)).where(F.col(OWN).isNotNull())
+    again = written(known.groupBy(OWN).count().where("count > 1").select(OWN), "repeated_ids")
+    if again.isEmpty() and docs.where(own.isNull()).isEmpty():
+        return docs.withColumn(ROW, own)
+    placed = docs.withColumn(UID, F.monotonically_increasing_id()).join(again, own == F.col(OWN), "left")
+    odd = written(placed.where(own.isNull() | F.col(OWN).isNotNull()), "odd_rows")
+    first = odd.where(F.col(OWN).isNotNull()).groupBy(F.col(OWN).alias(FIRST)).agg(F.min(UID).alias(f"{UID}_first"))
+    above = max((known.agg(F.max(OWN)).first()[0] or 0) + 1, 1)
+    odd = odd.join(first, F.col(OWN) == F.col(FIRST), "left")
+    row = F.when(F.col(UID) == F.col(f"{UID}_first"), own).otherwise(F.lit(above).cast("bigint") + F.col(UID))
+    odd = odd.withColumn(ROW, row).select(*docs.columns, ROW)
+    plain = docs.where(own.isNotNull()).join(again, own == F.col(OWN), "left_anti").withColumn(ROW, own)
+    return plain.unionByName(odd)
 
 
 def as_documents(rows: DataFrame) -> DataFrame:
