@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+from array import array
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from itertools import permutations
 
@@ -37,15 +38,33 @@ def counted(text: bytes) -> Counter:
     return words
 
 
+def fresh() -> tuple:
+    """An empty shard's rows, row ends, words (a new word gets the next number), indices and counts."""
+    words: defaultdict = defaultdict()
+    words.default_factory = words.__len__
+    return [], [0], words, array("i"), array("i")
+
+
+def packed(numbers: array) -> bytes:
+    """32-bit numbers as bytes, their own length first, compressed: shards are shuffled once more."""
+    raw = np.array(numbers, "<i4").tobytes()
+    return len(raw).to_bytes(8, "little") + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    size = int.from_bytes(data[:8], "little")
+    return np.frombuffer(pa.decompress(data[8:], size, "zstd", asbytes=True) if size else b"", "<i4")
+
+
 def _encoded(shard_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, size = TaskContext.get().partitionId() << 33, 0
-        rows, ends, words, indices, counts = [], [0], {}, [], []
+        rows, ends, words, indices, counts = fresh()
 
         def done() -> pa.RecordBatch:
             values = [
                 pa.array([shard], pa.int64()), pa.array([rows], pa.list_(_ROW)), pa.array([np.array(ends, np.int64)], pa.list_(pa.int64())), pa.array([list(words)], pa.list_(pa.binary())),
-                pa.array([np.array(indices, "<i4").tobytes()], pa.binary()), pa.array([np.array(counts, "<i4").tobytes()], pa.binary()),
+                pa.array([packed(indices)], pa.binary()), pa.array([packed(counts)], pa.binary()),
             ]
             return pa.RecordBatch.from_arrays(values, ["shard", "rows", "ends", "words", "indices", "counts"])
 
@@ -54,9 +73,9 @@ def _encoded(shard_bytes: int):
                 if rows and size + len(text) > shard_bytes:
                     yield done()
                     shard, size = shard + 1, 0
-                    rows, ends, words, indices, counts = [], [0], {}, [], []
+                    rows, ends, words, indices, counts = fresh()
                 own = counted(text)
-                indices.extend([words.setdefault(w, len(words)) for w in own])
+                indices.extend(map(words.__getitem__, own))
                 counts.extend(own.values())
                 ends.append(len(indices))
                 upper = 100 * len(text.translate(None, _NOT_UPPER)) > 3 * len(text.translate(None, _INNER))
@@ -72,11 +91,11 @@ def document_shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFram
     """Shards of documents with their word counts in row order; words are numbered within the shard.
 
     shard, rows (doc_id, part, sha256 of the text, and whether capitals are over 3 % and a mark is there), ends (where each row ends,
-    after a 0), words, and as 32-bit numbers indices into words and counts.
+    after a 0), words, and as packed() numbers indices into words and counts.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("part"), F.col("text").cast("string").alias("text"))
     schema = f"shard bigint, rows {_ROW_SQL}, ends array<bigint>, words array<binary>, indices binary, counts binary"
-    return written(by_arrow(rows, _encoded(shard_bytes), schema), "shards")
+    return written(by_arrow(rows, _encoded(shard_bytes), schema), "shards", "zstd")
 
 
 def numbered_words(shards: DataFrame) -> DataFrame:
@@ -89,7 +108,7 @@ def numbered_words(shards: DataFrame) -> DataFrame:
     by_word = Window.partitionBy("range").orderBy("word")
     before = F.lag("word").over(by_word)
     placed = asked.select("shard", "local", "range", (F.dense_rank().over(by_word) - 1).alias("place"), F.when(before.isNull() | (before != F.col("word")), F.col("word")).alias("word"))
-    placed = written(placed, "words")
+    placed = written(placed, "words", "zstd")
     sizes = placed.groupBy("range").agg((F.max("place") + 1).alias("n"))
     # at most WORD_RANGES rows
     first = sizes.select("range", (F.sum("n").over(Window.orderBy("range")) - F.col("n")).alias("first"))
@@ -117,7 +136,7 @@ def _globally_numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
         all_indices, all_counts = [], []
         for i in range(batch.num_rows):
             ends = batch.column("ends")[i].values.to_numpy(zero_copy_only=False)
-            local, counts = (np.frombuffer(batch.column(c)[i].as_py(), "<i4") for c in ("indices", "counts"))
+            local, counts = (unpacked(batch.column(c)[i].as_py()) for c in ("indices", "counts"))
             pieces = batch.column("pieces")[i].as_py() or []
             ids = np.zeros(sum(len(p["local"]) for p in pieces) // 4, np.int64)
             for p in pieces:
@@ -135,7 +154,7 @@ def csr_shards(shards: DataFrame, numbers: DataFrame) -> DataFrame:
     pieces = by_arrow(numbers.select("shard", "local", "id"), _by_shard, "shard bigint, local binary, id binary")
     pieces = pieces.groupBy("shard").agg(F.collect_list(F.struct("local", "id")).alias("pieces"))
     rows = shards.select("shard", "rows", "ends", "indices", "counts").join(pieces.hint("shuffle_hash"), "shard", "left")
-    return written(by_arrow(rows, _globally_numbered, f"shard bigint, rows {_ROW_SQL}, ends array<bigint>, indices array<bigint>, counts array<int>"), "matrix")
+    return written(by_arrow(rows, _globally_numbered, f"shard bigint, rows {_ROW_SQL}, ends array<bigint>, indices array<bigint>, counts array<int>"), "matrix", "zstd")
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
