@@ -10,11 +10,6 @@ from barloom.functions.columns import ratio, rnd
 FIELDS = ("open", "high", "low", "close", "volume")
 
 
-def scan_bars(bars: DataFrame, ids: list[int], start: str, end: str) -> DataFrame:
-    """Seven columns of some instruments in a date range; both filters reach the scan."""
-    return bars.where(F.col("instrument_id").isin(ids) & F.col("trade_date").between(start, end)).select("instrument_id", "trade_date", *FIELDS)
-
-
 def scan_calendar(calendar: DataFrame, start: str, end: str) -> DataFrame:
     return calendar.where(F.col("trade_date").between(start, end)).select("trade_date").orderBy("trade_date")
 
@@ -181,10 +176,6 @@ def factor_versions(confirmed: DataFrame, current: DataFrame) -> DataFrame:
     return both.select("instrument_id", (F.coalesce("version", F.lit(0)) + F.when(same, 0).otherwise(1)).cast("bigint").alias("version"), (~same).alias("changed"))
 
 
-def with_price_basis(bars: DataFrame, ids: Column, basis: str) -> DataFrame:
-    return bars.withColumn("price_basis", F.when(ids, basis).otherwise(F.lit("raw")))
-
-
 def merge_fragments(fragments: DataFrame, key: list[str], order: Column) -> DataFrame:
     """Several rows of one day: open of the first, highest high, lowest low, close of the last, summed volume."""
     return fragments.groupBy(*key).agg(

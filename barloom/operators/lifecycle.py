@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -84,25 +83,67 @@ def partial_targets(trades: DataFrame, bars: DataFrame, share: float) -> DataFra
     return out.withColumn("mean_price", mean)
 
 
-def accepted_cards(cards: DataFrame, budget: float, name_cap: float, risk_cap: float) -> DataFrame:
-    """Accepts each day's cards in order under a budget, a cap per name and an open-risk limit; shrinks one of which at least half fits.
+def _let(x: Column, f) -> Column:
+    """f(x) with x computed once, inside another expression."""
+    return F.element_at(F.transform(F.array(x), f), 1)
 
-    A running decision per day, and days are many: one small group each.
-    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["rank", "instrument_id"])
-        left, risk, out = budget, risk_cap, []
-        for w, r in zip(pdf["weight"], pdf["risk"]):
-            fit = min(w, name_cap, left, risk / r if r > 0 else w)
-            if fit <= 0 or fit < 0.5 * w - 1e-12:
-                out.append((0.0, "no room"))
-                continue
-            left, risk = left - fit, risk - fit * r
-            out.append((fit, "accepted" if fit >= w else "shrunk"))
-        return pdf[["trade_date", "instrument_id"]].assign(weight=[x for x, _ in out], decision=[x for _, x in out])
-
-    return cards.groupBy("trade_date").applyInPandas(run, "trade_date date, instrument_id bigint, weight double, decision string")
+def _added(m: Column, key: Column, value: Column) -> Column:
+    """The map with value added to the key's."""
+    return F.map_concat(F.map_filter(m, lambda k, _: k != key), F.create_map(key, F.coalesce(F.try_element_at(m, key), F.lit(0.0)) + value))
+
+
+def accepted_cards(cards: DataFrame, budgets: dict[str, float], name_cap: float, risk_cap: float, capital: float, book: DataFrame | None = None, lot: int = 100) -> DataFrame:
+    """Takes each day's cards in order under the portfolio's limits: trade_date, sleeve, instrument_id, weight, quantity, decision.
+
+    cards: trade_date, rank (order of the day), sleeve, instrument_id, weight, quantity, price, risk_share (loss at the stop of one share, as a
+    share of capital; null where no stop is held). book: trade_date, used (sleeve -> weight held), names (instrument -> weight
+    held in all sleeves), open_risk, stopped (no card is taken); a day without one starts empty.
+
+    A card over what its sleeve or its name has left is cut to whole lots that fit if at least half of it does, else refused; one
+    whose stop would take the open risk over risk_cap is refused whole. Each decision needs those before it: a day's cards, at most
+    its picks, are folded in order by one expression.
+    """
+    fields = ["rank", "sleeve", "instrument_id", "weight", "quantity", "price", "risk_share"]
+    days = cards.groupBy("trade_date").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("cards"))
+    days = days.join(book.select("trade_date", "used", "names", "open_risk", "stopped"), "trade_date", "left") if book is not None else days.selectExpr("*", "null used", "null names", "null open_risk", "null stopped")
+    empty = lambda kind: F.create_map().cast(kind)
+    start = F.struct(
+        F.coalesce(F.col("used").cast("map<string,double>"), empty("map<string,double>")).alias("used"), F.coalesce(F.col("names").cast("map<bigint,double>"), empty("map<bigint,double>")).alias("names"),
+        F.coalesce(F.col("open_risk").cast("double"), F.lit(0.0)).alias("risk"), F.array().cast("array<struct<sleeve:string,instrument_id:bigint,weight:double,quantity:bigint,decision:string>>").alias("out"),
+    )
+    budget = F.create_map(*[F.lit(x) for pair in budgets.items() for x in pair])
+    stopped = F.coalesce(F.col("stopped").cast("boolean"), F.lit(False))
+    none = F.lit(0.0)
+
+    def fitted(w: Column, q: Column, room: Column, price: Column) -> Column:
+        keep = room >= w - 1e-12
+        shares = F.floor(F.try_divide(room * capital, price * lot)) * lot
+        ok = keep | ((room >= 0.5 * w) & (shares >= lot))
+        return F.struct(F.when(keep, w).otherwise(shares * price / capital).alias("w"), F.when(keep, q).otherwise(shares).cast("bigint").alias("q"), F.coalesce(ok, F.lit(False)).alias("ok"), (~keep).alias("cut"))
+
+    def decided(s: Column, c: Column, a: Column, b: Column) -> Column:
+        at_risk = s["risk"] + b["q"] * c["risk_share"] > risk_cap + 1e-12
+        decision = (
+            F.when(stopped, "kill switch").when(~a["ok"], "sleeve full").when(~b["ok"], "name full").when(F.coalesce(at_risk, F.lit(False)), "open risk").when(a["cut"] | b["cut"], "shrunk").otherwise("accepted")
+        )
+        return F.struct(decision.alias("decision"), b["w"].alias("w"), b["q"].alias("q"))
+
+    def carried(s: Column, c: Column, d: Column) -> Column:
+        taken = d["decision"].isin("accepted", "shrunk")
+        w, q = F.when(taken, d["w"]).otherwise(none), F.when(taken, d["q"]).otherwise(0).cast("bigint")
+        row = F.struct(c["sleeve"].alias("sleeve"), c["instrument_id"].cast("bigint").alias("instrument_id"), w.alias("weight"), q.alias("quantity"), d["decision"].alias("decision"))
+        return F.struct(
+            _added(s["used"], c["sleeve"], w).alias("used"), _added(s["names"], c["instrument_id"].cast("bigint"), w).alias("names"),
+            (s["risk"] + F.coalesce(q * c["risk_share"], none)).alias("risk"), F.concat(s["out"], F.array(row)).alias("out"),
+        )
+
+    def step(s: Column, c: Column) -> Column:
+        room = F.coalesce(F.try_element_at(budget, c["sleeve"]), none) - F.coalesce(F.try_element_at(s["used"], c["sleeve"]), none)
+        left = F.lit(name_cap) - F.coalesce(F.try_element_at(s["names"], c["instrument_id"].cast("bigint")), none)
+        return _let(fitted(c["weight"], c["quantity"], room, c["price"]), lambda a: _let(fitted(a["w"], a["q"], left, c["price"]), lambda b: _let(decided(s, c, a, b), lambda d: carried(s, c, d))))
+
+    return days.select("trade_date", F.explode(F.aggregate("cards", start, step)["out"]).alias("x")).select("trade_date", "x.*")
 
 
 def portfolio_snapshots(trades: DataFrame, closes: DataFrame, capital: float, lot: int = 100) -> DataFrame:

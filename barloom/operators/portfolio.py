@@ -280,25 +280,28 @@ def weight_returns(weights: DataFrame, returns: DataFrame, rate: float, multipli
 
 
 def kill_states(equity: DataFrame, stop: float, cooldown: int) -> DataFrame:
-    """Drawdown stop with cooldown for each portfolio; the peak restarts after it. A state machine per portfolio."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("session_idx")
-        peak, until, out = 0.0, -1, []
-        for s, e in zip(pdf["session_idx"], pdf["equity"]):
-            if s <= until:
-                out.append("cooling")
-                peak = e
-                continue
-            peak = max(peak, e)
-            if peak > 0 and e / peak - 1 <= -stop:
-                until = s + cooldown
-                out.append("stopped")
-            else:
-                out.append("trading")
-        return pd.DataFrame({"portfolio": pdf["portfolio"], "session_idx": pdf["session_idx"], "state": out})
-
-    return equity.groupBy("portfolio").applyInPandas(run, "portfolio bigint, session_idx bigint, state string")
+    """trading, stopped or cooling for each session of each portfolio (portfolio, session_idx, equity).
+
+    A fall of `stop` below the peak stops trading; `cooldown` sessions after the stop it resumes, with the peak starting at that session's
+    equity. A portfolio's state is folded over its sessions in order, one number each; only its stops are kept.
+    """
+    ordered = equity.groupBy("portfolio").agg(F.array_sort(F.collect_list(F.struct("session_idx", "equity"))).alias("days"))
+    start = F.struct(F.lit(0).alias("i"), F.lit(None).cast("double").alias("peak"), F.lit(-1).alias("until"), F.array().cast("array<int>").alias("stops"))
+
+    def step(s: Column, day: Column) -> Column:
+        cooling = (s["until"] > s["i"])
+        peak = F.when(cooling, s["peak"]).when(s["until"] == s["i"], day["equity"]).otherwise(F.greatest(s["peak"], day["equity"]))  # greatest() skips the null at the start
+        falls = ~cooling & (F.try_divide(day["equity"], peak) - 1 <= -stop)
+        falls = F.coalesce(falls, F.lit(False))
+        return F.struct(
+            (s["i"] + 1).alias("i"), peak.alias("peak"), F.when(falls, s["i"] + cooldown).otherwise(s["until"]).alias("until"), F.when(falls, F.concat(s["stops"], F.array(s["i"]))).otherwise(s["stops"]).alias("stops")
+        )
+
+    folded = ordered.select("portfolio", "days", F.aggregate("days", start, step)["stops"].alias("stops"))
+    rows = folded.select("portfolio", "stops", F.posexplode("days").alias("i", "day"))
+    last = F.expr("array_max(filter(stops, x -> x <= i))")
+    state = F.when(last.isNull() | (F.col("i") >= last + cooldown), F.when(last == F.col("i"), "stopped").otherwise("trading")).when(last == F.col("i"), "stopped").otherwise("cooling")
+    return rows.select("portfolio", F.col("day.session_idx").alias("session_idx"), state.alias("state"))
 
 
 def evidence_grade(n: Column, area: Column, gap: Column) -> Column:
@@ -367,11 +370,22 @@ def invest_levels(signals: DataFrame, capital: float, cap: float, below: float =
     return rows.withColumn("reason", reason)
 
 
-def card_sizing(cards: DataFrame, capital: float, risk: float, cap: float) -> DataFrame:
-    """Weight such that the way to the stop costs `risk` of the capital, under a cap, in whole lots."""
-    entry = F.col("zone_high")
-    weight = F.least(F.lit(cap), ratio(F.lit(risk) * entry, entry - F.col("stop")))
-    return cards.withColumn("weight", weight).withColumn("quantity", lots(F.lit(capital) * weight, entry))
+def card_sizing(cards: DataFrame, capital: float, risk: float, cap: float, room: Column | None = None, lot: int = 100) -> DataFrame:
+    """Weight, quantity, what the stop would cost, and why a card can't be sized.
+
+    The way from the reference price to the stop costs `risk` of the capital; the weight is held under a cap and under the room that its name has
+    left, and is then that of the whole lots that it buys at the zone's top. Under one lot there is no card.
+    """
+    wanted = F.least(F.lit(cap), ratio(F.lit(risk), ratio(F.col("reference") - F.col("stop"), F.col("reference"))))
+    if room is not None:
+        wanted = F.least(wanted, F.when(room.isNotNull(), F.greatest(room, F.lit(0.0))))  # no room is named: no limit
+    rows = settled(cards.withColumn("wanted", wanted), quantity=lots(F.lit(capital) * F.col("wanted"), F.col("zone_high"), lot))
+    few = F.coalesce(F.col("quantity") < lot, F.lit(True))
+    sized = lambda x: F.when(~few, x)
+    at_stop = F.col("quantity") * (F.col("reference") - F.col("stop"))
+    return rows.withColumns({
+        "weight": sized(F.col("quantity") * F.col("zone_high") / capital), "risk_if_stop": sized(at_stop), "risk": sized(at_stop / capital), "refused": F.when(few, "less than a lot"), "quantity": sized(F.col("quantity")),
+    }).drop("wanted")
 
 
 def card_problems(cards: DataFrame) -> Column:

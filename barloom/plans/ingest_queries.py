@@ -8,13 +8,17 @@ from barloom.functions.columns import rnd
 from barloom.operators import ingest as I
 from barloom.plans.registry import query
 from barloom.sources import panel as P
+from barloom.sources import store
+from barloom.sources.files import scratch
+from barloom.sources.store import in_range
 
 B = P.BARS
 
 
 @query("scan_bars", f"WITH {B} SELECT instrument_id, trade_date, open, high, low, close, volume FROM bars WHERE instrument_id IN (1, 3, 5, 7) AND trade_date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'")
 def scan_bars(spark, sf):
-    return I.scan_bars(P.bars(spark, sf), [1, 3, 5, 7], "1997-01-01", "1998-12-31")
+    rows = in_range(P.bar_table(spark, sf), [1, 3, 5, 7], "1997-01-01", "1998-12-31")
+    return rows.select("instrument_id", "trade_date", *I.FIELDS)
 
 
 @query("scan_calendar", f"WITH {P.BARS_CAL} SELECT trade_date FROM cal WHERE trade_date BETWEEN DATE '1997-01-01' AND DATE '1997-12-31'")
@@ -56,6 +60,14 @@ def bar_upsert_classify(spark, sf):
     return _classified(spark, sf).select("instrument_id", "trade_date", "change", "row.close")
 
 
+@query("bar_store_upsert", f"WITH {_CLASS} SELECT CAST(year(trade_date) AS INTEGER) AS year, change, count(*) AS n FROM cl WHERE year(trade_date) IN (SELECT year(trade_date) FROM nxt) GROUP BY 1, 2")
+def bar_store_upsert(spark, sf):
+    """A later fetch merged into a stored copy of the bars: counts by year and change; years that it doesn't touch stay as they were."""
+    path = scratch(spark, "bars")
+    store.write_bars(P.bars(spark, sf), path)
+    return store.upsert_bars(spark, path, P.bars_next(spark, sf), scratch(spark, "revisions"))
+
+
 @query("bar_revisions", f"WITH {_CLASS} SELECT instrument_id, trade_date, old_close AS close FROM cl WHERE change = 'updated'")
 def bar_revisions(spark, sf):
     return _classified(spark, sf).where("change = 'updated'").select("instrument_id", "trade_date", "old.close")
@@ -223,7 +235,11 @@ def factor_version(spark, sf):
 
 @query("set_price_basis", f"WITH {B} SELECT instrument_id, trade_date, CASE WHEN instrument_id IN (2, 4) THEN 'adjusted' ELSE 'raw' END AS price_basis FROM bars")
 def set_price_basis(spark, sf):
-    return I.with_price_basis(P.bars(spark, sf), F.col("instrument_id").isin(2, 4), "adjusted").select("instrument_id", "trade_date", "price_basis")
+    """Relabels two instruments in a stored copy, year by year."""
+    path = scratch(spark, "basis")
+    store.write_bars(P.bars(spark, sf).withColumn("price_basis", F.lit("raw")), path)
+    store.set_price_basis(spark, path, P.instruments(spark, sf).where("instrument_id in (2, 4)"), "adjusted")
+    return store.read_bars(spark, path).select("instrument_id", "trade_date", "price_basis")
 
 
 @query("merge_day_fragments", """SELECT user_id, CAST(ts AS DATE) AS trade_date, arg_min(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, row(ts, event_id)) AS close, CAST(count(*) AS BIGINT) AS volume, count(*) AS n_fragments

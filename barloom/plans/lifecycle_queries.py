@@ -16,7 +16,7 @@ from barloom.operators import portfolio as T
 from barloom.plans.feature_queries import DATASET, dataset, fl, grid
 from barloom.plans.market_queries import ALL, _UNION, some_findings
 from barloom.plans.metric_queries import _IC, DAILY, DONE, EQ, _round, boot_sql, daily_returns, done, equity, ics, path_sql
-from barloom.plans.portfolio_queries import _CARD, _EXIT, _GRADED, _TOP, TRAILING, _dn, _near, _up, best, cards, evidence_grade, exits, fills, market, orders, trailing
+from barloom.plans.portfolio_queries import _CARD, _EXIT, _GRADED, _TOP, TRAILING, _dn, _near, _up, best, cards, evidence_grade, exits, fills, kill_sql, market, orders, sized_cards, SIZED, trailing
 from barloom.plans.registry import query
 from barloom.plans.system_queries import FEATURES, _model_rows
 from barloom.sources import files
@@ -395,13 +395,6 @@ def _invest_cards(spark, sf):
     return T.invest_levels(rows, 10_000_000.0, 0.13)
 
 
-@query("card_aggregate")
-def card_aggregate(spark, sf):
-    c = T.card_sizing(cards(spark, sf).where("reason is null"), 10_000_000.0, 0.01, 0.1)
-    rows = c.select("trade_date", "instrument_id", "weight", ((F.col("zone_high") - F.col("stop")) / F.col("zone_high")).alias("risk"), F.col("instrument_id").alias("rank"))
-    return L.accepted_cards(rows, 0.3, 0.08, 0.02)
-
-
 _STEP = "m AS (SELECT min(session_idx) AS s FROM cal GROUP BY year(trade_date), quarter(trade_date)), step_ AS (SELECT trade_date, session_idx, CASE WHEN session_idx IN (SELECT s FROM m) THEN 'rebalance' WHEN session_idx - 10 IN (SELECT s FROM m) THEN 'second tranche' ELSE 'none' END AS step FROM cal)"
 
 
@@ -417,19 +410,79 @@ def _steps(spark, sf):
     return cal.join(due, "session_idx", "left").select("trade_date", "session_idx", F.coalesce("step", F.lit("none")).alias("step"))
 
 
-_CARDS_ONLY = _CARD.removeprefix(P.OWN_BARS).lstrip(", \n")
+_CARDS_ONLY = SIZED.removeprefix(P.OWN_BARS).lstrip(", \n")
+#: The book of each session: every fifth name, another fifth each 20 sessions, is held in invest; 0.4 % is at risk; no card while the mean close is in a stop.
+_BOOK = f"""{P.BENCH}, beq AS MATERIALIZED (SELECT 1 AS portfolio, row_number() OVER (ORDER BY trade_date) - 1 AS i, row_number() OVER (ORDER BY trade_date) AS session_idx, trade_date, close AS equity FROM bench), {kill_sql('beq', 0.3, 5)},
+held AS (SELECT trade_date, instrument_id FROM cal, (SELECT DISTINCT instrument_id FROM bars) WHERE (instrument_id + session_idx // 20) % 5 = 0),
+bk AS MATERIALIZED (SELECT cal.trade_date, coalesce(n, 0) * 0.02::DOUBLE AS ui, coalesce(state <> 'trading', false) AS stopped FROM cal LEFT JOIN (SELECT trade_date, count(*) AS n FROM held GROUP BY 1) USING (trade_date) LEFT JOIN (SELECT trade_date, state FROM ks JOIN beq USING (i)) USING (trade_date))"""
+
+
+def _book(spark, sf):
+    held = P.calendar(spark, sf).join(P.instruments(spark, sf), (F.col("instrument_id") + F.floor(F.col("session_idx") / 20)) % 5 == 0).select("trade_date", "instrument_id")
+    names = held.groupBy("trade_date").agg(F.map_from_entries(F.collect_list(F.struct("instrument_id", F.lit(0.02)))).alias("names"), F.create_map(F.lit("invest"), F.count("*") * 0.02).alias("used"))
+    b = P.bench(spark, sf).select(F.lit(1).alias("portfolio"), F.datediff("trade_date", F.lit("1990-01-01")).alias("session_idx"), F.col("close").alias("equity"))
+    stopped = T.kill_states(b, 0.3, 5).select(F.date_add(F.lit("1990-01-01").cast("date"), F.col("session_idx")).alias("trade_date"), (F.col("state") != "trading").alias("stopped"))
+    return P.calendar(spark, sf).select("trade_date").join(names, "trade_date", "left").join(stopped, "trade_date", "left").withColumn("open_risk", F.lit(0.004))
+
+
+def _aggregate_sql(cards_: str) -> str:
+    """SQL of accepted_cards() as ag, from a table of trade_date, k (from 1), sleeve, instrument_id, weight, quantity, price, risk_share and held (in all sleeves)."""
+    lots = lambda room: f"floor({room} * 10000000.0::DOUBLE / (price * 100)) * 100"
+    fit = lambda w, q, room, x, rows: f"SELECT *, {room} >= {w} - 1e-12 AS keep{x}, {room} >= {w} - 1e-12 OR ({room} >= 0.5 * {w} AND {lots(room)} >= 100) AS ok{x}, CASE WHEN {room} >= {w} - 1e-12 THEN {w} ELSE {lots(room)} * price / 10000000.0::DOUBLE END AS w{x}, CASE WHEN {room} >= {w} - 1e-12 THEN {q} ELSE {lots(room)} END AS q{x} FROM ({rows}) r{x}"
+    rows = f"""SELECT c.*, a.us, a.ui, a.risk, a.acc, b.stopped, CASE WHEN c.sleeve = 'swing' THEN 0.3::DOUBLE - a.us ELSE 0.4::DOUBLE - a.ui END AS room1,
+      0.08::DOUBLE - (c.held + coalesce(list_sum(list_transform(list_filter(a.acc, lambda x: x.i = c.instrument_id), lambda x: x.w)), 0)) AS room2 FROM ag a JOIN {cards_} c ON c.trade_date = a.trade_date AND c.k = a.k + 1 JOIN bk b ON b.trade_date = c.trade_date"""
+    return f"""ag(trade_date, k, us, ui, risk, acc, sleeve, instrument_id, weight, quantity, decision) AS (
+    SELECT trade_date, CAST(0 AS BIGINT), 0.0::DOUBLE, ui, 0.004::DOUBLE, CAST([] AS STRUCT(i BIGINT, w DOUBLE)[]), CAST(NULL AS VARCHAR), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR) FROM bk
+    UNION ALL SELECT trade_date, k, us + CASE WHEN took AND sleeve = 'swing' THEN w2 ELSE 0 END, ui + CASE WHEN took AND sleeve = 'invest' THEN w2 ELSE 0 END, risk + CASE WHEN took THEN coalesce(q2 * risk_share, 0) ELSE 0 END,
+      CASE WHEN took THEN list_append(acc, {{'i': instrument_id, 'w': w2}}) ELSE acc END, sleeve, instrument_id, CASE WHEN took THEN w2 ELSE 0 END, CAST(CASE WHEN took THEN q2 ELSE 0 END AS BIGINT), decision
+    FROM (SELECT *, decision IN ('accepted', 'shrunk') AS took FROM (SELECT *, CASE WHEN stopped THEN 'kill switch' WHEN NOT ok1 THEN 'sleeve full' WHEN NOT ok2 THEN 'name full' WHEN risk + q2 * risk_share > 0.02 + 1e-12 THEN 'open risk' WHEN NOT keep1 OR NOT keep2 THEN 'shrunk' ELSE 'accepted' END AS decision
+      FROM ({fit('w1', 'q1', 'room2', '2', fit('weight', 'quantity', 'room1', '1', rows))}) z) y) x)"""
+
+
+def _cards_sql(picked: str = "") -> str:
+    return f"""cds AS MATERIALIZED (SELECT u.*, row_number() OVER (PARTITION BY u.trade_date ORDER BY rank) AS k, CASE WHEN h.instrument_id IS NULL THEN 0.0::DOUBLE ELSE 0.02 END AS held FROM (
+  SELECT trade_date, instrument_id AS rank, 'swing' AS sleeve, instrument_id, weight, quantity, zone_high AS price, (ref - stop) / 10000000.0::DOUBLE AS risk_share FROM sized WHERE refused IS NULL
+  UNION ALL SELECT trade_date, 1000 + instrument_id, 'invest', instrument_id, weight, CAST(q AS BIGINT), zh, NULL FROM iv JOIN step_ USING (trade_date) WHERE step <> 'none' AND {_REFUSAL} IS NULL) u {picked} LEFT JOIN held h ON h.trade_date = u.trade_date AND h.instrument_id = u.instrument_id JOIN bk ON bk.trade_date = u.trade_date)"""
+
+
+def _taken(spark, sf, swing, invest):
+    """Decisions on cards of both sleeves: swing cards first, by instrument."""
+    s = swing.where("refused is null").select("trade_date", F.col("instrument_id").alias("rank"), F.lit("swing").alias("sleeve"), "instrument_id", "weight", F.col("quantity").cast("bigint").alias("quantity"), F.col("zone_high").alias("price"), ((F.col("reference") - F.col("stop")) / 10_000_000.0).alias("risk_share"))
+    i = invest.where("reason is null").select("trade_date", (F.col("instrument_id") + 1000).alias("rank"), F.lit("invest").alias("sleeve"), "instrument_id", "weight", F.col("quantity").cast("bigint").alias("quantity"), F.col("zone_high").alias("price"), F.lit(None).cast("double").alias("risk_share"))
+    cal = F.broadcast(P.calendar(spark, sf).select("trade_date"))  # one row per session
+    return L.accepted_cards(s.unionByName(i).join(cal, "trade_date"), {"swing": 0.3, "invest": 0.4}, 0.08, 0.02, 10_000_000.0, _book(spark, sf))
+
+
+def _due_invest_cards(spark, sf):
+    return _invest_cards(spark, sf).join(F.broadcast(_steps(spark, sf).where("step != 'none'").select("trade_date")), "trade_date")  # two rows a quarter
+
+
+_BOTH = f"RECURSIVE {_INV}, {P.CAL}, {_STEP}, {_CARDS_ONLY}, {_BOOK}"
+
+
+@query("card_aggregate", f"WITH {_BOTH}, {_cards_sql()}, {_aggregate_sql('cds')} SELECT trade_date, sleeve, instrument_id, {fl('weight')} AS weight, quantity, decision FROM ag WHERE k > 0")
+def card_aggregate(spark, sf):
+    """What the portfolio takes of all cards of a session: budgets of two sleeves, a cap per name over both, open risk, the kill switch."""
+    rows = _taken(spark, sf, sized_cards(spark, sf), _due_invest_cards(spark, sf))
+    return rows.select("trade_date", "sleeve", "instrument_id", rnd("weight").alias("weight"), "quantity", "decision")
+
+
+_PICKED = "JOIN pk ON pk.trade_date = u.trade_date AND pk.instrument_id = u.instrument_id"
 
 
-@query("card_plan", f"""WITH {_INV}, {P.CAL}, {_STEP}, pk AS (SELECT instrument_id, trade_date FROM dn WHERE model_id = 'A' QUALIFY row_number() OVER (PARTITION BY trade_date ORDER BY score DESC, instrument_id) <= 5), {_CARDS_ONLY}, cp AS (SELECT 'swing' AS sleeve, trade_date, coalesce(reason, 'accepted') AS outcome FROM rr JOIN pk USING (instrument_id, trade_date)
-UNION ALL SELECT 'invest', iv.trade_date, {_REFUSED} FROM iv JOIN pk USING (instrument_id, trade_date) JOIN step_ USING (trade_date) WHERE step <> 'none') SELECT sleeve, outcome, CAST(year(trade_date) AS INTEGER) AS year, count(*) AS n FROM cp GROUP BY 1, 2, 3""")
+@query("card_plan", f"""WITH {_BOTH}, pk AS MATERIALIZED (SELECT instrument_id, trade_date FROM dn WHERE model_id = 'A' QUALIFY row_number() OVER (PARTITION BY trade_date ORDER BY score DESC, instrument_id) <= 5), {_cards_sql(_PICKED)}, {_aggregate_sql('cds')},
+cp AS (SELECT 'swing' AS sleeve, trade_date, reason AS outcome FROM rr JOIN pk USING (instrument_id, trade_date) WHERE reason IS NOT NULL UNION ALL SELECT 'swing', trade_date, refused FROM sized JOIN pk USING (instrument_id, trade_date) WHERE refused IS NOT NULL
+UNION ALL SELECT 'invest', iv.trade_date, {_REFUSAL} FROM iv JOIN pk USING (instrument_id, trade_date) JOIN step_ USING (trade_date) WHERE step <> 'none' AND {_REFUSAL} IS NOT NULL UNION ALL SELECT sleeve, trade_date, decision FROM ag WHERE k > 0)
+SELECT sleeve, outcome, CAST(year(trade_date) AS INTEGER) AS year, count(*) AS n FROM cp GROUP BY 1, 2, 3""")
 def card_plan(spark, sf):
-    """Cards of the five best of each date: swing cards daily, invest cards at quarterly rebalances and their second tranches; accepted or why not, by year."""
+    """Cards of the five best of each date: swing cards daily, invest cards at quarterly rebalances and their second tranches; taken, cut or why not, by year."""
     picks = best(spark, sf).select("instrument_id", "trade_date")
-    outcome = F.coalesce("reason", F.lit("accepted")).alias("outcome")
-    swing = cards(spark, sf).join(picks, ["instrument_id", "trade_date"]).select(F.lit("swing").alias("sleeve"), "trade_date", outcome)
-    due = F.broadcast(_steps(spark, sf).where("step != 'none'").select("trade_date"))  # two rows a quarter
-    invest = _invest_cards(spark, sf).join(picks, ["instrument_id", "trade_date"]).join(due, "trade_date").select(F.lit("invest").alias("sleeve"), "trade_date", outcome)
-    return swing.unionByName(invest).groupBy("sleeve", "outcome", F.year("trade_date").alias("year")).agg(F.count("*").alias("n"))
+    swing, invest = cards(spark, sf).join(picks, ["instrument_id", "trade_date"]), _due_invest_cards(spark, sf).join(picks, ["instrument_id", "trade_date"])
+    sized = sized_cards(spark, sf).join(picks, ["instrument_id", "trade_date"])
+    refused = lambda rows, sleeve, why: rows.where(f"{why} is not null").select(F.lit(sleeve).alias("sleeve"), "trade_date", F.col(why).alias("outcome"))
+    rows = refused(swing, "swing", "reason").unionByName(refused(sized, "swing", "refused")).unionByName(refused(invest, "invest", "reason"))
+    rows = rows.unionByName(_taken(spark, sf, sized, invest).select("sleeve", "trade_date", F.col("decision").alias("outcome")))
+    return rows.groupBy("sleeve", "outcome", F.year("trade_date").alias("year")).agg(F.count("*").alias("n"))
 
 
 @query("sleeve_expand", f"WITH {_TOP} SELECT sleeve, instrument_id, trade_date, sleeve || '-' || instrument_id AS key FROM tp, (SELECT unnest(['swing', 'invest']) AS sleeve)")

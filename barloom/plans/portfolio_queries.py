@@ -285,7 +285,15 @@ def cost_sensitivity(spark, sf):
     return s.select("multiplier", rnd("n").alias("mean_net"), rnd("c", 5).alias("cost"))
 
 
-@query("kill_state")
+def kill_sql(equity: str, stop: float, cooldown: int) -> str:
+    """SQL of kill_states() as ks, from a table of portfolio, i (from 0), session_idx, equity; the statement must say RECURSIVE."""
+    peak = "CASE WHEN k.until > e.i THEN k.peak WHEN k.until = e.i THEN e.equity ELSE greatest(k.peak, e.equity) END"
+    return f"""ks(portfolio, i, session_idx, peak, until, state) AS (SELECT portfolio, i, session_idx, equity, CAST(-1 AS BIGINT), 'trading' FROM {equity} WHERE i = 0
+ UNION ALL SELECT portfolio, i, session_idx, peak, CASE WHEN state = 'stopped' THEN i + {cooldown} ELSE until END, state FROM (SELECT e.portfolio, e.i, e.session_idx, k.until, {peak} AS peak,
+   CASE WHEN k.until > e.i THEN 'cooling' WHEN e.equity / ({peak}) - 1 <= -{stop}::DOUBLE THEN 'stopped' ELSE 'trading' END AS state FROM ks k JOIN {equity} e ON e.portfolio = k.portfolio AND e.i = k.i + 1) n)"""
+
+
+@query("kill_state", f"""WITH RECURSIVE {P.OWN_BARS}, eq AS MATERIALIZED (SELECT instrument_id AS portfolio, bar_idx AS session_idx, close AS equity, bar_idx - 1 AS i FROM own), {kill_sql('eq', 0.2, 10)} SELECT portfolio, session_idx, state FROM ks""")
 def kill_state(spark, sf):
     b = P.own_bars(spark, sf).select(F.col("instrument_id").alias("portfolio"), F.col("bar_idx").alias("session_idx"), F.col("close").alias("equity"))
     return T.kill_states(b, 0.2, 10)
@@ -383,10 +391,22 @@ def card_levels(spark, sf):
     return _round(cards(spark, sf), ("instrument_id", "trade_date", "style", "capped", "reason"), "trigger", "zone_low", "zone_high", "reference", "stop", "target1", "target2", places=4)
 
 
-@query("card_sizing", f"""WITH {_CARD}, z AS (SELECT *, least(0.1::DOUBLE, 0.01::DOUBLE * zone_high / nullif(zone_high - stop, 0)) AS weight FROM rr WHERE reason IS NULL) SELECT instrument_id, trade_date, {fl('weight')} AS weight, CAST(floor(10000000.0::DOUBLE * weight / (zone_high * 100)) * 100 AS BIGINT) AS quantity FROM z""")
+#: Sized cards: names may take a tenth, less what a third of them hold elsewhere.
+SIZED = _CARD + """, zw AS (SELECT *, least(0.1::DOUBLE, 0.01::DOUBLE / nullif((ref - stop) / ref, 0), CASE WHEN instrument_id % 3 = 0 THEN 0.04::DOUBLE ELSE 0.1::DOUBLE END) AS wanted FROM rr WHERE reason IS NULL),
+zq AS (SELECT *, CAST(floor(10000000.0::DOUBLE * wanted / (zone_high * 100)) * 100 AS BIGINT) AS qty FROM zw),
+sized AS (SELECT instrument_id, trade_date, zone_high, ref, stop, CASE WHEN qty >= 100 THEN qty END AS quantity, CASE WHEN qty >= 100 THEN qty * zone_high / 10000000.0::DOUBLE END AS weight, CASE WHEN qty >= 100 THEN qty * (ref - stop) / 10000000.0::DOUBLE END AS risk,
+  CASE WHEN qty >= 100 THEN NULL ELSE 'less than a lot' END AS refused FROM zq)"""
+
+
+def sized_cards(spark, sf):
+    room = F.when(F.col("instrument_id") % 3 == 0, 0.04).otherwise(0.1)
+    return T.card_sizing(cards(spark, sf).where("reason is null"), 10_000_000.0, 0.01, 0.1, room)
+
+
+@query("card_sizing", f"WITH {SIZED} SELECT instrument_id, trade_date, {fl('weight')} AS weight, quantity, {fl('risk')} AS risk, refused FROM sized")
 def card_sizing(spark, sf):
-    s = T.card_sizing(cards(spark, sf).where("reason is null"), 10_000_000.0, 0.01, 0.1)
-    return s.select("instrument_id", "trade_date", rnd("weight").alias("weight"), F.col("quantity").cast("bigint").alias("quantity"))
+    s = sized_cards(spark, sf)
+    return s.select("instrument_id", "trade_date", rnd("weight").alias("weight"), F.col("quantity").cast("bigint").alias("quantity"), rnd("risk").alias("risk"), "refused")
 
 
 _PROBLEMS = f"""[CASE WHEN stop IS NULL THEN 'no stop' END, CASE WHEN target1 IS NULL THEN 'no target' END, CASE WHEN stop >= zone_low THEN 'stop not below zone' END, CASE WHEN zone_low > zone_high THEN 'zone upside down' END, CASE WHEN target1 <= zone_high THEN 'target not above zone' END,

@@ -25,8 +25,20 @@ def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def bar_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored daily bars, partitioned by year: derived from the line items once in an application."""
+    from barloom.sources.store import stored_once
+
+    return stored_once(spark, sf_dir, lambda: derived_bars(spark, sf_dir))
+
+
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily bars: instrument_id, trade_date, open, high, low, close, volume, n_trades."""
+    return bar_table(spark, sf_dir).drop("year")
+
+
+def derived_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars from line items: first, highest, lowest and last price of an instrument's day, and its volume."""
     return trades(spark, sf_dir).groupBy("instrument_id", "trade_date").agg(
         F.min_by("price", "seq").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "seq").alias("close"),
         F.sum("quantity").alias("volume"), F.count("*").alias("n_trades"),
@@ -125,7 +137,7 @@ fallback AS (SELECT trade_date, max(close) AS close FROM bars GROUP BY 1)"""
 
 
 def instruments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trades(spark, sf_dir).select("instrument_id").distinct()
+    return bars(spark, sf_dir).select("instrument_id").distinct()
 
 
 def symbol_history(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import pathlib
 import random
 
 import numpy as np
@@ -17,7 +18,7 @@ from barloom.operators import metrics as S
 from barloom.operators import models as M
 from barloom.operators import portfolio as T
 from barloom.operators import universe as U
-from barloom.sources import files
+from barloom.sources import files, store
 
 D0 = datetime.date(2020, 1, 1)
 
@@ -106,13 +107,84 @@ def test_internal_rate_doubles_in_a_year(spark):
 
 def test_kill_switch_cools_down(spark):
     df = spark.createDataFrame([(1, i, e) for i, e in enumerate([100.0, 120.0, 90.0, 80.0, 85.0, 86.0])], "portfolio bigint, session_idx bigint, equity double")
-    assert [r.state for r in T.kill_states(df, 0.2, 2).orderBy("session_idx").collect()] == ["trading", "trading", "stopped", "cooling", "cooling", "trading"]
-
-
-def test_accepted_cards_shrink_and_refuse(spark):
-    df = spark.createDataFrame([(D0, i, 0.1, 0.1, i) for i in range(4)], "trade_date date, instrument_id bigint, weight double, risk double, rank bigint")
-    got = {r.instrument_id: (round(r.weight, 3), r.decision) for r in L.accepted_cards(df, 0.25, 0.1, 1.0).collect()}
-    assert got == {0: (0.1, "accepted"), 1: (0.1, "accepted"), 2: (0.05, "shrunk"), 3: (0.0, "no room")}
+    assert [r.state for r in T.kill_states(df, 0.2, 2).orderBy("session_idx").collect()] == ["trading", "trading", "stopped", "cooling", "trading", "trading"]
+    # after the stop the peak starts anew at the session that trades again: 60 of 85 stops, 70 of 85 doesn't
+    df = spark.createDataFrame([(p, i * 7, e) for p, path in ((1, [100.0, 79.0, 85.0, 70.0, 60.0, 10.0]), (2, [100.0]), (3, [0.0, 0.0, 5.0])) for i, e in enumerate(path)], "portfolio bigint, session_idx bigint, equity double")
+    got = T.kill_states(df, 0.2, 1).orderBy("portfolio", "session_idx").collect()
+    assert [r.state for r in got] == ["trading", "stopped", "trading", "trading", "stopped", "trading", "trading", "trading", "trading", "trading"]
+
+
+def taken(spark, cards, book=None, **limits):
+    schema = "trade_date date, rank bigint, sleeve string, instrument_id bigint, weight double, quantity bigint, price double, risk_share double"
+    df = spark.createDataFrame([(D0, k, *c) for k, c in enumerate(cards)], schema)
+    if book is not None:
+        book = spark.createDataFrame([(D0, *book)], "trade_date date, used map<string,double>, names map<bigint,double>, open_risk double, stopped boolean")
+    limits = {"budgets": {"swing": 0.2651, "invest": 0.4}, "name_cap": 0.12, "risk_cap": 1.0, "capital": 1e6} | limits
+    return [(round(r.weight, 4), r.quantity, r.decision) for r in L.accepted_cards(df, book=book, **limits).collect()]
+
+
+def test_cards_are_cut_to_lots_or_refused(spark):
+    card = lambda i, w=0.1, price=10.0, sleeve="swing", risk=None: (sleeve, i, w, round(w * 1e6 / price), price, risk)
+    assert taken(spark, [card(i) for i in range(4)]) == [(0.1, 10000, "accepted"), (0.1, 10000, "accepted"), (0.065, 6500, "shrunk"), (0.0, 0, "sleeve full")]
+    # whole lots: what is left of a million buys 16 lots of 100 at 40; under half, or under a lot, is refused
+    assert taken(spark, [card(1), card(2), card(3, 0.1, 40.0)])[2] == (0.064, 1600, "shrunk")
+    assert taken(spark, [card(1), card(2), card(3, 0.1, 700.0)])[2] == taken(spark, [card(1), card(2), card(3, 0.14)], name_cap=0.2)[2] == (0.0, 0, "sleeve full")
+    # a name counts over both sleeves
+    assert taken(spark, [card(1), card(1, 0.1, 10.0, "invest"), card(1, 0.03, 10.0, "invest")]) == [(0.1, 10000, "accepted"), (0.0, 0, "name full"), (0.02, 2000, "shrunk")]
+    # open risk refuses and never cuts; a card without a stop adds none
+    risky = [card(1, 0.1, 10.0, "swing", 1e-6), card(2, 0.1, 10.0, "swing", 1e-6), card(3, 0.1, 10.0, "invest"), card(4, 0.01, 10.0, "swing", 1e-6)]
+    assert [d for _, _, d in taken(spark, risky, risk_cap=0.015)] == ["accepted", "open risk", "accepted", "accepted"]
+
+
+def test_cards_meet_the_book(spark):
+    card = lambda i, w=0.1, sleeve="swing", risk=None: (sleeve, i, w, round(w * 1e5), 10.0, risk)
+    assert [d for _, _, d in taken(spark, [card(1), card(2)], ({"swing": 0.1}, {1: 0.1}, 0.0, False))] == ["name full", "accepted"]
+    assert [d for _, _, d in taken(spark, [card(1, risk=1e-6)], (None, None, 0.995, False))] == ["open risk"]
+    assert [d for _, _, d in taken(spark, [card(1), card(2, sleeve="invest")], (None, None, 0.0, True))] == ["kill switch"] * 2
+
+
+def test_sizing_follows_the_reference_price(spark):
+    df = spark.createDataFrame([(1, 10.2, 10.0, 9.0), (2, 10.2, 10.0, 9.9), (3, 1200.0, 1100.0, 500.0), (4, 10.2, 10.0, 9.5)], "instrument_id bigint, zone_high double, reference double, stop double")
+    got = {r.instrument_id: r for r in T.card_sizing(df, 1e6, 0.01, 0.15, F.when(F.col("instrument_id") == 4, 0.05)).collect()}
+    assert (got[1].quantity, round(got[1].weight, 5), round(got[1].risk_if_stop, 6)) == (9800, 0.09996, 9800.0)  # a tenth of the capital in whole lots at the top of the zone
+    assert got[2].quantity == 14700 and got[4].quantity == 4900
+    assert got[3].refused == "less than a lot" and got[3].quantity is None and got[3].weight is None
+
+
+def files_of(path):
+    return {str(f): f.stat().st_mtime_ns for f in pathlib.Path(path).rglob("*.parquet")}
+
+
+def test_stored_bars_rewrite_touched_years_only(spark, tmp_path):
+    day = lambda y, d: datetime.date(y, 3, d)
+    bar = lambda i, d, c: (i, d, c, c, c, c, 1.0, 1)
+    schema = "instrument_id bigint, trade_date date, open double, high double, low double, close double, volume double, n_trades bigint"
+    path, revisions = str(tmp_path / "bars"), str(tmp_path / "revisions")
+    store.write_bars(spark.createDataFrame([bar(i, day(y, d), 10.0) for i in (1, 2) for y in (2019, 2020, 2021) for d in (1, 2)], schema), path)
+    plan = store.in_range(store.read_bars(spark, path), [1], "2020-01-01", "2020-12-31")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan and "year#" in plan.split("PartitionFilters")[1].split("PushedFilters")[0]
+    before = files_of(path)
+    incoming = spark.createDataFrame([bar(1, day(2020, 1), 11.0), bar(2, day(2020, 3), 12.0), bar(1, day(2021, 1), 10.0)], schema)
+    done = {(r.year, r.change): r.n for r in store.upsert_bars(spark, path, incoming, revisions).collect()}
+    assert done == {(2020, "updated"): 1, (2020, "inserted"): 1, (2020, "kept"): 3, (2021, "unchanged"): 1, (2021, "kept"): 3}
+    after = files_of(path)
+    same = {f for f in before if before[f] == after.get(f)}
+    assert same == {f for f in before if "year=2020" not in f} and not any("year=2020" in f and f in before for f in after)
+    rows = {(r.instrument_id, r.trade_date): r.close for r in store.read_bars(spark, path).collect()}
+    assert len(rows) == 13 and rows[1, day(2020, 1)] == 11.0 and rows[2, day(2020, 3)] == 12.0 and rows[1, day(2019, 1)] == 10.0
+    assert [(r.instrument_id, r.close) for r in spark.read.parquet(revisions).collect()] == [(1, 10.0)]
+    store.upsert_bars(spark, path, incoming, revisions).collect()
+    assert files_of(path) == after and spark.read.parquet(revisions).count() == 1
+
+
+def test_price_basis_in_stored_bars(spark, tmp_path):
+    path = str(tmp_path / "bars")
+    rows = [(1, datetime.date(2019, 1, 2), "raw"), (2, datetime.date(2019, 1, 2), "raw"), (2, datetime.date(2020, 1, 2), "raw")]
+    store.write_bars(spark.createDataFrame(rows, "instrument_id bigint, trade_date date, price_basis string"), path)
+    before = files_of(path)
+    store.set_price_basis(spark, path, spark.createDataFrame([(1,)], "instrument_id bigint"), "adjusted")
+    assert {(r.instrument_id, r.year, r.price_basis) for r in store.read_bars(spark, path).collect()} == {(1, 2019, "adjusted"), (2, 2019, "raw"), (2, 2020, "raw")}
+    assert {f for f, t in files_of(path).items() if before.get(f) == t} == {f for f in before if "year=2020" in f}
 
 
 def test_bootstrap_centres_on_the_sample(spark):
