@@ -156,6 +156,80 @@ def isotonic_by_fold(rows: DataFrame, p: str, y: str, n: int = 10) -> DataFrame:
     return rows.join(F.broadcast(model), ["model_id", "fold"]).withColumn("isotonic", F.element_at("fit", bin_of(p) + 1)).drop("edges", "fit")
 
 
+def platt_by_fold(rows: DataFrame, fit_on: DataFrame, p: str, y: str, steps: int = 8, least: float = 1e-6) -> DataFrame:
+    """Each row's probability by a logistic fit of the earlier folds of its model on their log-odds: adds platt; the first fold has none.
+
+    rows, fit_on: model_id, fold, p, y (fit_on is read once for each step: a stored table). All models and folds are fitted at once: a Newton step is one
+    aggregation to five sums for each fit, so that no fit has its rows to itself. A fit whose earlier rows are all alike is left out.
+    """
+    held = F.least(F.greatest(F.col(p), F.lit(least)), F.lit(1 - least))
+    log_odds = F.log(held / (1 - held))
+    x = fit_on.select("model_id", "fold", log_odds.alias("x"), F.col(y).cast("double").alias("y"))
+    fits = fit_on.select("model_id", F.col("fold").alias("k")).distinct().withColumn("a", F.lit(0.0)).withColumn("b", F.lit(0.0))
+    for _ in range(steps):
+        each = x.join(F.broadcast(fits), "model_id").where(F.col("fold") < F.col("k"))  # one row per model and fold
+        each = each.withColumn("q", 1 / (1 + F.exp(-(F.col("a") * F.col("x") + F.col("b"))))).withColumn("w", F.col("q") * (1 - F.col("q")))
+        off = F.col("y") - F.col("q")
+        sums = each.groupBy("model_id", "k", "a", "b").agg(F.sum(off).alias("g0"), F.sum(off * F.col("x")).alias("g1"), F.sum("w").alias("h0"), F.sum(F.col("w") * F.col("x")).alias("h1"), F.sum(F.col("w") * F.col("x") * F.col("x")).alias("h2"))
+        det = F.col("h0") * F.col("h2") - F.col("h1") * F.col("h1")
+        fits = sums.where(det > 0).select(
+            "model_id", "k", (F.col("a") + (F.col("h0") * F.col("g1") - F.col("h1") * F.col("g0")) / det).alias("a"), (F.col("b") + (F.col("h2") * F.col("g0") - F.col("h1") * F.col("g1")) / det).alias("b")
+        )
+    fits = fits.withColumnRenamed("k", "fold")
+    return rows.join(F.broadcast(fits), ["model_id", "fold"]).withColumn("platt", 1 / (1 + F.exp(-(F.col("a") * log_odds + F.col("b"))))).drop("a", "b")
+
+
+def live_performance(rows: DataFrame, k: int, window: int = 60, least: int = 8) -> DataFrame:
+    """What was known on each day about a model's last `window` prediction dates: model_id, trade_date, days, n, rolling_ic, hit_rate, gap.
+
+    rows: model_id, instrument_id, trade_date, end_date, score, proba, label, fwd. A row counts from the day on which its label ended, its date then
+    counts among the realised ones. A date's figures change only as its labels end, so each date gives one version for each of its
+    end dates (rank correlation, hits of the k best of all its names, stated and realised rates); a version holds for the days up to the next one, and at most until
+    `window` younger dates must have taken its place.
+    """
+    top = Window.partitionBy("model_id", "trade_date").orderBy(F.desc("score"), "instrument_id")
+    rows = rows.withColumn("top", F.row_number().over(top) <= k)
+    # both clocks as places among the model's prediction dates: a label's place is the first date on or after its end
+    dates = rows.select("model_id", F.col("trade_date").alias("date"), F.lit(1).alias("own")).unionByName(rows.select("model_id", F.col("end_date").alias("date"), F.lit(0).alias("own")))
+    dates = dates.groupBy("model_id", "date").agg(F.max("own").alias("own"))
+    before = Window.partitionBy("model_id").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)  # one row per date
+    places = dates.select("model_id", "date", "own", (F.coalesce(F.sum("own").over(before), F.lit(0)) + 1).alias("place"))
+    at = lambda column, name: F.broadcast(places.select("model_id", F.col("date").alias(column), F.col("place").alias(name)))
+    rows = rows.join(at("trade_date", "t"), ["model_id", "trade_date"]).join(at("end_date", "e"), ["model_id", "end_date"])
+    bounds = rows.groupBy("model_id").agg(F.max(F.col("e") - F.col("t")).alias("longest"), F.max("t").alias("last"))
+    versions = rows.select("model_id", "t", F.col("e").alias("v")).distinct()
+    seen = versions.join(rows.drop("trade_date", "end_date"), ["model_id", "t"]).where(F.col("e") <= F.col("v"))
+    keys = ["model_id", "t", "v"]
+    sums = seen.groupBy(*keys).agg(F.count("*").alias("n"), F.count_if("top").alias("nt"), F.count_if(F.col("top") & (F.col("fwd") > 0)).alias("ht"), F.sum("proba").alias("p"), F.sum("label").alias("y"))
+    sums = sums.join(rank_ic(seen, "score", "fwd", least, tuple(keys)).drop("n"), keys, "left").join(F.broadcast(bounds), "model_id")  # one row per model
+    upto = F.least(F.coalesce(F.lead("v").over(Window.partitionBy("model_id", "t").orderBy("v")) - 1, F.col("last")), F.col("t") + window + F.col("longest") - 1, F.col("last"))
+    days = sums.withColumn("upto", upto).where("upto >= v").select("*", F.explode(F.sequence("v", "upto")).alias("d"))
+    newest = F.row_number().over(Window.partitionBy("model_id", "d").orderBy(F.desc("t")))
+    out = days.withColumn("newest", newest).where(F.col("newest") <= window).groupBy("model_id", "d").agg(
+        F.count("*").alias("days"), F.sum("n").alias("n"), F.avg("ic").alias("rolling_ic"), F.try_divide(F.sum("ht"), F.sum("nt")).alias("hit_rate"), ((F.sum("p") - F.sum("y")) / F.sum("n")).alias("gap")
+    )
+    named = places.where("own = 1").select("model_id", F.col("date").alias("trade_date"), F.col("place").alias("d"))
+    return out.join(F.broadcast(named), ["model_id", "d"]).drop("d")
+
+
+def factor_terms(factors: dict[str, int]) -> Column:
+    """(feature, term) of each factor: the rank where its sign is +1, one less the rank where it is -1 (then its name has a minus)."""
+    return F.array(*[F.struct(F.lit(f if sign > 0 else f"-{f}").alias("feature"), (F.col(f) if sign > 0 else 1.0 - F.col(f)).alias("term")) for f, sign in factors.items()])
+
+
+def factor_score(factors: dict[str, int]) -> Column:
+    """Mean of the signed cross-sectional ranks that are there; null if fewer than half of them are."""
+    terms = F.array_compact(F.transform(factor_terms(factors), lambda x: x["term"]))
+    return F.when(F.size(terms) >= max(1, (len(factors) + 1) // 2), F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / F.size(terms))
+
+
+def factor_contributions(factors: dict[str, int], most: int) -> Column:
+    """The `most` (feature, part) that move a factor score farthest from the middle: (term - 0.5) / factors, 0 for a missing one."""
+    part = lambda x: (F.coalesce(x["term"], F.lit(0.5)) - 0.5) / len(factors)
+    parts = F.transform(factor_terms(factors), lambda x: F.struct((-F.abs(part(x))).alias("k"), x["feature"].alias("feature"), part(x).alias("part")))
+    return F.transform(F.slice(F.array_sort(parts), 1, most), lambda x: F.struct(x["feature"].alias("feature"), x["part"].alias("part")))
+
+
 def merged_edges(edges: list[float], counts: list[int], least: int) -> list[float]:
     """Edges left when the smallest bucket below `least` joins its smaller neighbour (the lower one on ties) until none is; counts: one more than edges."""
     edges, counts = list(edges), list(counts)

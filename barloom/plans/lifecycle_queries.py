@@ -194,20 +194,16 @@ def thesis_flags(spark, sf):
     return done(spark, sf).where("model_id = 'A'").select("instrument_id", "trade_date", strong.alias("strong"), long_.alias("long_hold"), (strong & long_).alias("both"))
 
 
-@query("live_performance", f"""WITH {_IC}, tk AS (SELECT *, row_number() OVER (PARTITION BY model_id, trade_date ORDER BY score DESC, instrument_id) AS r FROM dn), dy AS (SELECT model_id, trade_date, max(end_date) AS ended, count(*) FILTER (r <= 5) AS nt, count(*) FILTER (r <= 5 AND fwd > 0) AS ht, sum(proba) AS p, sum(label) AS y, count(*) AS n FROM tk GROUP BY 1, 2), j AS (SELECT dy.*, ic FROM dy LEFT JOIN ic USING (model_id, trade_date))
-SELECT model_id, trade_date, max(ended) OVER w AS known_from, {fl('avg(ic) OVER w')} AS rolling_ic, {fl('sum(ht) OVER w / (sum(nt) OVER w)')} AS hit_rate, {fl('(sum(p) OVER w - sum(y) OVER w) / sum(n) OVER w')} AS gap FROM j WINDOW w AS (PARTITION BY model_id ORDER BY trade_date ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)""")
+@query("live_performance", f"""WITH {DONE}, tk AS (SELECT *, row_number() OVER (PARTITION BY model_id, trade_date ORDER BY score DESC, instrument_id) AS r FROM dn), vs AS (SELECT DISTINCT model_id, trade_date, end_date AS e FROM dn),
+sn AS (SELECT vs.model_id, vs.trade_date, vs.e, score, fwd, r, proba, label FROM vs JOIN tk ON tk.model_id = vs.model_id AND tk.trade_date = vs.trade_date AND tk.end_date <= vs.e),
+rk AS (SELECT *, 2 * rank() OVER (PARTITION BY model_id, trade_date, e ORDER BY score) + count(*) OVER (PARTITION BY model_id, trade_date, e, score) - 1 AS a, 2 * rank() OVER (PARTITION BY model_id, trade_date, e ORDER BY fwd) + count(*) OVER (PARTITION BY model_id, trade_date, e, fwd) - 1 AS b FROM sn),
+sm AS MATERIALIZED (SELECT model_id, trade_date, e, count(*) AS n, count(*) FILTER (r <= 5) AS nt, count(*) FILTER (r <= 5 AND fwd > 0) AS ht, sum(proba) AS p, sum(label) AS y, CAST(count(*) * sum(a * a) - sum(a) * sum(a) AS DOUBLE) AS va, CAST(count(*) * sum(b * b) - sum(b) * sum(b) AS DOUBLE) AS vb, CAST(count(*) * sum(a * b) - sum(a) * sum(b) AS DOUBLE) AS c FROM rk GROUP BY 1, 2, 3),
+ev AS (SELECT DISTINCT model_id, trade_date AS day FROM dn), kn AS (SELECT ev.day, sm.* FROM ev JOIN sm ON sm.model_id = ev.model_id AND sm.e <= ev.day AND sm.trade_date > ev.day - 150 QUALIFY row_number() OVER (PARTITION BY sm.model_id, ev.day, sm.trade_date ORDER BY sm.e DESC) = 1),
+nw AS (SELECT * FROM kn QUALIFY row_number() OVER (PARTITION BY model_id, day ORDER BY trade_date DESC) <= 60)
+SELECT model_id, day AS trade_date, count(*) AS days, CAST(sum(n) AS BIGINT) AS n, {fl('avg(CASE WHEN n >= 8 AND va > 0 AND vb > 0 THEN c / (sqrt(va) * sqrt(vb)) END)')} AS rolling_ic, {fl('sum(ht) / nullif(sum(nt), 0)')} AS hit_rate, {fl('(sum(p) - sum(y)) / sum(n)')} AS gap FROM nw GROUP BY 1, 2""")
 def live_performance(spark, sf):
-    """Over 60 days up to each: mean rank correlation, share of gains among the five best, stated less realised rate; known_from: the day the last of their labels ended."""
-    top = Window.partitionBy("model_id", "trade_date").orderBy(F.desc("score"), "instrument_id")
-    rows = done(spark, sf).withColumn("top", F.row_number().over(top) <= 5)
-    day = rows.groupBy("model_id", "trade_date").agg(
-        F.max("end_date").alias("ended"), F.count_if("top").alias("nt"), F.count_if(F.col("top") & (F.col("fwd") > 0)).alias("ht"), F.sum("proba").alias("p"), F.sum("label").alias("y"), F.count("*").alias("n")
-    ).join(ics(spark, sf).drop("n"), ["model_id", "trade_date"], "left")
-    w = Window.partitionBy("model_id").orderBy("trade_date").rowsBetween(-59, 0)
-    return day.select(
-        "model_id", "trade_date", F.max("ended").over(w).alias("known_from"), rnd(F.avg("ic").over(w)).alias("rolling_ic"), rnd(F.sum("ht").over(w) / F.sum("nt").over(w)).alias("hit_rate"),
-        rnd((F.sum("p").over(w) - F.sum("y").over(w)) / F.sum("n").over(w)).alias("gap"),
-    )
+    """Of the last 60 dates with an ended label, as known on each day: mean rank correlation, share of gains among the five best, stated less realised rate."""
+    return _round(S.live_performance(done(spark, sf), 5), ("model_id", "trade_date", "days", "n"), "rolling_ic", "hit_rate", "gap")
 
 
 @query("ops_metrics", f"""WITH {_EXIT} SELECT count(*) AS orders, count(price) AS filled, {fl('count(price) / nullif(count(*), 0)')} AS fill_rate, count(*) FILTER (reason = 'expired') AS expired, (SELECT {fl('avg(exit - entry - 10)')} FROM ex2) AS hold_deviation,

@@ -6,10 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import own, ratio, rnd
+from barloom.operators import features as X
 from barloom.operators import metrics as S
 from barloom.plans.feature_queries import DATASET, dataset, fl
 from barloom.plans.registry import query
 from barloom.sources import panel as P
+from barloom.sources.files import scratch
 
 #: Predictions of two models on own bars: momentum and a perturbed one, with outcomes five bars ahead.
 PRED = P.OWN_BARS + f""",
@@ -204,18 +206,38 @@ def auc(spark, sf):
     return _round(S.auc(done(spark, sf), "proba", "label", ("model_id", "fold")), ("model_id", "fold"), "auc")
 
 
+def _platt_sql(steps: int) -> str:
+    """SQL of platt_by_fold() from dn: px (rows with their log-odds) and pf (model_id, k, a, b)."""
+    out = """px AS MATERIALIZED (SELECT model_id, fold, instrument_id, trade_date, label, ln(h / (1 - h)) AS x FROM (SELECT *, least(greatest(proba, 1e-6::DOUBLE), 1 - 1e-6::DOUBLE) AS h FROM dn) t), pt0 AS (SELECT DISTINCT model_id, fold AS k, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM dn)"""
+    for i in range(steps):
+        out += f""", pw{i} AS (SELECT model_id, k, a, b, sum(label - q) AS g0, sum((label - q) * x) AS g1, sum(q * (1 - q)) AS h0, sum(q * (1 - q) * x) AS h1, sum(q * (1 - q) * x * x) AS h2 FROM (SELECT px.model_id, k, a, b, x, label, 1 / (1 + exp(-(a * x + b))) AS q FROM px JOIN pt{i} p ON p.model_id = px.model_id AND px.fold < p.k) t GROUP BY ALL),
+pt{i + 1} AS MATERIALIZED (SELECT model_id, k, a + (h0 * g1 - h1 * g0) / (h0 * h2 - h1 * h1) AS a, b + (h2 * g0 - h1 * g1) / (h0 * h2 - h1 * h1) AS b FROM pw{i} WHERE h0 * h2 - h1 * h1 > 0)"""
+    return out + f", pf AS (SELECT * FROM pt{steps})"
+
+
+_SAFE = "least(greatest(p, 1e-6::DOUBLE), 1 - 1e-6::DOUBLE)"
+
+
 @query("calibration_report", f"""WITH {DONE}, fk AS (SELECT DISTINCT model_id, fold AS k FROM dn), tn AS (SELECT fk.model_id, k, proba, label FROM fk JOIN dn ON dn.model_id = fk.model_id AND dn.fold < k),
 ed AS (SELECT model_id, k, quantile_cont(proba, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS e, avg(label) AS base FROM tn GROUP BY 1, 2), bc AS (SELECT model_id, k, len(list_filter(e, lambda x: x <= proba)) AS bin, count(*) AS n, sum(label) AS y FROM tn JOIN ed USING (model_id, k) GROUP BY 1, 2, 3),
 ab AS (SELECT a.model_id, a.k, a.bin AS lo, b.bin AS hi, sum(c.y)::DOUBLE / sum(c.n) AS v FROM bc a JOIN bc b ON a.model_id = b.model_id AND a.k = b.k AND b.bin >= a.bin JOIN bc c ON a.model_id = c.model_id AND a.k = c.k AND c.bin BETWEEN a.bin AND b.bin GROUP BY 1, 2, 3, 4),
 mn AS (SELECT i.model_id, i.k, i.bin, lo, min(v) AS v FROM bc i JOIN ab ON ab.model_id = i.model_id AND ab.k = i.k AND lo <= i.bin AND hi >= i.bin GROUP BY 1, 2, 3, 4), iso AS (SELECT model_id, k, bin, max(v) AS v FROM mn GROUP BY 1, 2, 3),
-v AS (SELECT dn.model_id, fold, label, unnest(['raw', 'isotonic', 'constant']) AS variant, unnest([proba, iso.v, base]) AS p FROM dn JOIN ed ON ed.model_id = dn.model_id AND ed.k = fold JOIN iso ON iso.model_id = dn.model_id AND iso.k = fold AND iso.bin = len(list_filter(e, lambda x: x <= proba)))
-SELECT model_id, fold, variant, count(*) AS n, {fl('avg((p - label) * (p - label))')} AS brier, {fl('avg(p) - avg(label)')} AS gap FROM v GROUP BY 1, 2, 3""")
+{_platt_sql(8)},
+v AS (SELECT dn.model_id, dn.fold, dn.label, unnest(['raw', 'isotonic', 'platt', 'constant']) AS variant, unnest([proba, iso.v, 1 / (1 + exp(-(pf.a * px.x + pf.b))), base]) AS p FROM dn JOIN ed ON ed.model_id = dn.model_id AND ed.k = dn.fold JOIN iso ON iso.model_id = dn.model_id AND iso.k = dn.fold AND iso.bin = len(list_filter(e, lambda x: x <= proba))
+  JOIN px ON px.model_id = dn.model_id AND px.instrument_id = dn.instrument_id AND px.trade_date = dn.trade_date JOIN pf ON pf.model_id = dn.model_id AND pf.k = dn.fold)
+SELECT model_id, fold, variant, count(*) AS n, {fl('avg((p - label) * (p - label))')} AS brier, {fl(f'-avg(label * ln({_SAFE}) + (1 - label) * ln(1 - {_SAFE}))')} AS log_loss, {fl('avg(p) - avg(label)')} AS gap FROM v GROUP BY GROUPING SETS ((model_id, fold, variant), (model_id, variant))""")
 def calibration_report(spark, sf):
-    """Brier score and gap of the stated probability, of its isotonic fit on the earlier folds, and of their base rate, by fold."""
-    rows = S.isotonic_by_fold(done(spark, sf).select("model_id", "fold", "proba", "label"), "proba", "label")
-    long = rows.select("model_id", "fold", "label", F.expr("stack(3, 'raw', proba, 'isotonic', isotonic, 'constant', constant) as (variant, p)"))
-    s = long.groupBy("model_id", "fold", "variant").agg(F.count("*").alias("n"), F.avg(F.pow(F.col("p") - F.col("label"), F.lit(2))).alias("brier"), (F.avg("p") - F.avg("label")).alias("gap"))
-    return _round(s, ("model_id", "fold", "variant", "n"), "brier", "gap")
+    """Brier score, log loss and gap of the stated probability, of its isotonic and logistic fits on the earlier folds, and of their base rate: by fold and over all (null)."""
+    path = scratch(spark, "stated")
+    done(spark, sf).select("model_id", "fold", "proba", "label").write.parquet(path)  # read by each step of the fit
+    stated = spark.read.parquet(path)
+    rows = S.platt_by_fold(S.isotonic_by_fold(stated, "proba", "label"), stated, "proba", "label")
+    long = rows.select("model_id", "fold", "label", F.expr("stack(4, 'raw', proba, 'isotonic', isotonic, 'platt', platt, 'constant', constant) as (variant, p)"))
+    safe = F.least(F.greatest("p", F.lit(1e-6)), F.lit(1 - 1e-6))
+    s = long.rollup("model_id", "variant", "fold").agg(
+        F.count("*").alias("n"), F.avg(F.pow(F.col("p") - F.col("label"), F.lit(2))).alias("brier"), (-F.avg(F.col("label") * F.log(safe) + (1 - F.col("label")) * F.log(1 - safe))).alias("log_loss"), (F.avg("p") - F.avg("label")).alias("gap")
+    )
+    return _round(s.where("variant is not null"), ("model_id", "fold", "variant", "n"), "brier", "log_loss", "gap")
 
 
 @query("evidence_monthly", f"""WITH {DONE}, m AS (SELECT DISTINCT CAST(date_trunc('month', trade_date) AS DATE) AS month FROM dn), k AS (SELECT month, fold, proba, label FROM m JOIN dn ON end_date < month AND model_id = 'A'),
@@ -250,21 +272,41 @@ def past_picks(spark, sf):
     return _round(s, ("fold", "n"), "win_rate", "beat_median", "mean")
 
 
-@query("factor_score", f"""WITH {DONE}, f AS (SELECT model_id, instrument_id, trade_date, [score, CASE WHEN holding > 3 THEN proba END, -fwd] AS xs FROM dn) SELECT model_id, instrument_id, trade_date,
-CASE WHEN len(list_filter(xs, lambda x: x IS NOT NULL)) >= 2 THEN {fl('list_avg(list_filter(xs, lambda x: x IS NOT NULL))')} END AS score FROM f""")
+#: Ranked features and the side on which they are good.
+FACTORS = {"mom_5": 1, "mom_20": 1, "rev_1": -1, "vol_20": -1, "gap": -1, "turnover": 1}
+_lag = lambda n: f"nullif(lag(close, {n}) OVER o, 0)"
+_FACTORS = P.OWN_BARS + f""", r1 AS (SELECT *, close / {_lag(1)} - 1 AS ret_1 FROM own WINDOW o AS (PARTITION BY instrument_id ORDER BY bar_idx)),
+ff AS (SELECT instrument_id, trade_date, {fl(f'close / {_lag(5)} - 1', 9)} AS mom_5, {fl(f'close / {_lag(20)} - 1', 9)} AS mom_20, {fl('ret_1', 9)} AS rev_1, CASE WHEN count(ret_1) OVER w = 20 THEN {fl('stddev_samp(ret_1) OVER w')} END AS vol_20, {fl(f'open / {_lag(1)} - 1', 9)} AS gap, close * volume AS turnover
+  FROM r1 WINDOW o AS (PARTITION BY instrument_id ORDER BY bar_idx), w AS (PARTITION BY instrument_id ORDER BY bar_idx ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+fr AS (SELECT instrument_id, trade_date, {', '.join(f"CASE WHEN {f} IS NOT NULL AND count({f}) OVER (PARTITION BY trade_date) >= 8 THEN (rank() OVER (PARTITION BY trade_date ORDER BY {f} NULLS LAST) + (count({f}) OVER (PARTITION BY trade_date, {f}) - 1) / 2.0::DOUBLE) / count({f}) OVER (PARTITION BY trade_date) END AS {f}" for f in FACTORS)} FROM ff),
+ft AS (SELECT instrument_id, trade_date, [{', '.join(f if s > 0 else f'1.0::DOUBLE - {f}' for f, s in FACTORS.items())}] AS xs FROM fr)"""
+
+
+def ranked_factors(spark, sf):
+    """Cross-sectional ranks of the factors among each date's instruments; features of the past alone."""
+    w20, c = own().rowsBetween(-19, 0), F.col("close")
+    back = lambda n: F.try_divide(c, F.lag("close", n).over(own())) - 1
+    rows = P.own_bars(spark, sf).withColumn("ret_1", back(1))
+    rows = rows.select(
+        "instrument_id", "trade_date", rnd(back(5), 9).alias("mom_5"), rnd(back(20), 9).alias("mom_20"), rnd("ret_1", 9).alias("rev_1"), F.when(F.count("ret_1").over(w20) == 20, rnd(F.stddev_samp("ret_1").over(w20))).alias("vol_20"),
+        rnd(F.try_divide(F.col("open"), F.lag("close").over(own())) - 1, 9).alias("gap"), (c * F.col("volume")).alias("turnover"),
+    )
+    for f in FACTORS:
+        rows = X.cs_rank(rows, f, f, 8)
+    return rows
+
+
+@query("factor_score", f"WITH {_FACTORS} SELECT instrument_id, trade_date, CASE WHEN len(list_filter(xs, lambda x: x IS NOT NULL)) >= 3 THEN {fl('list_sum(list_filter(xs, lambda x: x IS NOT NULL)) / len(list_filter(xs, lambda x: x IS NOT NULL))')} END AS score FROM ft")
 def factor_score(spark, sf):
-    xs = F.array_compact(F.array("score", F.when(F.col("holding") > 3, F.col("proba")), -F.col("fwd")))
-    mean = F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.size(xs)
-    return done(spark, sf).select("model_id", "instrument_id", "trade_date", F.when(F.size(xs) >= 2, rnd(mean)).alias("score"))
+    return ranked_factors(spark, sf).select("instrument_id", "trade_date", rnd(S.factor_score(FACTORS)).alias("score"))
 
 
-@query("top_contributions", f"""WITH {DONE}, c AS (SELECT model_id, instrument_id, trade_date, unnest(['score', 'proba', 'holding', 'fwd']) AS feature, unnest([score * 2, proba - 0.5, holding / 10.0::DOUBLE - 0.5, fwd]) AS part FROM dn)
-SELECT model_id, instrument_id, trade_date, feature, {fl('part')} AS part FROM c QUALIFY row_number() OVER (PARTITION BY model_id, instrument_id, trade_date ORDER BY abs(part) DESC, feature) <= 2""")
+@query("top_contributions", f"""WITH {_FACTORS}, c AS (SELECT instrument_id, trade_date, unnest([{', '.join(repr(f if s > 0 else '-' + f) for f, s in FACTORS.items())}]) AS feature, unnest(list_transform(xs, lambda x: (coalesce(x, 0.5) - 0.5) / 6)) AS part FROM ft)
+SELECT instrument_id, trade_date, feature, {fl('part')} AS part FROM c QUALIFY row_number() OVER (PARTITION BY instrument_id, trade_date ORDER BY abs(part) DESC, feature) <= 5""")
 def top_contributions(spark, sf):
-    part = lambda name, x: F.struct((-F.abs(x)).alias("k"), F.lit(name).alias("feature"), x.alias("part"))
-    parts = F.array(part("score", F.col("score") * 2), part("proba", F.col("proba") - 0.5), part("holding", F.col("holding") / 10 - 0.5), part("fwd", F.col("fwd")))
-    rows = done(spark, sf).select("model_id", "instrument_id", "trade_date", F.explode(F.slice(F.array_sort(parts), 1, 2)).alias("x"))
-    return rows.select("model_id", "instrument_id", "trade_date", "x.feature", rnd("x.part").alias("part"))
+    """The five factors that say most about each score, with their parts."""
+    rows = ranked_factors(spark, sf).select("instrument_id", "trade_date", F.explode(S.factor_contributions(FACTORS, 5)).alias("x"))
+    return rows.select("instrument_id", "trade_date", "x.feature", rnd("x.part").alias("part"))
 
 
 def boot_sql(days: str, columns: tuple[str, ...], resamples: int, block: float, seed: int, name: str) -> str:

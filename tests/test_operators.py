@@ -119,7 +119,7 @@ def taken(spark, cards, book=None, **limits):
     df = spark.createDataFrame([(D0, k, *c) for k, c in enumerate(cards)], schema)
     if book is not None:
         book = spark.createDataFrame([(D0, *book)], "trade_date date, used map<string,double>, names map<bigint,double>, open_risk double, stopped boolean")
-    limits = {"budgets": {"swing": 0.2651, "invest": 0.4}, "name_cap": 0.12, "risk_cap": 1.0, "capital": 1e6} | limits
+    limits = {"budgets": {"swing": 0.2651, "invest": 0.4}, "name_cap": 0.1251, "risk_cap": 1.0, "capital": 1e6} | limits
     return [(round(r.weight, 4), r.quantity, r.decision) for r in L.accepted_cards(df, book=book, **limits).collect()]
 
 
@@ -130,7 +130,7 @@ def test_cards_are_cut_to_lots_or_refused(spark):
     assert taken(spark, [card(1), card(2), card(3, 0.1, 40.0)])[2] == (0.064, 1600, "shrunk")
     assert taken(spark, [card(1), card(2), card(3, 0.1, 700.0)])[2] == taken(spark, [card(1), card(2), card(3, 0.14)], name_cap=0.2)[2] == (0.0, 0, "sleeve full")
     # a name counts over both sleeves
-    assert taken(spark, [card(1), card(1, 0.1, 10.0, "invest"), card(1, 0.03, 10.0, "invest")]) == [(0.1, 10000, "accepted"), (0.0, 0, "name full"), (0.02, 2000, "shrunk")]
+    assert taken(spark, [card(1), card(1, 0.1, 10.0, "invest"), card(1, 0.03, 10.0, "invest")]) == [(0.1, 10000, "accepted"), (0.0, 0, "name full"), (0.025, 2500, "shrunk")]
     # open risk refuses and never cuts; a card without a stop adds none
     risky = [card(1, 0.1, 10.0, "swing", 1e-6), card(2, 0.1, 10.0, "swing", 1e-6), card(3, 0.1, 10.0, "invest"), card(4, 0.01, 10.0, "swing", 1e-6)]
     assert [d for _, _, d in taken(spark, risky, risk_cap=0.015)] == ["accepted", "open risk", "accepted", "accepted"]
