@@ -51,6 +51,7 @@ class ChunkIds:
         self.tokenizer.no_truncation()
         special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile(b"|".join(map(re.escape, special)) if special else rb"(?!)")
+        self.special_start = os.path.commonprefix(special)
         # the same merges, held once, over words that need no normalising and are split already
         self.words = Tokenizer(self.tokenizer.model)
         self.words.pre_tokenizer = WhitespaceSplit()
@@ -104,7 +105,7 @@ class ChunkIds:
             self.known = {}
         get, fresh, split, found = self.known.get, set(), [], []
         for t in texts:
-            if self.special.search(t):
+            if self.special_start in t and self.special.search(t):
                 words = [w if self.special.search(w) else w.lower() for w in t.split()]
                 parts = [self.as_it_stands(w) if self.special.search(w) else get(w) for w in words]
             else:
