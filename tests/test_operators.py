@@ -187,6 +187,72 @@ def test_price_basis_in_stored_bars(spark, tmp_path):
     assert {f for f, t in files_of(path).items() if before.get(f) == t} == {f for f in before if "year=2020" in f}
 
 
+def brute_live(rows, k, window, least):
+    """For each day: the rows whose label has ended, of the last dates that have one."""
+    out = {}
+    for day in sorted({r["trade_date"] for r in rows}):
+        done = [r for r in rows if r["trade_date"] <= day and r["end_date"] <= day]
+        dates = sorted({r["trade_date"] for r in done})[-window:]
+        if not dates:
+            continue
+        ics, hits, tops, own = [], 0, 0, []
+        for d in dates:
+            part = [r for r in done if r["trade_date"] == d]
+            best = sorted((r for r in rows if r["trade_date"] == d), key=lambda r: (-r["score"], r["instrument_id"]))[:k]
+            best = [r for r in best if r["end_date"] <= day]
+            hits, tops = hits + sum(r["fwd"] > 0 for r in best), tops + len(best)
+            own += part
+            if len(part) >= least and (c := spearman([r["score"] for r in part], [r["fwd"] for r in part])) is not None:
+                ics.append(c)
+        gap = (sum(r["proba"] for r in own) - sum(r["label"] for r in own)) / len(own)
+        out[day] = (len(dates), len(own), sum(ics) / len(ics) if ics else None, hits / tops if tops else None, gap)
+    return out
+
+
+def spearman(x, y):
+    rank = lambda v: pd.Series(v).rank().to_numpy()
+    a, b = rank(x), rank(y)
+    return None if a.std() == 0 or b.std() == 0 else float(np.corrcoef(a, b)[0, 1])
+
+
+def test_live_performance_counts_ended_labels_only(spark):
+    rng = random.Random(4)
+    rows = []
+    for t in range(40):
+        for i in range(rng.choice([0, 3, 6, 6])):
+            ends = t + rng.choice([1, 2, 5, 9])
+            rows.append({"model_id": "A", "instrument_id": i, "trade_date": D0 + datetime.timedelta(days=2 * t), "end_date": D0 + datetime.timedelta(days=2 * ends + rng.choice([0, 1])), "score": rng.choice([0.1, 0.2, 0.3, 0.4]), "proba": rng.random(), "label": rng.randint(0, 1), "fwd": rng.choice([-0.1, 0.0, 0.1, 0.2])})
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "model_id string, instrument_id bigint, trade_date date, end_date date, score double, proba double, label int, fwd double")
+    got = {r.trade_date: (r.days, r.n, r.rolling_ic, r.hit_rate, r.gap) for r in S.live_performance(df, 2, 7, 3).collect()}
+    want = brute_live(rows, 2, 7, 3)
+    assert got.keys() == want.keys() and len(want) > 20
+    for day in want:
+        assert got[day] == pytest.approx(want[day], abs=1e-9), day
+
+
+def test_logistic_fits_of_folds_recover_their_line(spark):
+    rng = np.random.default_rng(12)
+    rows = []
+    for model, a, b in (("A", 0.5, 0.3), ("B", 2.0, -1.0)):
+        for fold in range(3):
+            p = rng.uniform(0.05, 0.95, 4000)
+            q = 1 / (1 + np.exp(-(a * np.log(p / (1 - p)) + b)))
+            rows += [(model, fold, float(x), int(rng.random() < y), float(y)) for x, y in zip(p, q)]
+    rows += [("C", fold, 0.5, 1, 1.0) for fold in range(2)]  # all alike: no fit
+    df = spark.createDataFrame(rows, "model_id string, fold int, proba double, label int, truth double")
+    out = S.platt_by_fold(df, df, "proba", "label")
+    off = {(r.model_id, r.fold): r.off for r in out.groupBy("model_id", "fold").agg(F.max(F.abs(F.col("platt") - F.col("truth"))).alias("off")).collect()}
+    assert set(off) == {(m, f) for m in "AB" for f in (1, 2)} and max(off.values()) < 0.06
+
+
+def test_factor_scores_need_half_of_their_ranks(spark):
+    factors = {"a": 1, "b": -1, "c": 1}
+    df = spark.createDataFrame([(1, 1.0, 0.25, None), (2, None, None, 0.9), (3, 0.5, 0.5, 0.5), (4, None, None, None)], "i int, a double, b double, c double")
+    got = {r.i: (r.s, [(x.feature, round(x.part, 4)) for x in r.x]) for r in df.select("i", S.factor_score(factors).alias("s"), S.factor_contributions(factors, 2).alias("x")).collect()}
+    assert got[1] == (0.875, [("a", 0.1667), ("-b", 0.0833)]) and got[2] == (None, [("c", 0.1333), ("-b", 0.0)])
+    assert got[3][0] == 0.5 and got[4][0] is None
+
+
 def test_bootstrap_centres_on_the_sample(spark):
     rng = np.random.default_rng(1)
     rows = [(D0 + datetime.timedelta(days=i), float(a), float(a) - 0.001) for i, a in enumerate(rng.normal(0.001, 0.01, 300))]
