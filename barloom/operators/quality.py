@@ -148,9 +148,21 @@ def findings_upsert(stored: DataFrame, found: DataFrame) -> DataFrame:
     return s.join(f, key, "full").select(*key, F.when(F.col("s").isNull(), "new").when(F.col("f").isNull(), "resolved").otherwise("refreshed").alias("state"))
 
 
-def coverage(bars: DataFrame) -> DataFrame:
-    n = bars.groupBy("instrument_id").agg(F.count("*").alias("n"))
-    return n.agg(F.count("*").alias("instruments"), F.min("n").alias("least"), F.percentile("n", F.lit(0.5)).alias("median"), F.max("n").alias("most"))
+def coverage(bars: DataFrame, shortest: int = 8) -> DataFrame:
+    """One row: bars per instrument (least, median, most), the shortest histories (instrument, sessions, first and last bar) and counts of each price basis."""
+    n = bars.groupBy("instrument_id").agg(F.count("*").alias("n"), F.min("trade_date").alias("first"), F.max("trade_date").alias("last"))
+    short = n.orderBy("n", "instrument_id").limit(shortest).agg(F.array_sort(F.collect_list(F.struct("n", "instrument_id", "first", "last"))).alias("x"))
+    short = short.select(F.array_join(F.transform("x", lambda r: F.concat_ws(":", r["instrument_id"], r["n"], r["first"], r["last"])), ",").alias("shortest"))
+    basis = bars.groupBy("price_basis").agg(F.count("*").alias("k")).agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", F.coalesce("price_basis", F.lit("none")), "k"))), ",").alias("basis"))
+    counts = n.agg(F.count("*").alias("instruments"), F.min("n").alias("least"), F.percentile("n", F.lit(0.5)).alias("median"), F.max("n").alias("most"))
+    return counts.crossJoin(F.broadcast(short)).crossJoin(F.broadcast(basis))  # one row each
+
+
+def findings_pivot(findings: DataFrame) -> DataFrame:
+    """check, severity, open, explained: findings in each state as columns, errors first."""
+    wide = findings.groupBy("check", "severity").pivot("state", ["open", "explained"]).agg(F.count(F.lit(1)))
+    order = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2)
+    return wide.select("check", "severity", F.coalesce("open", F.lit(0)).alias("open"), F.coalesce("explained", F.lit(0)).alias("explained")).orderBy(order, "check")
 
 
 def day_checks(members: DataFrame, bars: DataFrame, on: str) -> DataFrame:

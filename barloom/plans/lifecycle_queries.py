@@ -330,9 +330,9 @@ def recommendation_status(spark, sf):
     return _round(out.join(at("entry", "b1"), "entry", "left").join(at("exit", "b2"), "exit", "left").withColumn("benchmark", F.col("b2") / F.col("b1") - 1), ("order_id",), "mfe", "mae", "realised_r", "benchmark")
 
 
-@query("open_recommendations", f"WITH {_STATUS} SELECT order_id, instrument_id FROM st WHERE entry <= 1000 AND (exit IS NULL OR exit > 1000)")
+@query("open_recommendations", f"WITH {_STATUS} SELECT order_id, instrument_id FROM st WHERE entry <= 497 AND (exit IS NULL OR exit > 497)")
 def open_recommendations(spark, sf):
-    return _statuses(spark, sf).where("entry <= 1000 and (exit is null or exit > 1000)").select("order_id", "instrument_id")
+    return _statuses(spark, sf).where("entry <= 497 and (exit is null or exit > 497)").select("order_id", "instrument_id")
 
 
 @query("trades_table", f"WITH {_STATUS} SELECT order_id, st.exit - st.entry AS sessions, {fl('exit_price / st.price - 1')} AS ret, exit_price > st.price AS win FROM st JOIN ex2 x ON x.trade_id = st.order_id WHERE status = 'closed'")

@@ -254,10 +254,13 @@ for _name in CHECKS:
         return checks(spark, sf)[_name]()
 
 
-@query("dq_return_outlier", f"""WITH {D}, r AS (SELECT *, ln(close / nullif({LAG.format(x='close')}, 0)) AS lr FROM dirty WHERE close > 0), q AS (SELECT *, quantile_cont(lr, 0.5) OVER (PARTITION BY instrument_id) AS m, count(*) OVER (PARTITION BY instrument_id) AS n FROM r WHERE lr IS NOT NULL),
+@query("dq_return_outlier", f"""WITH {D}, far AS (SELECT * REPLACE (CASE WHEN (date_diff('day', DATE '1995-01-01', trade_date) + instrument_id * 13) % 97 = 3 THEN close * 1000 ELSE close END AS close) FROM dirty), r AS (SELECT *, ln(close / nullif({LAG.format(x='close')}, 0)) AS lr FROM far WHERE close > 0), q AS (SELECT *, quantile_cont(lr, 0.5) OVER (PARTITION BY instrument_id) AS m, count(*) OVER (PARTITION BY instrument_id) AS n FROM r WHERE lr IS NOT NULL),
 d AS (SELECT *, abs(lr - m) AS d FROM q WHERE n >= 60), z AS (SELECT *, d / nullif(1.4826 * quantile_cont(d, 0.5) OVER (PARTITION BY instrument_id), 0) AS z FROM d) SELECT instrument_id, trade_date FROM z WHERE z > 8""")
 def dq_return_outlier(spark, sf):
-    return Q.return_outlier(P.bars_dirty(spark, sf)).select("instrument_id", "trade_date")
+    """Outliers among bars of which some are a million times too high: prices of this panel jump so far that a thousand times is no outlier."""
+    far = F.pmod(P.day_key() + F.col("instrument_id") * 13, F.lit(97)) == 3
+    bars = P.bars_dirty(spark, sf).withColumn("close", F.when(far, F.col("close") * 1000).otherwise(F.col("close")))
+    return Q.return_outlier(bars).select("instrument_id", "trade_date")
 
 
 @query("dq_vendor_duplicate", "SELECT user_id AS instrument_id, CAST(ts AS DATE) AS trade_date, 'vendor_duplicate' AS \"check\", 'info' AS severity, 'merged ' || count(*) AS detail FROM events GROUP BY 1, 2 HAVING count(*) > 1")
@@ -311,9 +314,17 @@ def dq_findings_upsert(spark, sf):
     return Q.findings_upsert(f.where("instrument_id % 2 = 0"), f.where("instrument_id % 3 = 0"))
 
 
-@query("dq_coverage", f"WITH {D}, n AS (SELECT instrument_id, count(*) AS n FROM dirty GROUP BY 1) SELECT count(*) AS instruments, min(n) AS least, quantile_cont(n, 0.5) AS median, max(n) AS most FROM n")
+@query("dq_coverage", f"""WITH {D}, ba AS (SELECT *, CASE WHEN instrument_id IN (2, 4) THEN 'adjusted' WHEN instrument_id <> 6 THEN 'raw' END AS price_basis FROM dirty), n AS (SELECT instrument_id, count(*) AS n, min(trade_date) AS a, max(trade_date) AS b FROM ba GROUP BY 1),
+s8 AS (SELECT string_agg(concat_ws(':', instrument_id, n, a, b), ',' ORDER BY n, instrument_id) AS shortest FROM (SELECT * FROM n ORDER BY n, instrument_id LIMIT 8)), bs AS (SELECT string_agg(x, ',' ORDER BY x) AS basis FROM (SELECT coalesce(price_basis, 'none') || '=' || count(*) AS x FROM ba GROUP BY price_basis))
+SELECT count(*) AS instruments, min(n) AS least, quantile_cont(n, 0.5) AS median, max(n) AS most, any_value(shortest) AS shortest, any_value(basis) AS basis FROM n, s8, bs""")
 def dq_coverage(spark, sf):
-    return Q.coverage(P.bars_dirty(spark, sf))
+    basis = F.when(F.col("instrument_id").isin(2, 4), "adjusted").when(F.col("instrument_id") != 6, "raw")
+    return Q.coverage(P.bars_dirty(spark, sf).withColumn("price_basis", basis))
+
+
+@query("dq_findings_pivot", f"""WITH {_EXP} SELECT "check", severity, count(*) FILTER (issue_id IS NULL) AS open, count(*) FILTER (issue_id IS NOT NULL) AS explained FROM ex GROUP BY 1, 2""")
+def dq_findings_pivot(spark, sf):
+    return Q.findings_pivot(Q.explained(some_findings(spark, sf), _issues(spark)))
 
 
 @query("data_day_checks", f"""WITH {M}, l AS (SELECT instrument_id, max(trade_date) AS d FROM bars WHERE trade_date <= DATE '1999-03-10' AND instrument_id <> 8 GROUP BY 1)

@@ -77,6 +77,22 @@ def table_fingerprint(spark, sf):
     return S.content_hash(a).select(F.lit("part").alias("name"), "*").unionByName(S.content_hash(b).select(F.lit("nation").alias("name"), "*"))
 
 
+_STORE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
+
+@query("store_compare", " UNION ALL ".join(
+    f"SELECT '{t}' AS name, count(*) AS rows_a, " + {"supplier": "NULL", "part": "count(*) FILTER (p_size <> 1)", "nation": "count(*)", "orders": "count(*)"}.get(t, "count(*)")
+    + " AS rows_b, '" + {"supplier": "missing in b", "part": "differs", "nation": "differs", "orders": "columns differ"}.get(t, "same") + f"' AS state FROM {t}" for t in _STORE))
+def store_compare(spark, sf):
+    """All tables and columns against a second store in which parts of size 1 are gone, a nation is renamed, orders lack a column and suppliers are missing."""
+    a = {t: P.table(spark, sf, t) for t in _STORE}
+    b = {t: df for t, df in a.items() if t != "supplier"}
+    b["part"] = a["part"].where("p_size != 1")
+    b["nation"] = a["nation"].withColumn("n_name", F.when(F.col("n_nationkey") == 3, "renamed").otherwise(F.col("n_name")))
+    b["orders"] = a["orders"].drop("o_orderdate")
+    return S.compared(S.fingerprints(a), S.fingerprints(b))
+
+
 @query("equity_csv_sink", f"WITH {EQ} SELECT portfolio, trade_date, {fl('equity')} AS equity FROM eq")
 def equity_csv_sink(spark, sf):
     path = S.scratch(spark, "equity")

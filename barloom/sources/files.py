@@ -37,6 +37,34 @@ def content_hash(df: DataFrame) -> DataFrame:
     return df.select(fields_digest(df).alias("h")).agg(F.count("*").alias("n_rows"), F.coalesce(F.sum("h"), F.lit(0)).alias("h_sum"), F.coalesce(F.expr("bit_xor(h)"), F.lit(0)).alias("h_xor"))
 
 
+def fingerprints(tables: dict[str, DataFrame]) -> DataFrame:
+    """name, n_rows, columns, h_sum, h_xor of each table: an order-free digest of all its columns, whatever their types."""
+    def one(name: str, df: DataFrame) -> DataFrame:
+        h = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(df.columns)])
+        shape = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in sorted(df.schema, key=lambda f: f.name))
+        # xxhash64 skips nulls: their places count as well
+        nulls = F.xxhash64(*[F.col(f"`{c}`").isNull() for c in sorted(df.columns)])
+        h = F.xxhash64(h, nulls)
+        return df.agg(F.lit(name).alias("name"), F.count("*").alias("n_rows"), F.lit(shape).alias("columns"), F.coalesce(F.sum(h.cast("decimal(20,0)")), F.lit(0).cast("decimal(20,0)")).alias("h_sum"), F.coalesce(F.bit_xor(h), F.lit(0)).alias("h_xor"))
+
+    rows = [one(name, df) for name, df in sorted(tables.items())]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def compared(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Fingerprints of two stores side by side: name, rows_a, rows_b, state (same, differs, columns differ, missing in a, missing in b)."""
+    x, y = a.alias("x"), b.alias("y")
+    both = x.join(y, F.col("x.name") == F.col("y.name"), "full")
+    state = (
+        F.when(F.col("x.name").isNull(), "missing in a").when(F.col("y.name").isNull(), "missing in b").when(F.col("x.columns") != F.col("y.columns"), "columns differ")
+        .when((F.col("x.n_rows") != F.col("y.n_rows")) | (F.col("x.h_sum") != F.col("y.h_sum")) | (F.col("x.h_xor") != F.col("y.h_xor")), "differs").otherwise("same")
+    )
+    return both.select(F.coalesce("x.name", "y.name").alias("name"), F.col("x.n_rows").alias("rows_a"), F.col("y.n_rows").alias("rows_b"), state.alias("state"))
+
+
 def manifest(df: DataFrame) -> DataFrame:
     """Rows, dates, instruments, first and last date, and the null share of every other column."""
     other = [c for c in df.columns if c not in ("trade_date", "instrument_id")]
