@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,9 +12,11 @@ from barloom.llm.common import WORD, written
 
 #: Weights of the sources in order, repeating; and how often a source may be taken in all.
 WEIGHTS, MOST = (5, 2, 1), 3
-#: Documents aimed at in a block, and blocks of a source at most (a document's block is a hash).
-BLOCK_DOCS, MOST_BLOCKS = 64, 4096
-SHARDS, SEED = 64, 17
+#: A block has this many times the fourth root of its source's documents (a document's block is a hash).
+BLOCK_ROOTS = 4
+#: Bytes of text aimed at in a shard, and shards at least.
+SHARD_BYTES, LEAST_SHARDS = 128 << 20, 64
+SEED = 17
 
 
 def targets(sizes: list[int], weights: list[float], most: float = MOST) -> list[float]:
@@ -32,6 +36,11 @@ def targets(sizes: list[int], weights: list[float], most: float = MOST) -> list[
     return out
 
 
+def blocks_of(docs: int) -> int:
+    """Blocks of a source: their number and their size both grow with it (100,000 documents: 71 a block; 10 thousand million: 1,264)."""
+    return max(1, int(docs**0.75 / BLOCK_ROOTS))
+
+
 def splitting_tree(quotas: list[int], shards: int, seed: int = SEED) -> np.ndarray:
     """Deals quotas[i] blocks of each source i to the shards: an array (shards, sources) with those column sums.
 
@@ -52,31 +61,34 @@ def splitting_tree(quotas: list[int], shards: int, seed: int = SEED) -> np.ndarr
     return out
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, shards: int = SHARDS, seed: int = SEED, carry: str | None = None) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, shards: int | None = None, seed: int = SEED, carry: str | None = None) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken, block, shards, places, and the column `carry`.
 
     Size is the number of words (null text: 0). Sources in code point order, null last, weigh as `weights`
     repeats, and share the total size; no target is over `most` times its source. A source's documents fall
     into hash blocks in a random but fixed order; whole passes take every block, the last pass takes blocks
     from the front and, in the block where the target ends, documents in hash order until less than half of
-    one is wanted (rows that repeat id and text go together). The blocks drawn are dealt to output shards by splitting_tree(); `shards` lists the
+    one is wanted (rows that repeat id and text go together). The blocks drawn are dealt to output shards by splitting_tree(),
+    to as many shards as the texts' bytes ask for if no number is given; `shards` lists the
     shard of each copy. A source without words has target 0 and is not taken. Rows that repeat a doc_id count
-    each. What reaches the driver is one row per source. Texts are read twice where a column is carried; they move only if
-    the plan, a row for each block, is too large for Spark to send to all tasks.
+    each. What reaches the driver is one row per source, what leaves it one per source and shard. Texts are read twice where a
+    column is carried; they move only if the plan, a row for each block, is too large for Spark to send to all tasks.
     """
     whole_rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("bigint").alias("size"),
         F.xxhash64(F.lit(seed), F.col("doc_id").cast("bigint"), F.col("text").cast("string")).alias("draw"),
+        F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("bigint").alias("bytes"),
         *([carry] if carry else []),
     )
     rows = written(whole_rows.drop(carry) if carry else whole_rows, "sizes")
-    stats = sorted(rows.groupBy("source").agg(F.sum("size"), F.count("*")).collect(), key=lambda r: (r[0] is None, (r[0] or "").encode()))
+    stats = sorted(rows.groupBy("source").agg(F.sum("size"), F.count("*"), F.sum("bytes")).collect(), key=lambda r: (r[0] is None, (r[0] or "").encode()))
     spark = docs.sparkSession
+    shards = shards or max(LEAST_SHARDS, math.ceil(sum(r[3] for r in stats) / SHARD_BYTES))
     goal = targets([r[1] for r in stats], [weights[i % len(weights)] for i in range(len(stats))], most)
     table = [
-        (r[0], i, r[1], t, int(t // r[1]) if r[1] else 0, t - r[1] * int(t // r[1]) if r[1] else 0.0, min(MOST_BLOCKS, max(1, r[2] // BLOCK_DOCS)))
+        (r[0], i, r[1], t, int(t // r[1]) if r[1] else 0, t - r[1] * int(t // r[1]) if r[1] else 0.0, blocks_of(r[2]))
         for i, (r, t) in enumerate(zip(stats, goal))
     ]
     sources = spark.createDataFrame(table, "own_source string, source_no int, source_size bigint, target double, passes int, wanted double, blocks int")
@@ -87,11 +99,18 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
 
     placed = in_blocks(rows)
 
-    # blocks in random order; where in that order the last, partial pass ends
+    # blocks in random order; where in that order the last, partial pass ends. The order is one of ranges, and within each of them
+    turn = F.xxhash64(F.lit(seed + 1), "source_no", "block")
     block = placed.groupBy("source_no", "block", "passes", "wanted", "blocks").agg(F.sum("size").alias("words"))
-    shuffled = Window.partitionBy("source_no").orderBy(F.xxhash64(F.lit(seed + 1), "source_no", "block"), "block")
-    block = block.withColumn("place", F.row_number().over(shuffled) - 1).withColumn("upto", F.sum("words").over(shuffled.rowsBetween(Window.unboundedPreceding, 0)))
-    block = written(block.withColumn("rest", F.col("wanted") - (F.col("upto") - F.col("words"))), "blocks").drop("wanted")
+    block = written(block.withColumn("range", F.pmod(turn, F.ceil(F.sqrt("blocks"))).cast("int")), "block_words")
+    earlier = Window.partitionBy("source_no").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = block.groupBy("source_no", "range").agg(F.count("*").alias("in_range"), F.sum("words").alias("range_words"))
+    ranges = ranges.select("source_no", "range", *(F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(name) for c, name in (("in_range", "places_before"), ("range_words", "words_before"))))
+    shuffled = Window.partitionBy("source_no", "range").orderBy(turn, "block")
+    block = block.join(ranges, ["source_no", "range"]).withColumn("place", F.col("places_before") + F.row_number().over(shuffled) - 1)
+    block = block.withColumn("upto", F.col("words_before") + F.sum("words").over(shuffled.rowsBetween(Window.unboundedPreceding, 0)))
+    block = block.withColumn("rest", F.col("wanted") - (F.col("upto") - F.col("words")))
+    block = written(block.drop("range", "places_before", "words_before", "wanted"), "blocks")
 
     # how many blocks each source gives, counted over its passes, and which shard each of them goes to
     given = block.groupBy("source_no").agg(F.max("passes").alias("passes"), F.count("*").alias("n"), F.count_if(F.col("rest") > 0).alias("last"))
@@ -122,7 +141,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most:
     before = F.coalesce(F.sum("turn_words").over(Window.partitionBy("source_no", "block").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ends_at = last.withColumn("before", before).where(F.col("before") + F.col("turn_words") / 2 > F.col("rest")).groupBy("source_no", "block").agg(F.min("turn").alias("turn"))
     plan = block.select("source_no", "block", "rest").join(homes, ["source_no", "block"], "left").join(ends_at, ["source_no", "block"], "left")
-    plan = written(plan.coalesce(1), "plan")
+    plan = written(plan, "plan")
 
     placed = in_blocks(whole_rows) if carry else placed
     full = placed.join(plan, ["source_no", "block"])
