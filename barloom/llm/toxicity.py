@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import as_bytes, by_arrow, chunks, crc_mod, written
@@ -25,9 +25,9 @@ ODD_JOIN = 4.0
 SYMBOLS = 59
 #: Words' first letters that are features beside the whole word.
 STEMS = (4, 5, 6)
-#: What a feature needs: evidence (log-likelihood ratio), the log of how much likelier it is in toxic documents, and the
-#: share of these that it must be in, which bounds the features by 100 times those of a mean toxic document.
-EVIDENCE, LIFT, SHARE = 20.0, 4.0, 0.01
+#: What a feature needs: toxic documents, evidence (log-likelihood ratio; it must also be SLACK above twice the log of the number
+#: of features tested, so that less than one of them is expected to get in by chance), and the log of how much likelier it is in toxic documents.
+FEWEST, EVIDENCE, SLACK, LIFT = 4, 20.0, 2.0, 4.0
 #: Sums of weights are calibrated on a histogram with cells of a quarter, the last for all above.
 CELLS = 240
 #: Tokens whose restoration one Python worker remembers, and the longest that it remembers; longer ones are decoded each time.
@@ -235,29 +235,52 @@ def _worded(characters):
     return run
 
 
-def _featured(chosen):
-    """How many documents of a task have each feature (of the chosen, if given)."""
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many documents of a task have each feature, by label."""
+    counts: tuple[dict[bytes, int], dict[bytes, int]] = ({}, {})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        only, counts = chosen.value if chosen else None, {}
-
-        def flushed() -> Iterator[pa.RecordBatch]:
-            items = list(counts.items())
+    def flushed() -> Iterator[pa.RecordBatch]:
+        for label, own in enumerate(counts):
+            items = list(own.items())
             for at in range(0, len(items), 1 << 16):
                 names, n = zip(*items[at : at + (1 << 16)])
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(n, pa.int64())], ["feature", "n"])
-            counts.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array([label] * len(n), pa.int32()), pa.array(n, pa.int64())], ["feature", "toxic", "n"])
+            own.clear()
 
-        for batch in batches:
-            for words in batch.column("words").to_pylist():
-                found = features(words)
-                for f in found if only is None else found & only:
-                    counts[f] = counts.get(f, 0) + 1
-            if len(counts) > 500_000:
-                yield from flushed()
-        yield from flushed()
+    for batch in batches:
+        for words, label in zip(batch.column("words").to_pylist(), batch.column("toxic").to_pylist()):
+            own = counts[label]
+            for f in features(words):
+                own[f] = own.get(f, 0) + 1
+        if len(counts[0]) + len(counts[1]) > 500_000:
+            yield from flushed()
+    yield from flushed()
 
-    return run
+
+def telling(known: DataFrame, n0: int, n1: int) -> DataFrame:
+    """The features that tell toxic documents, with their weights: feature, weight.
+
+    Both classes are counted for all features, whatever share of the toxic documents has them. A stem's counts leave out those of its most
+    frequent word (of words in as many toxic documents the last by its bytes), whose documents are among its own.
+    """
+    per_task = by_arrow(known.select("words", "toxic"), _featured, "feature binary, toxic int, n bigint")
+    of = lambda k: F.sum(F.when(F.col("toxic") == k, F.col("n")).otherwise(0))
+    counts = written(per_task.groupBy("feature").agg(of(1).alias("a"), of(0).alias("b")).where(F.col("a") >= FEWEST), "features")
+    tested = counts.count()
+    star, size = F.lit(bytearray(b"*")), F.octet_length("feature")
+    stems = F.filter(F.array(*(F.when(size > k, F.concat(F.substring("feature", 1, k), star)) for k in STEMS)), lambda x: x.isNotNull())
+    words = counts.where(F.substring("feature", -1, 1) != star).withColumn("stem", F.explode(stems))
+    leaders = words.groupBy("stem").agg(F.max(F.struct("a", "feature", "b")).alias("lead"))
+    both = counts.join(leaders, F.col("feature") == F.col("stem"), "left").select("feature", *((F.col(x) - F.coalesce(F.col(f"lead.{x}"), F.lit(0))).alias(x) for x in "ab"))
+
+    def term(k: Column, n: int, p: Column) -> Column:
+        return F.when(k > 0, k * F.log(k / (n * p))).otherwise(0.0)
+
+    a, b, p = F.col("a"), F.col("b"), (F.col("a") + F.col("b")) / F.lit(float(n0 + n1))
+    ratio = 2 * (term(a, n1, p) + term(b, n0, p) + term(n1 - a, n1, 1 - p) + term(n0 - b, n0, 1 - p))
+    weight = F.log((a + 0.5) / (n1 + 1)) - F.log((b + 0.5) / (n0 + 1))
+    enough = max(EVIDENCE, 2 * math.log(max(tested, 1)) + SLACK)
+    return both.where("a > 0").select("feature", weight.alias("weight"), ratio.alias("ratio")).where((F.col("weight") >= LIFT) & (F.col("ratio") >= enough)).select("feature", "weight")
 
 
 def _summed(model):
@@ -277,10 +300,8 @@ def _summed(model):
 def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     """Learns characters from all training texts, and features from the labelled training rows.
 
-    Training rows are those whose crc32(doc_id) mod 5 is not 0. Features come from the toxic rows and must be
-    in a share of SHARE of these, which bounds their number by a multiple of the words in a mean document;
-    the other class is then counted for them alone. A stem's counts leave out its most frequent word. Only features
-    that tell much are kept, as weak ones add up in long texts. Sums of weights over all uses are then calibrated on all
+    Training rows are those whose crc32(doc_id) mod 5 is not 0. Only features
+    that tell much are kept (see telling()), as weak ones add up in long texts; they are what each task holds. Sums of weights over all uses are then calibrated on all
     of these rows, so that one word alone, which clean texts have too, need not decide. A doc_id with both labels counts in both classes.
     """
     spark = docs.sparkSession
@@ -295,35 +316,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame) -> ToxicityModel:
     n0, n1 = size.get(0, 0), size.get(1, 0)
     if not n1:
         return ToxicityModel(characters)
-    count = lambda rows, chosen: by_arrow(rows.select("words"), _featured(chosen), "feature binary, n bigint").groupBy("feature").agg(F.sum("n").alias("n"))
-    often = count(known.where("toxic = 1"), None).where(F.col("n") >= max(4, math.ceil(SHARE * n1))).toArrow()
-    with_it = dict(zip(often.column("feature").to_pylist(), often.column("n").to_pylist()))
-    other = count(known.where("toxic = 0"), spark.sparkContext.broadcast(set(with_it))).toArrow()
-    without = dict(zip(other.column("feature").to_pylist(), other.column("n").to_pylist()))
-
-    def term(k: float, n: float, p: float) -> float:
-        return k * math.log(k / (n * p)) if k else 0.0
-
-    # a stem must tell something beyond its most frequent word, whose documents are among its own
-    leader: dict[bytes, bytes] = {}
-    for f, a in with_it.items():
-        if not f.endswith(b"*"):
-            for k in STEMS:
-                if len(f) > k and a > with_it.get(leader.get(f[:k] + b"*", b""), 0):
-                    leader[f[:k] + b"*"] = f
-    told = []
-    for f, a in with_it.items():
-        b, lead = without.get(f, 0), leader.get(f)
-        if lead:
-            a, b = a - with_it[lead], b - without.get(lead, 0)
-        if a <= 0:
-            continue
-        p = (a + b) / (n0 + n1)
-        ratio = 2 * (term(a, n1, p) + term(b, n0, p) + term(n1 - a, n1, 1 - p) + term(n0 - b, n0, 1 - p))
-        w = math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
-        if w >= LIFT and ratio >= EVIDENCE:
-            told.append((f, w))
-    model = ToxicityModel(characters, dict(told))
+    told = telling(known, n0, n1).toArrow()
+    model = ToxicityModel(characters, dict(zip(told.column("feature").to_pylist(), told.column("weight").to_pylist())))
     told_by = by_arrow(known, _summed(spark.sparkContext.broadcast(model)), "cell int, toxic int, n bigint").groupBy("cell", "toxic").agg(F.sum("n").alias("n"))
     model.slope, model.offset = calibrated({(r[0], r[1]): r[2] for r in told_by.collect()})
     return model

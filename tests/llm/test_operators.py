@@ -292,6 +292,14 @@ def test_mixing_deals_disjoint_blocks_by_exact_quotas(spark):
     assert Counter(r.doc_id for r in out) == Counter({r.doc_id: r.copies for r in rows if r.copies}) and [r.doc_id for r in out[:50]] != sorted(r.doc_id for r in out[:50])
 
 
+def test_mixing_grows_with_its_sources(spark, monkeypatch):
+    assert [mixing.blocks_of(n) for n in (0, 1, 10_000, 10**10)] == [1, 1, 250, 7905694]
+    monkeypatch.setattr(mixing, "SHARD_BYTES", 100)
+    df = spark.createDataFrame([(i, "some words here", "ab"[i % 2]) for i in range(2000)], "doc_id bigint, text string, source string")
+    assert {k for r in mixing.mixed_documents(df).collect() for k in r.shards} <= set(range(300))
+    assert max(k for r in mixing.mixed_documents(df).collect() for k in r.shards) > mixing.LEAST_SHARDS
+
+
 # 5 top-k
 
 
@@ -614,6 +622,51 @@ def test_restoration_parts_spelled_words_and_takes_long_tokens():
     assert b"idiot" in own.words(b"i d i o t") and own.words(b"x1" * 100_000)
 
 
+def test_toxicity_features_equal_a_recount(spark):
+    rng, known = random.Random(5), []
+    pool = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300)]
+    for i in range(3000):
+        toxic = int(i % 3 == 0)
+        words = set(rng.choices(pool, k=12))
+        words |= {w for w, odds in (("grumbler", 0.2), ("grumbled", 0.02), ("grumbles", 0.008), ("rarely", 0.02)) if toxic and rng.random() < odds}
+        words |= {"rarely"} if not toxic and i % 9 == 1 else set()
+        known.append((toxic, [w.encode() for w in sorted(words)], [1] * len(words)))
+    n1 = sum(k[0] for k in known)
+    n0 = len(known) - n1
+    count = (Counter(), Counter())
+    for toxic, words, _ in known:
+        count[toxic].update({x for w in words for x in (w, *(w[:n] + b"*" for n in (4, 5, 6) if len(w) > n))})
+    tested = {f for f, n in count[1].items() if n >= toxicity.FEWEST}
+    want = {}
+    for f in tested:
+        a, b = count[1][f], count[0][f]
+        if f.endswith(b"*"):
+            lead = max(((count[1][w], w) for w in tested if not w.endswith(b"*") and len(w) >= len(f) and w.startswith(f[:-1])), default=None)
+            if lead:
+                a, b = a - lead[0], b - count[0][lead[1]]
+        if a <= 0:
+            continue
+        p = (a + b) / len(known)
+        ratio = 2 * sum(k * math.log(k / (n * q)) for k, n, q in ((a, n1, p), (b, n0, p), (n1 - a, n1, 1 - p), (n0 - b, n0, 1 - p)) if k)
+        w = math.log((a + 0.5) / (n1 + 1)) - math.log((b + 0.5) / (n0 + 1))
+        if w >= toxicity.LIFT and ratio >= max(toxicity.EVIDENCE, 2 * math.log(len(tested)) + toxicity.SLACK):
+            want[f] = w
+    got = toxicity.telling(spark.createDataFrame(known, "toxic int, words array<binary>, times array<bigint>"), n0, n1).collect()
+    assert {bytes(r.feature): r.weight for r in got} == pytest.approx(want)
+    assert b"grumbler" in want and b"grumbled" in want and b"rarely" not in want
+    assert any(count[1][f] < 0.01 * n1 for f in tested)
+
+
+def test_toxicity_learns_words_of_few_toxic_texts(spark):
+    filler = [f"plain words of text number {i % 50} stand here" for i in range(5000)]
+    docs = [(i, x + (" awful" if i % 2 == 0 else "") + (" zorgish" if i % 400 == 2 else "")) for i, x in enumerate(filler)]
+    model = toxicity.fit_toxicity(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(i, int(i % 2 == 0)) for i, _ in docs], "doc_id bigint, toxic int"))
+    assert b"awful" in model.weights and b"zorgish" not in model.weights  # half of the rows being toxic, 10 documents of 2,500 tell too little
+    docs = [(i, x + (" awful" if i % 10 == 0 else "") + (" zorgish" if i % 500 == 0 else "")) for i, x in enumerate(filler * 4)]
+    model = toxicity.fit_toxicity(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame([(i, int(i % 10 == 0)) for i, _ in docs], "doc_id bigint, toxic int"))
+    assert b"zorgish" in model.weights
+
+
 def test_toxicity(spark, odd):
     from pyspark.sql import functions as F
 
