@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import as_bytes, by_arrow, crc_mod, gathered, prefix_hashes, slice_hashes, written
-from barloom.llm.tokens import SPACE_MARK, vocabulary
+from barloom.llm.tokens import SPACE_MARK
+from barloom.llm.tokens import plain_vocabulary as vocabulary
 
 #: Words with at least one in so many of all training tokens (so at most so many words) have their scores sent to every
 #: task; the others' are joined. Scores are the same either way.
@@ -19,8 +20,8 @@ FREQUENT = 1 << 16
 #: Words above LONG bytes are taken one by one.
 LONG = 192
 END = b"\n"
-#: Share that the given weights keep in every re-estimation, and how many there are.
-GIVEN, ROUNDS = 0.1, 2
+#: Share that the given weights keep in every re-estimation; these end when one gains fewer nats a training token than SETTLED.
+GIVEN, SETTLED = 0.1, 0.01
 LN10 = float(np.log(10))
 
 
@@ -74,21 +75,23 @@ class Pieces:
             alpha[e] = top + np.log(np.exp(stack - top).sum(0))
         return alpha, arcs
 
-    def steps(self, word: bytes) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
-        """forward() for a single long word: the log-sum of each prefix, and arcs as (start, end, piece)."""
-        alpha, arcs = np.full(len(word) + 1, -np.inf), []
+    def ending(self, word: bytes, e: int) -> list[tuple[int, int]]:
+        """(start, piece) of the pieces that end at place e of a word."""
+        return [(e - size, i) for size in self.lengths if size <= e and (i := self.by_name.get(word[e - size : e])) is not None]
+
+    def prefixes(self, word: bytes) -> np.ndarray:
+        """The log-sum of each prefix of a single long word; arcs are found anew where they are needed, so that a byte takes one number."""
+        alpha = np.full(len(word) + 1, -np.inf)
         alpha[0] = 0.0
         for e in range(1, len(word) + 1):
-            found = [(e - size, e, i) for size in self.lengths if size <= e and (i := self.by_name.get(word[e - size : e])) is not None]
-            terms = np.array([alpha[start] + self.logp[i] for start, _, i in found])
+            terms = np.array([alpha[start] + self.logp[i] for start, i in self.ending(word, e)])
             top = terms.max()
             alpha[e] = top + np.log(np.exp(terms - top).sum())
-            arcs += found
-        return alpha, arcs
+        return alpha
 
     def one(self, word: bytes) -> float:
         """The log-sum of a single long word."""
-        return float(self.steps(word)[0][-1])
+        return float(self.prefixes(word)[-1])
 
     def log_marginals(self, words: list[bytes]) -> np.ndarray:
         """Natural log of each word's probability, summed over all its segmentations."""
@@ -109,7 +112,11 @@ class Pieces:
 
     def expected(self, words: list[bytes], times: np.ndarray) -> np.ndarray:
         """Expected uses of each piece over all segmentations of words that occur so many times."""
-        out = np.zeros(len(self.logp))
+        return self.uses(words, times)[0]
+
+    def uses(self, words: list[bytes], times: np.ndarray) -> tuple[np.ndarray, float]:
+        """expected(), and the natural log of the probability of all these words."""
+        out, whole = np.zeros(len(self.logp)), 0.0
         by_size: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             if w:
@@ -117,17 +124,20 @@ class Pieces:
         for size, rows in by_size.items():
             if size > LONG:
                 for w, k in ((words[i], times[i]) for i in rows):
-                    alpha, arcs = self.steps(w)
+                    alpha = self.prefixes(w)
+                    whole += k * alpha[-1]
                     beta = np.full(size + 1, -np.inf)
                     beta[size] = 0.0
-                    for start, end, i in reversed(arcs):
-                        beta[start] = np.logaddexp(beta[start], beta[end] + self.logp[i])
-                    for start, end, i in arcs:
-                        out[i] += k * np.exp(alpha[start] + self.logp[i] + beta[end] - alpha[-1])
+                    for end in range(size, 0, -1):
+                        for start, i in self.ending(w, end):
+                            step = self.logp[i] + beta[end]
+                            beta[start] = np.logaddexp(beta[start], step)
+                            out[i] += k * np.exp(alpha[start] + step - alpha[-1])
                 continue
             for at in range(0, len(rows), step := max(64, 65536 // size)):
                 part, k = [words[i] for i in rows[at : at + step]], times[rows[at : at + step]]
                 alpha, arcs = self.forward(np.frombuffer(b"".join(part), np.uint8).reshape(len(part), size))
+                whole += float(k @ alpha[-1])
                 beta = np.full((size + 1, len(part)), -np.inf)
                 beta[size] = 0.0
                 for start, end, _, weight in reversed(arcs):
@@ -135,7 +145,7 @@ class Pieces:
                 for start, end, who, weight in arcs:
                     p = k * np.exp(alpha[start] + weight + beta[end] - alpha[-1])
                     out += np.bincount(who[who >= 0], p[who >= 0], len(out))
-        return out
+        return out, whole
 
 
 def starting_pieces(path: str) -> Pieces:
@@ -147,7 +157,7 @@ def starting_pieces(path: str) -> Pieces:
     weight: dict[bytes, float] = {bytes([b]): 1e-6 for b in range(256)}
     for piece, score in vocabulary(path):
         text = piece.replace(SPACE_MARK, " ").encode()
-        if text and text == text.lower() and not (piece.startswith("<") and piece.endswith(">")):
+        if text and text == text.lower():
             weight[text] = max(weight.get(text, 0.0), 1.0 / (20.0 - min(0.0, score)))
     p = np.array([*weight.values(), 1 / 20])
     return Pieces(list(weight), np.log(p / p.sum()))
@@ -181,9 +191,11 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _uses(pieces: Pieces):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(pieces.logp))
+        total, whole = np.zeros(len(pieces.logp) + 1), len(pieces.logp)  # the last is the log-likelihood
         for batch in gathered(batches):
-            total += pieces.expected([b" " + w for w in batch.column("word").to_pylist()], batch.column("c").to_numpy(zero_copy_only=False).astype(float))
+            uses, likely = pieces.uses([b" " + w for w in batch.column("word").to_pylist()], batch.column("c").to_numpy(zero_copy_only=False).astype(float))
+            total[:whole] += uses
+            total[whole] += likely
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["piece", "uses"])
 
     return run
@@ -240,7 +252,7 @@ def _looked_up(frequent):
     return run
 
 
-def lattice_scores(docs: DataFrame, path: str, rounds: int = ROUNDS) -> DataFrame:
+def lattice_scores(docs: DataFrame, path: str, settled: float = SETTLED) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     Tokens are words (A-Z lower-cased) and one end per text. Training rows are those whose crc32(doc_id) mod 7
@@ -248,7 +260,8 @@ def lattice_scores(docs: DataFrame, path: str, rounds: int = ROUNDS) -> DataFram
     text over all its segmentations in pieces of the existing vocabulary: each word, known or not, with its mark adds the
     log of the sum over its segmentations, by a forward recursion in the log (no piece has a mark inside), and the end its own
     weight. A piece's weight is the vocabulary's own in a share of GIVEN, for the rest its expected uses in the training
-    words under the weights before, by the words' counts, `rounds` times. So what every task holds is one number per piece. Counts of words stay distributed
+    words under the weights before, by the words' counts, again and again until a round finds the training words less than
+    `settled` nats a token likelier than the round before did. So what every task holds is one number per piece. Counts of words stay distributed
     but for those above one in FREQUENT tokens (so at most FREQUENT), which only spares their join. A null
     text is empty and has its end alone. Rows that repeat a doc_id are trained on and scored each; a null
     doc_id counts as a training row. With no training row the given weights stand.
@@ -263,10 +276,13 @@ def lattice_scores(docs: DataFrame, path: str, rounds: int = ROUNDS) -> DataFram
     pieces = starting_pieces(path)
     given = np.exp(pieces.logp)
     trained = counts.where((F.col("c") > 0) & (F.col("word") != F.lit(END))).select("word", "c")
-    for _ in range(rounds):
+    before, gain = -np.inf, np.inf
+    while n and gain >= settled * n:
         found = by_arrow(trained, _uses(pieces), "piece int, uses double").groupBy("piece").agg(F.sum("uses").alias("uses")).toArrow()
-        got = np.zeros(len(given))
+        got = np.zeros(len(given) + 1)
         got[found.column("piece").to_numpy()] = found.column("uses").to_numpy()
+        got, likely = got[:-1], float(got[-1]) + ends * pieces.logp[-1]
+        gain, before = likely - before, likely
         got[-1] = ends
         if got.sum():
             pieces = Pieces(pieces.names, np.log(GIVEN * given + (1 - GIVEN) * got / got.sum()))

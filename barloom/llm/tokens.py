@@ -31,6 +31,15 @@ def vocabulary(path: str) -> list[tuple[str, float]]:
     return [(model.id_to_piece(i), model.get_score(i)) for i in range(model.get_piece_size())]
 
 
+@lru_cache(maxsize=4)
+def plain_vocabulary(path: str) -> list[tuple[str, float]]:
+    """vocabulary() without the model's control, unknown, unused and byte pieces: pieces that stand for their own characters."""
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    return [x for i, x in enumerate(vocabulary(path)) if not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i) or model.is_byte(i))]
+
+
 class UnigramCounter:
     """Counts the tokens of the best segmentation of a text, with the ties of the usual unigram tokenizer.
 
