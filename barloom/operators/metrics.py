@@ -7,9 +7,50 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.columns import col, ratio, rnd
+from barloom.functions.columns import col, ratio, rnd, settled
 from barloom.sources.files import scratch
 
+# order statistics over ranges of values
+
+
+def in_ranges(rows: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Rows with running sums in a total order, themselves included: ranges of the order are written, added up apart, and put after the totals of those before."""
+    spark = rows.sparkSession
+    at = rows.repartitionByRange(*order).withColumn("range_no", F.spark_partition_id())
+    at.write.parquet(path := scratch(spark, "ranges"))
+    at = spark.read.schema(at.schema).parquet(path)
+    totals = at.groupBy("range_no").agg(*[F.sum(x).alias(f"all_{c}") for c, x in sums.items()])
+    earlier = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    totals = totals.select("range_no", *[F.coalesce(F.sum(f"all_{c}").over(earlier), F.lit(0)).alias(f"before_{c}") for c in sums])
+    own_range = Window.partitionBy("range_no").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = at.join(F.broadcast(totals), "range_no")  # as many rows as there are ranges
+    return out.withColumns({c: F.sum(x).over(own_range) + F.col(f"before_{c}") for c, x in sums.items()}).drop("range_no", *[f"before_{c}" for c in sums])
+
+
+def exact_quantiles(rows: DataFrame, x: str, levels: list[float], *by: str) -> DataFrame:
+    """by, n, quantiles: exact quantiles of x at the levels, linear between neighbours, for each group that has a value.
+
+    Values are counted first and the counts put into ranges of (by, x), so that no task holds a group's values; only the two
+    values beside each level leave their range. by has no nulls and few groups.
+    """
+    counts = rows.where(F.col(x).isNotNull()).groupBy(*by, F.col(x).cast("double").alias("value")).agg(F.count("*").alias("times"))
+    placed = in_ranges(counts, [*by, "value"], {"upto": F.col("times")})
+    groups = placed.groupBy(*by).agg(F.sum("times").alias("n"), F.min(F.col("upto") - F.col("times")).alias("start"))
+    joined = placed.join(F.broadcast(groups), list(by)) if by else placed.crossJoin(F.broadcast(groups))  # one row per group
+    h = lambda q: F.lit(float(q)) * (F.col("n") - 1)
+    ends = [F.struct(F.lit(k).alias("k"), F.lit(side).alias("side"), f(h(q)).alias("place"), (h(q) - F.floor(h(q))).alias("part")) for k, q in enumerate(levels) for side, f in enumerate((F.floor, F.ceil))]
+    last = F.col("upto") - F.col("start")
+    here = joined.select(*by, "n", "value", F.explode(F.filter(F.array(*ends), lambda e: (e["place"] < last) & (e["place"] >= last - F.col("times")))).alias("e"))
+    beside = here.groupBy(*by, "n", F.col("e.k").alias("level_no")).agg(F.max(F.when(F.col("e.side") == 0, F.col("value"))).alias("low"), F.max(F.when(F.col("e.side") == 1, F.col("value"))).alias("high"), F.max("e.part").alias("part"))
+    value = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("low") + (F.col("high") - F.col("low")) * F.col("part"))
+    return beside.groupBy(*by, "n").agg(F.array_sort(F.collect_list(F.struct("level_no", value.alias("value")))).getField("value").alias("quantiles"))
+
+
+def edges_of(rows: DataFrame, x: str, n: int) -> DataFrame:
+    """One row with the edges of n bins of equal size, null without values."""
+    return exact_quantiles(rows, x, [k / n for k in range(1, n)]).agg(F.first("quantiles").alias("edges"))
+
+
 # walk-forward splits
 
 
@@ -94,10 +135,10 @@ def pinball(y: str, q: Column | str, level: float) -> Column:
 
 def quantile_report(rows: DataFrame, y: str, quantiles: dict[float, str]) -> DataFrame:
     """Pinball loss and coverage of each predicted quantile, the loss of the constant one, and coverage and width from the lowest to the highest."""
-    flat = F.percentile(F.col(y), F.array(*[F.lit(q) for q in quantiles]))
+    flat = exact_quantiles(rows, y, list(quantiles)).agg(F.first("quantiles").alias("constants"))
     low, high = F.col(quantiles[min(quantiles)]), F.col(quantiles[max(quantiles)])
-    whole = rows.agg(flat.alias("constants"), F.avg(F.col(y).between(low, high).cast("double")).alias("interval_coverage"), F.avg(high - low).alias("interval_width"))
-    rows = rows.crossJoin(F.broadcast(whole))  # one row
+    whole = rows.agg(F.avg(F.col(y).between(low, high).cast("double")).alias("interval_coverage"), F.avg(high - low).alias("interval_width"))
+    rows = rows.crossJoin(F.broadcast(whole)).crossJoin(F.broadcast(flat))  # one row each
     long = rows.select(F.explode(F.array(*[
         F.struct(F.lit(q).alias("level"), pinball(y, c, q).alias("loss"), (F.col(y) <= F.col(c)).cast("double").alias("covered"), pinball(y, F.col("constants")[k], q).alias("constant_loss")) for k, (q, c) in enumerate(quantiles.items())
     ])).alias("x"), "interval_coverage", "interval_width").select("x.*", "interval_coverage", "interval_width")
@@ -115,8 +156,7 @@ def brier_logloss(rows: DataFrame, p: str, y: str, *by: str, floor: float = 1e-6
 
 def bins_of(rows: DataFrame, p: str, n: int) -> DataFrame:
     """Equal-frequency bins by quantile edges; equal values stay together."""
-    edges = rows.agg(F.percentile(F.col(p), F.array(*[F.lit(k / n) for k in range(1, n)])).alias("edges"))
-    return rows.crossJoin(F.broadcast(edges)).withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col(p)))).drop("edges")  # one row
+    return rows.crossJoin(F.broadcast(edges_of(rows, p, n))).withColumn("bin", F.size(F.filter("edges", lambda e: e <= F.col(p)))).drop("edges")  # one row
 
 
 def reliability(rows: DataFrame, p: str, y: str, n: int = 10) -> DataFrame:
@@ -143,7 +183,8 @@ def isotonic_by_fold(rows: DataFrame, p: str, y: str, n: int = 10) -> DataFrame:
     """
     folds = rows.select("model_id", F.col("fold").alias("k")).distinct()
     earlier = rows.join(F.broadcast(folds), "model_id").where(F.col("fold") < F.col("k")).select("model_id", "k", F.col(p).alias("p"), F.col(y).alias("y"))  # one row per model and fold
-    edges = earlier.groupBy("model_id", "k").agg(F.percentile("p", F.array(*[F.lit(j / n) for j in range(1, n)])).alias("edges"), F.avg("y").alias("constant"))
+    edges = exact_quantiles(earlier, "p", [j / n for j in range(1, n)], "model_id", "k").select("model_id", "k", F.col("quantiles").alias("edges"))
+    edges = edges.join(earlier.groupBy("model_id", "k").agg(F.avg("y").alias("constant")), ["model_id", "k"])
     bin_of = lambda x: F.size(F.filter("edges", lambda e: e <= F.col(x)))
     counts = earlier.join(F.broadcast(edges), ["model_id", "k"]).withColumn("bin", bin_of("p")).groupBy("model_id", "k").agg(
         F.array(*[F.count_if(F.col("bin") == j) for j in range(n)]).alias("ns"), F.array(*[F.coalesce(F.sum(F.when(F.col("bin") == j, F.col("y"))), F.lit(0)) for j in range(n)]).alias("ys")
@@ -245,14 +286,14 @@ def merged_edges(edges: list[float], counts: list[int], least: int) -> list[floa
 def holding_table(rows: DataFrame, p: str, holding: str, n: int, horizon: int, least: int = 100) -> DataFrame:
     """Median, upper quartile and timed-out share of the holding time by bucket of p; small buckets are merged. At most n counts reach the driver."""
     rows = rows.where(F.col(p).isNotNull() & F.col(holding).isNotNull())
-    found = rows.agg(F.percentile(F.col(p), F.array(*[F.lit(k / n) for k in range(1, n)])).alias("edges")).first()["edges"] or []
+    found = edges_of(rows, p, n).first()["edges"] or []
     edges = sorted(set(found))
     bucket = lambda es: F.size(F.filter(F.array(*[F.lit(e) for e in es]), lambda e: e <= F.col(p))) if es else F.lit(0)
     sizes = {r["bin"]: r["count"] for r in rows.groupBy(bucket(edges).alias("bin")).count().collect()}
     edges = merged_edges(edges, [sizes.get(k, 0) for k in range(len(edges) + 1)], least)
-    return rows.groupBy(bucket(edges).alias("bin")).agg(
-        F.count("*").alias("n"), F.percentile(holding, F.lit(0.5)).alias("median"), F.percentile(holding, F.lit(0.75)).alias("p75"), F.avg((F.col(holding) >= horizon).cast("double")).alias("timed_out")
-    )
+    binned = rows.withColumn("bin", bucket(edges))
+    quarters = exact_quantiles(binned, holding, [0.5, 0.75], "bin").select("bin", "n", F.col("quantiles")[0].alias("median"), F.col("quantiles")[1].alias("p75"))
+    return quarters.join(binned.groupBy("bin").agg(F.avg((F.col(holding) >= horizon).cast("double")).alias("timed_out")), "bin")
 
 
 def evidence_by_month(rows: DataFrame, least: int) -> DataFrame:
@@ -271,16 +312,21 @@ def evidence_by_month(rows: DataFrame, least: int) -> DataFrame:
 # drift
 
 
+def long_features(rows: DataFrame, features: list[str], *keys: str) -> DataFrame:
+    """keys, feature, x: one row for each feature of a row."""
+    return rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])).alias("s")).select(*keys, "s.*")
+
+
 def feature_profile(rows: DataFrame, features: list[str], points: int = 21) -> DataFrame:
-    """Quantiles, mean, deviation, count and null share of each feature."""
-    levels = F.array(*[F.lit(k / (points - 1)) for k in range(points)])
-    long = rows.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])).alias("s")).select("s.*")
-    return long.groupBy("feature").agg(F.percentile("x", levels).alias("quantiles"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.count("x").alias("n"), (F.count_if(F.col("x").isNull()) / F.count("*")).alias("null_share"))
+    """Quantiles, mean, deviation, count and null share of each feature; quantiles are null for a feature without values."""
+    long = long_features(rows, features)
+    levels = exact_quantiles(long, "x", [k / (points - 1) for k in range(points)], "feature").select("feature", "quantiles")
+    return long.groupBy("feature").agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.count("x").alias("n"), (F.count_if(F.col("x").isNull()) / F.count("*")).alias("null_share")).join(levels, "feature", "left")
 
 
 def psi(rows: DataFrame, profile: DataFrame, features: list[str], floor: float = 1e-4) -> DataFrame:
     """Population stability of each feature against a profile of 11 quantiles: ten bins of a tenth each."""
-    long = rows.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])).alias("s")).select("s.*").where("x is not null")
+    long = long_features(rows, features).where("x is not null")
     joined = long.join(F.broadcast(profile.select("feature", F.slice("quantiles", 2, 9).alias("edges"))), "feature")  # one row per feature
     counts = joined.groupBy("feature", F.size(F.filter("edges", lambda e: e <= F.col("x"))).alias("bin")).agg(F.count("*").alias("n"))
     bins = profile.select("feature", F.explode(F.sequence(F.lit(0), F.lit(9))).alias("bin"))
@@ -289,40 +335,74 @@ def psi(rows: DataFrame, profile: DataFrame, features: list[str], floor: float =
     return bins.join(counts, ["feature", "bin"], "left").withColumn("s", share).groupBy("feature").agg(F.sum((F.col("s") - 0.1) * F.ln(F.col("s") / 0.1)).alias("psi"))
 
 
-def window_psi(rows: DataFrame, profile: DataFrame, features: list[str], window: int = 60, step: int = 10, floor: float = 1e-4) -> DataFrame:
-    """Population stability of every `window` sessions, each `step` sessions, against a profile of 11 quantiles: feature, slice, psi.
+def window_drift(rows: DataFrame, profile: DataFrame, features: list[str], window: int = 60, step: int = 10, floor: float = 1e-4, least: int = 20) -> DataFrame:
+    """PSI and Kolmogorov-Smirnov distance of every `window` sessions, each `step` sessions, against a profile's quantiles: feature, slice, last_date, n, psi, ks.
 
-    rows: session_idx and the features. Rows are counted by session and bin first, so that a slice adds up window x 10 counts.
+    rows: trade_date and the features; sessions are the dates that rows have. The profile has 10 m + 1 quantiles. PSI takes every m-th as
+    an edge (equal ones once) and the share of the quantiles in a bin as expected; with fewer than three edges it tells whether the mean
+    moved. The KS distance is to the distribution that is linear between the quantiles. Rows are counted by session and cell (between
+    two quantiles) first: a slice adds up counts of lower cells, and only values of one cell of a slice are put in order, so that a
+    task holds a small part of a slice. Null for under `least` values.
     """
-    long = rows.select("session_idx", F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])).alias("s")).select("session_idx", "s.*").where("x is not null")
-    binned = long.join(F.broadcast(profile.select("feature", F.slice("quantiles", 2, 9).alias("edges"))), "feature")  # one row per feature
-    daily = binned.groupBy("feature", "session_idx", F.size(F.filter("edges", lambda e: e <= F.col("x"))).alias("bin")).agg(F.count("*").alias("n"))
-    last = rows.agg(F.max("session_idx").alias("last")).where(F.col("last") >= window)
-    slices = last.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("last") - window) / step))).alias("slice"))
-    days = slices.withColumn("session_idx", F.explode(F.sequence(F.col("slice") * step + 1, F.col("slice") * step + window)))
-    counts = daily.join(days, "session_idx").groupBy("feature", "slice").agg(F.sum("n").alias("n"), F.array(*[F.sum(F.when(F.col("bin") == k, F.col("n")).otherwise(0)) for k in range(10)]).alias("bins"))
-    share = lambda x: F.greatest(x / F.col("n"), F.lit(floor))
-    return counts.select("feature", "slice", F.aggregate("bins", F.lit(0.0), lambda s, x: s + (share(x) - 0.1) * F.ln(share(x) / 0.1)).alias("psi"))
-
-
-def drift_alerts(recent: DataFrame, baseline: DataFrame, floor: float) -> DataFrame:
-    """Slices whose shift is above the floor and above what the training period itself did (feature, q95)."""
-    limit = F.greatest(F.lit(floor), F.col("q95"))
-    return recent.join(F.broadcast(baseline), "feature").withColumn("limit", limit).where(F.col("psi") > F.col("limit"))  # one row per feature
-
-
-def in_ranges(rows: DataFrame, order: list[str], sums: dict[str, Column]) -> DataFrame:
-    """Rows with running sums in a total order, themselves included: ranges of the order are written, added up apart, and put after the totals of those before."""
     spark = rows.sparkSession
-    at = rows.repartitionByRange(*order).withColumn("range_no", F.spark_partition_id())
-    at.write.parquet(path := scratch(spark, "ranges"))
-    at = spark.read.schema(at.schema).parquet(path)
-    totals = at.groupBy("range_no").agg(*[F.sum(x).alias(f"all_{c}") for c, x in sums.items()])
-    earlier = Window.orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
-    totals = totals.select("range_no", *[F.coalesce(F.sum(f"all_{c}").over(earlier), F.lit(0)).alias(f"before_{c}") for c in sums])
-    own_range = Window.partitionBy("range_no").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = at.join(F.broadcast(totals), "range_no")  # as many rows as there are ranges
-    return out.withColumns({c: F.sum(x).over(own_range) + F.col(f"before_{c}") for c, x in sums.items()}).drop("range_no", *[f"before_{c}" for c in sums])
+    edges = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(10)), lambda k: F.element_at("q", k * ((F.size("q") - 1) / 10).cast("int") + 1)))
+    inner = F.when(F.size("edges") < 3, F.array().cast("array<double>")).otherwise(F.slice("edges", 2, F.size("edges") - 2))
+    profile.where("quantiles is not null").select("feature", "mean", "sd", F.col("quantiles").alias("q")).write.parquet(stored := scratch(spark, "quantiles"))
+    of = settled(settled(spark.read.parquet(stored), edges=edges), inner=inner)
+    bin_of = lambda x: F.size(F.filter("inner", lambda e: e < x))
+    expected = F.transform(F.sequence(F.lit(0), F.size("inner")), lambda k: F.size(F.filter("q", lambda v: bin_of(v) == k)) / F.size("q"))
+    of.withColumn("expected", expected).write.parquet(stored := scratch(spark, "profile"))
+    of = spark.read.parquet(stored)
+
+    cell, m = F.size(F.filter("q", lambda v: v <= F.col("x"))), F.size("q") - 1
+    left, right = F.get("q", F.col("cell") - 1), F.get("q", F.col("cell"))
+    first = F.array_position("q", left)  # equal quantiles: the first one's level
+    inside = ((first - 1) + (F.col("cell") + 1 - first) * (F.col("x") - left) / (right - left)) / m
+    stated = F.when(F.col("cell") == 0, 0.0).when(F.col("cell") > m, F.when(F.col("x") > left, 1.0).otherwise((first - 1) / m)).otherwise(inside)
+    long = long_features(rows, features, "trade_date").join(F.broadcast(of), "feature")  # one row per feature
+    celled = settled(settled(long, cell=cell), bin=F.size(F.filter("inner", lambda e: e <= F.col("x"))), stated=stated)
+    celled.select("feature", "trade_date", "x", "cell", "bin", "stated").write.parquet(stored := scratch(spark, "cells"))
+    celled = spark.read.parquet(stored)
+
+    days = celled.select("trade_date").distinct().withColumn("s", F.row_number().over(Window.orderBy("trade_date")))  # one row per session
+    last = days.agg(F.max("s").alias("last")).where(F.col("last") >= window)
+    slices = last.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("last") - window) / step))).alias("slice"))
+    dated = F.broadcast(slices.withColumn("s", F.explode(F.sequence(F.col("slice") * step + 1, F.col("slice") * step + window))).join(days, "s").select("slice", "trade_date"))  # window / step rows per session
+    ends = dated.groupBy("slice").agg(F.max("trade_date").alias("last_date"))
+    celled = celled.where("x is not null")
+    daily = celled.groupBy("feature", "trade_date", "cell", "bin").agg(F.count("*").alias("n"), F.sum("x").alias("total"))
+    daily.join(dated, "trade_date").groupBy("feature", "slice", "cell", "bin").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).write.parquet(stored := scratch(spark, "counts"))
+    counts = spark.read.parquet(stored)
+
+    whole = counts.groupBy("feature", "slice").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.array(*[F.sum(F.when(F.col("bin") == k, F.col("n")).otherwise(0)) for k in range(10)]).alias("bins"))
+    whole = whole.where(F.col("n") >= least).join(F.broadcast(of), "feature")
+    terms = F.transform("expected", lambda e, k: F.struct(F.greatest(F.get("bins", k) / F.col("n"), F.lit(floor)).alias("a"), F.greatest(e, F.lit(floor)).alias("e")))
+    moved = (F.abs(F.col("total") / F.col("n") - F.col("mean")) > 1e-9 + 1e-3 * F.greatest("sd", F.lit(1e-9))).cast("double")
+    psi_ = F.when(F.size("edges") < 3, moved).otherwise(F.aggregate(terms, F.lit(0.0), lambda s, t: s + (t["a"] - t["e"]) * F.ln(t["a"] / t["e"])))
+    stable = whole.select("feature", "slice", "n", psi_.alias("psi"))
+
+    of_slice = Window.partitionBy("feature", "slice")
+    lower = of_slice.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as the profile has quantiles, and one
+    cells = counts.groupBy("feature", "slice", "cell").agg(F.sum("n").alias("here"))
+    before = cells.select("feature", "slice", "cell", F.coalesce(F.sum("here").over(lower), F.lit(0)).alias("before"), F.sum("here").over(of_slice).alias("all"))
+    ranked = celled.join(dated, "trade_date").withColumn("rank", F.row_number().over(Window.partitionBy("feature", "slice", "cell").orderBy("x")))
+    rank = F.col("rank") + F.col("before")
+    gap = F.greatest(F.abs(rank / F.col("all") - F.col("stated")), F.abs((rank - 1) / F.col("all") - F.col("stated")))
+    far = ranked.join(before, ["feature", "slice", "cell"]).groupBy("feature", "slice").agg(F.max(gap).alias("ks"))
+    return stable.join(far, ["feature", "slice"]).join(F.broadcast(ends), "slice").select("feature", "slice", "last_date", "n", "psi", "ks")  # one row per slice
+
+
+def drift_baseline(windows: DataFrame, level: float = 0.95, least: int = 5) -> DataFrame:
+    """Each feature's own yardstick: slices, and the quantile of their PSI and KS, null for under `least` slices. A feature has some hundred slices."""
+    high = lambda x: F.when(F.count(x) >= least, F.percentile(x, F.lit(level)))
+    return windows.groupBy("feature").agg(F.count("*").alias("slices"), high("psi").alias("psi_ref"), high("ks").alias("ks_ref"))
+
+
+def drift_alerts(recent: DataFrame, baseline: DataFrame, psi_floor: float = 0.25, ks_floor: float = 0.2) -> DataFrame:
+    """Slices whose PSI or KS distance is above both its floor and what the training period itself did; a feature without a baseline has the floors."""
+    joined = recent.join(F.broadcast(baseline), "feature", "left")  # one row per feature
+    limits = {"psi_limit": F.greatest(F.lit(psi_floor), F.col("psi_ref")), "ks_limit": F.greatest(F.lit(ks_floor), F.col("ks_ref"))}
+    return joined.withColumns(limits).where("psi > psi_limit or ks > ks_limit")
 
 
 def equal_groups(rows: DataFrame, order: list[str], groups: int, name: str) -> DataFrame:

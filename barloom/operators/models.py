@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.columns import col
-from barloom.operators.metrics import bins_of, rank_ic
+from barloom.operators.metrics import bins_of, edges_of, exact_quantiles, rank_ic
 
 
 def _inputs(features: list[str], scaled: bool) -> list:
@@ -68,7 +68,7 @@ def meta_filter(trades: DataFrame, features: list[str], outcome: str, cut: str,
     earlier = trades.where(F.col("trade_date") < F.lit(cut).cast("date")).withColumn("win", (F.col(outcome) > 0).cast("double"))
     model = Pipeline(stages=[*_inputs(features, True), LogisticRegression(featuresCol="vector", labelCol="win", regParam=0.01)]).fit(earlier)
     scored = lambda df: model.transform(df).withColumn("p", vector_to_array("probability")[1])
-    threshold = scored(earlier).agg(F.percentile("p", F.lit(1 - keep)).alias("threshold"))
+    threshold = exact_quantiles(scored(earlier), "p", [1 - keep]).agg(F.first("quantiles")[0].alias("threshold"))
     later = scored(trades.where(F.col("trade_date") >= F.lit(cut).cast("date"))).crossJoin(F.broadcast(threshold))  # one row
     return later.withColumn("kept", F.col("p") >= F.col("threshold")).select(*trades.columns, "p", "threshold", "kept")
 
@@ -146,7 +146,7 @@ def walk_forward(rows: DataFrame, folds: list[int], fold: str, fit, score) -> Da
 
 def scenario_quantiles(fitted: DataFrame, rows: DataFrame, score: str, outcome: str, buckets: int, levels: tuple[float, ...] = (0.1, 0.5, 0.9)) -> DataFrame:
     """Quantiles of the outcome in the score bucket of the fitted rows, sorted, for each row."""
-    edges = fitted.agg(F.percentile(score, F.array(*[F.lit(k / buckets) for k in range(1, buckets)])).alias("edges"))
+    edges = edges_of(fitted, score, buckets)
     at = lambda df: df.crossJoin(F.broadcast(edges)).withColumn("bucket", F.size(F.filter("edges", lambda e: e <= F.col(score)))).drop("edges")  # noqa: E731  one row
-    table = at(fitted).groupBy("bucket").agg(F.array_sort(F.percentile(outcome, F.array(*[F.lit(q) for q in levels]))).alias("scenarios"))
+    table = exact_quantiles(at(fitted), outcome, list(levels), "bucket").select("bucket", F.array_sort("quantiles").alias("scenarios"))
     return at(rows).join(F.broadcast(table), "bucket", "left")  # one row per bucket
