@@ -35,13 +35,16 @@ def exact_quantiles(rows: DataFrame, x: str, levels: list[float], *by: str) -> D
     """
     counts = rows.where(F.col(x).isNotNull()).groupBy(*by, F.col(x).cast("double").alias("value")).agg(F.count("*").alias("times"))
     placed = in_ranges(counts, [*by, "value"], {"upto": F.col("times")})
-    groups = placed.groupBy(*by).agg(F.sum("times").alias("n"), F.min(F.col("upto") - F.col("times")).alias("start"))
-    joined = placed.join(F.broadcast(groups), list(by)) if by else placed.crossJoin(F.broadcast(groups))  # one row per group
+    width = F.ceil(F.sum("times") / len(levels)).alias("width")
+    groups = placed.groupBy(*by).agg(F.sum("times").alias("n"), F.min(F.col("upto") - F.col("times")).alias("start"), width)
     h = lambda q: F.lit(float(q)) * (F.col("n") - 1)
-    ends = [F.struct(F.lit(k).alias("k"), F.lit(side).alias("side"), f(h(q)).alias("place"), (h(q) - F.floor(h(q))).alias("part")) for k, q in enumerate(levels) for side, f in enumerate((F.floor, F.ceil))]
-    last = F.col("upto") - F.col("start")
-    here = joined.select(*by, "n", "value", F.explode(F.filter(F.array(*ends), lambda e: (e["place"] < last) & (e["place"] >= last - F.col("times")))).alias("e"))
-    beside = here.groupBy(*by, "n", F.col("e.k").alias("level_no")).agg(F.max(F.when(F.col("e.side") == 0, F.col("value"))).alias("low"), F.max(F.when(F.col("e.side") == 1, F.col("value"))).alias("high"), F.max("e.part").alias("part"))
+    ends = [F.struct(F.lit(k).alias("level_no"), F.lit(side).alias("side"), f(h(q)).alias("place"), (h(q) - F.floor(h(q))).alias("part")) for k, q in enumerate(levels) for side, f in enumerate((F.floor, F.ceil))]
+    wanted = groups.select(*by, "n", "width", F.explode(F.array(*ends)).alias("e")).select(*by, "n", "e.*", F.floor(F.col("e.place") / F.col("width")).alias("block"))
+    at = placed.join(F.broadcast(groups.drop("n")), list(by)) if by else placed.crossJoin(F.broadcast(groups.drop("n")))  # one row per group
+    at = at.select(*by, "value", "width", (F.col("upto") - F.col("times") - F.col("start")).alias("a"), (F.col("upto") - F.col("start") - 1).alias("z"))
+    at = at.withColumn("block", F.explode(F.sequence(F.floor(F.col("a") / F.col("width")), F.floor(F.col("z") / F.col("width")))))
+    here = at.join(F.broadcast(wanted), [*by, "block"]).where(F.col("place").between(F.col("a"), F.col("z")))  # two rows per group and level
+    beside = here.groupBy(*by, "n", "level_no").agg(F.max(F.when(F.col("side") == 0, F.col("value"))).alias("low"), F.max(F.when(F.col("side") == 1, F.col("value"))).alias("high"), F.max("part").alias("part"))
     value = F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(F.col("low") + (F.col("high") - F.col("low")) * F.col("part"))
     return beside.groupBy(*by, "n").agg(F.array_sort(F.collect_list(F.struct("level_no", value.alias("value")))).getField("value").alias("quantiles"))
 
@@ -342,13 +345,13 @@ def window_drift(rows: DataFrame, profile: DataFrame, features: list[str], windo
     an edge (equal ones once) and the share of the quantiles in a bin as expected; with fewer than three edges it tells whether the mean
     moved. The KS distance is to the distribution that is linear between the quantiles. Rows are counted by session and cell (between
     two quantiles) first: a slice adds up counts of lower cells, and only values of one cell of a slice are put in order, so that a
-    task holds a small part of a slice. Null for under `least` values.
+    task holds a small part of a slice. No row for under `least` values. The profile is read from where it is stored.
     """
     spark = rows.sparkSession
     edges = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(10)), lambda k: F.element_at("q", k * ((F.size("q") - 1) / 10).cast("int") + 1)))
     inner = F.when(F.size("edges") < 3, F.array().cast("array<double>")).otherwise(F.slice("edges", 2, F.size("edges") - 2))
-    profile.where("quantiles is not null").select("feature", "mean", "sd", F.col("quantiles").alias("q")).write.parquet(stored := scratch(spark, "quantiles"))
-    of = settled(settled(spark.read.parquet(stored), edges=edges), inner=inner)
+    whole = profile.where("quantiles is not null").select("feature", "mean", "sd", F.col("quantiles").alias("q"))
+    of = settled(settled(whole, edges=edges), inner=inner)
     bin_of = lambda x: F.size(F.filter("inner", lambda e: e < x))
     expected = F.transform(F.sequence(F.lit(0), F.size("inner")), lambda k: F.size(F.filter("q", lambda v: bin_of(v) == k)) / F.size("q"))
     of.withColumn("expected", expected).write.parquet(stored := scratch(spark, "profile"))

@@ -418,7 +418,8 @@ def _drift(spark, sf):
     split = F.col("trade_date") < F.lit(_SPLIT).cast("date")
     rows.write.parquet(path := scratch(spark, "drift"))
     rows = spark.read.parquet(path)
-    profile = S.feature_profile(rows.where(split), list(_DRIFT), 101)
+    S.feature_profile(rows.where(split), list(_DRIFT), 101).write.parquet(path := scratch(spark, "profile"))
+    profile = spark.read.parquet(path)
     return S.window_drift(rows.where(split), profile, list(_DRIFT)), S.window_drift(rows.where(~split), profile, list(_DRIFT))
 
 

@@ -143,7 +143,7 @@ def stream_upsert(spark, sf):
     for part in (first, rows):
         part.coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    return Z.upserted(stream, "upserts", ["event_id"], ("user_id", "value")).select(F.col("batch").cast("int").alias("batch"), "event_id", "change")
+    return Z.upserted(stream, "upserts", ["event_id"], ("user_id", "value"), F.floor(F.col("event_id") / 1000)).select(F.col("batch").cast("int").alias("batch"), "event_id", "change")
 
 
 @query("stream_alert_dedupe", """WITH RECURSIVE out_ AS (SELECT user_id, event_type, arg_min(event_id, row(ts, event_id)) AS event_id, min(ts) AS ts FROM events GROUP BY 1, 2

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -28,15 +28,19 @@ def hourly_bars(events: DataFrame, late: str) -> DataFrame:
     ).select(F.col("event_type").alias("instrument"), F.col("window.start").alias("bar_time"), "open", "high", "low", "close", "volume")
 
 
-def suppressed(alerts: DataFrame, hours: int, key: list[str]) -> DataFrame:
+def suppressed(alerts: DataFrame, hours: int, key: list[str], late: str = "1 hour") -> DataFrame:
     """event_id of the alerts that go out: one goes out unless an equal one went out in the `hours` before it.
 
     The state of a key is the time of its last alert that went out, so that alerts passed over don't prolong the silence.
-    What one micro-batch holds of a key is sorted in one task. An alert older than the last one that went out is passed over.
+    It goes when the watermark is `hours` past that time: whatever comes then goes out anyway. What one micro-batch holds of
+    a key is sorted in one task. An alert older than the last one that went out, or than the watermark, is passed over.
     """
     gap = hours * 3_600_000_000
 
     def run(_, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         rows = pd.concat(list(parts))
         at, ids = rows["ts"].astype("datetime64[us]").astype("int64").to_numpy(), rows["event_id"].to_numpy()
         last, out = state.get[0] if state.exists else None, []
@@ -45,9 +49,11 @@ def suppressed(alerts: DataFrame, hours: int, key: list[str]) -> DataFrame:
                 out.append(ids[i])
                 last = int(at[i])
         state.update((last,))
+        state.setTimeoutTimestamp(max((last + gap) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"event_id": np.array(out, np.int64)})
 
-    return alerts.select(*key, "ts", "event_id").groupBy(*key).applyInPandasWithState(run, "event_id bigint", "last bigint", "append", GroupStateTimeout.NoTimeout)
+    rows = alerts.withWatermark("ts", late).select(*key, "ts", "event_id")
+    return rows.groupBy(*key).applyInPandasWithState(run, "event_id bigint", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drained(stream: DataFrame, name: str) -> DataFrame:
@@ -59,21 +65,41 @@ def drained(stream: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def upserted(stream: DataFrame, name: str, key: list[str], fields: tuple[str, ...]) -> DataFrame:
-    """Upserts every micro-batch into a stored table and tells what changed: batch, the key, change.
+def _versions(spark: SparkSession, table: str, before: int | None = None) -> DataFrame:
+    """part, batch: the batch that wrote each part last (before a batch)."""
+    listed = spark.read.schema("part bigint, batch bigint").parquet(f"{table}/parts")
+    return (listed if before is None else listed.where(F.col("batch") < before)).groupBy("part").agg(F.max("batch").alias("batch"))
 
-    The table after batch n is its version n, which batch n + 1 reads; versions and changes are folders by batch
-    number, so that a batch that is run again overwrites its own.
+
+def current(spark: SparkSession, table: str) -> DataFrame:
+    """The table as its last batch left it: of each part the version written last. The driver lists parts, not rows."""
+    return spark.read.parquet(*[f"{table}/rows/batch={r['batch']}/part={r['part']}" for r in _versions(spark, table).collect()])
+
+
+def upserted(stream: DataFrame, name: str, key: list[str], fields: tuple[str, ...], part: Column, table: str | None = None) -> DataFrame:
+    """Upserts every micro-batch into a table in parts and tells what changed: batch, the key, change.
+
+    part: a whole number made from the key alone. A batch reads the parts of its rows in their last versions and writes new
+    versions of those alone in which a row is new or changed. Versions, the list of parts and changes are folders by batch
+    number and a batch reads those of earlier ones only, so that one that is run again overwrites its own.
     """
     spark = stream.sparkSession
-    table, changes = scratch(spark, f"{name}_table"), scratch(spark, name)
+    table, changes, work = table or scratch(spark, f"{name}_table"), scratch(spark, name), scratch(spark, f"{name}_work")
+    columns = [*key, *fields]
 
     def write(batch: DataFrame, number: int) -> None:
-        stored = spark.read.schema(batch.schema).parquet(f"{table}/{number - 1}") if number else batch.limit(0)
-        after = upsert(stored, batch, key, fields)
-        after.select(*key, "row.*").write.mode("overwrite").parquet(f"{table}/{number}")
+        numbered = F.coalesce(part.cast("bigint"), F.lit(-1))
+        touched = [r[0] for r in batch.select(numbered).distinct().collect()]  # as many numbers as parts
+        paths = [f"{table}/rows/batch={r['batch']}/part={r['part']}" for r in _versions(spark, table, number).where(F.col("part").isin(touched)).collect()] if number and touched else []
+        stored = spark.read.schema(batch.schema).parquet(*paths) if paths else batch.limit(0)
+        upsert(stored, batch, key, fields).select(*key, "row", "change", numbered.alias("part")).write.mode("overwrite").parquet(f"{work}/{number}")
+        after = spark.read.parquet(f"{work}/{number}")
+        changed = after.where("change in ('inserted', 'updated')").select("part").distinct()
+        rows = after.join(F.broadcast(changed), "part", "left_semi")  # one number per part
+        rows.select(*key, "row.*", "part").repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{table}/rows/batch={number}")
+        changed.write.mode("overwrite").parquet(f"{table}/parts/batch={number}")
         after.where("change != 'kept'").select(*key, "change").write.mode("overwrite").parquet(f"{changes}/batch={number}")
 
-    query = stream.select(*key, *fields).writeStream.foreachBatch(write).option("checkpointLocation", scratch(spark, f"{name}_state")).trigger(availableNow=True).start()
+    query = stream.select(*columns).writeStream.foreachBatch(write).option("checkpointLocation", scratch(spark, f"{name}_state")).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.parquet(changes)

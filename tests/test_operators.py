@@ -19,6 +19,8 @@ from barloom.operators import models as M
 from barloom.operators import portfolio as T
 from barloom.operators import universe as U
 from barloom.sources import files, store
+from barloom.sources.files import scratch
+from barloom.streaming import bars as Z
 
 D0 = datetime.date(2020, 1, 1)
 
@@ -558,3 +560,80 @@ def test_snapshots_of_two_trades(spark):
     trades = spark.createDataFrame([(1, 7, 1, 10.0, 2, 12.0), (1, 7, 2, 11.0, None, None)], "portfolio int, instrument_id int, entry int, price double, exit int, exit_price double")
     got = [(r.cash, r.equity, r.peak, round(r.exposure, 4), r.positions) for r in L.portfolio_snapshots(trades, closes, 2000.0).orderBy("trade_date").collect()]
     assert got == [(1000.0, 2000.0, 2000.0, 0.5, None), (1100.0, 2300.0, 2300.0, 0.5217, None), (1100.0, 2300.0, 2300.0, 0.5217, None), (1100.0, 2000.0, 2300.0, 0.45, "7:100")]
+
+
+def test_exact_quantiles_equal_numpy(spark):
+    rng = np.random.default_rng(5)
+    groups = {"a": rng.normal(size=501), "b": np.repeat([1.0, 2.0], [400, 3]), "c": np.array([7.0]), "d": rng.integers(0, 4, 60).astype(float)}
+    rows = spark.createDataFrame([(g, float(x)) for g, xs in groups.items() for x in xs] + [("a", None), ("e", None)], "g string, x double")
+    levels = [0.0, 0.05, 0.5, 0.9, 1.0]
+    got = {r["g"]: r for r in S.exact_quantiles(rows, "x", levels, "g").collect()}
+    assert set(got) == set(groups)
+    for g, xs in groups.items():
+        assert got[g]["n"] == len(xs)
+        assert got[g]["quantiles"] == pytest.approx(list(np.quantile(xs, levels)))
+    assert S.edges_of(rows.where("g = 'e'"), "x", 4).first()["edges"] is None
+
+
+def test_window_drift_with_ties_and_a_constant(spark):
+    rng = np.random.default_rng(6)
+    days = pd.date_range("2020-01-01", periods=40).date
+    make = lambda shift: [(d, float(rng.integers(0, 6)) + shift, 1.0 + (shift > 0), None if k else float(rng.normal() + shift)) for d in days for k in (0, 0, 1)]
+    schema = "trade_date date, tied double, constant double, plain double"
+    old, new = make(0), make(1)
+    names = ["tied", "constant", "plain"]
+    S.feature_profile(spark.createDataFrame(old, schema), names, 101).write.parquet(path := scratch(spark, "profile"))
+    got = {(r["feature"], r["slice"]): r for r in S.window_drift(spark.createDataFrame(new, schema), spark.read.parquet(path), names, 20, 10).collect()}
+    assert len(got) == 9
+    for i, f in enumerate(names, 1):
+        ref = np.array([r[i] for r in old if r[i] is not None])
+        q = np.quantile(ref, np.linspace(0, 1, 101))
+        knots, at = np.unique(q, return_index=True)
+        for k in range(3):
+            v = np.sort([r[i] for r in new if r[0] in set(days[k * 10 : k * 10 + 20]) and r[i] is not None])
+            stated = np.interp(v, knots, at / 100, left=0.0, right=1.0)
+            ranks = np.arange(1, len(v) + 1) / len(v)
+            assert got[f, k]["ks"] == pytest.approx(max(np.abs(ranks - stated).max(), np.abs(ranks - 1 / len(v) - stated).max()))
+            assert got[f, k]["n"] == len(v)
+            inner = np.unique(q[::10])[1:-1]
+            if f == "constant":
+                assert got[f, k]["psi"] == 1.0
+                continue
+            share = lambda xs: np.maximum([np.mean(b) for b in xs], 1e-4)
+            e = share([np.searchsorted(inner, q, "left") == b for b in range(len(inner) + 1)])
+            a = share([np.searchsorted(inner, v, "right") == b for b in range(len(inner) + 1)])
+            assert got[f, k]["psi"] == pytest.approx(float(np.sum((a - e) * np.log(a / e))))
+
+
+def test_drift_limits_are_the_larger_of_floor_and_baseline(spark):
+    windows = spark.createDataFrame([("x", k, 0.1 * k, 0.01) for k in range(5)] + [("y", k, 0.9, 0.9) for k in range(4)], "feature string, slice int, psi double, ks double")
+    base = {r["feature"]: r for r in S.drift_baseline(windows).collect()}
+    assert base["x"]["psi_ref"] == pytest.approx(0.38) and base["y"]["psi_ref"] is None and base["y"]["slices"] == 4
+    recent = spark.createDataFrame([("x", 0, 0.3, 0.1), ("x", 1, 0.4, 0.1), ("x", 2, 0.0, 0.21), ("y", 0, 0.26, 0.0), ("z", 0, 0.2, 0.3), ("z", 1, 0.2, 0.1)], "feature string, slice int, psi double, ks double")
+    assert sorted((r["feature"], r["slice"]) for r in S.drift_alerts(recent, S.drift_baseline(windows)).collect()) == [("x", 1), ("x", 2), ("y", 0), ("z", 0)]
+
+
+def test_alert_state_goes_after_the_silence(spark):
+    at = lambda h: datetime.datetime(2020, 1, 1) + datetime.timedelta(hours=h)
+    path = scratch(spark, "alerts")
+    for batch in ([(1, "a", at(0)), (2, "a", at(30)), (3, "b", at(31))], [(4, "a", at(37)), (5, "c", at(100))], [(6, "b", at(101)), (7, "c", at(102))]):
+        spark.createDataFrame(batch, "event_id bigint, k string, ts timestamp").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema("event_id bigint, k string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(path)
+    query = Z.suppressed(stream, 36, ["k"]).writeStream.format("memory").queryName("alerts_out").option("checkpointLocation", scratch(spark, "alerts_state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(r[0] for r in spark.table("alerts_out").collect()) == [1, 3, 4, 5, 6]
+    kept = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(kept) == 3 and kept[-1] == 2  # a's row is gone, b's was made anew
+
+
+def test_stream_upsert_writes_touched_parts_only(spark):
+    path, table = scratch(spark, "fetches"), scratch(spark, "table")
+    for batch in ([(1, 1.0), (11, 1.0), (21, 1.0)], [(11, 2.0), (12, 1.0), (21, 1.0)], [(21, 1.0)], [(1, 3.0)]):
+        spark.createDataFrame(batch, "id bigint, value double").coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema("id bigint, value double").option("maxFilesPerTrigger", 1).parquet(path)
+    changes = Z.upserted(stream, "ups", ["id"], ("value",), F.floor(F.col("id") / 10), table)
+    assert sorted((r["batch"], r["id"], r["change"]) for r in changes.collect()) == [
+        (0, 1, "inserted"), (0, 11, "inserted"), (0, 21, "inserted"), (1, 11, "updated"), (1, 12, "inserted"), (1, 21, "unchanged"), (2, 21, "unchanged"), (3, 1, "updated")]
+    assert sorted(tuple(r) for r in Z.current(spark, table).select("id", "value").collect()) == [(1, 3.0), (11, 2.0), (12, 1.0), (21, 1.0)]
+    written = spark.read.schema("part bigint, batch bigint").parquet(f"{table}/parts").collect()
+    assert sorted((r["batch"], r["part"]) for r in written) == [(0, 0), (0, 1), (0, 2), (1, 1), (3, 0)]
