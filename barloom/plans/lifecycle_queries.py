@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from barloom.functions.columns import own, rnd
 from barloom.operators import datasets as D
 from barloom.operators import features as X
+from barloom.operators import plugins as G
 from barloom.operators import ingest as I
 from barloom.operators import lifecycle as L
 from barloom.operators import metrics as S
@@ -60,10 +61,14 @@ def spec_sync(spark, sf):
     return L.spec_sync(a, b)
 
 
-@query("feature_registry", f"WITH {P.OWN_BARS} SELECT instrument_id, trade_date, {fl('close / lag(close, 3) OVER w - 1')} AS ret_3, {fl('close / lag(close, 10) OVER w - 1')} AS ret_10 FROM own WINDOW w AS (PARTITION BY instrument_id ORDER BY bar_idx)")
+@query("feature_registry", f"""WITH {P.OWN_BARS}, f AS (SELECT instrument_id, trade_date, close / lag(close, 3) OVER w - 1 AS a, close / lag(close, 10) OVER w - 1 AS b, open / lag(close) OVER w - 1 AS gap FROM own WINDOW w AS (PARTITION BY instrument_id ORDER BY bar_idx)),
+r AS (SELECT *, CASE WHEN a IS NOT NULL AND count(a) OVER (PARTITION BY trade_date) >= 8 THEN (rank() OVER (PARTITION BY trade_date ORDER BY a) + (count(*) OVER (PARTITION BY trade_date, a) - 1) / 2.0::DOUBLE) / count(a) OVER (PARTITION BY trade_date) END AS k FROM f)
+SELECT instrument_id, trade_date, {fl('a')} AS ret_3, {fl('b')} AS ret_10, {fl('gap')} AS gap, {fl('k')} AS ret_3_rank FROM r""")
 def feature_registry(spark, sf):
-    chosen = [k for k in X.REGISTRY if k[0] in ("ret_3", "ret_10")]
-    return _round(X.feature_frame(P.own_bars(spark, sf), chosen), ("instrument_id", "trade_date"), "ret_3", "ret_10")
+    """A set of three plugins; the ranks need a return that another one makes."""
+    known = G.built_in()
+    pins = [known.pinned("cs_rank", 1, columns=["ret_3"], least=8), known.pinned("ret", 1, windows=[3, 10]), known.pinned("gap", 1)]
+    return _round(G.made(P.own_bars(spark, sf), pins), ("instrument_id", "trade_date"), "ret_3", "ret_10", "gap", "ret_3_rank")
 
 
 #: Registered features of the example recipe, and the columns they add.

@@ -16,6 +16,7 @@ from barloom.operators import ingest as I
 from barloom.operators import lifecycle as L
 from barloom.operators import metrics as S
 from barloom.operators import models as M
+from barloom.operators import plugins as G
 from barloom.operators import portfolio as T
 from barloom.operators import universe as U
 from barloom.sources import files, store
@@ -637,3 +638,43 @@ def test_stream_upsert_writes_touched_parts_only(spark):
     assert sorted(tuple(r) for r in Z.current(spark, table).select("id", "value").collect()) == [(1, 3.0), (11, 2.0), (12, 1.0), (21, 1.0)]
     written = spark.read.schema("part bigint, batch bigint").parquet(f"{table}/parts").collect()
     assert sorted((r["batch"], r["part"]) for r in written) == [(0, 0), (0, 1), (0, 2), (1, 1), (3, 0)]
+
+
+def test_plugin_sets_are_refused_before_any_plan():
+    known = G.built_in()
+    log_ret = G.Plugin("ret", 2, "ts", lambda df: df.withColumn("log_ret", F.lit(0.0)), lambda: ["log_ret"])
+    pin = known.pinned("ret", 1, windows=[1])
+    known.add(log_ret)
+    known.add(log_ret)
+    assert pin.columns == ["ret_1"] and known.get("ret", 2) is log_ret
+    refused = [
+        ("there already", lambda: known.add(G.Plugin("ret", 2, "ts", lambda df: df, lambda: ["other"]))),
+        ("only versions", lambda: known.pinned("ret", 9)),
+        ("no plugin", lambda: known.pinned("nope", 1)),
+        ("no kind", lambda: known.add(G.Plugin("x", 1, "row", lambda df: df, lambda: ["x"]))),
+        ("numbers from 1", lambda: known.add(G.Plugin("x", 0, "ts", lambda df: df, lambda: ["x"]))),
+        ("takes no", lambda: known.pinned("ret", 1, window=[3])),
+        ("different whole numbers", lambda: known.pinned("ret", 1, windows=[0])),
+        ("without plugins", lambda: G.checked([])),
+        ("is made by", lambda: G.checked([pin, known.pinned("ret", 1, windows=[5, 1])])),
+        ("which nothing in the set makes", lambda: G.checked([pin, known.pinned("cs_rank", 1, columns=["ret_3"])])),
+        ("look ahead", lambda: G.checked([known.pinned("fwd_ret", 1), known.pinned("cs_rank", 1, columns=["fwd_ret_5"])])),
+        ("tells an instrument", lambda: G.checked([G.Pinned(G.Plugin("s", 1, "ts", lambda df: df, lambda: ["Symbol"]), {})])),
+        ("none are given", lambda: G.made(None, [known.pinned("published", 1, fields=["eps"])])),
+    ]
+    for words, f in refused:
+        with pytest.raises(G.PluginError, match=words):
+            f()
+    assert G.warmup([pin, known.pinned("rsi", 1)]) == 14
+
+
+def test_a_plugin_set_of_all_kinds(spark):
+    known = G.built_in()
+    df = panel(spark, [10, 11, 12, 15], 1).unionByName(panel(spark, [10, 12, 13, 13], 2)).withColumn("session_idx", F.col("bar_idx"))
+    published = spark.createDataFrame([(1, D0 + datetime.timedelta(days=1), 2.5)], "instrument_id bigint, published date, eps double")
+    pins = [known.pinned("fwd_ret", 1, h=1), known.pinned("cs_rank", 1, columns=["ret_1"]), known.pinned("published", 1, fields=["eps"]), known.pinned("ret", 1, windows=[1])]
+    got = {(r["instrument_id"], r["bar_idx"]): r for r in G.made(df, pins, published, F.col("bar_idx") > 1).collect()}
+    assert len(got) == 8 and got[1, 2]["ret_1"] == pytest.approx(0.1)
+    assert [got[i, k]["ret_1_rank"] for k in (1, 2, 4) for i in (1, 2)] == [None, None, 0.5, 1.0, 1.0, 0.5]
+    assert [got[1, k]["eps"] for k in (1, 2, 4)] == [None, 2.5, 2.5] and got[2, 4]["eps"] is None
+    assert got[1, 3]["fwd_ret_1"] == pytest.approx(0.25) and got[1, 4]["fwd_ret_1"] is None
