@@ -465,9 +465,16 @@ def regimes(series: DataFrame, length: int = 126, band: float = 0.05) -> DataFra
 
 
 def slice_metrics(returns: DataFrame, *by: str) -> DataFrame:
-    """Annualised compound return, Sharpe and share of gains of selected sessions."""
-    s = returns.where("ret > -1").groupBy(*by).agg(F.count("*").alias("n"), F.sum(F.log1p("ret")).alias("g"), F.avg("ret").alias("m"), F.stddev_samp("ret").alias("sd"), F.avg((F.col("ret") > 0).cast("double")).alias("hit_rate"))
-    return s.select(*by, "n", (F.exp(F.col("g") * 252 / F.col("n")) - 1).alias("annual_return"), (ratio("m", "sd") * math.sqrt(252)).alias("sharpe"), "hit_rate")
+    """Annualised compound return, Sharpe, share of gains and deepest fall of selected sessions, put one after another.
+
+    by starts with the portfolio: a window holds the sessions of one portfolio in one slice.
+    """
+    upto = Window.partitionBy(*by).orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
+    rows = returns.where("ret > -1").withColumn("grown", F.sum(F.log1p("ret")).over(upto)).withColumn("fall", F.exp(F.col("grown") - F.max("grown").over(upto)) - 1)
+    s = rows.groupBy(*by).agg(
+        F.count("*").alias("n"), F.sum(F.log1p("ret")).alias("g"), F.avg("ret").alias("m"), F.stddev_samp("ret").alias("sd"), F.avg((F.col("ret") > 0).cast("double")).alias("hit_rate"), F.min("fall").alias("max_drawdown")
+    )
+    return s.select(*by, "n", (F.exp(F.col("g") * 252 / F.col("n")) - 1).alias("annual_return"), (ratio("m", "sd") * math.sqrt(252)).alias("sharpe"), "hit_rate", "max_drawdown")
 
 
 def rolling_outperformance(pair: DataFrame, w: int) -> DataFrame:

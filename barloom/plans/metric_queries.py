@@ -487,29 +487,36 @@ def regimes(spark, sf):
     return _round(S.regimes(P.bench(spark, sf)), ("window", "start", "end", "regime"), "ret")
 
 
-_SL = "count(*) AS n, {a} AS annual_return, {s} AS sharpe, {h} AS hit_rate".format(a=fl("exp(sum(ln(1 + ret)) * 252 / count(*)) - 1", 5), s=fl("avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252)", 5), h=fl("avg((ret > 0)::INT)"))
+def _slices_sql(source: str, *keys: str) -> str:
+    """Figures of each slice of source, rows of the keys, trade_date and ret."""
+    by = ", ".join(keys)
+    return f"""(SELECT {by}, count(*) AS n, {fl("exp(sum(ln(1 + ret)) * 252 / count(*)) - 1", 5)} AS annual_return, {fl("avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252)", 5)} AS sharpe, {fl("avg((ret > 0)::INT)")} AS hit_rate, {fl("min(exp(up - peak)) - 1", 5)} AS max_drawdown
+FROM (SELECT *, max(up) OVER k AS peak FROM (SELECT *, sum(ln(1 + ret)) OVER k AS up FROM ({source}) WINDOW k AS (PARTITION BY {by} ORDER BY trade_date)) WINDOW k AS (PARTITION BY {by} ORDER BY trade_date)) GROUP BY {by})"""
 
 
 def _sliced(s, *keys):
-    return s.select(*keys, "n", rnd("annual_return", 5).alias("annual_return"), rnd("sharpe", 5).alias("sharpe"), rnd("hit_rate").alias("hit_rate"))
+    return s.select(*keys, "n", rnd("annual_return", 5).alias("annual_return"), rnd("sharpe", 5).alias("sharpe"), rnd("hit_rate").alias("hit_rate"), rnd("max_drawdown", 5).alias("max_drawdown"))
 
 
 def _calm(spark, sf):
     return S.equity_returns(equity(spark, sf)).where("abs(ret) < 0.5")
 
 
-@query("by_year", f"WITH {EQ} SELECT portfolio, CAST(year(trade_date) AS INTEGER) AS year, {_SL} FROM er WHERE abs(ret) < 0.5 GROUP BY 1, 2")
+@query("by_year", f"WITH {EQ} SELECT * FROM {_slices_sql('SELECT portfolio, CAST(year(trade_date) AS INTEGER) AS year, trade_date, ret FROM er WHERE abs(ret) < 0.5', 'portfolio', 'year')}")
 def by_year(spark, sf):
     return _sliced(S.slice_metrics(_calm(spark, sf).withColumn("year", F.year("trade_date")), "portfolio", "year"), "portfolio", "year")
 
 
-@query("slice_metrics", f"WITH {EQ} SELECT portfolio, {_SL} FROM er WHERE abs(ret) < 0.5 AND trade_date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31' GROUP BY 1")
+@query("slice_metrics", f"""WITH {EQ} SELECT * FROM {_slices_sql("SELECT portfolio, trade_date, ret FROM er WHERE abs(ret) < 0.5 AND trade_date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31'", "portfolio")}""")
 def slice_metrics(spark, sf):
     return _sliced(S.slice_metrics(_calm(spark, sf).where("trade_date between date'1997-01-01' and date'1998-12-31'"), "portfolio"), "portfolio")
 
 
+_BY_REGIME = "SELECT portfolio, CASE WHEN rg.ret > 0.05 THEN 'up' WHEN rg.ret < -0.05 THEN 'down' ELSE 'sideways' END AS regime, trade_date, er.ret FROM er JOIN rg ON trade_date BETWEEN s AND e WHERE abs(er.ret) < 0.5"
+
+
 @query("by_regime", f"""WITH {_REG}, eq AS (SELECT instrument_id AS portfolio, trade_date, close AS equity FROM bars), er AS (SELECT *, equity / lag(equity) OVER (PARTITION BY portfolio ORDER BY trade_date) - 1 AS ret FROM eq)
-SELECT portfolio, CASE WHEN rg.ret > 0.05 THEN 'up' WHEN rg.ret < -0.05 THEN 'down' ELSE 'sideways' END AS regime, {_SL.replace('(ret', '(er.ret').replace('+ ret', '+ er.ret')} FROM er JOIN rg ON trade_date BETWEEN s AND e WHERE abs(er.ret) < 0.5 GROUP BY 1, 2""")
+SELECT * FROM {_slices_sql(_BY_REGIME, 'portfolio', 'regime')}""")
 def by_regime(spark, sf):
     r = S.regimes(P.bench(spark, sf)).select("start", "end", "regime")
     rows = _calm(spark, sf).join(F.broadcast(r), F.col("trade_date").between(F.col("start"), F.col("end")))  # a row per half year

@@ -678,3 +678,14 @@ def test_a_plugin_set_of_all_kinds(spark):
     assert [got[i, k]["ret_1_rank"] for k in (1, 2, 4) for i in (1, 2)] == [None, None, 0.5, 1.0, 1.0, 0.5]
     assert [got[1, k]["eps"] for k in (1, 2, 4)] == [None, 2.5, 2.5] and got[2, 4]["eps"] is None
     assert got[1, 3]["fwd_ret_1"] == pytest.approx(0.25) and got[1, 4]["fwd_ret_1"] is None
+
+
+def test_slice_drawdown_puts_sessions_one_after_another(spark):
+    days = [D0 + datetime.timedelta(days=i) for i in range(6)]
+    rets = [("x", 0.10), ("y", -0.50), ("x", -0.20), ("y", 0.30), ("x", 0.05), ("x", -0.10)]
+    rows = spark.createDataFrame([(1, d, s, r) for d, (s, r) in zip(days, rets)], "portfolio int, trade_date date, slice string, ret double")
+    got = {r["slice"]: r for r in S.slice_metrics(rows, "portfolio", "slice").collect()}
+    assert got["x"]["max_drawdown"] == pytest.approx(0.8 * 1.05 * 0.9 - 1)
+    assert got["y"]["max_drawdown"] == pytest.approx(0.0)  # the curve starts after its first session
+    assert got["x"]["annual_return"] == pytest.approx((1.1 * 0.8 * 1.05 * 0.9) ** (252 / 4) - 1)
+
