@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -28,32 +29,80 @@ def hourly_bars(events: DataFrame, late: str) -> DataFrame:
     ).select(F.col("event_type").alias("instrument"), F.col("window.start").alias("bar_time"), "open", "high", "low", "close", "volume")
 
 
+#: Groups of keys whose state is held together.
+GROUPS = 4096
+
+
+def gone_out(key: np.ndarray, at: np.ndarray, last: np.ndarray, has: np.ndarray, gap: int) -> np.ndarray:
+    """Places of the alerts that go out, of rows sorted by key (numbers from 0) and instant: all keys step on to their next one at once.
+
+    last, has: each key's last instant that went out, and whether there is one.
+    """
+    edge = np.searchsorted(key, np.arange(len(last) + 1))
+    # instants as ranks, so that key and instant are one number in order
+    times = np.unique(at)
+    whole = key * (len(times) + 1) + np.searchsorted(times, at)
+
+    def after(keys: np.ndarray, instants: np.ndarray) -> np.ndarray:
+        return np.searchsorted(whole, keys * (len(times) + 1) + np.searchsorted(times, instants + gap, "right"))
+
+    keys = np.arange(len(last))
+    places, out = np.where(has, after(keys, last), edge[:-1]), []
+    while True:
+        alive = places < edge[keys + 1]
+        keys, places = keys[alive], places[alive]
+        if not len(keys):
+            return np.sort(np.concatenate(out)) if out else np.zeros(0, np.int64)
+        out.append(places)
+        places = after(keys, at[places])
+
+
 def suppressed(alerts: DataFrame, hours: int, key: list[str], late: str = "1 hour") -> DataFrame:
     """event_id of the alerts that go out: one goes out unless an equal one went out in the `hours` before it.
 
     The state of a key is the time of its last alert that went out, so that alerts passed over don't prolong the silence.
-    It goes when the watermark is `hours` past that time: whatever comes then goes out anyway. What one micro-batch holds of
-    a key is sorted in one task. An alert older than the last one that went out, or than the watermark, is passed over.
+    It goes when the watermark is `hours` past that time: whatever comes then goes out anyway. Keys are dealt over GROUPS
+    groups by their hash; a group's keys and times are one state (an Arrow stream), so that a micro-batch calls Python once a
+    group, not once a key, and so does the watermark. What one micro-batch holds of a group is sorted in one
+    task. An alert older than the last one that went out, or than the watermark, or without an instant is passed over.
     """
     gap = hours * 3_600_000_000
 
     def run(_, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        before = pa.ipc.open_stream(state.get[0]).read_all() if state.exists else None
         if state.hasTimedOut:
+            held = before
+        else:
+            new = pa.concat_tables([pa.Table.from_pandas(p[[*key, "at", "event_id"]], preserve_index=False) for p in parts], promote_options="permissive")
+            first = 0 if before is None else before.num_rows
+            rows = new if before is None else pa.concat_tables([before, new], promote_options="permissive")
+            numbers = rows.select(key).to_pandas().groupby(key, dropna=False, sort=False).ngroup().to_numpy()  # keys held come first, in order
+            at, ids, number = new.column("at").to_numpy(), new.column("event_id").to_numpy(), numbers[first:]
+            order = np.lexsort((ids, at, number))
+            size = int(numbers.max()) + 1
+            last, has = np.zeros(size, np.int64), np.arange(size) < first
+            if first:
+                last[:first] = before.column("at").to_numpy()
+            at, number = at[order], number[order]
+            out = gone_out(number, at, last, has, gap)
+            last[number[out]] = at[out]  # places are in order: a key's latest stays
+            one = np.unique(numbers, return_index=True)[1]
+            held = rows.select(key).take(one).append_column("at", pa.array(last))
+            yield pd.DataFrame({"event_id": ids[order[out]]})
+        now = state.getCurrentWatermarkMs()
+        ends = (held.column("at").to_numpy() + gap) // 1000 + 1
+        held = held.filter(pa.array(ends > now))
+        if not held.num_rows:
             state.remove()
             return
-        rows = pd.concat(list(parts))
-        at, ids = rows["ts"].astype("datetime64[us]").astype("int64").to_numpy(), rows["event_id"].to_numpy()
-        last, out = state.get[0] if state.exists else None, []
-        for i in np.lexsort((ids, at)):
-            if last is None or at[i] - last > gap:
-                out.append(ids[i])
-                last = int(at[i])
-        state.update((last,))
-        state.setTimeoutTimestamp(max((last + gap) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"event_id": np.array(out, np.int64)})
-
-    rows = alerts.withWatermark("ts", late).select(*key, "ts", "event_id")
-    return rows.groupBy(*key).applyInPandasWithState(run, "event_id bigint", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held.schema) as writer:
+            writer.write_table(held)
+        state.update((sink.getvalue().to_pybytes(),))
+        state.setTimeoutTimestamp(int(ends[ends > now].min()))
+
+    rows = alerts.withWatermark("ts", late).where("ts is not null").select(F.pmod(F.xxhash64(*key), F.lit(GROUPS)).alias("key_group"), *key, "ts", F.unix_micros("ts").alias("at"), "event_id")
+    return rows.groupBy("key_group").applyInPandasWithState(run, "event_id bigint", "held binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drained(stream: DataFrame, name: str) -> DataFrame:

@@ -689,3 +689,36 @@ def test_slice_drawdown_puts_sessions_one_after_another(spark):
     assert got["y"]["max_drawdown"] == pytest.approx(0.0)  # the curve starts after its first session
     assert got["x"]["annual_return"] == pytest.approx((1.1 * 0.8 * 1.05 * 0.9) ** (252 / 4) - 1)
 
+
+
+def test_alerts_by_groups_of_keys_are_those_of_a_loop(spark):
+    rng = np.random.default_rng(5)
+    n, gap = 4000, 36 * 3_600_000_000
+    hours = rng.integers(0, 700, n)
+    keys = [(None if k == 7 else int(k), None if k % 11 == 3 else "ab"[k % 2]) for k in rng.integers(0, 60, n)]
+    rows = [(i, *k, datetime.datetime(2020, 1, 1) + datetime.timedelta(hours=int(h))) for i, (k, h) in enumerate(zip(keys, hours))]
+    want, last, chunks = set(), {}, 4
+    for i, u, e, t in sorted(rows, key=lambda r: (r[3], r[0])):
+        if (u, e) not in last or t - last[u, e] > datetime.timedelta(microseconds=gap):
+            want.add(i)
+            last[u, e] = t
+    rows.sort(key=lambda r: r[3])
+    path = scratch(spark, "alerts")
+    schema = "event_id bigint, user bigint, kind string, ts timestamp"
+    for c in range(chunks):  # fetches in order of time
+        spark.createDataFrame(rows[c * n // chunks : (c + 1) * n // chunks], schema).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
+    calls = Z.suppressed(stream, 36, ["user", "kind"]).writeStream.format("memory").queryName("grouped_out").option("checkpointLocation", scratch(spark, "grouped_state")).trigger(availableNow=True).start()
+    calls.awaitTermination()
+    assert sorted(r[0] for r in spark.table("grouped_out").collect()) == sorted(want)
+
+
+def test_alert_state_is_one_for_many_keys(spark, monkeypatch):
+    monkeypatch.setattr(Z, "GROUPS", 8)
+    path = scratch(spark, "alerts")
+    at = datetime.datetime(2020, 1, 1)
+    spark.createDataFrame([(i, i, at) for i in range(500)], "event_id bigint, k bigint, ts timestamp").coalesce(1).write.parquet(path)
+    query = Z.suppressed(spark.readStream.schema("event_id bigint, k bigint, ts timestamp").parquet(path), 36, ["k"]).writeStream.format("memory").queryName("few_out").option("checkpointLocation", scratch(spark, "few_state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert spark.table("few_out").count() == 500
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) == 8  # a row for each of 500 keys before
