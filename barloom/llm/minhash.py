@@ -19,6 +19,8 @@ BANDS = BINS // ROWS
 LEAST_BINS = 0.50
 #: Edges of one document that may meet under one key.
 SPREAD = 128
+#: 64-bit words of a set's marks: bit i tells whether an odd number of its shingles fall on i.
+MARKS = 8
 
 _STEP = np.random.default_rng(7).integers(1, 2**63, 4, dtype=np.uint64) | np.uint64(1)
 #: For each bin the order in which it looks for a bin to borrow from: its own random permutation of all bins.
@@ -101,11 +103,18 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     return by_arrow(docs.select("doc_id", "text"), _sketched(k), "doc_id bigint, n_shingles bigint, set_key binary, bands array<bigint>, sketch binary")
 
 
+def marks(s: np.ndarray) -> np.ndarray:
+    """A set's marks. Those of two sets differ in no more bits than the sets do in shingles, as what they share cancels out."""
+    at = (mixed(s.view(np.uint64)) % np.uint64(64 * MARKS)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=64 * MARKS) & 1).astype(np.uint8)).view(np.int64)
+
+
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [s.view(np.int64) for s in shingle_sets(as_bytes(batch, "text"), k)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "shingles"])
+            columns = [batch.column("doc_id"), pa.array(sets, pa.list_(pa.int64())), pa.array([marks(s) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "shingles", "marks"])
 
     return run
 
@@ -157,7 +166,8 @@ def rare_shingle_edges(left: DataFrame, roots: DataFrame, sets: DataFrame, perce
     A bucket is open if pairs of its members were not compared and its members are in more than one component.
     Shingles of these documents are ordered by rarity. If a pair is similar, a shingle of the larger set's first
     n - ceil(t n) + 1 is among the smaller set's first n - ceil(2 t n / (1 + t)) + 1, and no less than the overlap
-    that is asked for remains from there. Pairs of one component are left out; as most lists of a common shingle
+    that is asked for remains from there, and their marks differ in no more bits than the sets may differ in shingles, so
+    that a crowd of unlike texts with a rare shingle in common gives no rows. Pairs of one component are left out; as most lists of a common shingle
     are of one component, each list's most frequent one is never joined with itself.
     """
     member = left.join(roots, left.doc_id == roots.node, "left").select("bucket", "doc_id", F.coalesce("root", "doc_id").alias("component"))
@@ -176,12 +186,14 @@ def rare_shingle_edges(left: DataFrame, roots: DataFrame, sets: DataFrame, perce
     rows = written(rows.select("doc_id", "component", "n", (F.col("unique") + F.col("at")).alias("place"), F.col("s.shingle").alias("shingle"), (F.col("unique") + F.col("at") < index).alias("indexed")), "prefixes")
     by_part = rows.groupBy("shingle", "component").agg(F.count("*").alias("k"))
     most = by_part.groupBy("shingle").agg(F.max_by("component", F.struct("k", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("shingle", "most")
-    rows = written(rows.join(written(most, "lists"), "shingle"), "listed")
-    x = rows.select("shingle", F.col("doc_id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("place").alias("px"), (F.col("component") == F.col("most")).alias("mx"))
-    y = rows.where("indexed").select("shingle", F.col("doc_id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("place").alias("py"), (F.col("component") == F.col("most")).alias("my"))
+    rows = written(rows.join(written(most, "lists"), "shingle").join(sets.select("doc_id", "marks"), "doc_id"), "listed")
+    x = rows.select("shingle", F.col("doc_id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("marks").alias("bx"), (F.col("component") == F.col("most")).alias("mx"))
+    y = rows.where("indexed").select("shingle", F.col("doc_id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("marks").alias("by"), (F.col("component") == F.col("most")).alias("my"))
     asked_for = F.ceil((F.col("nx") + F.col("ny")) * percent / (100 + percent))
     fits = (F.col("cx") != F.col("cy")) & ((F.col("ny") < F.col("nx")) | ((F.col("ny") == F.col("nx")) & (F.col("y") != F.col("x")))) & (F.col("ny") * 100 >= F.col("nx") * percent)
     fits = fits & (F.col("nx") - F.col("px") >= asked_for) & (F.col("ny") - F.col("py") >= asked_for)
+    apart = sum((F.bit_count(F.col("bx")[i].bitwiseXOR(F.col("by")[i])) for i in range(MARKS)), F.lit(0))
+    fits = fits & (apart <= F.col("nx") + F.col("ny") - 2 * asked_for)
     pair = lambda p, q: p.join(q, "shingle").where(fits).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
     return pair(x, y.where("not my")).unionByName(pair(x.where("not mx"), y.where("my"))).distinct()
 
@@ -262,7 +274,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     edges, left = star_edges(reps, percent)
     ids = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(left.select("doc_id")).distinct()
     whole = docs.join(written(ids, "ids").hint("shuffle_hash"), "doc_id", "left_semi")
-    sets = written(by_arrow(whole, _sets(k), "doc_id bigint, shingles array<bigint>"), "sets")
+    sets = written(by_arrow(whole, _sets(k), "doc_id bigint, shingles array<bigint>, marks array<bigint>"), "sets")
     links = confirmed(edges, reps, sets, percent)
     more = confirmed(written(rare_shingle_edges(left, connected(links), sets, percent), "more"), reps, sets, percent)
     roots = connected(links.unionByName(more))

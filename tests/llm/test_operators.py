@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import types as T
 
-from barloom.llm import language, lattice, mixing, packing, sharding, toxicity
+from barloom.llm import language, lattice, minhash, mixing, packing, sharding, toxicity
 from barloom.llm.common import mixed
 from barloom.llm.exact import exact_duplicates, with_buckets
 from barloom.llm.minhash import connected, near_duplicates
@@ -723,3 +723,27 @@ def test_queries_match_their_sql(spark):
 def test_hash_finaliser_spreads():
     x = mixed(np.arange(10000, dtype=np.uint64))
     assert len(np.unique(x >> np.uint64(50))) > 7000
+
+
+def test_unlike_texts_with_rare_shingles_in_common_are_no_candidates(spark):
+    rng = random.Random(3)
+    common, pool, size = list(range(50)), list(range(1000, 1040)), 120
+    sets = {i: sorted(common + rng.sample(pool, 10)) for i in range(size)}
+    sets[size] = sorted(sets[7][:-1] + [5000])  # alike: 59 of 61
+    rows = [(i, s, minhash.marks(np.array(s, np.int64)).tolist()) for i, s in sets.items()]
+    alike = {(b, a) for a in sets for b in sets if a < b and 100 * len({*sets[a]} & {*sets[b]}) >= 85 * len({*sets[a]} | {*sets[b]})}
+    left = spark.createDataFrame([(1, i) for i in sets], "bucket bigint, doc_id bigint")
+    roots = spark.createDataFrame([], "node bigint, root bigint")
+    found = minhash.rare_shingle_edges(left, roots, spark.createDataFrame(rows, "doc_id bigint, shingles array<bigint>, marks array<bigint>"), 85)
+    found = {(r["a"], r["b"]) for r in found.collect()}
+    assert alike <= found and (size, 7) in found
+    assert len(found) < 2 * size  # without marks a good part of all 7,260 pairs
+
+
+def test_marks_differ_no_more_than_sets():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        a, b = (np.unique(rng.integers(-(2**63), 2**63 - 1, 2000)[: rng.integers(0, 2000)]) for _ in "ab")
+        b = np.union1d(b[: rng.integers(0, 40)], a[: rng.integers(0, len(a) + 1)])
+        apart = sum(int(x).bit_count() for x in (minhash.marks(a) ^ minhash.marks(b)).view(np.uint64))
+        assert apart <= len(np.setxor1d(a, b))
