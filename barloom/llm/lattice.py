@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 from collections import Counter
 from collections.abc import Iterator
 
@@ -23,6 +24,10 @@ END = b"\n"
 #: Share that the given weights keep in every re-estimation; these end when one gains fewer nats a training token than SETTLED.
 GIVEN, SETTLED = 0.1, 0.01
 LN10 = float(np.log(10))
+#: Words whose least likely segmentation is above exp(-PLAIN) are added up as they are, longer ones by their logs.
+PLAIN = 600.0
+#: A piece is looked up only where its size's table of 2^16 hash prefixes has a mark.
+_SPREAD, _PREFIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(48)
 
 
 class Pieces:
@@ -39,40 +44,80 @@ class Pieces:
             sums, back = prefix_hashes(np.frombuffer(name, np.uint8))
             hashes.append(int(slice_hashes(sums, back, np.array([0]), np.array([len(name)]))[0]))
         keys = np.array(hashes, np.uint64)
-        self.order = np.argsort(keys, kind="stable")
-        self.keys = keys[self.order]
+        order = np.argsort(keys, kind="stable")
         self.sizes = np.array([len(x) for x in names])
         self.by_name = {x: i for i, x in enumerate(names)}
         self.lengths = sorted({*map(int, self.sizes)})
+        self.marked, self.sorted = {}, {}
+        for size in self.lengths:
+            own = self.marked[size] = np.zeros(1 << 16, bool)
+            own[(keys[self.sizes == size] * _SPREAD) >> _PREFIX] = True
+            who = order[self.sizes[order] == size]
+            self.sorted[size] = (keys[who], who)
+        self.bytes = np.array([self.by_name.get(bytes([b]), -1) for b in range(256)])
+
+    def weighing(self, logp: np.ndarray) -> Pieces:
+        """The same pieces with other weights."""
+        other = copy.copy(self)
+        other.logp = logp
+        return other
 
     def find(self, h: np.ndarray, size: int) -> np.ndarray:
         """Place of the piece with each hash and that size, -1 for none."""
-        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-        who = self.order[at]
-        return np.where((self.keys[at] == h) & (self.sizes[who] == size), who, -1)
+        keys, who = self.sorted[size]
+        at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+        return np.where(keys[at] == h, who[at], -1)
 
-    def forward(self, words: np.ndarray) -> tuple[np.ndarray, list]:
-        """For words of one length (rows of bytes): log-sums over segmentations of each prefix, and the arcs used."""
+    def matches(self, words: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """For words of one length (rows of bytes): start, end, and the rows that have a piece there with these pieces, by end."""
         m, n = words.shape
         flat, back = prefix_hashes(words.ravel())
-        alpha = np.full((n + 1, m), -np.inf)
-        alpha[0] = 0.0
-        arcs = []
-        base = np.arange(m) * n
+        sums, back = np.concatenate([flat[:-1].reshape(m, n).T, flat[None, n::n]]), np.ascontiguousarray(back[: m * n].reshape(m, n).T)
         for e in range(1, n + 1):
-            terms = []
             for size in self.lengths:
                 if size > e:
                     break
-                h = slice_hashes(flat, back, base + e - size, base + e)
-                who = self.find(h, size)
-                if (who >= 0).any():
-                    step = np.where(who >= 0, self.logp[who], -np.inf)
-                    terms.append(alpha[e - size] + step)
-                    arcs.append((e - size, e, who, step))
-            stack = np.stack(terms)
-            top = stack.max(0)
-            alpha[e] = top + np.log(np.exp(stack - top).sum(0))
+                if size == 1:
+                    who = self.bytes[words[:, e - 1]]
+                    rows = np.flatnonzero(who >= 0)
+                    if len(rows):
+                        yield e - 1, e, rows, who[rows]
+                    continue
+                h = (sums[e] - sums[e - size]) * back[e - size]
+                rows = np.flatnonzero(self.marked[size][(h * _SPREAD) >> _PREFIX])
+                if len(rows):
+                    who = self.find(h[rows], size)
+                    hit = who >= 0
+                    if hit.any():
+                        yield e - size, e, rows[hit], who[hit]
+
+    def plain(self, size: int) -> bool:
+        """Whether words of that size are added up as they are: no segmentation of theirs can fall below what a double holds."""
+        return size * -float(self.logp[:-1].min()) < PLAIN
+
+    def sums(self, words: np.ndarray) -> tuple[np.ndarray, list]:
+        """forward() without logs, for words that are plain()."""
+        m, n = words.shape
+        weight = np.exp(self.logp)
+        alpha = np.zeros((n + 1, m))
+        alpha[0] = 1.0
+        arcs = []
+        for start, end, rows, who in self.matches(words):
+            step = weight[who]
+            alpha[end][rows] += alpha[start][rows] * step
+            arcs.append((start, end, rows, who, step))
+        return alpha, arcs
+
+    def forward(self, words: np.ndarray) -> tuple[np.ndarray, list]:
+        """For words of one length (rows of bytes): log-sums over segmentations of each prefix, and the arcs used."""
+        m, n = words.shape
+        alpha = np.full((n + 1, m), -np.inf)
+        alpha[0] = 0.0
+        arcs = []
+        for start, end, rows, who in self.matches(words):
+            step = self.logp[who]
+            alpha[end][rows] = np.logaddexp(alpha[end][rows], alpha[start][rows] + step)
+            arcs.append((start, end, rows, who, step))
         return alpha, arcs
 
     def ending(self, word: bytes, e: int) -> list[tuple[int, int]]:
@@ -106,8 +151,8 @@ class Pieces:
             elif size:
                 for at in range(0, len(rows), step := max(64, 65536 // size)):
                     part = rows[at : at + step]
-                    alpha, _ = self.forward(np.frombuffer(b"".join(words[i] for i in part), np.uint8).reshape(len(part), size))
-                    out[part] = alpha[-1]
+                    spelled = np.frombuffer(b"".join(words[i] for i in part), np.uint8).reshape(len(part), size)
+                    out[part] = np.log(self.sums(spelled)[0][-1]) if self.plain(size) else self.forward(spelled)[0][-1]
         return out
 
     def expected(self, words: list[bytes], times: np.ndarray) -> np.ndarray:
@@ -136,15 +181,26 @@ class Pieces:
                 continue
             for at in range(0, len(rows), step := max(64, 65536 // size)):
                 part, k = [words[i] for i in rows[at : at + step]], times[rows[at : at + step]]
-                alpha, arcs = self.forward(np.frombuffer(b"".join(part), np.uint8).reshape(len(part), size))
+                spelled = np.frombuffer(b"".join(part), np.uint8).reshape(len(part), size)
+                if self.plain(size):
+                    alpha, arcs = self.sums(spelled)
+                    whole += float(k @ np.log(alpha[-1]))
+                    share, beta, used = k / alpha[-1], np.zeros((size + 1, len(part))), []
+                    beta[size] = 1.0
+                    for start, end, own, _, weight in reversed(arcs):
+                        through = weight * beta[end][own]
+                        beta[start][own] += through
+                        used.append(share[own] * (alpha[start][own] * through))
+                    out += np.bincount(np.concatenate([who for _, _, _, who, _ in reversed(arcs)]), np.concatenate(used), len(out))
+                    continue
+                alpha, arcs = self.forward(spelled)
                 whole += float(k @ alpha[-1])
                 beta = np.full((size + 1, len(part)), -np.inf)
                 beta[size] = 0.0
-                for start, end, _, weight in reversed(arcs):
-                    beta[start] = np.logaddexp(beta[start], beta[end] + weight)
-                for start, end, who, weight in arcs:
-                    p = k * np.exp(alpha[start] + weight + beta[end] - alpha[-1])
-                    out += np.bincount(who[who >= 0], p[who >= 0], len(out))
+                for start, end, own, who, weight in reversed(arcs):
+                    through = beta[end][own] + weight
+                    beta[start][own] = np.logaddexp(beta[start][own], through)
+                    out += np.bincount(who, k[own] * np.exp(alpha[start][own] + through - alpha[-1][own]), len(out))
         return out, whole
 
 
@@ -258,7 +314,7 @@ def lattice_scores(docs: DataFrame, path: str, settled: float = SETTLED) -> Data
     Tokens are words (A-Z lower-cased) and one end per text. Training rows are those whose crc32(doc_id) mod 7
     is not 2. base_score adds log10((c + 1) / (N + V + 1)). score is the marginal of the
     text over all its segmentations in pieces of the existing vocabulary: each word, known or not, with its mark adds the
-    log of the sum over its segmentations, by a forward recursion in the log (no piece has a mark inside), and the end its own
+    log of the sum over its segmentations, by a forward recursion (in the log for long words; no piece has a mark inside), and the end its own
     weight. A piece's weight is the vocabulary's own in a share of GIVEN, for the rest its expected uses in the training
     words under the weights before, by the words' counts, again and again until a round finds the training words less than
     `settled` nats a token likelier than the round before did. So what every task holds is one number per piece. Counts of words stay distributed
@@ -285,7 +341,7 @@ def lattice_scores(docs: DataFrame, path: str, settled: float = SETTLED) -> Data
         gain, before = likely - before, likely
         got[-1] = ends
         if got.sum():
-            pieces = Pieces(pieces.names, np.log(GIVEN * given + (1 - GIVEN) * got / got.sum()))
+            pieces = pieces.weighing(np.log(GIVEN * given + (1 - GIVEN) * got / got.sum()))
     weighed = written(by_arrow(counts, _weighed(pieces, n, v), "word binary, c bigint, base_log double, model_log double"), "weights")
     top = weighed.where(F.col("c") >= max(1.0, n / FREQUENT)).toArrow()
     frequent = spark.sparkContext.broadcast({w: (c, b, m) for w, c, b, m in zip(*(top.column(x).to_pylist() for x in ("word", "c", "base_log", "model_log")))})

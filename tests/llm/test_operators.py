@@ -747,3 +747,21 @@ def test_marks_differ_no_more_than_sets():
         b = np.union1d(b[: rng.integers(0, 40)], a[: rng.integers(0, len(a) + 1)])
         apart = sum(int(x).bit_count() for x in (minhash.marks(a) ^ minhash.marks(b)).view(np.uint64))
         assert apart <= len(np.setxor1d(a, b))
+
+
+def test_lattice_looks_up_few_places_and_agrees_with_the_log_form(monkeypatch):
+    rng = random.Random(4)
+    names = [bytes([b]) for b in range(97, 123)] + list({bytes(rng.choices(range(97, 123), k=n)) for n in (2, 3, 4, 5) for _ in range(150)})
+    pieces = lattice.Pieces(names, np.log(np.full(len(names) + 1, 1 / (len(names) + 1))))
+    words = [bytes(rng.choices(range(97, 123), k=rng.randint(1, 40))) for _ in range(500)] + [names[-1] * 3]
+    times = np.array([rng.randint(1, 9) for _ in words], float)
+    asked = []
+    find = lattice.Pieces.find
+    monkeypatch.setattr(lattice.Pieces, "find", lambda self, h, size: asked.append(len(h)) or find(self, h, size))
+    uses, likely = pieces.uses(words, times)
+    assert sum(asked) < sum(map(len, words))  # before, one for each place and length of piece
+    marginals = pieces.log_marginals(words)
+    monkeypatch.setattr(lattice, "PLAIN", 0.0)
+    logs, likely_by_logs = pieces.uses(words, times)
+    assert np.allclose(uses, logs, rtol=1e-10) and np.isclose(likely, likely_by_logs, rtol=1e-12)
+    assert np.allclose(marginals, pieces.log_marginals(words), rtol=1e-12)
