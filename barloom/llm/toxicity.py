@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -168,7 +169,10 @@ class Restorer:
 def features(words: Iterable[bytes]) -> set[bytes]:
     """The words, and their stems with a mark."""
     out = set(words)
-    return out | {w[:n] + b"*" for w in out for n in STEMS if len(w) > n}
+    own = list(out)
+    for n in STEMS:
+        out.update([w[:n] + b"*" for w in own if len(w) > n])
+    return out
 
 
 @dataclass
@@ -180,17 +184,24 @@ class ToxicityModel:
     slope: float = 1.0
     offset: float = -3.5
 
+    def __post_init__(self) -> None:
+        #: The first letters of all features: a word without them has no weight, whole or by a stem.
+        self.starts = {f[: STEMS[0]] for f in self.weights}
+
+    def weight(self, w: bytes) -> float:
+        """The largest of a word's own weight and its stems', or 0."""
+        get = self.weights.get
+        x = get(w, 0.0)
+        if len(w) > STEMS[0]:
+            x = max(x, get(w[:4] + b"*", 0.0), get(w[:5] + b"*", 0.0) if len(w) > 5 else 0.0, get(w[:6] + b"*", 0.0) if len(w) > 6 else 0.0)
+        return x
+
     def total(self, words: dict[bytes, int]) -> float:
-        """Sum over all uses of words: the largest of a word's own weight and its stems'."""
-        get, out = self.weights.get, 0.0
-        if not self.weights:
-            return out
+        """Sum of weights over all uses of words."""
+        out, starts, size = 0.0, self.starts, STEMS[0]
         for w, times in words.items():
-            x = get(w, 0.0)
-            if len(w) > STEMS[0]:
-                x = max(x, get(w[:4] + b"*", 0.0), get(w[:5] + b"*", 0.0) if len(w) > 5 else 0.0, get(w[:6] + b"*", 0.0) if len(w) > 6 else 0.0)
-            if x:
-                out += times * x
+            if w[:size] in starts:
+                out += times * self.weight(w)
         return out
 
     def score(self, words: dict[bytes, int]) -> float:
@@ -237,7 +248,7 @@ def _worded(characters):
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many documents of a task have each feature, by label."""
-    counts: tuple[dict[bytes, int], dict[bytes, int]] = ({}, {})
+    counts: tuple[Counter, Counter] = (Counter(), Counter())
 
     def flushed() -> Iterator[pa.RecordBatch]:
         for label, own in enumerate(counts):
@@ -249,9 +260,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for words, label in zip(batch.column("words").to_pylist(), batch.column("toxic").to_pylist()):
-            own = counts[label]
-            for f in features(words):
-                own[f] = own.get(f, 0) + 1
+            counts[label].update(features(words))
         if len(counts[0]) + len(counts[1]) > 500_000:
             yield from flushed()
     yield from flushed()
@@ -288,9 +297,16 @@ def _summed(model):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: Counter = Counter()
+        told = model.value
         for batch in batches:
-            for words, times, y in zip(*(batch.column(c).to_pylist() for c in ("words", "times", "toxic"))):
-                counts[min(CELLS, int(4 * model.value.total(dict(zip(words, times))))), y] += 1
+            words, times = batch.column("words"), batch.column("times").flatten()
+            flat, row = words.flatten(), pc.list_parent_indices(words)
+            found: dict[int, dict[bytes, int]] = {}  # only words that begin as a feature does are taken out of their columns
+            near = pc.is_in(pc.binary_slice(flat, 0, STEMS[0]), pa.array(list(told.starts), flat.type))
+            for i, w, k in zip(*(c.filter(near).to_pylist() for c in (row, flat, times))):
+                found.setdefault(i, {})[w] = k
+            for i, y in enumerate(batch.column("toxic").to_pylist()):
+                counts[min(CELLS, int(4 * told.total(found.get(i, {})))), y] += 1
         cells, labels = zip(*counts) if counts else ((), ())
         yield pa.RecordBatch.from_arrays([pa.array(cells, pa.int32()), pa.array(labels, pa.int32()), pa.array(list(counts.values()), pa.int64())], ["cell", "toxic", "n"])
 

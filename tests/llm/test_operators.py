@@ -765,3 +765,20 @@ def test_lattice_looks_up_few_places_and_agrees_with_the_log_form(monkeypatch):
     logs, likely_by_logs = pieces.uses(words, times)
     assert np.allclose(uses, logs, rtol=1e-10) and np.isclose(likely, likely_by_logs, rtol=1e-12)
     assert np.allclose(marginals, pieces.log_marginals(words), rtol=1e-12)
+
+
+def test_only_words_that_begin_as_a_feature_are_weighed():
+    class Counted(dict):
+        asked = 0
+
+        def get(self, *args):
+            self.asked += 1
+            return super().get(*args)
+
+    weights = Counted({b"vile": 5.0, b"grub": 4.5, b"grubb*": 6.0, b"ox": 4.25, b"nasti*": 7.0})
+    model = toxicity.ToxicityModel(None, weights)
+    words = {b"vile": 2, b"grub": 1, b"grubby": 3, b"grubbier": 1, b"ox": 1, b"oxen": 1, b"nastier": 1, b"nasty": 5, b"vil": 1}
+    assert model.total(words) == 2 * 5.0 + 4.5 + 3 * 6.0 + 6.0 + 4.25 + 7.0
+    weights.asked = 0
+    assert model.total({f"word{i}".encode(): 1 for i in range(1000)}) == 0.0
+    assert weights.asked == 0  # before, up to four for each word
