@@ -21,6 +21,10 @@ LEAST_BINS = 0.50
 SPREAD = 128
 #: 64-bit words of a set's marks: bit i tells whether an odd number of its shingles fall on i.
 MARKS = 8
+#: Runs of this many bands are buckets too, so that texts much alike also meet apart from a larger family less like them.
+RUNS = (2, 4, 8)
+#: Earlier shingles of its own document that a row of the rare-shingle join knows.
+EARLIER = 32
 
 _STEP = np.random.default_rng(7).integers(1, 2**63, 4, dtype=np.uint64) | np.uint64(1)
 #: For each bin the order in which it looks for a bin to borrow from: its own random permutation of all bins.
@@ -128,17 +132,21 @@ def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def star_edges(reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(edges, buckets): candidate pairs (a > b), in each band bucket every member with up to two hubs; and the buckets' rows.
+    """(edges, buckets): candidate pairs (a > b), in each bucket every member with up to two hubs; and the band buckets' rows.
 
+    Buckets are those of the bands and of runs of bands: where the hubs of all of a family's band buckets are of another
+    family, which shares some bands with each of its members, the longer runs still bring the family together.
     The hubs are the member that shares most buckets in all and the smallest id, so that a bucket of m members gives at
     most 2(m-1) pairs, and a family's buckets mostly the same ones. The popular hub is the text that a family was copied from.
-    What pairs of non-hubs in a bucket are left is for rare_shingle_edges(), by (bucket, doc_id, members, hubs).
+    What pairs of non-hubs in a band bucket are left is for rare_shingle_edges(), by (bucket, doc_id).
     """
-    rows = reps.select(F.explode("bands").alias("bucket"), "doc_id", F.col("n_shingles").alias("n"))
+    runs = F.array(*(F.xxhash64(F.slice("bands", j * w + 1, w), F.lit(w * BANDS + j)) for w in RUNS for j in range(BANDS // w)))
+    rows = reps.select(F.posexplode(F.concat("bands", runs)).alias("band", "bucket"), "doc_id", F.col("n_shingles").alias("n"))
+    rows = rows.select("bucket", "doc_id", "n", (F.col("band") < BANDS).alias("single"))
     # small sides are written first: a join of two plain exchanges is one whose hot keys Spark can split
     shared = written(rows.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"), "shared")
     rows = written(rows.join(shared, "bucket"), "buckets")
-    fame = rows.groupBy("doc_id").agg(F.sum("members").alias("fame"))
+    fame = rows.groupBy("doc_id").agg(F.sum(F.when(F.col("single"), F.col("members")).otherwise(0)).alias("fame"))
     hub = lambda order: F.max_by(F.struct(F.col("doc_id").alias("hub"), F.col("n").alias("hub_n")), order)
     hubs = (
         rows.join(fame, "doc_id")
@@ -156,7 +164,7 @@ def star_edges(reps: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
         .select(F.greatest("doc_id", "hub").alias("a"), F.least("doc_id", "hub").alias("b"))
         .distinct()
     )
-    left = rows.join(hubs.select("bucket", "hubs").distinct(), "bucket").where("members > hubs + 1").select("bucket", "doc_id")
+    left = rows.join(hubs.select("bucket", "hubs").distinct(), "bucket").where("single and members > hubs + 1").select("bucket", "doc_id")
     return written(edges, "edges"), left
 
 
@@ -186,16 +194,28 @@ def rare_shingle_edges(left: DataFrame, roots: DataFrame, sets: DataFrame, perce
     rows = written(rows.select("doc_id", "component", "n", (F.col("unique") + F.col("at")).alias("place"), F.col("s.shingle").alias("shingle"), (F.col("unique") + F.col("at") < index).alias("indexed")), "prefixes")
     by_part = rows.groupBy("shingle", "component").agg(F.count("*").alias("k"))
     most = by_part.groupBy("shingle").agg(F.max_by("component", F.struct("k", "component")).alias("most"), F.count("*").alias("parts")).where("parts > 1").select("shingle", "most")
-    rows = written(rows.join(written(most, "lists"), "shingle").join(sets.select("doc_id", "marks"), "doc_id"), "listed")
-    x = rows.select("shingle", F.col("doc_id").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("marks").alias("bx"), (F.col("component") == F.col("most")).alias("mx"))
-    y = rows.where("indexed").select("shingle", F.col("doc_id").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("marks").alias("by"), (F.col("component") == F.col("most")).alias("my"))
+    listed = rows.join(written(most, "lists"), "shingle").groupBy("doc_id", "component", "n").agg(F.array_sort(F.collect_list(F.struct("place", "shingle", "indexed", "most"))).alias("order"))
+    listed = listed.withColumn("first", F.slice("order.shingle", 1, EARLIER)).select("doc_id", "component", "n", "first", F.posexplode("order").alias("at", "s"))
+    listed = listed.select("doc_id", "component", "n", "s.*", F.slice("first", F.lit(1), F.col("at")).alias("earlier"))
+    return listed_pairs(written(listed.join(sets.select("doc_id", "marks"), "doc_id"), "listed"), percent).distinct()
+
+
+def listed_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a > b) of rare_shingle_edges(), from its rows by document and shingle of a list.
+
+    A pair meets at the first shingle that both have: bounds that hold at a later one hold there too, so that
+    rows in whose earlier shingles the pair has met before are left out. A pair may come again only where it first meets
+    after EARLIER listed shingles of one of the two.
+    """
+    side = lambda s: (F.col("doc_id").alias(s), *(F.col(c).alias(k + s) for c, k in (("component", "c"), ("n", "n"), ("place", "p"), ("marks", "b"), ("earlier", "e"))), (F.col("component") == F.col("most")).alias("m" + s))
+    x, y = rows.select("shingle", *side("x")), rows.where("indexed").select("shingle", *side("y"))
     asked_for = F.ceil((F.col("nx") + F.col("ny")) * percent / (100 + percent))
     fits = (F.col("cx") != F.col("cy")) & ((F.col("ny") < F.col("nx")) | ((F.col("ny") == F.col("nx")) & (F.col("y") != F.col("x")))) & (F.col("ny") * 100 >= F.col("nx") * percent)
     fits = fits & (F.col("nx") - F.col("px") >= asked_for) & (F.col("ny") - F.col("py") >= asked_for)
     apart = sum((F.bit_count(F.col("bx")[i].bitwiseXOR(F.col("by")[i])) for i in range(MARKS)), F.lit(0))
-    fits = fits & (apart <= F.col("nx") + F.col("ny") - 2 * asked_for)
+    fits = fits & (apart <= F.col("nx") + F.col("ny") - 2 * asked_for) & ~F.arrays_overlap("ex", "ey")
     pair = lambda p, q: p.join(q, "shingle").where(fits).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b"))
-    return pair(x, y.where("not my")).unionByName(pair(x.where("not mx"), y.where("my"))).distinct()
+    return pair(x, y.where("not my")).unionByName(pair(x.where("not mx"), y.where("my")))
 
 
 def with_sides(edges: DataFrame, side: DataFrame, value: str) -> DataFrame:

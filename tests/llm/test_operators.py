@@ -782,3 +782,20 @@ def test_only_words_that_begin_as_a_feature_are_weighed():
     weights.asked = 0
     assert model.total({f"word{i}".encode(): 1 for i in range(1000)}) == 0.0
     assert weights.asked == 0  # before, up to four for each word
+
+
+def test_family_meets_apart_from_a_larger_one_that_has_all_hubs(spark):
+    large, small = range(64), range(100, 140)
+    rows = [(i, 500, [1000 + j if j == i % 32 else j for j in range(32)]) for i in large] + [(i, 500, [1000 + j for j in range(32)]) for i in small]
+    edges, left = minhash.star_edges(spark.createDataFrame(rows, "doc_id bigint, n_shingles bigint, bands array<bigint>"), 85)
+    got = [(r["a"], r["b"]) for r in edges.collect()]
+    assert {x for a, b in got if min(a, b) >= 100 for x in (a, b)} == set(small)  # before, none of 780 pairs was met by a hub
+    assert {r["bucket"] for r in left.collect()} == {*range(32), *range(1000, 1032)}
+
+
+def test_pair_comes_once_however_many_rare_shingles_it_has_in_common(spark):
+    place = {1: list(range(20)), 2: list(range(5, 25)), 3: list(range(18, 30))}
+    rows = [(d, d, 400, s, at, True, 9, order[:at], [0] * minhash.MARKS) for d, order in place.items() for at, s in enumerate(order)]
+    schema = "doc_id bigint, component bigint, n int, shingle bigint, place int, indexed boolean, most bigint, earlier array<bigint>, marks array<bigint>"
+    got = sorted((r["a"], r["b"]) for r in minhash.listed_pairs(spark.createDataFrame(rows, schema), 85).collect())
+    assert sorted(set(got)) == [(2, 1), (3, 1), (3, 2)] and len(got) == 6  # sets of equal size meet in both orders
