@@ -19,8 +19,8 @@ from barloom.llm.common import as_bytes, by_arrow, kept, written
 WINDOW = 2048
 #: Histogram cells; a longer window is counted in coarser units, so that the driver's part never grows.
 CELLS = 2048
-#: White-space-free chunks and words whose ids one Python worker remembers, and the longest such chunk: some 60 MB together.
-REMEMBERED, REMEMBERED_WORDS, LONGEST = 120_000, 200_000, 64
+#: White-space-free chunks and words whose ids one Python worker remembers, and the longest such chunk: some 200 MB together.
+REMEMBERED, REMEMBERED_WORDS, LONGEST = 500_000, 500_000, 64
 
 #: ASCII punctuation without the apostrophe (which can begin a word of the tokenizer), and lower-case Latin words.
 _PUNCT = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -100,9 +100,10 @@ class ChunkIds:
         return np.array(self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids, np.uint32).tobytes()
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """The ids of each text. Very long chunks are not remembered."""
+        """The ids of each text. Very long chunks are not remembered; of too many, those stay that come again in these texts."""
         if len(self.known) > REMEMBERED:
-            self.known = {}
+            again = Counter(w for t in texts for w in t.lower().split())
+            self.known = {w: self.known[w] for w, n in again.items() if n > 1 and w in self.known}
         get, fresh, split, found = self.known.get, set(), [], []
         for t in texts:
             if self.special_start in t and self.special.search(t):

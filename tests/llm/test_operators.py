@@ -799,3 +799,16 @@ def test_pair_comes_once_however_many_rare_shingles_it_has_in_common(spark):
     schema = "doc_id bigint, component bigint, n int, shingle bigint, place int, indexed boolean, most bigint, earlier array<bigint>, marks array<bigint>"
     got = sorted((r["a"], r["b"]) for r in minhash.listed_pairs(spark.createDataFrame(rows, schema), 85).collect())
     assert sorted(set(got)) == [(2, 1), (3, 1), (3, 2)] and len(got) == 6  # sets of equal size meet in both orders
+
+
+def test_recurring_chunks_are_learned_once_though_too_many_are_remembered(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 40)
+    own, learned = packing.ChunkIds(tokenizer_file("word_bpe_49k.json")), []
+    learn = own.learn
+    monkeypatch.setattr(own, "learn", lambda chunks: learned.extend(chunks) or learn(chunks))
+    texts = [[b"the of " + b" ".join(b"w%dx%d" % (i, j) for j in range(20)) + b" the", b"of it"] for i in range(8)]
+    for part in texts:
+        want = [np.array(own.tokenizer.encode(t.decode(), add_special_tokens=False).ids, np.uint32).tobytes() for t in part]
+        assert list(own.encode(part)) == want
+        assert len(own.known) <= 40 + 24
+    assert learned.count(b"the") == learned.count(b"of") == 1
