@@ -6,17 +6,21 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.common import by_arrow, shipped, written
 
-#: Vectors a cell aims at (in large tables there are as many cells as the root of the rows), rows of a block, queries of a team.
-CELL_ROWS, BLOCK_ROWS, GROUP_QUERIES = 2048, 4096, 4096
-#: Below the first, sums of integer products are exact in a double; below the second in 64 bits.
-EXACT, LONG = 2.0**53, 2.0**63
+#: Vectors a cell aims at (in large tables there are as many cells as the root of the rows) and rows of a block.
+CELL_ROWS, BLOCK_ROWS = 2048, 4096
+#: Bytes that a task may hold for the queries of its team, parts that a team's blocks make at least (a block each), pairs of query and row a part.
+TEAM_BYTES, PARTS, PART_PAIRS = 1 << 26, 32, 1 << 35
+#: Queries and rows that are multiplied at once; rows of a cell from which it is worth asking who needs it.
+QUERY_STEP, ROW_STEP, FEW_ROWS = 256, 1024, 64
+#: Below these, sums of integer products are exact in a float, in a double and in 64 bits.
+SHORT, EXACT, LONG = 2.0**24, 2.0**53, 2.0**63
+LEAST = -(2**63)
 
 
 def integer_vectors(vectors: DataFrame, scale: int = 1024) -> DataFrame:
@@ -42,83 +46,260 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.array([[min(max(v, -(2**63)), 2**63 - 1) for v in row] for row in whole], np.int64).reshape(whole.shape)
 
 
-def _located(pivots: dict[int, np.ndarray]):
-    """Each vector's nearest pivot, distance to it and length; pivots by dimension."""
+def lengths(x: np.ndarray) -> np.ndarray:
+    return np.sqrt((x.astype(np.float64) ** 2).sum(1))
+
+
+def _rows_of(vecs: pa.Array, rows: np.ndarray, d: int) -> np.ndarray:
+    """Those vectors of a list column, all of length d."""
+    flat, offsets = vecs.values.to_numpy(zero_copy_only=False), vecs.offsets.to_numpy()
+    return flat[offsets[rows][:, None] + np.arange(d)]
+
+
+def packed(x: np.ndarray) -> pa.Array:
+    """Integer rows as bytes, in the narrowest of 16, 32 and 64 bits that holds all of them."""
+    most = max(int(x.max()), -int(x.min()) - 1) if x.size else 0
+    x = np.ascontiguousarray(x.astype(next(t for t in ("<i2", "<i4", "<i8") if most <= np.iinfo(t).max)))
+    offsets = np.arange(len(x) + 1, dtype=np.int64) * (x.shape[1] * x.itemsize)
+    return pa.Array.from_buffers(pa.large_binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(x)]).cast(pa.binary())
+
+
+def unpacked(column: pa.Array, d: int) -> np.ndarray:
+    """What packed() made, of vectors of length d."""
+    column = column.cast(pa.large_binary())
+    if not d or not len(column):
+        return np.zeros((len(column), d), np.int16)
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data, width = np.frombuffer(column.buffers()[2], np.uint8), np.diff(offsets) // d
+    out = np.zeros((len(column), d), f"<i{width.max()}")
+    for w in np.unique(width).tolist():
+        rows = np.flatnonzero(width == w)
+        own = data[offsets[0] : offsets[-1]] if len(rows) == len(out) else data[offsets[rows][:, None] + np.arange(d * w)]
+        out[rows] = own.reshape(-1).view(f"<i{w}").reshape(-1, d)
+    return out
+
+
+def _located(pivots: dict[int, np.ndarray], every: int):
+    """Each vector's nearest pivot and distance to it; pivots by dimension. Only a query keeps its vector as a list, and has its length."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = 0
         for batch in batches:
-            dims = batch.column("dim").to_numpy(zero_copy_only=False)
-            vecs = batch.column("vec")
-            flat, offsets = vecs.values.to_numpy(zero_copy_only=False), vecs.offsets.to_numpy()
-            cell, far, norm = np.zeros(len(dims), np.int32), np.zeros(len(dims)), np.zeros(len(dims))
-            for d in np.unique(dims):
+            dims, who = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("dim", "vec_id"))
+            for d in np.unique(dims).tolist():
                 rows = np.flatnonzero(dims == d)
-                x = flat[offsets[rows][:, None] + np.arange(d)].astype(np.float64)
-                p = pivots[int(d)].astype(np.float64)
-                square = (x * x).sum(1)
-                apart = np.maximum(square[:, None] + (p * p).sum(1) - 2 * (x @ p.T), 0)
-                cell[rows] = apart.argmin(1)
-                # measured again from the difference, as the expansion above cancels
-                far[rows], norm[rows] = np.sqrt(((x - p[cell[rows]]) ** 2).sum(1)), np.sqrt(square)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("vec_id", "vec", "dim")), pa.array(cell), pa.array(far), pa.array(norm)], ["vec_id", "vec", "dim", "cell", "far", "norm"])
+                x = _rows_of(batch.column("vec"), rows, d)
+                p = pivots[d].astype(np.float64)
+                half, turned = (p * p).sum(1) / 2, np.ascontiguousarray(p.T)
+                cell, far = np.zeros(len(rows), np.int32), np.zeros(len(rows))
+                step = max(1, (1 << 20) // len(p))
+                for at in range(0, len(rows), step):
+                    part = x[at : at + step].astype(np.float64)
+                    cell[at : at + step] = own = (half - part @ turned).argmin(1)
+                    # measured from the difference, as the expansion above cancels
+                    far[at : at + step] = lengths(part - p[own])
+                asks = who[rows] % every == 0
+                vec = batch.column("vec").take(pa.array(np.where(asks, rows, -1), mask=~asks))
+                turns = pa.array((turn + np.arange(len(rows))) % (1 << 30), pa.int32())
+                turn += len(rows)
+                columns = [pa.array(who[rows]), packed(x), vec, pa.array(dims[rows]), pa.array(cell), pa.array(far), pa.array(lengths(x)), turns]
+                yield pa.RecordBatch.from_arrays(columns, ["vec_id", "packed", "vec", "dim", "cell", "far", "norm", "turn"])
 
     return run
 
 
-def _needed(pivots: dict[int, np.ndarray], ids: dict[int, np.ndarray], cells: dict[int, dict[int, tuple[float, int]]], near: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], k: int):
-    """For each query a lower bound on its k-th best score and the cells that could beat it.
+def _needed(pivots: dict[int, np.ndarray], ids: dict[int, np.ndarray], radius: dict[int, np.ndarray], near: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], k: int):
+    """For each query a lower bound on its k-th best score, and in one row of a batch for each team the cells that could beat some query's bound.
 
-    near: for each vector length the cell, distance to the pivot and vec_id of the k rows nearest to each pivot.
+    radius: of each cell, -1 if nothing lies in it; near: for each vector length the cell, distance to the pivot and vec_id
+    of the k rows nearest to each pivot.
     """
 
+    def bounds(q: np.ndarray, who: np.ndarray, norm: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Lower bounds, whether there is one, and the cells needed, of some queries."""
+        own, least, known = products(q, pivots[d]), np.full(len(q), LEAST, np.int64), np.zeros(len(q), bool)
+        # rows of the data score at least q.p - |q| * distance: the k-th best of these bounds the k-th best of all
+        cell, far, row = near[d]
+        if len(cell) >= k:
+            low, reach = own[:, cell].astype(np.float64), norm[:, None] * far
+            low = low - reach - 1e-9 * (np.abs(low) + reach) - 1
+            low[row == who[:, None]] = -np.inf
+            low = np.partition(low, len(cell) - k, axis=1)[:, len(cell) - k]
+            known |= low > -np.inf
+            least = np.where(known, np.floor(np.maximum(low, LEAST)), LEAST).astype(np.int64)
+        same = ids[d] == who[:, None]  # pivots are rows too
+        if len(ids[d]) >= k:
+            best = np.partition(np.where(same, LEAST, own), len(ids[d]) - k, axis=1)[:, len(ids[d]) - k]
+            enough = (~same).sum(1) >= k
+            least, known = np.where(enough, np.maximum(least, best), least), known | enough
+        # q.x <= q.p + |q| * radius for every x of p's cell; a part in 10^9 more for rounding
+        reach = norm[:, None] * np.maximum(radius[d], 0)
+        most = own + reach + 1e-9 * (np.abs(own.astype(np.float64)) + reach) + 1
+        return least, known, ((most >= least[:, None]) | ~known[:, None]) & (radius[d] >= 0)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            least, reach = [], []
-            for vec_id, dim, norm, vec in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "dim", "norm", "vec"))):
-                q, p = np.array([vec], np.int64).reshape(1, dim), pivots[dim]
-                own = products(q, p)[0]
-                # rows of the data score at least q.p - |q| * distance: the k-th best of these bounds the k-th best of all
-                cell, far, who = near[dim]
-                low = own[cell] - norm * far
-                seen = np.sort((low - 1e-9 * np.abs(low) - 1)[who != vec_id])[::-1]
-                bound = max(-(2**63), int(np.floor(seen[k - 1]))) if len(seen) >= k else None
-                exact = np.sort(own[ids[dim] != vec_id])[::-1]  # pivots are rows too
-                if len(exact) >= k:
-                    bound = max(int(exact[k - 1]), bound if bound is not None else -(2**63))
-                least.append(bound)
-                # q.x <= q.p + |q| * radius for every x of p's cell; a part in 10^9 more for rounding
-                most = own + norm * np.array([cells[dim].get(c, (0.0, 0))[0] for c in range(len(p))])
-                most = most + 1e-9 * np.abs(most) + 1
-                reach.append([c for c in cells[dim] if bound is None or most[c] >= bound])
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("vec_id", "vec", "dim", "team")), pa.array(least, pa.int64()), pa.array(reach, pa.list_(pa.int32()))], ["vec_id", "vec", "dim", "team", "least", "cells"])
+            dims, who, team, norm = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("dim", "vec_id", "team", "norm"))
+            least, known, cells = np.zeros(len(dims), np.int64), np.zeros(len(dims), bool), [None] * len(dims)
+            for d in np.unique(dims).tolist():
+                rows = np.flatnonzero(dims == d)
+                teams, first, place = np.unique(team[rows], return_index=True, return_inverse=True)
+                wanted = np.zeros((len(teams), len(pivots[d])), bool)
+                q = _rows_of(batch.column("vec"), rows, d)
+                step = max(1, (1 << 20) // max(len(pivots[d]), len(near[d][0]), 1))
+                for at in range(0, len(rows), step):
+                    own = rows[at : at + step]
+                    least[own], known[own], reach = bounds(q[at : at + step], who[own], norm[own], d)
+                    np.logical_or.at(wanted, place[at : at + step], reach)
+                for t, r in zip(wanted, rows[first]):
+                    cells[r] = np.flatnonzero(t).tolist()
+            columns = [*(batch.column(c) for c in ("vec_id", "packed", "dim", "team")), pa.array(least, mask=~known), pa.array(cells, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, ["vec_id", "packed", "dim", "team", "least", "cells"])
 
     return run
 
 
-def _solved(k: int):
-    def run(key, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or x.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        x = x.sort_values("vec_id", kind="stable")
-        ids = x["vec_id"].to_numpy()
-        data = np.array(x["vec"].tolist(), np.int64).reshape(len(x), -1)
-        out = []
-        for at in range(0, len(q), 256):
-            part = q.iloc[at : at + 256]
-            scores = products(np.array(part["vec"].tolist(), np.int64).reshape(len(part), -1), data)
-            for i, (query, least) in enumerate(zip(part["vec_id"], part["least"])):
-                s = scores[i]
-                rows = np.flatnonzero((s >= least) & (ids != query)) if pd.notna(least) else np.flatnonzero(ids != query)
-                if len(rows) > k:
-                    line = np.partition(s[rows], len(rows) - k)[len(rows) - k]
-                    rows = rows[s[rows] >= line]
-                    rows = rows[np.lexsort((ids[rows], -s[rows]))][:k]
-                out.append(pd.DataFrame({"query_id": query, "vec_id": ids[rows], "score": s[rows]}))
-        return pd.concat(out).astype("int64")
+class _Team:
+    """The queries that meet the rows of one part, and their best rows so far: scores and vec_ids in order, `have` of them."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, least: np.ndarray, k: int):
+        self.ids, self.k, self.norm = ids, k, lengths(q)
+        self.forms, self.longest = {q.dtype: q}, float(self.norm.max())
+        self.whole = q
+        self.line = least.copy()  # no lower score can be among the best
+        self.score, self.row, self.have = np.zeros((len(ids), k), np.int64), np.zeros((len(ids), k), np.int64), np.zeros(len(ids), np.int64)
+
+    def form(self, kind) -> np.ndarray:
+        if kind not in self.forms:
+            self.forms = {kind: self.whole.astype(kind)}
+        return self.forms[kind]
+
+    def who_needs(self, pivot: np.ndarray, radius: float) -> np.ndarray:
+        """The queries for which a row of that cell could be among the best."""
+        far = float(lengths(pivot[None])[0])
+        kind = np.float32 if self.longest * far < SHORT * 0.999 else np.float64
+        own, reach = (self.form(kind) @ pivot.astype(kind)).astype(np.float64), self.norm * radius
+        return np.flatnonzero(own + reach + 1e-9 * (self.norm * far + reach) + 1 >= self.line)
+
+    def meet(self, ids: np.ndarray, x: np.ndarray, asking: np.ndarray) -> None:
+        """Holds rows against the queries at those places."""
+        if not len(ids) or not len(asking):
+            return
+        # |q| * |x| bounds every sum of products of their components, in whatever order
+        most = self.longest * float(lengths(x).max())
+        kind = np.float32 if most < SHORT * 0.999 else np.float64 if most < EXACT * 0.999 else None
+        x = x.astype(kind or np.int64)
+        q = self.form(kind) if kind else self.whole
+        for at in range(0, len(asking), QUERY_STEP):
+            who = asking[at : at + QUERY_STEP]
+            own = q[who]
+            for b in range(0, len(x), ROW_STEP):
+                part = x[b : b + ROW_STEP]
+                self.take(who, ids[b : b + ROW_STEP], own @ part.T if kind else products(own.astype(np.int64), part), kind)
+
+    def take(self, who: np.ndarray, ids: np.ndarray, s: np.ndarray, kind) -> None:
+        line = self.line[who]
+        if kind:  # scores of a kind are all above its bound
+            line = np.maximum(line, -int(SHORT if kind is np.float32 else EXACT)).astype(kind)
+        hit = np.flatnonzero(s.max(1) >= line)
+        if not len(hit):
+            return
+        who, s, line = who[hit], s[hit], line[hit]
+        found = s >= line[:, None]
+        # where many pass, the k-th best of these rows is a line too; a query's own rows, at most as many as an id has here, don't count
+        at = s.shape[1] - self.k - int(np.unique(ids, return_counts=True)[1].max())
+        if at >= 0 and found.sum() > 4 * self.k * len(hit):
+            found = s >= np.maximum(line, np.partition(s, at, axis=1)[:, at])[:, None]
+        r, c = np.nonzero(found)
+        q, v, i = who[r], s[r, c].astype(np.int64), ids[c]
+        last, last_row = self.score[q, self.k - 1], self.row[q, self.k - 1]
+        fine = (i != self.ids[q]) & ((self.have[q] < self.k) | (v > last) | ((v == last) & (i < last_row)))
+        if fine.any():
+            self.keep(q[fine], v[fine], i[fine])
+
+    def keep(self, q: np.ndarray, v: np.ndarray, i: np.ndarray) -> None:
+        """Merges found rows with those that these queries have."""
+        own = np.unique(q)
+        a, b = np.nonzero(np.arange(self.k) < self.have[own][:, None])
+        q, v, i = np.concatenate([q, own[a]]), np.concatenate([v, self.score[own[a], b]]), np.concatenate([i, self.row[own[a], b]])
+        order = np.lexsort((i, ~v, q))
+        q, v, i = q[order], v[order], i[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        best = place < self.k
+        self.score[q[best], place[best]], self.row[q[best], place[best]] = v[best], i[best]
+        self.have[own] = np.minimum(np.searchsorted(q, own, "right") - np.searchsorted(q, own), self.k)
+        full = own[self.have[own] == self.k]
+        self.line[full] = np.maximum(self.line[full], self.score[full, self.k - 1])
+
+    def best(self) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(self.ids), 1 << 13):
+            a, b = np.nonzero(np.arange(self.k) < self.have[at : at + (1 << 13)][:, None])
+            a += at
+            yield pa.RecordBatch.from_arrays([pa.array(self.ids[a]), pa.array(self.row[a, b]), pa.array(self.score[a, b])], ["query_id", "vec_id", "score"])
+
+
+def _solved(pivots: dict[int, np.ndarray], radius: dict[int, np.ndarray], k: int):
+    """The best k rows of each part for each of its queries; a part's queries come before its rows, and these cell by cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, asked, team = None, [], None
+        for batch in batches:
+            part, asks, cell = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("part", "asks", "cell"))
+            turns = [0, *(np.flatnonzero((np.diff(part) != 0) | (np.diff(asks.astype(np.int8)) != 0)) + 1).tolist(), len(part)]
+            for a, b in zip(turns, turns[1:]):
+                if a == b:
+                    continue
+                if part[a] != at:
+                    if team:
+                        yield from team.best()
+                    at, asked, team = part[a], [], None
+                own = batch.slice(a, b - a)
+                d = own.column("dim")[0].as_py()
+                ids, x = own.column("vec_id").to_numpy(), unpacked(own.column("packed"), d)
+                if asks[a]:
+                    asked.append((ids, x, own.column("least").fill_null(LEAST).to_numpy()))
+                    continue
+                if asked:
+                    team, asked = _Team(*(np.concatenate(c) for c in zip(*asked)), k), []
+                if team:
+                    everyone, rest = np.arange(len(team.ids)), []
+                    runs = [0, *(np.flatnonzero(np.diff(cell[a:b])) + 1).tolist(), b - a]
+                    for e, f in zip(runs, runs[1:]):
+                        c = int(cell[a + e])
+                        who = team.who_needs(pivots[d][c], float(radius[d][c])) if f - e >= FEW_ROWS else everyone
+                        if 4 * len(who) > 3 * len(everyone):
+                            rest.append(np.arange(e, f))
+                        else:
+                            team.meet(ids[e:f], x[e:f], who)
+                    if rest:
+                        rest = np.concatenate(rest)
+                        team.meet(ids[rest], x[rest], everyone)
+        if team:
+            yield from team.best()
 
     return run
 
 
+def _pivots(data: DataFrame, n: dict[int, int], k: int) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
+    """Rows for each vector length, the first by a hash of their ids, and these ids.
+
+    They are put in order as a table, so that the driver gets the rows that it keeps alone, not as many from each task; only
+    hashes that can be among the first are looked at, unless too few are.
+    """
+    pivots, ids = {}, {}
+    order = F.xxhash64("vec_id")
+    for d, c in n.items():
+        few = max(k + 2, min(c // CELL_ROWS, math.isqrt(c)))
+        own, share, rows = data.where(F.col("dim") == d), (2 * few + 64) / c, []
+        if share < 1:
+            rows = written(own.where(order <= F.lit(LEAST + int(share * 2**64))).orderBy(order, "vec_id").limit(few), "pivots").collect()
+        if len(rows) < min(few, c):
+            rows = written(own.orderBy(order, "vec_id").limit(few), "pivots").collect()
+        pivots[d] = np.array([r["vec"] for r in rows], np.int64).reshape(len(rows), d)
+        ids[d] = np.array([r["vec_id"] for r in rows], np.int64)
+    return pivots, ids
+
+
 def top_k(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest inner products of each row whose vec_id is divisible by `every`.
 
@@ -126,24 +307,23 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     length, drawn by hash, at most as many as the root of the rows) part the data into cells. Queries are grouped by
     pivot as well. The k rows nearest to each pivot are a cell's summary: with the pivots they bound a query's k-th best
     score from below, and a cell's pivot and radius bound its scores from above, so that blocks of a cell are replicated
-    only to the groups of queries that it could serve. Each pair of query group and block is solved in one small task; the
-    best k of each are merged. Rows that repeat a vec_id count each as candidates; as a query such an id is its first
+    only to the teams of queries that it could serve. A team has as many queries as a task may hold; its blocks are
+    dealt to parts, cell after cell, and each part is one task that has the team's queries and lets the rows of its blocks
+    pass, asking once more for each cell which queries need it. The best k of each part are merged. Queries travel once
+    a part and rows once a team, as bytes; neither is ever multiplied by cells, and only tables of blocks and teams are broadcast.
+    Rows that repeat a vec_id count each as candidates; as a query such an id is its first
     vector in order. Rows with a null vec_id take no part. Sums beyond 64 bits become the nearest number of 64 bits.
     """
     spark = vectors.sparkSession
     shipped(spark)
     data = integer_vectors(vectors)
     n = {r[0]: r[1] for r in data.groupBy("dim").agg(F.count("*")).collect()}
-    pivots, ids = {}, {}
-    for d, c in n.items():
-        few = max(k + 2, min(c // CELL_ROWS, math.isqrt(c)))
-        rows = data.where(F.col("dim") == d).orderBy(F.xxhash64("vec_id"), "vec_id").limit(few).collect()
-        pivots[d] = np.array([r["vec"] for r in rows], np.int64).reshape(len(rows), d)
-        ids[d] = np.array([r["vec_id"] for r in rows], np.int64)
-    located = written(by_arrow(data, _located(pivots), "vec_id bigint, vec array<bigint>, dim int, cell int, far double, norm double"), "vectors")
-    cells: dict[int, dict[int, tuple[float, int]]] = {d: {} for d in n}
-    for r in located.groupBy("dim", "cell").agg(F.max("far"), F.count("*")).collect():
-        cells[r[0]][r[1]] = (r[2], r[3])
+    pivots, ids = _pivots(data, n, k)
+    schema = "vec_id bigint, packed binary, vec array<bigint>, dim int, cell int, far double, norm double, turn int"
+    located = written(by_arrow(data, _located(pivots, every), schema), "vectors")
+    radius, rows_in = ({d: np.full(len(p), v) for d, p in pivots.items()} for v in (-1.0, 0))
+    for d, c, far, m in located.groupBy("dim", "cell").agg(F.max("far"), F.count("*")).collect():
+        radius[d][c], rows_in[d][c] = far, m
     # the k rows nearest to each pivot: k numbers a cell, first within tasks
     rows = located.select("dim", "cell", "far", "vec_id", F.spark_partition_id().alias("task"))
     for by in (("dim", "cell", "task"), ("dim", "cell")):
@@ -151,30 +331,48 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     nearest = rows.select("dim", "cell", "far", "vec_id").toPandas()
     near = {d: tuple(nearest.loc[nearest["dim"] == d, c].to_numpy() for c in ("cell", "far", "vec_id")) for d in n}
 
-    same = F.min(F.struct("vec", "dim", "cell", "norm")).alias("q")
+    same = F.min(F.struct("vec", "packed", "dim", "cell", "norm")).alias("q")
     queries = located.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(same).select("vec_id", "q.*")
     asked = {(r[0], r[1]): r[2] for r in queries.groupBy("dim", "cell").agg(F.count("*")).collect()}
     # neighbouring cells make a team until it has its share of queries; a crowded cell makes several
     base, team, have, last = [], -1, 0, None
     for d in sorted(n):
         p = pivots[d].astype(float)
+        most = max(1, TEAM_BYTES // (12 * d + 16 * k + 64))
         for c in np.argsort(((p - p[:1]) ** 2).sum(1), kind="stable").tolist():
             if m := asked.get((d, c), 0):
-                if last != d or have + m > GROUP_QUERIES:
+                if last != d or have + m > most:
                     team, have = team + 1, 0
-                split = -(-m // GROUP_QUERIES)
+                split = -(-m // most)
                 base.append((d, c, team, split))
                 team, have, last = team + split - 1, have + m, d
     homes = spark.createDataFrame(base, "dim int, cell int, first_team int, split int")
     grouped = queries.join(homes, ["dim", "cell"]).withColumn("team", F.col("first_team") + F.pmod(F.xxhash64("vec_id"), F.col("split")).cast("int"))
-    bounded = written(by_arrow(grouped.select("vec_id", "vec", "dim", "team", "norm"), _needed(pivots, ids, cells, near, k), "vec_id bigint, vec array<bigint>, dim int, team int, least bigint, cells array<int>"), "queries")
-
-    blocks = spark.createDataFrame([(d, c, -(-m // BLOCK_ROWS)) for d in cells for c, (_, m) in cells[d].items()], "dim int, cell int, blocks int")
-    pairs = bounded.select("dim", "team", F.explode("cells").alias("cell")).distinct().join(blocks, ["dim", "cell"])
-    block = F.pmod(F.xxhash64("vec_id", "vec"), F.col("blocks")).cast("int")
-    sent = located.select("vec_id", "vec", "dim", "cell").join(pairs, ["dim", "cell"]).select("vec_id", "vec", F.col("dim").alias("to_dim"), F.col("team").alias("to_team"), F.col("cell").alias("to_cell"), block.alias("to_block"))
-    placed = pairs.select("dim", "team", "cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
-    asking = bounded.select("vec_id", "vec", "dim", "team", "least", F.explode("cells").alias("cell")).join(placed, ["dim", "team", "cell"])
-    found = asking.groupBy("dim", "team", "cell", "block").cogroup(sent.groupBy("to_dim", "to_team", "to_cell", "to_block")).applyInPandas(_solved(k), "query_id bigint, vec_id bigint, score bigint")
+    schema = "vec_id bigint, packed binary, dim int, team int, least bigint, cells array<int>"
+    bounded = written(by_arrow(grouped.select("vec_id", "vec", "packed", "dim", "team", "norm"), _needed(pivots, ids, radius, near, k), schema), "queries")
+
+    # a row for each cell, one for each team and cell it needs, and one for each of the cell's blocks: tables of some rows a block
+    counted = [(int(d), c, int(m), -(-int(m) // BLOCK_ROWS)) for d in n for c, m in enumerate(rows_in[d]) if m]
+    cells = spark.createDataFrame(counted, "dim int, cell int, rows bigint, blocks int")
+    needs = bounded.select("dim", "team", F.explode("cells").alias("cell")).distinct().join(F.broadcast(cells), ["dim", "cell"])
+    totals = needs.groupBy("team").agg(F.sum("rows").alias("rows"), F.sum("blocks").alias("blocks"))
+    parts, deals = 0, []
+    for t, m, some, asks in sorted(totals.join(bounded.groupBy("team").agg(F.count("*").alias("asks")), "team").collect()):
+        own = max(min(PARTS, some), -(-m * asks // PART_PAIRS))
+        deals.append((t, parts, own, m))
+        parts += own
+    deals = F.broadcast(spark.createDataFrame(deals, "team int, first int, parts int, total bigint"))
+    before = F.sum(F.col("rows") / F.col("blocks")).over(Window.partitionBy("team").orderBy("cell", "block").rowsBetween(Window.unboundedPreceding, -1))
+    placed = needs.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("before", F.coalesce(before, F.lit(0.0))).join(deals, "team")
+    part = F.col("first") + F.least(F.floor(F.col("before") * F.col("parts") / F.col("total")), F.col("parts") - 1).cast("int")
+    placed = written(placed.groupBy("dim", "cell", "block", "blocks").agg(F.collect_list(part).alias("to")), "blocks")
+
+    of = located.select("vec_id", "packed", "dim", "cell", "turn").join(F.broadcast(cells.select("dim", "cell", "blocks")), ["dim", "cell"])
+    of = of.withColumn("block", F.col("turn") % F.col("blocks")).join(F.broadcast(placed.drop("blocks")), ["dim", "cell", "block"])
+    sent = of.select(F.explode("to").alias("part"), F.lit(False).alias("asks"), "vec_id", "packed", "dim", "cell", F.lit(None).cast("bigint").alias("least"))
+    everywhere = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("parts") - 1))
+    asking = bounded.join(deals, "team").select(everywhere.alias("part"), F.lit(True).alias("asks"), "vec_id", "packed", "dim", F.lit(-1).alias("cell"), "least")
+    met = asking.unionByName(sent).repartitionById(max(parts, 1), F.col("part")).sortWithinPartitions("part", F.desc("asks"), "cell")
+    found = by_arrow(met, _solved(pivots, radius, k), "query_id bigint, vec_id bigint, score bigint")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import types as T
 
-from barloom.llm import language, lattice, minhash, mixing, packing, sharding, toxicity
+from barloom.llm import language, lattice, minhash, mixing, packing, sharding, topk, toxicity
 from barloom.llm.common import mixed
 from barloom.llm.exact import exact_duplicates, with_buckets
 from barloom.llm.minhash import connected, near_duplicates
@@ -331,6 +331,59 @@ def test_top_k(spark):
     assert {tuple(r) for r in QUERIES["op5_topk"](spark, SF).collect()} == brute_top([(r.vec_id, r.embedding) for r in small.collect()])
 
 
+def broadcast_rows(df):
+    """Rows of each broadcast in the plan that gave df's rows."""
+    out, plans = [], [df._jdf.queryExecution().executedPlan()]
+    while plans:
+        p = plans.pop()
+        kind = p.getClass().getSimpleName()
+        if kind == "BroadcastExchangeExec":
+            out.append(p.metrics().get("numOutputRows").get().value())
+        if kind == "AdaptiveSparkPlanExec":
+            plans.append(p.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            plans.append(p.plan())
+        else:
+            plans += [p.children().apply(i) for i in range(p.children().size())]
+    return out
+
+
+def test_top_k_broadcasts_no_queries(spark, monkeypatch):
+    """What the driver gets to broadcast has a row a cell or block, none for each query and cell (1,000 by some 60 here)."""
+    monkeypatch.setattr(topk, "CELL_ROWS", 40)
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(4000)]
+    df = top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(8), every=4)
+    got = {tuple(r) for r in df.collect()}
+    assert got == brute_top(rows, every=4)
+    assert max(broadcast_rows(df)) < 200
+
+
+@pytest.mark.parametrize("scale, crowd", [(0.1, 3), (5, 40), (1e5, 3)])
+def test_top_k_in_teams_and_parts(spark, monkeypatch, scale, crowd):
+    """Many teams, parts and blocks, cells that can be ruled out, ties, repeated ids, numbers of all widths."""
+    for name, value in (("CELL_ROWS", 30), ("BLOCK_ROWS", 16), ("TEAM_BYTES", 8 * 300), ("PARTS", 5), ("FEW_ROWS", 2), ("QUERY_STEP", 4), ("ROW_STEP", 16)):
+        monkeypatch.setattr(topk, name, value)
+    rng = random.Random(7)
+    centres = [[rng.gauss(0, 5) for _ in range(3)] for _ in range(9)]
+    rows = [(i, [scale * (c + rng.gauss(0, 0.2)) for c in centres[i % 9]]) for i in range(900)]
+    rows += [(900 + i, [float(scale)] * 3) for i in range(crowd)] + [(20, rows[7][1]), (20, rows[8][1]), (33, rows[8][1])] + [(2000 + i, [rng.random()]) for i in range(30)]
+    if crowd > 3:
+        rows = rows + rows[:200]  # the same rows once more
+    got = [tuple(r) for r in top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>").repartition(4), every=10, k=5).collect()]
+    want = brute_top(rows, every=10, k=5)
+    assert set(got) == want and len(got) == len(want)
+
+
+def test_packed_integers():
+    for most in (0, 2**15 - 1, 2**15, 2**31 - 1, 2**31, 2**63 - 1):
+        x = np.array([[most, -most - 1], [0, 1]], np.int64)
+        assert topk.unpacked(topk.packed(x), 2).tolist() == x.tolist()
+    both = topk.pa.concat_arrays([topk.packed(np.array([[1, 2]])), topk.packed(np.array([[2**40, -5]])), topk.packed(np.array([[3, 4]]))])
+    assert topk.unpacked(both, 2).tolist() == [[1, 2], [2**40, -5], [3, 4]] and topk.unpacked(both[1:], 2).tolist() == [[2**40, -5], [3, 4]] and topk.unpacked(both[2:], 2).tolist() == [[3, 4]]
+    assert topk.unpacked(topk.packed(np.zeros((3, 0), np.int64)), 0).shape == (3, 0)
+
+
 # 6 sharding
 
 
