@@ -17,7 +17,9 @@ CELL_ROWS, BLOCK_ROWS = 2048, 4096
 #: Bytes that a task may hold for the queries of its team, parts that a team's blocks make at least (a block each), pairs of query and row a part.
 TEAM_BYTES, PARTS, PART_PAIRS = 1 << 26, 32, 1 << 35
 #: Queries and rows that are multiplied at once; rows of a cell from which it is worth asking who needs it.
-QUERY_STEP, ROW_STEP, FEW_ROWS = 256, 1024, 64
+QUERY_STEP, ROW_STEP, FEW_ROWS = 512, 1024, 64
+#: Bytes, as 64-bit numbers, of the rows drawn for a first bound, and one in how many rows at most.
+SAMPLE_BYTES, SAMPLE_SHARE = 1 << 24, 16
 #: Below these, sums of integer products are exact in a float, in a double and in 64 bits.
 SHORT, EXACT, LONG = 2.0**24, 2.0**53, 2.0**63
 LEAST = -(2**63)
@@ -89,71 +91,69 @@ def _located(pivots: dict[int, np.ndarray], every: int):
             for d in np.unique(dims).tolist():
                 rows = np.flatnonzero(dims == d)
                 x = _rows_of(batch.column("vec"), rows, d)
+                cell, far, norm = np.zeros(len(rows), np.int32), np.zeros(len(rows)), lengths(x)
                 p = pivots[d].astype(np.float64)
-                half, turned = (p * p).sum(1) / 2, np.ascontiguousarray(p.T)
-                cell, far = np.zeros(len(rows), np.int32), np.zeros(len(rows))
+                # any cell will do for a row, so that floats are good enough to choose it
+                kind = np.float32 if max(norm.max(), lengths(p).max()) < SHORT else np.float64
+                half, turned = ((p * p).sum(1) / 2).astype(kind), np.ascontiguousarray(p.T, kind)
                 step = max(1, (1 << 20) // len(p))
                 for at in range(0, len(rows), step):
-                    part = x[at : at + step].astype(np.float64)
-                    cell[at : at + step] = own = (half - part @ turned).argmin(1)
+                    part = x[at : at + step]
+                    own = part.astype(kind) @ turned
+                    cell[at : at + step] = own = np.subtract(half, own, out=own).argmin(1)
                     # measured from the difference, as the expansion above cancels
                     far[at : at + step] = lengths(part - p[own])
                 asks = who[rows] % every == 0
                 vec = batch.column("vec").take(pa.array(np.where(asks, rows, -1), mask=~asks))
                 turns = pa.array((turn + np.arange(len(rows))) % (1 << 30), pa.int32())
                 turn += len(rows)
-                columns = [pa.array(who[rows]), packed(x), vec, pa.array(dims[rows]), pa.array(cell), pa.array(far), pa.array(lengths(x)), turns]
+                columns = [pa.array(who[rows]), packed(x), vec, pa.array(dims[rows]), pa.array(cell), pa.array(far), pa.array(norm), turns]
                 yield pa.RecordBatch.from_arrays(columns, ["vec_id", "packed", "vec", "dim", "cell", "far", "norm", "turn"])
 
     return run
 
 
-def _needed(pivots: dict[int, np.ndarray], ids: dict[int, np.ndarray], radius: dict[int, np.ndarray], near: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], k: int):
+def _needed(pivots: dict[int, np.ndarray], drawn: dict[int, tuple[np.ndarray, np.ndarray]], radius: dict[int, np.ndarray], near: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], k: int):
     """For each query a lower bound on its k-th best score, and in one row of a batch for each team the cells that could beat some query's bound.
 
-    radius: of each cell, -1 if nothing lies in it; near: for each vector length the cell, distance to the pivot and vec_id
-    of the k rows nearest to each pivot.
+    drawn: vec_ids and vectors of some rows; radius: of each cell, -1 if nothing lies in it; near: for each vector length
+    the cell, distance to the pivot and vec_id of the k rows nearest to each pivot.
     """
 
-    def bounds(q: np.ndarray, who: np.ndarray, norm: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Lower bounds, whether there is one, and the cells needed, of some queries."""
-        own, least, known = products(q, pivots[d]), np.full(len(q), LEAST, np.int64), np.zeros(len(q), bool)
-        # rows of the data score at least q.p - |q| * distance: the k-th best of these bounds the k-th best of all
+    def from_near(q: np.ndarray, who: np.ndarray, norm: np.ndarray, d: int) -> np.ndarray:
+        """Rows of the data score at least q.p - |q| * distance: the k-th best of these bounds the k-th best of all."""
         cell, far, row = near[d]
-        if len(cell) >= k:
-            low, reach = own[:, cell].astype(np.float64), norm[:, None] * far
-            low = low - reach - 1e-9 * (np.abs(low) + reach) - 1
-            low[row == who[:, None]] = -np.inf
-            low = np.partition(low, len(cell) - k, axis=1)[:, len(cell) - k]
-            known |= low > -np.inf
-            least = np.where(known, np.floor(np.maximum(low, LEAST)), LEAST).astype(np.int64)
-        same = ids[d] == who[:, None]  # pivots are rows too
-        if len(ids[d]) >= k:
-            best = np.partition(np.where(same, LEAST, own), len(ids[d]) - k, axis=1)[:, len(ids[d]) - k]
-            enough = (~same).sum(1) >= k
-            least, known = np.where(enough, np.maximum(least, best), least), known | enough
-        # q.x <= q.p + |q| * radius for every x of p's cell; a part in 10^9 more for rounding
-        reach = norm[:, None] * np.maximum(radius[d], 0)
-        most = own + reach + 1e-9 * (np.abs(own.astype(np.float64)) + reach) + 1
-        return least, known, ((most >= least[:, None]) | ~known[:, None]) & (radius[d] >= 0)
+        if len(cell) < k:
+            return np.full(len(q), LEAST, np.int64)
+        low, reach = products(q, pivots[d])[:, cell].astype(np.float64), norm[:, None] * far
+        low = low - reach - 1e-9 * (np.abs(low) + reach) - 1
+        low[row == who[:, None]] = -np.inf
+        return np.floor(np.maximum(np.partition(low, len(cell) - k, axis=1)[:, len(cell) - k], LEAST)).astype(np.int64)
+
+    def reached(q: np.ndarray, norm: np.ndarray, least: np.ndarray, d: int) -> np.ndarray:
+        """q.x <= q.p + |q| * radius for every x of p's cell; a part in 10^9 more for rounding."""
+        own, reach = products(q, pivots[d]).astype(np.float64), norm[:, None] * np.maximum(radius[d], 0)
+        return (own + reach + 1e-9 * (np.abs(own) + reach) + 1 >= least[:, None]) & (radius[d] >= 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims, who, team, norm = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("dim", "vec_id", "team", "norm"))
-            least, known, cells = np.zeros(len(dims), np.int64), np.zeros(len(dims), bool), [None] * len(dims)
+            least, cells = np.zeros(len(dims), np.int64), [None] * len(dims)
             for d in np.unique(dims).tolist():
                 rows = np.flatnonzero(dims == d)
+                q, own, far = _rows_of(batch.column("vec"), rows, d), who[rows], norm[rows]
+                step = max(1, (1 << 20) // max(len(pivots[d]), len(near[d][0])))
+                steps = [slice(at, at + step) for at in range(0, len(rows), step)]
+                asked = _Team(own, q, np.concatenate([from_near(q[i], own[i], far[i], d) for i in steps]), k)
+                asked.meet(*drawn[d], np.arange(len(rows)))
+                least[rows] = asked.line
                 teams, first, place = np.unique(team[rows], return_index=True, return_inverse=True)
                 wanted = np.zeros((len(teams), len(pivots[d])), bool)
-                q = _rows_of(batch.column("vec"), rows, d)
-                step = max(1, (1 << 20) // max(len(pivots[d]), len(near[d][0]), 1))
-                for at in range(0, len(rows), step):
-                    own = rows[at : at + step]
-                    least[own], known[own], reach = bounds(q[at : at + step], who[own], norm[own], d)
-                    np.logical_or.at(wanted, place[at : at + step], reach)
+                for i in steps:
+                    np.logical_or.at(wanted, place[i], reached(q[i], far[i], asked.line[i], d))
                 for t, r in zip(wanted, rows[first]):
                     cells[r] = np.flatnonzero(t).tolist()
-            columns = [*(batch.column(c) for c in ("vec_id", "packed", "dim", "team")), pa.array(least, mask=~known), pa.array(cells, pa.list_(pa.int32()))]
+            columns = [*(batch.column(c) for c in ("vec_id", "packed", "dim", "team")), pa.array(least), pa.array(cells, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, ["vec_id", "packed", "dim", "team", "least", "cells"])
 
     return run
@@ -190,35 +190,43 @@ class _Team:
         kind = np.float32 if most < SHORT * 0.999 else np.float64 if most < EXACT * 0.999 else None
         x = x.astype(kind or np.int64)
         q = self.form(kind) if kind else self.whole
+        often = int(np.unique(ids, return_counts=True)[1].max())
         for at in range(0, len(asking), QUERY_STEP):
-            who = asking[at : at + QUERY_STEP]
-            own = q[who]
+            who, found, held = asking[at : at + QUERY_STEP], [], 0
+            own = q[who] if kind else q[who].astype(np.int64)
             for b in range(0, len(x), ROW_STEP):
                 part = x[b : b + ROW_STEP]
-                self.take(who, ids[b : b + ROW_STEP], own @ part.T if kind else products(own.astype(np.int64), part), kind)
-
-    def take(self, who: np.ndarray, ids: np.ndarray, s: np.ndarray, kind) -> None:
+                r, v, c = self.passing(who, own @ part.T if kind else products(own, part), kind, often)
+                if len(r):
+                    found.append((r, v, ids[b + c]))
+                    held += len(r)
+                if found and (held > 2 * self.k * len(who) or b + ROW_STEP >= len(x)):
+                    self.keep(*(np.concatenate(f) for f in zip(*found)))
+                    found, held = [], 0
+
+    def passing(self, who: np.ndarray, s: np.ndarray, kind, often: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Queries, scores and places of the rows that reach their query's line; a vec_id has at most `often` rows."""
         line = self.line[who]
         if kind:  # scores of a kind are all above its bound
             line = np.maximum(line, -int(SHORT if kind is np.float32 else EXACT)).astype(kind)
         hit = np.flatnonzero(s.max(1) >= line)
-        if not len(hit):
-            return
-        who, s, line = who[hit], s[hit], line[hit]
-        found = s >= line[:, None]
-        # where many pass, the k-th best of these rows is a line too; a query's own rows, at most as many as an id has here, don't count
-        at = s.shape[1] - self.k - int(np.unique(ids, return_counts=True)[1].max())
-        if at >= 0 and found.sum() > 4 * self.k * len(hit):
-            found = s >= np.maximum(line, np.partition(s, at, axis=1)[:, at])[:, None]
-        r, c = np.nonzero(found)
-        q, v, i = who[r], s[r, c].astype(np.int64), ids[c]
-        last, last_row = self.score[q, self.k - 1], self.row[q, self.k - 1]
-        fine = (i != self.ids[q]) & ((self.have[q] < self.k) | (v > last) | ((v == last) & (i < last_row)))
-        if fine.any():
-            self.keep(q[fine], v[fine], i[fine])
+        if len(hit) < len(who):
+            who, s, line = who[hit], s[hit], line[hit]
+        found = np.flatnonzero(s >= line[:, None])
+        at = s.shape[1] - self.k - often
+        if at >= 0 and len(found) > 4 * self.k * len(hit):
+            # many pass: the k-th best of these rows is a line too; a query's own rows don't count
+            line = np.maximum(line, np.partition(s, at, axis=1)[:, at])
+            self.line[who] = np.maximum(self.line[who], line.astype(np.int64))
+            found = np.flatnonzero(s >= line[:, None])
+        r, c = np.divmod(found, s.shape[1])
+        return who[r], s.reshape(-1)[found].astype(np.int64), c
 
     def keep(self, q: np.ndarray, v: np.ndarray, i: np.ndarray) -> None:
         """Merges found rows with those that these queries have."""
+        last, last_row = self.score[q, self.k - 1], self.row[q, self.k - 1]
+        fine = (i != self.ids[q]) & ((self.have[q] < self.k) | (v > last) | ((v == last) & (i < last_row)))
+        q, v, i = q[fine], v[fine], i[fine]
         own = np.unique(q)
         a, b = np.nonzero(np.arange(self.k) < self.have[own][:, None])
         q, v, i = np.concatenate([q, own[a]]), np.concatenate([v, self.score[own[a], b]]), np.concatenate([i, self.row[own[a], b]])
@@ -257,7 +265,7 @@ def _solved(pivots: dict[int, np.ndarray], radius: dict[int, np.ndarray], k: int
                 d = own.column("dim")[0].as_py()
                 ids, x = own.column("vec_id").to_numpy(), unpacked(own.column("packed"), d)
                 if asks[a]:
-                    asked.append((ids, x, own.column("least").fill_null(LEAST).to_numpy()))
+                    asked.append((ids, x, own.column("least").to_numpy()))
                     continue
                 if asked:
                     team, asked = _Team(*(np.concatenate(c) for c in zip(*asked)), k), []
@@ -280,24 +288,36 @@ def _solved(pivots: dict[int, np.ndarray], radius: dict[int, np.ndarray], k: int
     return run
 
 
-def _pivots(data: DataFrame, n: dict[int, int], k: int) -> tuple[dict[int, np.ndarray], dict[int, np.ndarray]]:
-    """Rows for each vector length, the first by a hash of their ids, and these ids.
+def _pivots(data: DataFrame, n: dict[int, int], k: int) -> dict[int, np.ndarray]:
+    """Rows for each vector length, the first by a hash of their ids.
 
     They are put in order as a table, so that the driver gets the rows that it keeps alone, not as many from each task; only
     hashes that can be among the first are looked at, unless too few are.
     """
-    pivots, ids = {}, {}
-    order = F.xxhash64("vec_id")
+    pivots = {}
     for d, c in n.items():
         few = max(k + 2, min(c // CELL_ROWS, math.isqrt(c)))
-        own, share, rows = data.where(F.col("dim") == d), (2 * few + 64) / c, []
-        if share < 1:
-            rows = written(own.where(order <= F.lit(LEAST + int(share * 2**64))).orderBy(order, "vec_id").limit(few), "pivots").collect()
-        if len(rows) < min(few, c):
-            rows = written(own.orderBy(order, "vec_id").limit(few), "pivots").collect()
+        own, rows = data.where(F.col("dim") == d), []
+        for some in (own.where(_share((2 * few + 64) / c)), own):
+            if len(rows) < min(few, c):
+                rows = written(some.orderBy(F.xxhash64("vec_id"), "vec_id").limit(few), "pivots").collect()
         pivots[d] = np.array([r["vec"] for r in rows], np.int64).reshape(len(rows), d)
-        ids[d] = np.array([r["vec_id"] for r in rows], np.int64)
-    return pivots, ids
+    return pivots
+
+
+def _share(share: float):
+    """Rows of about that share of all ids, by hash."""
+    return F.xxhash64("vec_id") <= F.lit(min(LEAST + int(share * 2**64), 2**63 - 1))
+
+
+def _drawn(located: DataFrame, n: dict[int, int]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """vec_ids and vectors of some rows for each vector length, as many as SAMPLE_BYTES hold."""
+    drawn = {}
+    for d, c in n.items():
+        most = max(1, min(SAMPLE_BYTES // (8 * d + 8), c // SAMPLE_SHARE))
+        rows = located.where((F.col("dim") == d) & _share(1.2 * most / c)).select("vec_id", "packed").limit(most).toArrow()
+        drawn[d] = rows["vec_id"].to_numpy(), unpacked(rows["packed"].combine_chunks(), d)
+    return drawn
 
 
 def top_k(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
@@ -305,7 +325,7 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
 
     Candidates are all other rows of the same length; ties go to the smaller vec_id. Pivots (rows for each vector
     length, drawn by hash, at most as many as the root of the rows) part the data into cells. Queries are grouped by
-    pivot as well. The k rows nearest to each pivot are a cell's summary: with the pivots they bound a query's k-th best
+    pivot as well. The k rows nearest to each pivot are a cell's summary: they, and some drawn rows, bound a query's k-th best
     score from below, and a cell's pivot and radius bound its scores from above, so that blocks of a cell are replicated
     only to the teams of queries that it could serve. A team has as many queries as a task may hold; its blocks are
     dealt to parts, cell after cell, and each part is one task that has the team's queries and lets the rows of its blocks
@@ -318,9 +338,10 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     shipped(spark)
     data = integer_vectors(vectors)
     n = {r[0]: r[1] for r in data.groupBy("dim").agg(F.count("*")).collect()}
-    pivots, ids = _pivots(data, n, k)
+    pivots = _pivots(data, n, k)
     schema = "vec_id bigint, packed binary, vec array<bigint>, dim int, cell int, far double, norm double, turn int"
     located = written(by_arrow(data, _located(pivots, every), schema), "vectors")
+    drawn = _drawn(located, n)
     radius, rows_in = ({d: np.full(len(p), v) for d, p in pivots.items()} for v in (-1.0, 0))
     for d, c, far, m in located.groupBy("dim", "cell").agg(F.max("far"), F.count("*")).collect():
         radius[d][c], rows_in[d][c] = far, m
@@ -349,7 +370,7 @@ def top_k(vectors: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     homes = spark.createDataFrame(base, "dim int, cell int, first_team int, split int")
     grouped = queries.join(homes, ["dim", "cell"]).withColumn("team", F.col("first_team") + F.pmod(F.xxhash64("vec_id"), F.col("split")).cast("int"))
     schema = "vec_id bigint, packed binary, dim int, team int, least bigint, cells array<int>"
-    bounded = written(by_arrow(grouped.select("vec_id", "vec", "packed", "dim", "team", "norm"), _needed(pivots, ids, radius, near, k), schema), "queries")
+    bounded = written(by_arrow(grouped.select("vec_id", "vec", "packed", "dim", "team", "norm"), _needed(pivots, drawn, radius, near, k), schema), "queries")
 
     # a row for each cell, one for each team and cell it needs, and one for each of the cell's blocks: tables of some rows a block
     counted = [(int(d), c, int(m), -(-int(m) // BLOCK_ROWS)) for d in n for c, m in enumerate(rows_in[d]) if m]
